@@ -230,7 +230,8 @@ FROM external ex WHERE NOT EXISTS (SELECT 1 FROM match_groups g WHERE g.match_id
 
 
 def with_fixtures(body: str, *names: str) -> str:
-    """Prefix ``body`` with the CTEs it needs (dependencies first)."""
+    """Prefix ``body`` with the CTEs it needs (dependencies first).  A body
+    starting with ``,`` continues the WITH list with its own CTEs."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -243,4 +244,5 @@ def with_fixtures(body: str, *names: str) -> str:
     for n in names:
         visit(n)
     ctes = ",\n".join(f"{n} AS ({FIXTURES[n][1]}\n)" for n in order)
-    return f"WITH {ctes}\n{body}"
+    body = body.strip()
+    return f"WITH {ctes}" + (body if body.startswith(",") else "\n" + body)

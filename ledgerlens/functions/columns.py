@@ -100,3 +100,12 @@ def retry_delay_seconds(attempts: str | Column) -> Column:
 
 def sha256_hex(c: str | Column) -> Column:
     return F.sha2(col_or(c), 256)
+
+
+def round1_ratio(p: str | Column, q: str | Column) -> Column:
+    """p/q rounded half up to one decimal, exactly, as decimal(20,1)
+    (integer arithmetic: floor((20p + q) / 2q) / 10; NULL when q is 0)."""
+    num = col_or(p).cast("decimal(38,0)") * 20 + col_or(q).cast("decimal(38,0)")
+    den = col_or(q).cast("decimal(38,0)") * 2
+    tenths = ((num - num % den) / den).cast("decimal(38,0)")
+    return F.when(col_or(q) != 0, (tenths / 10).cast("decimal(20,1)"))
