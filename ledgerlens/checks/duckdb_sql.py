@@ -229,7 +229,7 @@ SELECT ext_line_id * 2 + 1, NULL, ext_line_id, 'MISSING_INTERNAL'
 FROM external ex WHERE NOT EXISTS (SELECT 1 FROM match_groups g WHERE g.match_id = ex.ext_line_id)""")
 
 
-def with_fixtures(body: str, *names: str) -> str:
+def with_fixtures(body: str, *names: str, recursive: bool = False) -> str:
     """Prefix ``body`` with the CTEs it needs (dependencies first).  A body
     starting with ``,`` continues the WITH list with its own CTEs."""
     order: list[str] = []
@@ -245,4 +245,35 @@ def with_fixtures(body: str, *names: str) -> str:
         visit(n)
     ctes = ",\n".join(f"{n} AS ({FIXTURES[n][1]}\n)" for n in order)
     body = body.strip()
-    return f"WITH {ctes}" + (body if body.startswith(",") else "\n" + body)
+    head = "WITH RECURSIVE" if recursive else "WITH"
+    return f"{head} {ctes}" + (body if body.startswith(",") else "\n" + body)
+
+_fx("statement_file", ["external"], """
+SELECT CASE WHEN ext_line_id % 101 = 0 THEN 'EXT-DUP-' || CAST(ext_line_id % 7 AS VARCHAR) ELSE external_ref END
+         AS external_ref,
+       CASE WHEN ext_line_id % 103 = 0 THEN 'ACC-X' || CAST(ext_line_id % 13 AS VARCHAR) ELSE account_ref END
+         AS account_ref,
+       CASE WHEN ext_line_id % 97 = 0 THEN '-' || CAST(amount AS VARCHAR) WHEN ext_line_id % 107 = 0 THEN 'n/a'
+            ELSE CAST(amount AS VARCHAR) END AS amount,
+       CASE WHEN ext_line_id % 109 = 0 THEN 'G1P' WHEN ext_line_id % 113 = 0 THEN lower(currency) ELSE currency END
+         AS currency,
+       CASE WHEN ext_line_id % 127 = 0 THEN NULL ELSE strftime(value_date, '%Y-%m-%d') END AS value_date,
+       strftime(settlement_date, '%Y-%m-%d') AS settlement_date,
+       CASE WHEN is_batched_settlement THEN (CASE WHEN ext_line_id % 2 = 0 THEN 'TRUE' ELSE 'true' END)
+            WHEN ext_line_id % 3 = 0 THEN NULL ELSE 'false' END AS is_batched_settlement
+FROM external""")
+
+_fx("ledger_file", ["ledger"], """
+SELECT CASE WHEN ledger_txn_id % 211 = 0 THEN 'NEW-DUP-' || CAST(ledger_txn_id % 5 AS VARCHAR)
+            WHEN ledger_txn_id % 157 = 0 THEN txn_ref ELSE 'NEW-' || CAST(ledger_txn_id AS VARCHAR) END AS txn_ref,
+       CASE WHEN ledger_txn_id % 199 = 0 THEN 'ACC-UNKNOWN' ELSE 'ACC-' || CAST(account_id AS VARCHAR) END
+         AS account_ref,
+       CASE WHEN ledger_txn_id % 193 = 0 THEN 'REFUND' ELSE txn_type END AS txn_type,
+       CASE WHEN ledger_txn_id % 191 = 0 THEN '-' || CAST(amount AS VARCHAR) WHEN ledger_txn_id % 181 = 0 THEN 'x'
+            ELSE CAST(amount AS VARCHAR) END AS amount,
+       lower(currency) AS currency,
+       CASE WHEN ledger_txn_id % 179 = 0 THEN NULL ELSE strftime(value_date, '%Y-%m-%d') END AS value_date,
+       CASE WHEN ledger_txn_id % 173 = 0 THEN repeat('c', 151) WHEN ledger_txn_id % 2 = 0 THEN NULL
+            ELSE 'CP ' || CAST(ledger_txn_id % 50 AS VARCHAR) END AS counterparty,
+       CASE WHEN ledger_txn_id % 3 = 0 THEN NULL ELSE 'order book' END AS narrative
+FROM ledger""")

@@ -231,3 +231,51 @@ class Fixtures:
             T.as_timestamp("ts").alias("ts"),
             (F.col("event_type") == "signup").alias("success"),
         )
+
+    # -- staged uploads (all strings, with deterministic defects) ----------------
+    @cached_property
+    def statement_file(self) -> DataFrame:
+        """A statement upload built from the feed: negative and unparsable
+        amounts, bad currency codes, unknown accounts, duplicate refs, blank
+        dates and flags in several spellings."""
+        x = self.external
+        k = F.col("ext_line_id")
+        amt = F.col("amount").cast("string")
+        return x.select(
+            F.when(k % 101 == 0, F.concat(F.lit("EXT-DUP-"), (k % 7).cast("string")))
+            .otherwise(F.col("external_ref")).alias("external_ref"),
+            F.when(k % 103 == 0, F.concat(F.lit("ACC-X"), (k % 13).cast("string")))
+            .otherwise(F.col("account_ref")).alias("account_ref"),
+            F.when(k % 97 == 0, F.concat(F.lit("-"), amt)).when(k % 107 == 0, F.lit("n/a")).otherwise(amt)
+            .alias("amount"),
+            F.when(k % 109 == 0, F.lit("G1P")).when(k % 113 == 0, F.lower("currency")).otherwise(F.col("currency"))
+            .alias("currency"),
+            F.when(k % 127 == 0, F.lit(None).cast("string"))
+            .otherwise(F.date_format("value_date", "yyyy-MM-dd")).alias("value_date"),
+            F.date_format("settlement_date", "yyyy-MM-dd").alias("settlement_date"),
+            F.when(F.col("is_batched_settlement"), F.when(k % 2 == 0, F.lit("TRUE")).otherwise(F.lit("true")))
+            .when(k % 3 == 0, F.lit(None).cast("string")).otherwise(F.lit("false")).alias("is_batched_settlement"),
+        )
+
+    @cached_property
+    def ledger_file(self) -> DataFrame:
+        """A ledger upload built from the order book with defects."""
+        o = self.ledger
+        i = F.col("ledger_txn_id")
+        amt = F.col("amount").cast("string")
+        return o.select(
+            F.when(i % 211 == 0, F.concat(F.lit("NEW-DUP-"), (i % 5).cast("string")))
+            .when(i % 157 == 0, F.col("txn_ref"))
+            .otherwise(F.concat(F.lit("NEW-"), i.cast("string"))).alias("txn_ref"),
+            F.when(i % 199 == 0, F.lit("ACC-UNKNOWN")).otherwise(F.concat(F.lit("ACC-"), F.col("account_id")
+                                                                          .cast("string"))).alias("account_ref"),
+            F.when(i % 193 == 0, F.lit("REFUND")).otherwise(F.col("txn_type")).alias("txn_type"),
+            F.when(i % 191 == 0, F.concat(F.lit("-"), amt)).when(i % 181 == 0, F.lit("x")).otherwise(amt)
+            .alias("amount"),
+            F.lower("currency").alias("currency"),
+            F.when(i % 179 == 0, F.lit(None).cast("string"))
+            .otherwise(F.date_format("value_date", "yyyy-MM-dd")).alias("value_date"),
+            F.when(i % 173 == 0, F.repeat(F.lit("c"), 151)).when(i % 2 == 0, F.lit(None).cast("string"))
+            .otherwise(F.concat(F.lit("CP "), (i % 50).cast("string"))).alias("counterparty"),
+            F.when(i % 3 == 0, F.lit(None).cast("string")).otherwise(F.lit("order book")).alias("narrative"),
+        )
