@@ -78,10 +78,11 @@ SELECT * FROM (VALUES ('MISSING_EXTERNAL', 24), ('MISSING_INTERNAL', 24), ('AMOU
                       ('DUPLICATE', 12), ('TIMING', 72)) t(exception_type, max_resolution_hours)""")
 
 _fx("users", [], """
-SELECT CAST(c_custkey AS VARCHAR) AS user_id, c_name AS full_name, CAST(c_custkey % 4 + 1 AS INTEGER) AS role_id,
-       CASE c_custkey % 4 WHEN 0 THEN 'ADMIN' WHEN 1 THEN 'APPROVER' WHEN 2 THEN 'ANALYST' ELSE 'AUDITOR' END AS role,
+SELECT CAST(c_custkey AS VARCHAR) AS user_id, c_name AS full_name, CAST(r AS INTEGER) AS role_id,
+       CASE r WHEN 1 THEN 'ADMIN' WHEN 2 THEN 'APPROVER' WHEN 3 THEN 'ANALYST' ELSE 'AUDITOR' END AS role,
        CASE WHEN c_custkey % 50 = 7 THEN TIMESTAMP '2024-01-15 00:00:00' END AS deleted_at
-FROM customer""")
+FROM (SELECT *, CASE WHEN c_custkey % 100 = 1 THEN 1 WHEN c_custkey % 100 = 2 THEN 2 WHEN c_custkey % 10 = 9 THEN 4
+                     ELSE 3 END AS r FROM customer)""")
 
 _fx("exceptions", [], """
 SELECT event_id AS exception_id, CAST(1 AS BIGINT) AS run_id,
@@ -277,3 +278,48 @@ SELECT CASE WHEN ledger_txn_id % 211 = 0 THEN 'NEW-DUP-' || CAST(ledger_txn_id %
             ELSE 'CP ' || CAST(ledger_txn_id % 50 AS VARCHAR) END AS counterparty,
        CASE WHEN ledger_txn_id % 3 = 0 THEN NULL ELSE 'order book' END AS narrative
 FROM ledger""")
+
+_fx("actions", ["users"], """
+WITH e AS (SELECT ev.event_id, CAST(ev.user_id AS VARCHAR) AS u, CAST(ev.ts AS TIMESTAMP) AS ts, us.role AS u_role
+           FROM events ev LEFT JOIN users us ON us.user_id = CAST(ev.user_id AS VARCHAR))
+SELECT event_id AS exception_id, CAST(seq AS BIGINT) AS seq, action, actor, actor_role,
+       CAST(expected_version AS INTEGER) AS expected_version, assign_to, note, ts + to_hours(seq) AS acted_at FROM (
+  SELECT event_id, ts, 1 AS seq, 'assign' AS action, '1' AS actor, 'ADMIN' AS actor_role,
+         CAST(NULL AS INTEGER) AS expected_version, u AS assign_to, CAST(NULL AS VARCHAR) AS note FROM e
+  UNION ALL SELECT event_id, ts, 2, 'start', u, u_role, NULL, NULL, NULL FROM e
+  UNION ALL SELECT event_id, ts, 3, 'resolve', u, u_role, 3, NULL,
+                   CASE WHEN event_id % 7 = 0 THEN 'ok' ELSE 'matched to statement' END FROM e
+  UNION ALL SELECT event_id, ts, 4, 'resolve', u, u_role, 3, NULL, 'late retry' FROM e WHERE event_id % 4 = 0
+  UNION ALL SELECT event_id, ts, 5, 'approve', '3', 'ANALYST', 4, NULL, NULL FROM e WHERE event_id % 5 = 0
+  UNION ALL SELECT event_id, ts, 6, 'approve', '1', 'ADMIN', 4, NULL, NULL FROM e
+  UNION ALL SELECT event_id, ts, 7, 'close', '1', 'ADMIN', 5, NULL, NULL FROM e)""")
+
+_CODE = """CASE WHEN a.action = 'assign' THEN (CASE WHEN a.actor_role NOT IN ('ADMIN', 'APPROVER') THEN 'FORBIDDEN'
+                 WHEN st.status IN ('RESOLVED', 'APPROVED', 'CLOSED') THEN 'INVALID_STATE' END)
+     WHEN a.action = 'start' THEN (CASE WHEN a.actor_role NOT IN ('ANALYST', 'APPROVER', 'ADMIN') THEN 'FORBIDDEN'
+                 WHEN coalesce(st.assigned_to <> a.actor, true) OR st.status <> 'ASSIGNED' THEN 'INVALID_STATE' END)
+     WHEN a.action = 'resolve' THEN (CASE WHEN a.actor_role NOT IN ('ANALYST', 'APPROVER', 'ADMIN') THEN 'FORBIDDEN'
+                 WHEN coalesce(length(trim(a.note)), 0) < 5 THEN 'VALIDATION'
+                 WHEN st.version <> a.expected_version THEN 'VERSION_CONFLICT' END)
+     WHEN a.action IN ('approve', 'close') THEN (CASE WHEN a.actor_role NOT IN ('ADMIN', 'APPROVER') THEN 'FORBIDDEN'
+                 WHEN st.version <> a.expected_version THEN 'VERSION_CONFLICT' END)
+     ELSE 'UNKNOWN_ACTION' END"""
+
+_fx("acts", ["actions"], "SELECT *, row_number() OVER (PARTITION BY exception_id ORDER BY seq) AS step FROM actions")
+
+_fx("wf", ["acts"], f"""
+SELECT event_id AS exception_id, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS action,
+       CAST(NULL AS VARCHAR) AS code, 'UNASSIGNED' AS status, 1 AS version, CAST(NULL AS VARCHAR) AS assigned_to,
+       0 AS n_accepted, 0 AS n_rejected
+FROM events
+UNION ALL
+SELECT exception_id, step, seq, action, code,
+       CASE WHEN code IS NULL THEN ns ELSE status END, version + CASE WHEN code IS NULL THEN 1 ELSE 0 END,
+       CASE WHEN code IS NULL AND action = 'assign' THEN assign_to ELSE assigned_to END,
+       n_accepted + CASE WHEN code IS NULL THEN 1 ELSE 0 END, n_rejected + CASE WHEN code IS NULL THEN 0 ELSE 1 END
+FROM (SELECT st.exception_id, a.step, a.seq, a.action, a.assign_to, st.status, st.version, st.assigned_to,
+             st.n_accepted, st.n_rejected,
+             CASE a.action WHEN 'assign' THEN 'ASSIGNED' WHEN 'start' THEN 'IN_PROGRESS' WHEN 'resolve' THEN 'RESOLVED'
+                           WHEN 'approve' THEN 'APPROVED' WHEN 'close' THEN 'CLOSED' END AS ns,
+             {_CODE} AS code
+      FROM wf st JOIN acts a ON a.exception_id = st.exception_id AND a.step = st.step + 1)""")

@@ -95,7 +95,7 @@ def tolerance_confidence(amount_diff: str | Column) -> Column:
 
 def retry_delay_seconds(attempts: str | Column) -> Column:
     """2^attempts * 10 seconds."""
-    return (F.shiftleft(F.lit(1).cast("long"), col_or(attempts).cast("int")) * S.RETRY_BASE_SECONDS)
+    return (F.pow(F.lit(2.0), col_or(attempts)).cast("long") * S.RETRY_BASE_SECONDS).cast("int")
 
 
 def sha256_hex(c: str | Column) -> Column:

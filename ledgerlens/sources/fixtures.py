@@ -111,11 +111,13 @@ class Fixtures:
     def users(self) -> DataFrame:
         c = self.raw("customer")
         k = F.col("c_custkey")
+        # few admins/approvers, many analysts, some auditors
+        role_id = (F.when(k % 100 == 1, 1).when(k % 100 == 2, 2).when(k % 10 == 9, 4).otherwise(3)).cast("int")
         return c.select(
             k.cast("string").alias("user_id"),
             F.col("c_name").alias("full_name"),
-            (k % 4 + 1).cast("int").alias("role_id"),
-            _map(S.ROLES, (k % 4 + 1).cast("int")).alias("role"),
+            role_id.alias("role_id"),
+            _map(S.ROLES, role_id).alias("role"),
             F.when(k % 50 == 7, ts_lit(DELETED_AT)).alias("deleted_at"),
         )
 
@@ -279,3 +281,44 @@ class Fixtures:
             .otherwise(F.concat(F.lit("CP "), (i % 50).cast("string"))).alias("counterparty"),
             F.when(i % 3 == 0, F.lit(None).cast("string")).otherwise(F.lit("order book")).alias("narrative"),
         )
+
+    # -- workflow action log, notifications, reads ----------------------------------
+    @cached_property
+    def fresh_exceptions(self) -> DataFrame:
+        """Exceptions as a run creates them (UNASSIGNED, version 1)."""
+        return self.raw("events").select(F.col("event_id").alias("exception_id"), F.lit("UNASSIGNED").alias("status"),
+                                         F.lit(1).alias("version"), F.lit(None).cast("string").alias("assigned_to"))
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        """assign -> start -> resolve (-> stale resolve) (-> analyst approve)
+        -> approve -> close per exception; the analyst is the event's user."""
+        e = self.raw("events").select("event_id", F.col("user_id").cast("string").alias("u"), T.as_timestamp("ts")
+                                      .alias("ts"))
+        roles = self.users.select(F.col("user_id").alias("u"), F.col("role").alias("u_role"))
+        e = e.join(roles, "u", "left")
+        eid = F.col("event_id")
+        null_s, null_i = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+        def act(seq, action, actor, role, expected, assign_to, note, cond=None):
+            d = e if cond is None else e.filter(cond)
+            return d.select(eid.alias("exception_id"), F.lit(seq).cast("long").alias("seq"), F.lit(action).alias("action"),
+                            actor.alias("actor"), role.alias("actor_role"), expected.cast("int").alias("expected_version"),
+                            assign_to.alias("assign_to"), note.alias("note"),
+                            F.timestamp_add("HOUR", F.lit(seq), F.col("ts")).alias("acted_at"))
+
+        u, ur = F.col("u"), F.col("u_role")
+        parts = [
+            act(1, "assign", F.lit("1"), F.lit("ADMIN"), null_i, u, null_s),
+            act(2, "start", u, ur, null_i, null_s, null_s),
+            act(3, "resolve", u, ur, F.lit(3), null_s,
+                F.when(eid % 7 == 0, F.lit("ok")).otherwise(F.lit("matched to statement"))),
+            act(4, "resolve", u, ur, F.lit(3), null_s, F.lit("late retry"), eid % 4 == 0),
+            act(5, "approve", F.lit("3"), F.lit("ANALYST"), F.lit(4), null_s, null_s, eid % 5 == 0),
+            act(6, "approve", F.lit("1"), F.lit("ADMIN"), F.lit(4), null_s, null_s),
+            act(7, "close", F.lit("1"), F.lit("ADMIN"), F.lit(5), null_s, null_s),
+        ]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
