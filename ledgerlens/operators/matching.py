@@ -70,19 +70,20 @@ def first_rule(rules: DataFrame, rule_type: str) -> DataFrame:
 # Mutual best over a candidate set
 # ---------------------------------------------------------------------------
 
-def _mutual_best(cand: DataFrame, dist: str) -> DataFrame:
-    """cand(l_id, e_id, <dist>, ...) -> pairs where each side ranks the other first.
+def _mutual_best(cand: DataFrame, dist: str, carry: list[str] = ()) -> DataFrame:
+    """cand(l_id, e_id, <dist>, *carry) -> pairs where each side ranks the other
+    first, with the pair's distance and carried columns.
 
     Ranking: smallest distance, ties to the smaller id of the other side.
     """
-    lbest = (cand.groupBy("l_id").agg(F.min(F.struct(dist, "e_id")).alias("b"))
-             .select("l_id", F.col("b.e_id").alias("e_id")))
+    lbest = (cand.groupBy("l_id").agg(F.min(F.struct(dist, "e_id", *carry)).alias("b"))
+             .select("l_id", "b.*"))
     ebest = (cand.groupBy("e_id").agg(F.min(F.struct(dist, "l_id")).alias("b"))
              .select("e_id", F.col("b.l_id").alias("l_id")))
     return lbest.join(ebest, ["l_id", "e_id"])
 
 
-def _keys(df: DataFrame, id_col: str, alias: str, with_amount_key: bool = True) -> DataFrame:
+def _keys(df: DataFrame, id_col: str, alias: str) -> DataFrame:
     cols = KEY + ["amount", "value_date"]
     return df.groupBy(*cols).agg(F.min(id_col).alias(alias))
 
@@ -103,9 +104,8 @@ def exact_matches(led: DataFrame, ext: DataFrame, window_days: int = 2) -> DataF
     cand = (probe.join(ek, KEY + ["amount", "e_date"])
             .select("l_id", "e_id", F.abs("off").alias("day_diff")))
     pairs = _mutual_best(cand, "day_diff")
-    return (pairs.join(cand, ["l_id", "e_id"])
-            .select(F.col("l_id").alias("ledger_txn_id"), F.col("e_id").alias("ext_line_id"),
-                    F.lit(0).cast(S.MONEY).alias("amount_diff"), F.col("day_diff").cast("int").alias("day_diff")))
+    return pairs.select(F.col("l_id").alias("ledger_txn_id"), F.col("e_id").alias("ext_line_id"),
+                        F.lit(0).cast(S.MONEY).alias("amount_diff"), F.col("day_diff").cast("int").alias("day_diff"))
 
 
 # ---------------------------------------------------------------------------
@@ -157,12 +157,11 @@ def tolerance_matches(led: DataFrame, ext: DataFrame, rule: DataFrame) -> DataFr
     cand = (probe.join(ek, KEY + ["e_date", "bkt"])
             .filter(diff <= F.col("l_amount") * tol)
             .select("l_id", "e_id", diff.alias("amount_diff"), F.abs("off").alias("day_diff")))
-    pairs = _mutual_best(cand, "amount_diff")
-    return (pairs.join(cand, ["l_id", "e_id"])
-            .select(F.col("l_id").alias("ledger_txn_id"), F.col("e_id").alias("ext_line_id"),
-                    F.col("amount_diff").cast(S.MONEY).alias("amount_diff"),
-                    F.col("day_diff").cast("int").alias("day_diff"),
-                    tolerance_confidence(F.col("amount_diff")).alias("confidence_score")))
+    pairs = _mutual_best(cand, "amount_diff", ["day_diff"])
+    return pairs.select(F.col("l_id").alias("ledger_txn_id"), F.col("e_id").alias("ext_line_id"),
+                        F.col("amount_diff").cast(S.MONEY).alias("amount_diff"),
+                        F.col("day_diff").cast("int").alias("day_diff"),
+                        tolerance_confidence(F.col("amount_diff")).alias("confidence_score"))
 
 
 # ---------------------------------------------------------------------------

@@ -1,10 +1,10 @@
 """The reconciliation run as one DataFrame job.
 
 Order: exact -> tolerance -> batched -> exceptions; each pass excludes what
-earlier passes matched.  The prepared inputs and every pass result are
-written once as Parquet under a fresh run folder in the shared checkpoint
-location (``materialize``): plans stay small, later passes read narrow
-columnar files, and a lost executor recomputes from those files.
+earlier passes matched.  Every pass result is written once as Parquet under
+a fresh run folder in the shared checkpoint location (``materialize``):
+plans stay one pass deep, later passes anti-join small written tables, and
+a lost executor recomputes from those files, not from earlier passes.
 """
 
 from __future__ import annotations
@@ -57,11 +57,10 @@ def reconcile(led: DataFrame, ext: DataFrame, acc: DataFrame, rules: DataFrame,
     run_dir = run_dir or new_run_dir(spark, f"recon-{cfg.run_id}")
     led_s, ext_s = scope_inputs(led, ext, cfg)
 
-    # prepared sides, written once (narrow: id, account, currency, amount, date)
+    # prepared sides: column-pruned scans (id, account, currency, amount, date)
+    # joined to the account table; pass results below are the written tables
     L0 = M.exclude_matched(M.ledger_side(led_s, acc), ledger_bridge, "ledger_txn_id")
     E0 = M.exclude_matched(M.external_side(ext_s, acc), ext_bridge, "ext_line_id")
-    L0 = materialize(L0, "ledger_side", run_dir)
-    E0 = materialize(E0, "external_side", run_dir)
 
     exact = materialize(M.exact_matches(L0, E0, cfg.exact_window_days), "pass1_exact", run_dir)
     L1 = M.exclude_matched(L0, exact, "ledger_txn_id")

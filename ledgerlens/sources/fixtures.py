@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from ledgerlens import schemas as S
 from ledgerlens.functions.columns import add_hours, sha256_hex, sla_deadline, ts_lit
 from ledgerlens.sources import tables as T
+from ledgerlens.session import materialize, new_run_dir
 from ledgerlens.sources.feeds import discrepancy_feed
 
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+
 AS_OF = dt.datetime(2024, 2, 1, 0, 0, 0)
 DELETED_AT = "2024-01-15 00:00:00"
 BATCH_EPOCH = "2024-01-01 00:00:00"
@@ -92,7 +95,13 @@ class Fixtures:
 
     @cached_property
     def external(self) -> DataFrame:
-        return discrepancy_feed(self.ledger)
+        """The statement table: the feed written once per session and scale
+        factor (as a real statement table would be stored)."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = materialize(discrepancy_feed(self.ledger), "external",
+                                        new_run_dir(self.spark, "statement"))
+        return _WRITTEN[key]
 
     @cached_property
     def rules(self) -> DataFrame:

@@ -106,3 +106,24 @@ def test_dedupe_matches_python(spark):
                 want[r.request_id] = "REPLAYED"
     got = {r.request_id: r.outcome for r in W.dedupe_requests(fx.requests).collect()}
     assert got == want
+
+
+def test_batch_registration_hashes(spark):
+    import glob
+    import hashlib
+    import os
+
+    from ledgerlens.sources import ingest as ING
+    files = ING.read_files(spark, os.path.join(SF, "*.parquet"))
+    got = {r.file_name: r.file_hash for r in files.collect()}
+    want = {os.path.basename(p): hashlib.sha256(open(p, "rb").read()).hexdigest()
+            for p in glob.glob(os.path.join(SF, "*.parquet"))}
+    assert got == want
+    manifest = spark.createDataFrame([(5, 4, want["orders.parquet"], "COMPLETED"),
+                                      (6, 4, want["lineitem.parquet"], "FAILED"),
+                                      (7, 3, want["region.parquet"], "COMPLETED")],
+                                     "batch_id long, source_id int, file_hash string, status string")
+    dec = {r.file_name: (r.decision, r.batch_id) for r in ING.register_batch(files, manifest, 4).collect()}
+    assert dec["orders.parquet"] == ("DUPLICATE_IMPORT", 5)
+    assert dec["lineitem.parquet"] == ("RETRY", 6)
+    assert dec["region.parquet"][0] == "NEW"
