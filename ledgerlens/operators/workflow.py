@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
+from ledgerlens.session import bounded_broadcast
 
 # ---------------------------------------------------------------------------
 # J5 workflow replay
@@ -49,6 +50,11 @@ def _new_status(act: Column) -> Column:
 
 
 def replay_workflow(exc: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(final state, per-action outcomes); see ``fold_workflow``."""
+    return fold_views(fold_workflow(exc, actions))
+
+
+def fold_workflow(exc: DataFrame, actions: DataFrame) -> DataFrame:
     """(exceptions(exception_id, status, version, assigned_to), actions(exception_id,
     seq, action, actor, actor_role, expected_version, assign_to, note))
     -> (final state per exception, outcome of every action: code NULL when
@@ -88,7 +94,12 @@ def replay_workflow(exc: DataFrame, actions: DataFrame) -> tuple[DataFrame, Data
               .select("exception_id",
                       F.aggregate(F.coalesce("acts", F.array().cast(per.schema["acts"].dataType)),
                                   F.col("s0"), step).alias("s")))
-    folded = folded.select("exception_id", "s.*")
+    return folded.select("exception_id", "s.*")
+
+
+def fold_views(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(final state, per-action outcomes) of a folded frame; write ``folded``
+    once (``materialize``) when both views are used, so the fold runs once."""
     state = folded.select("exception_id", "status", F.col("version").cast("long").alias("version"), "assigned_to",
                           F.col("accepted").cast("long").alias("n_accepted"),
                           (F.size("out") - F.col("accepted")).cast("long").alias("n_rejected"))
@@ -140,14 +151,16 @@ def _text(template: str) -> Column:
     return F.concat(*parts)
 
 
-def fan_out(accepted: DataFrame, exc_types: DataFrame, users: DataFrame) -> DataFrame:
+def fan_out(accepted: DataFrame, exc_types: DataFrame, users: DataFrame,
+            max_approvers: int = 100_000) -> DataFrame:
     """Accepted actions -> notification rows.
 
     resolve -> every live ADMIN/APPROVER except the actor; approve/close ->
     the exception's assignee; assign -> the new assignee.  ``accepted`` comes
     from ``accepted_actions`` (it carries the assignee in force).  The
-    approver list is a small broadcast side; the fan-out output itself is
-    resolves x approvers by definition.
+    approver list is broadcast only when it provably has at most
+    ``max_approvers`` rows (else the join shuffles); the fan-out output itself
+    is resolves x approvers by definition.
     """
     a = accepted.join(exc_types, "exception_id", "left")
     approvers = (users.filter(F.col("deleted_at").isNull() & F.col("role").isin(S.APPROVER_ROLES))
@@ -161,7 +174,7 @@ def fan_out(accepted: DataFrame, exc_types: DataFrame, users: DataFrame) -> Data
 
     assign = rows(a.filter(F.col("action") == "assign"), "assign", F.col("assign_to"))
     res = a.filter(F.col("action") == "resolve")
-    resolve = rows(res.withColumn("k", F.lit(1)).join(F.broadcast(approvers), "k")
+    resolve = rows(res.withColumn("k", F.lit(1)).join(bounded_broadcast(approvers, max_approvers), "k")
                    .filter(F.col("notify_user") != F.col("actor")), "resolve", F.col("notify_user"))
     ap = a.filter(F.col("action").isin("approve", "close") & F.col("assigned_to").isNotNull())
     approve = rows(ap.filter(F.col("action") == "approve"), "approve", F.col("assigned_to"))

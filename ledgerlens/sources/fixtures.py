@@ -308,16 +308,16 @@ class Fixtures:
         e = e.join(roles, "u", "left")
         eid = F.col("event_id")
         null_s, null_i = F.lit(None).cast("string"), F.lit(None).cast("int")
+        u, ur = F.col("u"), F.col("u_role")
 
         def act(seq, action, actor, role, expected, assign_to, note, cond=None):
-            d = e if cond is None else e.filter(cond)
-            return d.select(eid.alias("exception_id"), F.lit(seq).cast("long").alias("seq"), F.lit(action).alias("action"),
-                            actor.alias("actor"), role.alias("actor_role"), expected.cast("int").alias("expected_version"),
-                            assign_to.alias("assign_to"), note.alias("note"),
-                            F.timestamp_add("HOUR", F.lit(seq), F.col("ts")).alias("acted_at"))
+            a = F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(action).alias("action"), actor.alias("actor"),
+                         role.alias("actor_role"), expected.cast("int").alias("expected_version"),
+                         assign_to.alias("assign_to"), note.alias("note"))
+            return a if cond is None else F.when(cond, a)
 
-        u, ur = F.col("u"), F.col("u_role")
-        parts = [
+        # one scan of the events: every action of an exception as an array element
+        acts = F.array(
             act(1, "assign", F.lit("1"), F.lit("ADMIN"), null_i, u, null_s),
             act(2, "start", u, ur, null_i, null_s, null_s),
             act(3, "resolve", u, ur, F.lit(3), null_s,
@@ -326,8 +326,8 @@ class Fixtures:
             act(5, "approve", F.lit("3"), F.lit("ANALYST"), F.lit(4), null_s, null_s, eid % 5 == 0),
             act(6, "approve", F.lit("1"), F.lit("ADMIN"), F.lit(4), null_s, null_s),
             act(7, "close", F.lit("1"), F.lit("ADMIN"), F.lit(5), null_s, null_s),
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        )
+        out = (e.select(eid.alias("exception_id"), "ts", F.explode(acts).alias("a")).filter(F.col("a").isNotNull())
+               .select("exception_id", "a.*", F.col("ts")))
+        return out.withColumn("acted_at", F.timestamp_add("HOUR", F.col("seq"), F.col("ts"))).drop("ts")
+
