@@ -323,3 +323,20 @@ FROM (SELECT st.exception_id, a.step, a.seq, a.action, a.assign_to, st.status, s
                            WHEN 'approve' THEN 'APPROVED' WHEN 'close' THEN 'CLOSED' END AS ns,
              {_CODE} AS code
       FROM wf st JOIN acts a ON a.exception_id = st.exception_id AND a.step = st.step + 1)""")
+
+
+def _hot(body: str) -> str:
+    return body.replace("o_custkey", "(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_custkey END)")
+
+
+_fx("hot_ledger", [], _hot(FIXTURES["ledger"][1]))
+_fx("hot_external", ["hot_ledger"], FIXTURES["external"][1].replace("FROM ledger", "FROM hot_ledger"))
+_fx("hot_exact", ["hot_ledger", "hot_external", "accounts"],
+    FIXTURES["exact"][1].replace("FROM ledger lt", "FROM hot_ledger lt").replace("JOIN external ex", "JOIN hot_external ex"))
+_fx("hot_tolerance", ["hot_ledger", "hot_external", "accounts", "hot_exact", "tol_rule"],
+    FIXTURES["tolerance"][1].replace("FROM ledger lt", "FROM hot_ledger lt")
+    .replace("JOIN external ex", "JOIN hot_external ex").replace("FROM exact m", "FROM hot_exact m"))
+_fx("hot_batched", ["hot_ledger", "hot_external", "accounts", "hot_exact", "hot_tolerance"],
+    FIXTURES["batched"][1].replace("FROM ledger lt", "FROM hot_ledger lt")
+    .replace("FROM external ex", "FROM hot_external ex").replace("FROM exact m", "FROM hot_exact m")
+    .replace("FROM tolerance m", "FROM hot_tolerance m"))

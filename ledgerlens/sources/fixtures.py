@@ -20,7 +20,7 @@ from ledgerlens.sources import tables as T
 from ledgerlens.session import materialize, new_run_dir
 from ledgerlens.sources.feeds import discrepancy_feed
 
-_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+_WRITTEN: dict[tuple, DataFrame] = {}
 
 AS_OF = dt.datetime(2024, 2, 1, 0, 0, 0)
 DELETED_AT = "2024-01-15 00:00:00"
@@ -55,10 +55,14 @@ def _pick(values: list, idx) -> F.Column:
 class Fixtures:
     """All derived tables of one scale-factor directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, as_of: dt.datetime = AS_OF):
+    def __init__(self, spark: SparkSession, sf_dir: str, as_of: dt.datetime = AS_OF,
+                 hot_account: int | None = None):
+        """``hot_account``: move every ledger id with id % 3 = 0 to this
+        account, so one account holds a third of all rows (skew fixture)."""
         self.spark = spark
         self.sf_dir = sf_dir
         self.as_of = as_of
+        self.hot_account = hot_account
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def raw(self, name: str) -> DataFrame:
@@ -81,6 +85,8 @@ class Fixtures:
     def ledger(self) -> DataFrame:
         o = self.raw("orders")
         idc, acct = F.col("o_orderkey"), F.col("o_custkey")
+        if self.hot_account is not None:
+            acct = F.when(idc % 3 == 0, F.lit(self.hot_account).cast("long")).otherwise(acct)
         ttype = (F.when(idc % 10 == 7, "FEE").when(idc % 10 == 8, "TAX").when(idc % 10 == 9, "REVERSAL")
                  .when(idc % 2 == 0, "CREDIT").otherwise("DEBIT"))
         return o.select(
@@ -97,7 +103,7 @@ class Fixtures:
     def external(self) -> DataFrame:
         """The statement table: the feed written once per session and scale
         factor (as a real statement table would be stored)."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.hot_account)
         if key not in _WRITTEN:
             _WRITTEN[key] = materialize(discrepancy_feed(self.ledger), "external",
                                         new_run_dir(self.spark, "statement"))
