@@ -77,3 +77,14 @@ def test_job_health_with_schedules(spark):
     got = {r.metric: r.value for r in R.job_health(fx.jobs, fx.dead_letters, sched,
                                                    dt.datetime(2024, 1, 15)).collect()}
     assert got["active_schedulers"] == 2 and got["dead_letter_queue"] > 0
+
+
+def test_batch_publish_is_all_or_nothing(spark):
+    base = tempfile.mkdtemp(prefix="publish-", dir="/tmp")
+    lines = spark.createDataFrame([(1, "E1")], "ext_line_id long, external_ref string")
+    manifest = spark.createDataFrame([(7, "COMPLETED", 1)], "batch_id long, status string, row_count int")
+    CSV.write_batch(lines, os.path.join(base, "lines", "batch_id=7"), manifest, os.path.join(base, "manifest"))
+    with pytest.raises(Exception):  # the same batch folder is never written twice
+        CSV.write_batch(lines, os.path.join(base, "lines", "batch_id=7"), manifest, os.path.join(base, "manifest"))
+    assert spark.read.parquet(os.path.join(base, "manifest")).count() == 1
+    assert spark.read.parquet(os.path.join(base, "lines")).count() == 1

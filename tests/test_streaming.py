@@ -75,3 +75,33 @@ def test_stream_ingest(spark):
     q.stop()
     rules = {r.rule for r in spark.read.parquet(rej).collect()}
     assert "AMOUNT_NOT_POSITIVE" in rules and "ALREADY_COMMITTED" in rules
+
+
+def test_workflow_sla_timer_fires(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [
+        # exception 1: assigned, never closed, deadline at +2h -> breached
+        (1, 1, "assign", "a", "ADMIN", None, "u", None, t0, t0 + dt.timedelta(hours=2)),
+        # exception 2: closed before the deadline -> no breach
+        (2, 1, "assign", "a", "ADMIN", None, "u", None, t0, t0 + dt.timedelta(hours=2)),
+        (2, 2, "close", "a", "ADMIN", 2, None, None, t0 + dt.timedelta(minutes=5), t0 + dt.timedelta(hours=2)),
+        # a later event of another exception moves the watermark past both deadlines
+        (3, 1, "assign", "a", "ADMIN", None, "u", None, t0 + dt.timedelta(days=1), t0 + dt.timedelta(days=5)),
+    ]
+    schema = ("exception_id long, seq long, action string, actor string, actor_role string, expected_version int, "
+              "assign_to string, note string, acted_at timestamp, sla_deadline timestamp")
+    src = spark.createDataFrame(rows, schema)
+    out = _drain(K.stream_workflow_state(_as_stream(spark, src, "sla"), watermark="1 hour"), "k5sla")
+    breached = {r.exception_id for r in out.filter(F.col("event") == "SLA_BREACHED").collect()}
+    assert breached == {1}
+
+
+def test_stream_rate_limit(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("u1", t0 + dt.timedelta(seconds=i)) for i in range(12)] + [("u2", t0)] + \
+           [("u1", t0 + dt.timedelta(days=1))]
+    src = spark.createDataFrame(rows, "user_id string, ts timestamp")
+    out = _drain(K.stream_rate_limit(_as_stream(spark, src, "rl"), "user_id", "ts", 15, 10), "k4rl")
+    assert [(r.client, r.requests) for r in out.collect()] == [("u1", 12)]
