@@ -51,13 +51,18 @@ def _row_rules(df: DataFrame, rules: dict[str, Column], max_rows: int | None) ->
 
 
 def _set_rule(values: DataFrame, rule: str, k: int) -> DataFrame:
-    """values(v): distinct offending values -> (rule, n_rows, k smallest samples)."""
-    n = values.agg(F.count(F.lit(1)).alias("n_rows"))
+    """values(v): distinct offending values -> (rule, n_rows, k smallest samples).
+
+    The count is one aggregate, the samples a bounded top-k; the two one-row
+    results are combined by a union and a final aggregate (no join)."""
+    n = values.agg(F.count(F.lit(1)).cast("long").alias("n_rows")) \
+        .select("n_rows", F.lit(None).cast("array<string>").alias("samples"))
     top = (values.orderBy(F.col("v").asc_nulls_first()).limit(k)
-           .agg(F.sort_array(F.collect_list(F.coalesce("v", F.lit("<null>")))).alias("samples")))
-    # two one-row aggregates side by side (joined on a constant key)
-    return (n.select(F.lit(1).alias("k"), "n_rows").join(top.select(F.lit(1).alias("k"), "samples"), "k")
-            .select(F.lit(rule).alias("rule"), F.col("n_rows").cast("long"), "samples"))
+           .agg(F.sort_array(F.collect_list(F.coalesce("v", F.lit("<null>")))).alias("samples"))
+           .select(F.lit(None).cast("long").alias("n_rows"), "samples"))
+    return (n.unionByName(top)
+            .agg(F.max("n_rows").alias("n_rows"), F.first("samples", ignorenulls=True).alias("samples"))
+            .select(F.lit(rule).alias("rule"), "n_rows", "samples"))
 
 
 def _finish(parts: list[DataFrame]) -> DataFrame:

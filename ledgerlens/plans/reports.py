@@ -146,9 +146,15 @@ def ops_kpis(exc: DataFrame, runs: DataFrame, batches: DataFrame, as_of) -> Data
     r = runs.agg(F.sum("matched_count").alias("m"),
                  F.sum(F.col("matched_count") + F.col("exception_count")).alias("t"))
     b = batches.agg(F.count(F.lit(1)).alias("bn"), F.count_if(F.col("status") == "COMPLETED").alias("bc"))
-    # three one-row aggregates side by side (a one-row join on a constant key)
-    k = F.lit(1).alias("k")
-    row = e.select(k, "*").join(r.select(k, "*"), "k").join(b.select(k, "*"), "k")
+    # three one-row aggregates combined by a union and one final aggregate
+    parts = {"e": e, "r": r, "b": b}
+    tagged = None
+    for name, df in parts.items():
+        cols = [F.struct(*df.columns).alias(name) if n == name else
+                F.lit(None).cast(parts[n].schema.simpleString()).alias(n) for n in parts]
+        t = df.select(*cols)
+        tagged = t if tagged is None else tagged.unionByName(t)
+    row = tagged.agg(*[F.first(n, ignorenulls=True).alias(n) for n in parts]).select("e.*", "r.*", "b.*")
     zero, hundred = F.lit(0).cast("decimal(20,1)"), F.lit(100).cast("decimal(20,1)")
     return row.select(
         F.coalesce(round1_ratio("s_us", F.col("n_done") * 3_600_000_000), zero).alias("avg_resolution_hours"),
