@@ -127,3 +127,36 @@ def test_batch_registration_hashes(spark):
     assert dec["orders.parquet"] == ("DUPLICATE_IMPORT", 5)
     assert dec["lineitem.parquet"] == ("RETRY", 6)
     assert dec["region.parquet"][0] == "NEW"
+
+
+def test_lockout_across_midnight_and_days(spark):
+    d = dt.datetime(2024, 1, 1, 23, 50)
+    rows = [(i, "u", d + dt.timedelta(minutes=i), False) for i in range(5)]            # lock at 23:54 -> 00:09
+    rows += [(10, "u", dt.datetime(2024, 1, 2, 0, 1), False),                          # refused
+             (11, "u", dt.datetime(2024, 1, 2, 0, 5), True),                           # refused (success while locked)
+             (12, "u", dt.datetime(2024, 1, 2, 0, 10), False),                         # fails 1
+             (13, "u", dt.datetime(2024, 1, 2, 9, 0), False),                          # fails 2
+             (14, "u", dt.datetime(2024, 1, 3, 9, 0), False),                          # fails 3 (carried over days)
+             (15, "u", dt.datetime(2024, 1, 5, 9, 0), False),                          # fails 4
+             (16, "u", dt.datetime(2024, 1, 7, 23, 59), False),                        # 5th -> lock to 00:14
+             (17, "u", dt.datetime(2024, 1, 8, 0, 13), True),                          # refused
+             (18, "u", dt.datetime(2024, 1, 8, 0, 14), True)]                          # ok (lock over)
+    df = spark.createDataFrame(rows, "event_id long, user_id string, ts timestamp, success boolean")
+    got = {r.event_id: r.outcome for r in W.login_lockouts(df).collect()}
+    assert got == _lockout_python(rows)
+    assert got[10] == got[11] == got[17] == "REFUSED" and got[16] == "LOCKED" and got[18] == "OK"
+
+
+def test_lockout_random_brute_force(spark):
+    import random
+    rnd = random.Random(5)
+    rows, eid = [], 0
+    for user in ("a", "b", "c"):
+        t = dt.datetime(2024, 1, 1, 22, 0)
+        for _ in range(300):
+            t += dt.timedelta(minutes=rnd.choice([1, 2, 3, 7, 14, 16, 60, 300]))
+            eid += 1
+            rows.append((eid, user, t, rnd.random() < 0.15))
+    df = spark.createDataFrame(rows, "event_id long, user_id string, ts timestamp, success boolean")
+    got = {r.event_id: r.outcome for r in W.login_lockouts(df).collect()}
+    assert got == _lockout_python(rows)
