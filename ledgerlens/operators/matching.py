@@ -168,22 +168,26 @@ def tolerance_matches(led: DataFrame, ext: DataFrame, rule: DataFrame) -> DataFr
 # D3 batched settlement
 # ---------------------------------------------------------------------------
 
-def running_totals(led: DataFrame) -> DataFrame:
-    """F2 as a two-level scan: running sum inside (account, day) plus the sum
-    of the account's earlier days.  Same result as one window over the whole
-    account ordered by (value_date, ledger_txn_id), but no task has to hold a
-    whole account -- only one account-day; the per-account window runs over
-    per-day totals."""
-    wday = (Window.partitionBy("account_id", "value_date").orderBy("ledger_txn_id")
+def running_totals(led: DataFrame, chunk_bits: int = 20) -> DataFrame:
+    """F2 as a chunked prefix sum.  The order is (value_date, ledger_txn_id)
+    per account; a chunk is (account, value_date, id >> chunk_bits), so chunks
+    follow that order and none holds more than 2^chunk_bits rows.  Running
+    sum = sum inside the chunk + total of the account's earlier chunks (a
+    window over per-chunk totals, not over rows).  Same result as one window
+    over the whole account, but no task needs a whole account or account-day.
+    """
+    c = led.withColumn("chunk", F.shiftright("ledger_txn_id", chunk_bits))
+    wrow = (Window.partitionBy("account_id", "value_date", "chunk").orderBy("ledger_txn_id")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inday = led.withColumn("day_run", F.sum("amount").over(wday))
-    days = led.groupBy("account_id", "value_date").agg(F.sum("amount").alias("day_total"))
-    wacc = (Window.partitionBy("account_id").orderBy("value_date")
-            .rowsBetween(Window.unboundedPreceding, -1))
-    before = days.withColumn("before", F.coalesce(F.sum("day_total").over(wacc), F.lit(0)))
-    return (inday.join(before.select("account_id", "value_date", "before"), ["account_id", "value_date"])
-            .withColumn("running_total", (F.col("before") + F.col("day_run")).cast("decimal(38,2)"))
-            .drop("before", "day_run"))
+    inner = c.withColumn("chunk_run", F.sum("amount").over(wrow))
+    totals = c.groupBy("account_id", "value_date", "chunk").agg(F.sum("amount").alias("chunk_total"))
+    wchunk = (Window.partitionBy("account_id").orderBy("value_date", "chunk")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    before = totals.withColumn("before", F.coalesce(F.sum("chunk_total").over(wchunk), F.lit(0)))
+    return (inner.join(before.select("account_id", "value_date", "chunk", "before"),
+                       ["account_id", "value_date", "chunk"])
+            .withColumn("running_total", (F.col("before") + F.col("chunk_run")).cast("decimal(38,2)"))
+            .drop("before", "chunk_run", "chunk"))
 
 
 def batch_matches(led: DataFrame, ext: DataFrame, same_currency: bool = False) -> DataFrame:

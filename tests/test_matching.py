@@ -151,3 +151,18 @@ def test_batched_matches_brute_force(spark):
                                   "value_date date, is_batched_settlement boolean")
         got = sorted(tuple(r) for r in M.batch_matches(L, E).collect())
         assert got == _greedy_batches(led, lines), trial
+
+
+def test_running_totals_chunked_equals_single_window(spark):
+    from pyspark.sql import Window
+    rnd = random.Random(3)
+    base = dt.date(2024, 1, 1)
+    rows = [(rnd.randint(0, 5000), rnd.randint(1, 3), Decimal(rnd.randint(1, 999)) / 100,
+             base + dt.timedelta(days=rnd.randint(0, 4))) for _ in range(400)]
+    rows = list({r[0]: r for r in rows}.values())
+    L = spark.createDataFrame(rows, "ledger_txn_id long, account_id long, amount decimal(18,2), value_date date")
+    got = {r.ledger_txn_id: r.running_total for r in M.running_totals(L, chunk_bits=6).collect()}
+    w = Window.partitionBy("account_id").orderBy("value_date", "ledger_txn_id").rowsBetween(
+        Window.unboundedPreceding, 0)
+    want = {r.ledger_txn_id: r.rt for r in L.withColumn("rt", F.sum("amount").over(w)).collect()}
+    assert got == want
