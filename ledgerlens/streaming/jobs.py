@@ -197,3 +197,92 @@ def stream_workflow_state(actions: DataFrame, watermark: str = "1 hour") -> Data
     ``sla_deadline``."""
     return (actions.withWatermark("acted_at", watermark).groupBy("exception_id")
             .applyInPandasWithState(_workflow_fn, WF_OUT, WF_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+
+# ---------------------------------------------------------------------------
+# K2 (final results): micro-batch reconciliation of closed value dates
+# ---------------------------------------------------------------------------
+
+RECON_STAGE = ("side string, id long, account_id long, txn_ref string, txn_type string, account_ref string, "
+               "amount decimal(18,2), currency string, value_date date, batch_id long, "
+               "is_batched_settlement boolean")
+
+
+def _stage_ledger(led: DataFrame) -> DataFrame:
+    return led.select(F.lit("L").alias("side"), F.col("ledger_txn_id").alias("id"), "account_id", "txn_ref",
+                      "txn_type", F.lit(None).cast("string").alias("account_ref"), "amount", "currency",
+                      "value_date", F.col("batch_id").cast("long"), F.lit(None).cast("boolean")
+                      .alias("is_batched_settlement"))
+
+
+def _stage_external(ext: DataFrame) -> DataFrame:
+    return ext.select(F.lit("E").alias("side"), F.col("ext_line_id").alias("id"),
+                      F.lit(None).cast("long").alias("account_id"), F.lit(None).cast("string").alias("txn_ref"),
+                      F.lit(None).cast("string").alias("txn_type"), "account_ref", "amount", "currency",
+                      "value_date", "batch_id", "is_batched_settlement")
+
+
+def reconcile_closed_dates(spark: SparkSession, staging: str, out_dir: str, acc: DataFrame, rules: DataFrame,
+                           lateness_days: int) -> list:
+    """Run J1 for every value date that is closed (max staged date minus the
+    lateness) and not yet done, in date order; each date's outputs are written
+    under ``out_dir/<part>/run_date=<d>`` and the date marker is written last."""
+    from ledgerlens.config import MatchConfig
+    from ledgerlens.plans.reconcile import reconcile
+
+    staged = spark.read.parquet(staging)
+    led = staged.filter(F.col("side") == "L").select(
+        F.col("id").alias("ledger_txn_id"), "account_id", "txn_ref", "txn_type", "amount", "currency", "value_date",
+        "batch_id")
+    ext = staged.filter(F.col("side") == "E").select(
+        F.col("id").alias("ext_line_id"), "batch_id", F.lit(None).cast("int").alias("source_id"),
+        F.lit(None).cast("string").alias("external_ref"), "account_ref", "amount", "currency", "value_date",
+        F.col("value_date").alias("settlement_date"), "is_batched_settlement")
+    top = staged.agg(F.max("value_date")).first()[0]
+    if top is None:
+        return []
+    horizon = top - __import__("datetime").timedelta(days=lateness_days)
+    done_path = os.path.join(out_dir, "closed_dates")
+    done = set()
+    if os.path.isdir(done_path):
+        done = {r[0] for r in spark.read.parquet(done_path).select("run_date").collect()}
+    # one row per value date: bounded by the calendar, not by the data
+    dates = sorted(r[0] for r in led.filter(F.col("value_date") <= F.lit(horizon))
+                   .select("value_date").distinct().collect() if r[0] not in done)
+    closed = []
+    for d in dates:
+        def prior(part: str, col: str):
+            p = os.path.join(out_dir, part)
+            return spark.read.parquet(p).select(col) if os.path.isdir(p) else None
+        lb, eb = prior("ledger_lines", "ledger_txn_id"), prior("external_lines", "ext_line_id")
+        px = prior("exceptions", "*")
+        cfg = MatchConfig(run_id=int(d.strftime("%Y%m%d")), run_date=d)
+        res = reconcile(led, ext, acc, rules, cfg, ledger_bridge=lb, ext_bridge=eb,
+                        prior_exceptions=px.select("ledger_txn_id", "ext_line_id") if px is not None else None)
+        tag = f"run_date={d.isoformat()}"
+        res.ledger_lines.write.mode("overwrite").parquet(os.path.join(out_dir, "ledger_lines", tag))
+        res.external_lines.write.mode("overwrite").parquet(os.path.join(out_dir, "external_lines", tag))
+        res.exceptions.select("exception_id", "ledger_txn_id", "ext_line_id", "exception_type") \
+            .write.mode("overwrite").parquet(os.path.join(out_dir, "exceptions", tag))
+        res.run.write.mode("overwrite").parquet(os.path.join(out_dir, "runs", tag))
+        spark.createDataFrame([(d,)], "run_date date").write.mode("append").parquet(done_path)
+        closed.append(d)
+    return closed
+
+
+def stream_reconcile(spark: SparkSession, led: DataFrame, ext: DataFrame, acc: DataFrame, rules: DataFrame,
+                     out_dir: str, lateness_days: int = 7, checkpoint: str | None = None) -> StreamingQuery:
+    """Ledger and statement streams -> per closed value date, the J1 run of
+    that date (run dates in sequence, as the order dependence of J1 needs).
+    Each micro-batch is staged under ``staging/epoch=<n>`` (overwritten on a
+    retry), then the newly closed dates are reconciled; results are final
+    because a date is only closed once no later row can change it."""
+    staging = os.path.join(out_dir, "staging")
+    u = _stage_ledger(led).unionByName(_stage_external(ext))
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(staging, f"epoch={epoch}"))
+        reconcile_closed_dates(batch.sparkSession, staging, out_dir, acc, rules, lateness_days)
+
+    return (u.writeStream.foreachBatch(handle)
+            .option("checkpointLocation", _ckpt(spark, "reconcile", checkpoint)).start())
