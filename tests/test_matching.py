@@ -166,3 +166,21 @@ def test_running_totals_chunked_equals_single_window(spark):
         Window.unboundedPreceding, 0)
     want = {r.ledger_txn_id: r.rt for r in L.withColumn("rt", F.sum("amount").over(w)).collect()}
     assert got == want
+
+
+def test_scoped_run_uses_run_date_and_batch(spark):
+    acc = spark.createDataFrame([(1, "ACC-TEST", 1, 1, "GBP", "ACTIVE")], S.ACCOUNTS)
+    d1, d2 = D, D + dt.timedelta(days=1)
+    led = spark.createDataFrame([(1, 1, "L1", "CREDIT", Decimal("10.00"), "GBP", d1, None),
+                                 (2, 1, "L2", "CREDIT", Decimal("20.00"), "GBP", d2, None)], S.LEDGER)
+    ext = spark.createDataFrame([
+        (10, 7, 4, "E10", "ACC-TEST", Decimal("10.00"), "GBP", d2, d2, False),   # batch 7, next day: matches L1
+        (11, 8, 4, "E11", "ACC-TEST", Decimal("10.00"), "GBP", d1, d1, False),   # other batch: ignored
+        (12, 7, 4, "E12", "ACC-TEST", Decimal("99.00"), "GBP", d1, d1, False),   # batch 7, run date: MISSING_INTERNAL
+        (13, 7, 4, "E13", "ACC-TEST", Decimal("98.00"), "GBP", d2, d2, False),   # batch 7, other date: no exception
+    ], S.EXTERNAL)
+    r = reconcile(led, ext, acc, match_rules(spark), MatchConfig(run_date=d1, batch_id=7))
+    assert [tuple(x) for x in r.exact.select("ledger_txn_id", "ext_line_id").collect()] == [(1, 10)]
+    assert [(x.ext_line_id, x.exception_type) for x in r.exceptions.collect()] == [(12, "MISSING_INTERNAL")]
+    run = r.run.collect()[0]
+    assert (run.total_internal, run.total_external, run.matched_count, run.exception_count) == (1, 1, 1, 1)
