@@ -32,8 +32,8 @@ def _asof(as_of) -> Column:
 def with_sla(exc: DataFrame, sla_rules: DataFrame, as_of) -> DataFrame:
     """deadline = created_at + rule hours (default 24), breach flag,
     seconds remaining (negative when late) and its display text.  The rule
-    table has one row per exception type (a fixed enumeration), so it is
-    broadcast."""
+    table is UNIQUE on exception_type, a CHECK-constrained enumeration of
+    five values, so its size is bounded by the schema and it is broadcast."""
     now = _asof(as_of)
     rules = F.broadcast(sla_rules.select("exception_type", "max_resolution_hours"))
     out = (exc.drop("sla_deadline").join(rules, "exception_type", "left")
@@ -142,7 +142,9 @@ def my_queue(exc: DataFrame, user_id: str, status: str, n: int = 50) -> DataFram
 # ---------------------------------------------------------------------------
 
 def eligible_batches(batches: DataFrame, sources: DataFrame, ext: DataFrame) -> DataFrame:
-    """C8 + A6 + D8: COMPLETED, not from a DATABASE source, and has lines."""
+    """C8 + A6 + D8: COMPLETED, not from a DATABASE source, and has lines.
+    Sources are keyed by a SMALLINT id (at most 32767 rows), so the source
+    table is broadcast."""
     src = F.broadcast(sources.filter(F.col("file_format") != "DATABASE").select("source_id"))
     return (batches.filter(F.col("status") == "COMPLETED")
             .join(src, "source_id", "left_semi")
@@ -167,7 +169,8 @@ def run_history(runs: DataFrame, users: DataFrame, page_no: int = 1, page_size:
 
 def import_history(batches: DataFrame, sources: DataFrame, users: DataFrame,
                    page_no: int = 1, page_size: int = 20) -> DataFrame:
-    """Batches with source name/format and importer name, newest first."""
+    """Batches with source name/format and importer name, newest first
+    (sources: SMALLINT key, bounded, broadcast)."""
     s = F.broadcast(sources.select("source_id", "source_name", "file_format"))
     u = users.select(F.col("user_id").alias("imported_by"), F.col("full_name").alias("imported_by_name"))
     df = batches.join(s, "source_id", "left").join(u, "imported_by", "left")

@@ -90,3 +90,31 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
 
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def cluster_conf(input_bytes: int, total_cores: int, executor_memory_gb: int = 16,
+                 target_partition_mb: int = 256) -> dict[str, str]:
+    """Settings for a large cluster sized from the input volume.
+
+    * ``spark.sql.files.maxPartitionBytes``: input splits of ~target MB.
+    * ``spark.sql.shuffle.partitions``: enough partitions that a shuffle
+      partition of the widest stage (about the input size: the passes carry
+      five narrow columns, far less than the input) stays near the target,
+      and at least 3x the cores; AQE coalesces small ones and splits skewed
+      ones at runtime.
+    * broadcast thresholds stay at the defaults (AQE decides from runtime
+      sizes); only tables with a proven bound are hinted in code.
+    """
+    mb = 1024 * 1024
+    parts = max(3 * total_cores, -(-input_bytes // (target_partition_mb * mb)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_mb * mb),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_mb * mb // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_mb * mb),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.executor.memory": f"{executor_memory_gb}g",
+    }
