@@ -22,6 +22,8 @@ class MatchConfig:
     tolerance: Decimal | None = None
     tolerance_window_days: int | None = None
     same_currency_batches: bool = False
+    # rounds of mutual best per 1:1 pass (the reference runs one round)
+    rounds: int = 1
     as_of: dt.datetime = field(default_factory=lambda: dt.datetime(2024, 2, 1, 0, 0, 0))
     run_id: int = 1
     batch_id: int | None = None

@@ -24,14 +24,18 @@ _NEW_STATUS = {"assign": "ASSIGNED", "start": "IN_PROGRESS", "resolve": "RESOLVE
                "approve": "APPROVED", "close": "CLOSED"}
 
 
-def _reject_code(st: Column, a: Column) -> Column:
+# strict mode: the status an action requires (the reference checks only the version)
+STRICT_FROM = {"resolve": ["ASSIGNED", "IN_PROGRESS"], "approve": ["RESOLVED"], "close": ["APPROVED"]}
+
+
+def _reject_code(st: Column, a: Column, strict: bool = False) -> Column:
     """NULL when the action is accepted in state ``st``, else the reason."""
     act, role = a["action"], a["actor_role"]
     approver = role.isin(S.APPROVER_ROLES)
     worker = role.isin(S.WORKER_ROLES)
     stale = st["version"] != a["expected_version"]
     note_ok = F.coalesce(F.length(F.trim(a["note"])), F.lit(0)) >= S.RESOLUTION_NOTE_MIN
-    return (F.when(act == "assign", F.when(~approver, "FORBIDDEN")
+    code = (F.when(act == "assign", F.when(~approver, "FORBIDDEN")
                    .when(st["status"].isin(S.NO_REASSIGN_STATUSES), "INVALID_STATE"))
             .when(act == "start", F.when(~worker, "FORBIDDEN")
                   .when(F.coalesce(st["assigned_to"] != a["actor"], F.lit(True)) | (st["status"] != "ASSIGNED"),
@@ -40,6 +44,12 @@ def _reject_code(st: Column, a: Column) -> Column:
                   .when(stale, "VERSION_CONFLICT"))
             .when(act.isin("approve", "close"), F.when(~approver, "FORBIDDEN").when(stale, "VERSION_CONFLICT"))
             .otherwise(F.lit("UNKNOWN_ACTION")))
+    if not strict:
+        return code
+    wrong = F.lit(False)
+    for action, allowed in STRICT_FROM.items():
+        wrong = wrong | ((act == action) & ~st["status"].isin(allowed))
+    return F.coalesce(code, F.when(wrong, F.lit("INVALID_STATE")))
 
 
 def _new_status(act: Column) -> Column:
@@ -49,12 +59,12 @@ def _new_status(act: Column) -> Column:
     return e
 
 
-def replay_workflow(exc: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def replay_workflow(exc: DataFrame, actions: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(final state, per-action outcomes); see ``fold_workflow``."""
-    return fold_views(fold_workflow(exc, actions))
+    return fold_views(fold_workflow(exc, actions, strict))
 
 
-def fold_workflow(exc: DataFrame, actions: DataFrame) -> DataFrame:
+def fold_workflow(exc: DataFrame, actions: DataFrame, strict: bool = False) -> DataFrame:
     """(exceptions(exception_id, status, version, assigned_to), actions(exception_id,
     seq, action, actor, actor_role, expected_version, assign_to, note))
     -> (final state per exception, outcome of every action: code NULL when
@@ -64,8 +74,9 @@ def fold_workflow(exc: DataFrame, actions: DataFrame) -> DataFrame:
     needs the assignee and status ASSIGNED; resolve needs a note of 5+
     characters and the expected version; approve/close need APPROVER/ADMIN
     and the expected version (the status is not checked, as in the
-    reference).  AUDITORs may do nothing.  Every accepted action adds 1 to
-    the version.
+    reference; ``strict=True`` also requires resolve from ASSIGNED/IN_PROGRESS,
+    approve from RESOLVED and close from APPROVED).  AUDITORs may do nothing.
+    Every accepted action adds 1 to the version.
     """
     acts = actions.select("exception_id", F.struct(
         F.col("seq").cast("long").alias("seq"), "action", "actor", "actor_role",
@@ -78,7 +89,7 @@ def fold_workflow(exc: DataFrame, actions: DataFrame) -> DataFrame:
         .alias("out")).alias("s0"))
 
     def step(st, a):
-        code = _reject_code(st, a)
+        code = _reject_code(st, a, strict)
         ok = code.isNull()
         assignee = F.when(ok & (a["action"] == "assign"), a["assign_to"]).otherwise(st["assigned_to"])
         return F.struct(

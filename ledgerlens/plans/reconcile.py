@@ -62,14 +62,11 @@ def reconcile(led: DataFrame, ext: DataFrame, acc: DataFrame, rules: DataFrame,
     L0 = M.exclude_matched(M.ledger_side(led_s, acc), ledger_bridge, "ledger_txn_id")
     E0 = M.exclude_matched(M.external_side(ext_s, acc), ext_bridge, "ext_line_id")
 
-    exact = materialize(M.exact_matches(L0, E0, cfg.exact_window_days), "pass1_exact", run_dir)
-    L1 = M.exclude_matched(L0, exact, "ledger_txn_id")
-    E1 = M.exclude_matched(E0, exact, "ext_line_id")
-
+    exact, L1, E1 = _rounds(lambda l, e: M.exact_matches(l, e, cfg.exact_window_days), L0, E0, cfg.rounds,
+                            "pass1_exact", run_dir)
     rule = M.first_rule(rules, "TOLERANCE")
-    tol = materialize(M.tolerance_matches(L1, E1, rule), "pass2_tolerance", run_dir)
-    L2 = M.exclude_matched(L1, tol, "ledger_txn_id")
-    E2 = M.exclude_matched(E1, tol, "ext_line_id")
+    tol, L2, E2 = _rounds(lambda l, e: M.tolerance_matches(l, e, rule), L1, E1, cfg.rounds,
+                          "pass2_tolerance", run_dir)
 
     batched = materialize(M.batch_matches(L2, E2, cfg.same_currency_batches), "pass3_batched", run_dir)
 
@@ -88,6 +85,19 @@ def reconcile(led: DataFrame, ext: DataFrame, acc: DataFrame, rules: DataFrame,
     return ReconResult(exact, tol, batched, groups, ledger_lines, external_lines, exceptions, run, run_dir)
 
 
+def _rounds(pass_fn, led: DataFrame, ext: DataFrame, rounds: int, name: str, run_dir: str):
+    """Run a 1:1 pass ``rounds`` times; each round sees only rows left
+    unmatched by the earlier rounds (round 1 alone is the reference).
+    -> (all matches, remaining ledger, remaining lines)."""
+    found = None
+    for r in range(max(1, rounds)):
+        m = materialize(pass_fn(led, ext), name if r == 0 else f"{name}_round{r + 1}", run_dir)
+        found = m if found is None else found.unionByName(m)
+        led = M.exclude_matched(led, m, "ledger_txn_id")
+        ext = M.exclude_matched(ext, m, "ext_line_id")
+    return found, led, ext
+
+
 def match_groups(exact: DataFrame, tol: DataFrame, batched: DataFrame, run_id: int):
     """One group per external line (a line is in at most one group, so
     ``match_id = ext_line_id`` is unique and deterministic) + two bridges."""

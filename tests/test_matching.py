@@ -184,3 +184,11 @@ def test_scoped_run_uses_run_date_and_batch(spark):
     assert [(x.ext_line_id, x.exception_type) for x in r.exceptions.collect()] == [(12, "MISSING_INTERNAL")]
     run = r.run.collect()[0]
     assert (run.total_internal, run.total_external, run.matched_count, run.exception_count) == (1, 1, 1, 1)
+
+
+def test_two_rounds_of_mutual_best(spark):
+    led = [(1, "50.00", D), (2, "50.00", D)]
+    ext = [(10, "50.00", D, False), (11, "50.00", D, False)]
+    r = reconcile(*frames(spark, led, ext), MatchConfig(rounds=2))
+    assert sorted(tuple(x) for x in r.exact.select("ledger_txn_id", "ext_line_id").collect()) == [(1, 10), (2, 11)]
+    assert r.tolerance.count() == 0 and r.exceptions.count() == 0

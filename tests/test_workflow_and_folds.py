@@ -160,3 +160,18 @@ def test_lockout_random_brute_force(spark):
     df = spark.createDataFrame(rows, "event_id long, user_id string, ts timestamp, success boolean")
     got = {r.event_id: r.outcome for r in W.login_lockouts(df).collect()}
     assert got == _lockout_python(rows)
+
+
+def test_strict_mode_checks_status(spark):
+    exc = spark.createDataFrame([(1, "UNASSIGNED", 1, None)],
+                                "exception_id long, status string, version int, assigned_to string")
+    acts = spark.createDataFrame([
+        (1, 1, "approve", "a", "ADMIN", 1, None, None),      # reference: accepted (version matches)
+        (1, 2, "close", "a", "ADMIN", 2, None, None),
+    ], "exception_id long, seq long, action string, actor string, actor_role string, expected_version int, "
+       "assign_to string, note string")
+    _, lax = W.replay_workflow(exc, acts)
+    assert [r.code for r in lax.orderBy("seq").collect()] == [None, None]
+    _, strict = W.replay_workflow(exc, acts, strict=True)
+    # the rejected approve leaves version 1, so the close is stale first
+    assert [r.code for r in strict.orderBy("seq").collect()] == ["INVALID_STATE", "VERSION_CONFLICT"]
