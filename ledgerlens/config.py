@@ -24,6 +24,9 @@ class MatchConfig:
     same_currency_batches: bool = False
     # rounds of mutual best per 1:1 pass (the reference runs one round)
     rounds: int = 1
+    # classify leftovers into DUPLICATE / TIMING / AMOUNT_MISMATCH (J14) instead
+    # of raising only MISSING_* exceptions (the reference's behaviour)
+    classify_breaks: bool = False
     as_of: dt.datetime = field(default_factory=lambda: dt.datetime(2024, 2, 1, 0, 0, 0))
     run_id: int = 1
     batch_id: int | None = None

@@ -44,7 +44,7 @@ def scope_inputs(led: DataFrame, ext: DataFrame, cfg: MatchConfig) -> tuple[Data
     return led, ext
 
 
-def reconcile(led: DataFrame, ext: DataFrame, acc: DataFrame, rules: DataFrame,
+def reconcile(led: DataFrame, ext: DataFrame, acc: DataFrame, rules: DataFrame | None,
               cfg: MatchConfig = MatchConfig(),
               ledger_bridge: DataFrame | None = None, ext_bridge: DataFrame | None = None,
               prior_exceptions: DataFrame | None = None, run_dir: str | None = None) -> ReconResult:
@@ -64,7 +64,7 @@ def reconcile(led: DataFrame, ext: DataFrame, acc: DataFrame, rules: DataFrame,
 
     exact, L1, E1 = _rounds(lambda l, e: M.exact_matches(l, e, cfg.exact_window_days), L0, E0, cfg.rounds,
                             "pass1_exact", run_dir)
-    rule = M.first_rule(rules, "TOLERANCE")
+    rule = M.first_rule(rules if rules is not None else config_rules(spark, cfg), "TOLERANCE")
     tol, L2, E2 = _rounds(lambda l, e: M.tolerance_matches(l, e, rule), L1, E1, cfg.rounds,
                           "pass2_tolerance", run_dir)
 
@@ -78,13 +78,48 @@ def reconcile(led: DataFrame, ext: DataFrame, acc: DataFrame, rules: DataFrame,
     eb = new_eb if ext_bridge is None else new_eb.unionByName(ext_bridge.select("ext_line_id"))
     ext_exc = ext_s if cfg.run_date is None else ext_s.filter(F.col("value_date") == F.lit(cfg.run_date))
     created = ts_lit(cfg.as_of)
-    exceptions = materialize(
-        M.unmatched(led_s, ext_exc, lb, eb, prior_exceptions, cfg.run_id, created), "exceptions", run_dir)
+    exc = M.unmatched(led_s, ext_exc, lb, eb, prior_exceptions, cfg.run_id, created)
+    if cfg.classify_breaks:
+        exc = _with_break_types(exc, led_s, ext_s, acc, lb, eb, rules, spark, cfg)
+    exceptions = materialize(exc, "exceptions", run_dir)
 
     run = run_totals(led_s, ext_exc, groups, exceptions, cfg)
     return ReconResult(exact, tol, batched, groups, ledger_lines, external_lines, exceptions, run, run_dir)
 
 
+def config_rules(spark, cfg: MatchConfig) -> DataFrame:
+    """A rules table from the config when none is given: one TOLERANCE rule
+    from ``cfg.tolerance`` / ``cfg.tolerance_window_days`` (none -> no
+    tolerance pass)."""
+    from ledgerlens.sources.tables import match_rules
+    rows = []
+    if cfg.tolerance is not None:
+        rows.append((1, "config tolerance", "TOLERANCE", str(cfg.tolerance),
+                     cfg.tolerance_window_days if cfg.tolerance_window_days is not None else 0, 1))
+    return match_rules(spark, rows)
+
+
+def _with_break_types(exc: DataFrame, led_s: DataFrame, ext_s: DataFrame, acc: DataFrame, lb: DataFrame,
+                      eb: DataFrame, rules: DataFrame | None, spark, cfg: MatchConfig) -> DataFrame:
+    """Replace MISSING_* by the classified type (and fill amount_diff);
+    the window is the tolerance rule's."""
+    from ledgerlens.operators.classify import classify_breaks
+    from ledgerlens.functions.columns import sla_deadline
+    r = M.first_rule(rules if rules is not None else config_rules(spark, cfg), "TOLERANCE").first()
+    window = int(r["date_window_days"]) if r else cfg.exact_window_days
+    kinds = classify_breaks(M.ledger_side(led_s, acc), M.external_side(ext_s, acc), lb, eb, window)
+    kl = kinds.filter(F.col("ledger_txn_id").isNotNull()).select(
+        "ledger_txn_id", F.col("exception_type").alias("k_type"), F.col("amount_diff").alias("k_diff"))
+    ke = kinds.filter(F.col("ext_line_id").isNotNull()).select(
+        "ext_line_id", F.col("exception_type").alias("k_type2"), F.col("amount_diff").alias("k_diff2"))
+    out = exc.join(kl, "ledger_txn_id", "left").join(ke, "ext_line_id", "left")
+    typ = F.coalesce("k_type", "k_type2", "exception_type")
+    return (out.withColumn("exception_type", typ)
+            .withColumn("amount_diff", F.coalesce("k_diff", "k_diff2", "amount_diff").cast(S.MONEY))
+            .withColumn("sla_deadline", sla_deadline(F.col("created_at"), F.col("exception_type")))
+            .drop("k_type", "k_type2", "k_diff", "k_diff2"))
+
+
 def _rounds(pass_fn, led: DataFrame, ext: DataFrame, rounds: int, name: str, run_dir: str):
     """Run a 1:1 pass ``rounds`` times; each round sees only rows left
     unmatched by the earlier rounds (round 1 alone is the reference).

@@ -28,3 +28,18 @@ def test_oracle(spark, name):
     con = duck(SF)
     res = compare(spark, con, E.queries()[name](spark, SF), E.oracle_sql()[name])
     assert res["columns_match"] and res["values_match"], res
+
+
+def test_global_run_expected_counts(spark):
+    """FIXTURES.md §4, sf0.001 row: the counts of the global run."""
+    from pyspark.sql import functions as F
+    from ledgerlens.catalog import global_run
+    from ledgerlens.sources.fixtures import Fixtures
+    fx = Fixtures(spark, SF)
+    r = global_run(fx)
+    assert fx.ledger.count() == 1500 and fx.external.count() == 1337
+    assert str(fx.external.agg(F.sum("amount")).first()[0]) == "339065889.10"
+    assert r.exact.count() == 1181 and r.tolerance.count() == 92
+    assert r.batched.select("ext_line_id").distinct().count() == 15 and r.batched.count() == 45
+    types = {x.exception_type: x["count"] for x in r.exceptions.groupBy("exception_type").count().collect()}
+    assert types == {"MISSING_EXTERNAL": 182, "MISSING_INTERNAL": 49}

@@ -192,3 +192,16 @@ def test_two_rounds_of_mutual_best(spark):
     r = reconcile(*frames(spark, led, ext), MatchConfig(rounds=2))
     assert sorted(tuple(x) for x in r.exact.select("ledger_txn_id", "ext_line_id").collect()) == [(1, 10), (2, 11)]
     assert r.tolerance.count() == 0 and r.exceptions.count() == 0
+
+
+def test_rules_from_config_and_classified_breaks(spark):
+    from decimal import Decimal as Dd
+    led, ext, acc, _ = frames(spark, [(1, "100.00", D), (2, "300.00", D)],
+                              [(10, "100.50", D, False), (11, "200.00", D, False)])
+    none = reconcile(led, ext, acc, None, MatchConfig())
+    assert none.tolerance.count() == 0 and none.exceptions.count() == 4
+    cfg = MatchConfig(tolerance=Dd("0.01"), tolerance_window_days=3, classify_breaks=True)
+    r = reconcile(led, ext, acc, None, cfg)
+    assert [tuple(x) for x in r.tolerance.select("ledger_txn_id", "ext_line_id").collect()] == [(1, 10)]
+    kinds = {(x.ledger_txn_id, x.ext_line_id): (x.exception_type, x.amount_diff) for x in r.exceptions.collect()}
+    assert kinds == {(2, None): ("AMOUNT_MISMATCH", Dd("100.00")), (None, 11): ("AMOUNT_MISMATCH", Dd("100.00"))}
