@@ -164,24 +164,25 @@ def _text(template: str) -> Column:
 
 def fan_out(accepted: DataFrame, exc_types: DataFrame, users: DataFrame,
             max_approvers: int = 100_000) -> DataFrame:
-    """Accepted actions -> notification rows.
+    """Accepted actions -> narrow notification facts
+    (notification_id, user_id, exception_id, seq, kind, exception_type, created_at).
 
     resolve -> every live ADMIN/APPROVER except the actor; approve/close ->
     the exception's assignee; assign -> the new assignee.  ``accepted`` comes
-    from ``accepted_actions`` (it carries the assignee in force).  The
-    approver list is broadcast only when it provably has at most
-    ``max_approvers`` rows (else the join shuffles); the fan-out output itself
-    is resolves x approvers by definition.
+    from ``accepted_actions`` (it carries the assignee in force).  Title,
+    message and link are a function of (kind, exception_id, exception_type),
+    so they are not stored per row: ``render_notifications`` adds them where
+    rows are read (a page of an inbox).  The approver list is broadcast only
+    when it provably has at most ``max_approvers`` rows (else the join
+    shuffles); the fan-out itself is resolves x approvers by definition.
     """
     a = accepted.join(exc_types, "exception_id", "left")
     approvers = (users.filter(F.col("deleted_at").isNull() & F.col("role").isin(S.APPROVER_ROLES))
                  .select(F.lit(1).alias("k"), F.col("user_id").alias("notify_user")))
 
     def rows(df: DataFrame, kind: str, user_col: Column) -> DataFrame:
-        title, msg, link = NOTIFY[kind]
         return df.select(user_col.alias("user_id"), "exception_id", "seq", F.lit(kind).alias("kind"),
-                         F.lit(title).alias("title"), _text(msg).alias("message"), F.lit(link).alias("link"),
-                         F.col("acted_at").alias("created_at"))
+                         "exception_type", F.col("acted_at").alias("created_at"))
 
     assign = rows(a.filter(F.col("action") == "assign"), "assign", F.col("assign_to"))
     res = a.filter(F.col("action") == "resolve")
@@ -194,6 +195,18 @@ def fan_out(accepted: DataFrame, exc_types: DataFrame, users: DataFrame,
     return out.withColumn("notification_id", F.xxhash64("user_id", "exception_id", "seq", "kind"))
 
 
+def render_notifications(df: DataFrame) -> DataFrame:
+    """Title, message and link of notification facts (the texts are fixed
+    templates of the kind)."""
+    title = link = msg = F.lit(None).cast("string")
+    for kind, (t, m, l) in NOTIFY.items():
+        is_kind = F.col("kind") == kind
+        title = F.when(is_kind, F.lit(t)).otherwise(title)
+        link = F.when(is_kind, F.lit(l)).otherwise(link)
+        msg = F.when(is_kind, _text(m)).otherwise(msg)
+    return df.withColumn("title", title).withColumn("message", msg).withColumn("link", link)
+
+
 def inbox(notifications: DataFrame, reads: DataFrame, user_id: str, unread_only: bool = True,
           page_no: int = 1, page_size: int = 20) -> DataFrame:
     """A user's notifications (read flag from the read-event log), newest first, paged."""
@@ -202,8 +215,9 @@ def inbox(notifications: DataFrame, reads: DataFrame, user_id: str, unread_only:
     n = n.join(r, "notification_id", "left").withColumn("is_read", F.coalesce("is_read", F.lit(False)))
     if unread_only:
         n = n.filter(~F.col("is_read"))
-    return (n.orderBy(F.col("created_at").desc(), F.col("exception_id").desc(), F.col("seq").desc(), F.col("kind"))
+    page = (n.orderBy(F.col("created_at").desc(), F.col("exception_id").desc(), F.col("seq").desc(), F.col("kind"))
             .offset((page_no - 1) * page_size).limit(page_size))
+    return render_notifications(page)
 
 
 def with_read_flag(notifications: DataFrame, reads: DataFrame) -> DataFrame:
