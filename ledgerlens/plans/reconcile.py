@@ -9,7 +9,6 @@ a lost executor recomputes from those files, not from earlier passes.
 
 from __future__ import annotations
 
-import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame

@@ -1,7 +1,6 @@
 """Workflow replay, lockouts, idempotency: tiny cases and brute force."""
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import round1_ratio
 from ledgerlens.operators import workflow as W
