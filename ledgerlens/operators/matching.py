@@ -9,10 +9,12 @@ Design (all set-based, no pair explosion inside hot accounts):
   partner, because ranks break ties on the other side's id.
 * The date window becomes an equi key: the ledger keys are exploded over the
   window offsets (``2w+1`` rows each) and joined on the probe date.
-* The tolerance band becomes an equi key as well: amounts are put in
-  logarithmic buckets of width ``ln(1+tol)``; a ledger key probes the few
-  buckets its band covers and a decimal residual predicate keeps the exact
-  band.
+* The tolerance band is searched without pairs: keys sit in cells of
+  (account, currency, date, logarithmic amount bucket of width ``ln(1+tol)``);
+  a key probes the few cells its window and band reach, and a window over
+  each cell sorted by amount yields the nearest other-side amount below and
+  above -- the only possible best partners, since the band test is monotone
+  in the distance.
 * Mutual best = ``min(struct(distance, other_id))`` per side over the
   candidate set, then an equi join of the two "best" lists on both ids.
 """
@@ -122,11 +124,55 @@ def _bucket(amount, h: float):
     return (amount * 100).cast("long")
 
 
+def _bucket_range(lo_amount, hi_amount, h: float, cents):
+    """Buckets covering [lo_amount, hi_amount] (doubles; fp margin on both ends)."""
+    if h > 0 and h != float("inf"):
+        lo = F.floor((F.ln(lo_amount) - _EPS) / h).cast("long")
+        hi = F.floor((F.ln(hi_amount) + _EPS) / h).cast("long")
+        return F.sequence(lo, hi)
+    if h == float("inf"):
+        return F.array(F.lit(0).cast("long"))
+    return F.array(cents)
+
+
+def _nearest(probes: DataFrame, cells: DataFrame, probe_id: str, cell_id: str) -> DataFrame:
+    """For every probe row, the cell rows nearest below-or-equal and above in
+    amount within the same (account, currency, date, bucket) cell:
+    probes(acct.., cdate, bkt, amt, probe_id, off, ...) x cells(acct.., cdate, bkt, amt, cell_id)
+    -> (probe_id, off, probe_amt, cand_amt, cell_id); at most two per probe row.
+    A window over the union sorted by amount -- no pairs are formed."""
+    part = KEY + ["cdate", "bkt"]
+    u = (cells.select(*part, "amt", F.col(cell_id).alias("cid"), F.lit(None).cast("long").alias("pid"),
+                      F.lit(None).cast("int").alias("off"), F.lit(0).alias("kind"))
+         .unionByName(probes.select(*part, "amt", F.lit(None).cast("long").alias("cid"),
+                                    F.col(probe_id).alias("pid"), F.col("off").cast("int"), F.lit(1).alias("kind"))))
+    cell = F.when(F.col("kind") == 0, F.struct(F.col("amt").alias("a"), F.col("cid").alias("id")))
+    w = Window.partitionBy(*part).orderBy("amt", "kind")
+    below = F.last(cell, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    above = F.first(cell, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    near = (u.select("kind", "pid", "off", "amt", below.alias("b"), above.alias("c"))
+            .filter(F.col("kind") == 1)
+            .select(F.col("pid").alias(probe_id), "off", F.col("amt").alias("probe_amt"),
+                    F.explode(F.array("b", "c")).alias("n"))
+            .filter(F.col("n").isNotNull())
+            .select(probe_id, "off", "probe_amt", F.col("n.a").alias("cand_amt"), F.col("n.id").alias(cell_id)))
+    return near
+
+
 def tolerance_matches(led: DataFrame, ext: DataFrame, rule: DataFrame) -> DataFrame:
     """D2 + F1 + D9.  ``rule``: 0/1 row (rule_id, amount_tolerance, date_window_days).
 
     Candidate: same account and currency, |d_l - d_e| <= window and
-    |a_l - a_e| <= a_l * tolerance.  Rank by |a_l - a_e|.  No rule -> no rows.
+    |a_l - a_e| <= a_l * tolerance.  Rank by |a_l - a_e| (ties: the other
+    side's id).  No rule -> no rows.
+
+    Each side's best partner is found without forming pairs: keys are put in
+    (account, currency, date, log-amount bucket) cells; a key probes every
+    cell its window and band can reach, and a window over each cell, sorted
+    by amount, gives the nearest other-side amount below-or-equal and above.
+    The band test is monotone in the distance, so if the nearest amount on a
+    side fails it, every farther one fails too: the best partner is always
+    one of those two per cell.
     -> (ledger_txn_id, ext_line_id, amount_diff, day_diff, confidence_score)
     """
     got = rule.select("amount_tolerance", "date_window_days").limit(1).collect()
@@ -135,29 +181,50 @@ def tolerance_matches(led: DataFrame, ext: DataFrame, rule: DataFrame) -> DataFr
             [], "ledger_txn_id long, ext_line_id long, amount_diff decimal(18,2), day_diff int, "
                 "confidence_score decimal(5,2)")
     tol_d, win = got[0]["amount_tolerance"], int(got[0]["date_window_days"])
+    t = float(tol_d)
     tol = F.lit(tol_d).cast(S.TOLERANCE)
-    h = math.log1p(float(tol_d))
+    # bucket width ln(1+t); a tolerance of 100 % or more has an unbounded band
+    # above a statement amount, so one bucket per (account, currency, date) then
+    h = math.log1p(t) if t < 1 else float("inf")
     lk = _keys(led, "ledger_txn_id", "l_id").withColumnRenamed("amount", "l_amount")
-    ek = (_keys(ext, "ext_line_id", "e_id").withColumnRenamed("amount", "e_amount")
-          .withColumnRenamed("value_date", "e_date")
-          .withColumn("bkt", _bucket(F.col("e_amount"), h)))
+    ek = _keys(ext, "ext_line_id", "e_id").withColumnRenamed("amount", "e_amount")
+    offsets = F.explode(F.sequence(F.lit(-win), F.lit(win)))
 
-    # amounts are positive decimals, so the band's lower end is clamped to one cent
+    def bucket_of(c):
+        return _bucket(c, h) if h != float("inf") else F.lit(0).cast("long")
+
+    # ledger side: probe statement cells of dates d_l + off, amounts in [a(1-t), a(1+t)]
     la = F.col("l_amount").cast("double")
-    if h > 0:
-        lower = F.greatest(la * (1.0 - float(tol_d)), F.lit(0.01))
-        lo = F.floor((F.ln(lower) - _EPS) / h).cast("long")
-        hi = F.floor((F.ln(la * (1.0 + float(tol_d))) + _EPS) / h).cast("long")
-    else:
-        lo = hi = (F.col("l_amount") * 100).cast("long")
-    probe = (lk.withColumn("off", F.explode(F.sequence(F.lit(-win), F.lit(win))))
-             .withColumn("e_date", F.date_add("value_date", F.col("off")))
-             .withColumn("bkt", F.explode(F.sequence(lo, hi))))
+    l_probes = (lk.withColumn("off", offsets).withColumn("cdate", F.date_add("value_date", F.col("off")))
+                .withColumn("bkt", F.explode(_bucket_range(F.greatest(la * (1.0 - t), F.lit(0.01)), la * (1.0 + t),
+                                                           h, (F.col("l_amount") * 100).cast("long"))))
+                .withColumn("amt", F.col("l_amount")))
+    e_cells = (ek.withColumn("cdate", F.col("value_date")).withColumn("bkt", bucket_of(F.col("e_amount")))
+               .withColumn("amt", F.col("e_amount")))
+    lnear = _nearest(l_probes, e_cells, "l_id", "e_id").withColumnRenamed("probe_amt", "l_amount") \
+        .withColumnRenamed("cand_amt", "e_amount")
+    # statement side: probe ledger cells of dates d_e + off, ledger amounts a with x in a's band,
+    # i.e. a in [x/(1+t), x/(1-t)]
+    xa = F.col("e_amount").cast("double")
+    upper = xa / (1.0 - t) if t < 1 else xa
+    e_probes = (ek.withColumn("off", offsets).withColumn("cdate", F.date_add("value_date", F.col("off")))
+                .withColumn("bkt", F.explode(_bucket_range(F.greatest(xa / (1.0 + t), F.lit(0.01)), upper, h,
+                                                           (F.col("e_amount") * 100).cast("long"))))
+                .withColumn("amt", F.col("e_amount")))
+    l_cells = (lk.withColumn("cdate", F.col("value_date")).withColumn("bkt", bucket_of(F.col("l_amount")))
+               .withColumn("amt", F.col("l_amount")))
+    enear = _nearest(e_probes, l_cells, "e_id", "l_id").withColumnRenamed("probe_amt", "e_amount") \
+        .withColumnRenamed("cand_amt", "l_amount")
+
     diff = F.abs(F.col("l_amount") - F.col("e_amount"))
-    cand = (probe.join(ek, KEY + ["e_date", "bkt"])
-            .filter(diff <= F.col("l_amount") * tol)
-            .select("l_id", "e_id", diff.alias("amount_diff"), F.abs("off").alias("day_diff")))
-    pairs = _mutual_best(cand, "amount_diff", ["day_diff"])
+    in_band = diff <= F.col("l_amount") * tol
+    lc = lnear.filter(in_band).select("l_id", "e_id", diff.alias("amount_diff"), F.abs("off").alias("day_diff"))
+    ec = enear.filter(in_band).select("l_id", "e_id", diff.alias("amount_diff"))
+    lbest = (lc.groupBy("l_id").agg(F.min(F.struct("amount_diff", "e_id", "day_diff")).alias("b"))
+             .select("l_id", "b.*"))
+    ebest = (ec.groupBy("e_id").agg(F.min(F.struct("amount_diff", "l_id")).alias("b"))
+             .select("e_id", F.col("b.l_id").alias("l_id")))
+    pairs = lbest.join(ebest, ["l_id", "e_id"])
     return pairs.select(F.col("l_id").alias("ledger_txn_id"), F.col("e_id").alias("ext_line_id"),
                         F.col("amount_diff").cast(S.MONEY).alias("amount_diff"),
                         F.col("day_diff").cast("int").alias("day_diff"),

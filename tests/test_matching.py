@@ -205,3 +205,30 @@ def test_rules_from_config_and_classified_breaks(spark):
     assert [tuple(x) for x in r.tolerance.select("ledger_txn_id", "ext_line_id").collect()] == [(1, 10)]
     kinds = {(x.ledger_txn_id, x.ext_line_id): (x.exception_type, x.amount_diff) for x in r.exceptions.collect()}
     assert kinds == {(2, None): ("AMOUNT_MISMATCH", Dd("100.00")), (None, 11): ("AMOUNT_MISMATCH", Dd("100.00"))}
+
+
+def test_tolerance_dense_brute_force(spark):
+    rnd = random.Random(21)
+    base = dt.date(2024, 1, 1)
+    led = [(i, rnd.randint(1, 2), rnd.choice(["GBP", "EUR"]), Decimal(rnd.randint(9900, 10100)) / 100,
+            base + dt.timedelta(days=rnd.randint(0, 5))) for i in range(1, 120)]
+    ext = [(1000 + i, rnd.randint(1, 2), rnd.choice(["GBP", "EUR"]), Decimal(rnd.randint(9900, 10100)) / 100,
+            base + dt.timedelta(days=rnd.randint(0, 5))) for i in range(1, 120)]
+    L = spark.createDataFrame(led, "ledger_txn_id long, account_id long, currency string, amount decimal(18,2), "
+                                   "value_date date")
+    E = spark.createDataFrame([r + (False,) for r in ext],
+                              "ext_line_id long, account_id long, currency string, amount decimal(18,2), "
+                              "value_date date, is_batched_settlement boolean")
+    for tol, win in (("0.0100", 3), ("0.0000", 2), ("0.0500", 1), ("1.5000", 2)):
+        rule = spark.createDataFrame([(tol, win)], "t string, w int").select(
+            F.col("t").cast("decimal(6,4)").alias("amount_tolerance"), F.col("w").alias("date_window_days"))
+        got = sorted(tuple(r) for r in
+                     M.tolerance_matches(L, E, rule).select("ledger_txn_id", "ext_line_id").collect())
+
+        def key(l, e, tol=Decimal(tol), win=win):
+            if l[1] != e[1] or l[2] != e[2] or abs((l[4] - e[4]).days) > win:
+                return None
+            d = abs(l[3] - e[3])
+            return d if d <= l[3] * tol else None
+        want = _brute_mutual(led, ext, key)
+        assert got == want, tol
