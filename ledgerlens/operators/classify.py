@@ -10,8 +10,9 @@ Order of tests per leftover row:
                    currency lies within the date window; amount_diff is the
                    smallest absolute difference;
   MISSING_*        otherwise.
-All tests are equi (semi) joins on pre-aggregated keys; the date window is
-exploded into probe dates as in the matching passes.
+DUPLICATE and TIMING are semi joins on pre-aggregated keys; the nearest
+amount comes from windows over (account, currency, date) cells, with the
+date window exploded into probe dates as in the matching passes.
 """
 
 from __future__ import annotations
@@ -25,13 +26,20 @@ K = ["account_id", "currency"]
 
 
 def _nearest(left: DataFrame, other: DataFrame, window_days: int) -> DataFrame:
-    """left(id, account, currency, amount, value_date) -> (id, amount_diff) for
-    rows with an other-side key within the window (distinct amounts only)."""
-    keys = other.select(*K, F.col("value_date").alias("o_date"), F.col("amount").alias("o_amount")).distinct()
-    probe = left.withColumn("o_date", F.explode(F.sequence(F.date_sub("value_date", window_days),
-                                                           F.date_add("value_date", window_days))))
-    return (probe.join(keys, K + ["o_date"])
-            .groupBy("id").agg(F.min(F.abs(F.col("amount") - F.col("o_amount"))).cast(S.MONEY).alias("amount_diff")))
+    """left(id, account, currency, amount, value_date) -> (id, amount_diff):
+    the smallest |amount difference| to an other-side row of the same account
+    and currency within the window.  Nearest amounts come from a window over
+    each (account, currency, date) cell sorted by amount (no pairs)."""
+    from ledgerlens.operators.matching import _nearest as nearest_in_cells
+    probes = (left.withColumn("off", F.explode(F.sequence(F.lit(-window_days), F.lit(window_days))))
+              .withColumn("cdate", F.date_add("value_date", F.col("off")))
+              .withColumn("bkt", F.lit(0).cast("long")).withColumn("amt", F.col("amount")))
+    cells = (other.groupBy(*K, "value_date", "amount").agg(F.min("id").alias("oid"))
+             .select(*K, F.col("value_date").alias("cdate"), F.lit(0).cast("long").alias("bkt"),
+                     F.col("amount").alias("amt"), "oid"))
+    near = nearest_in_cells(probes, cells, "id", "oid")
+    return (near.groupBy("id").agg(F.min(F.abs(F.col("probe_amt") - F.col("cand_amt"))).cast(S.MONEY)
+                                   .alias("amount_diff")))
 
 
 def _classify(left: DataFrame, matched_same: DataFrame, other_left: DataFrame, missing: str,
