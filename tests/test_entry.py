@@ -43,3 +43,25 @@ def test_global_run_expected_counts(spark):
     assert r.batched.select("ext_line_id").distinct().count() == 15 and r.batched.count() == 45
     types = {x.exception_type: x["count"] for x in r.exceptions.groupBy("exception_type").count().collect()}
     assert types == {"MISSING_EXTERNAL": 182, "MISSING_INTERNAL": 49}
+
+
+def test_plans_have_no_cross_products_or_python(spark):
+    """Plan-quality guard: no registered query plans a cartesian product, a
+    nested-loop join or a Python UDF -- except the notification fan-out,
+    whose resolves x approvers product is the result itself."""
+    import contextlib
+    import io
+    fan_out = {"notification_fanout", "unread_counts", "notification_inbox"}
+    bad = {}
+    for name, q in E.queries().items():
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            q(spark, SF).explain()
+        plan = buf.getvalue()
+        found = [k for k in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
+                 if k in plan]
+        if name in fan_out:
+            found = [k for k in found if k != "BroadcastNestedLoopJoin"]
+        if found:
+            bad[name] = found
+    assert bad == {}
