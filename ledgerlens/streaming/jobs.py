@@ -286,3 +286,31 @@ def stream_reconcile(spark: SparkSession, led: DataFrame, ext: DataFrame, acc: D
 
     return (u.writeStream.foreachBatch(handle)
             .option("checkpointLocation", _ckpt(spark, "reconcile", checkpoint)).start())
+
+
+# ---------------------------------------------------------------------------
+# K5 missed-heartbeat timer
+# ---------------------------------------------------------------------------
+
+def stream_missed_heartbeats(beats: DataFrame, timeout_seconds: int = S.HEARTBEAT_ACTIVE_SECONDS,
+                             watermark: str = "1 minute") -> DataFrame:
+    """Job heartbeat events (job_id, ts, status, attempts, max_attempts) ->
+    one row per missed heartbeat: a session of heartbeats closes when no
+    beat follows within ``timeout_seconds``; if the job was still RUNNING at
+    its last beat it stalled at ``last_heartbeat + timeout`` and is either
+    RETRYING (run_at = stalled_at + 2^attempts * 10 s) or DEAD_LETTER, as in J10.
+    Session windows are built in (no Python); state is dropped by the watermark."""
+    from ledgerlens.functions.columns import retry_delay_seconds
+    sess = F.session_window("ts", f"{timeout_seconds} seconds")
+    closed = (beats.withWatermark("ts", watermark)
+              .groupBy("job_id", sess.alias("s"))
+              .agg(F.max("ts").alias("last_heartbeat"),
+                   F.max_by(F.struct("status", "attempts", "max_attempts"), "ts").alias("last")))
+    stalled = closed.filter(F.col("last.status") == "RUNNING")
+    retry = F.col("last.attempts") < F.col("last.max_attempts")
+    at = F.col("s.end")
+    return stalled.select(
+        "job_id", "last_heartbeat", at.alias("stalled_at"),
+        F.col("last.attempts").alias("attempts"),
+        F.when(retry, "RETRYING").otherwise("DEAD_LETTER").alias("disposition"),
+        F.when(retry, F.timestamp_add("SECOND", retry_delay_seconds(F.col("last.attempts")), at)).alias("next_run_at"))

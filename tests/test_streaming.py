@@ -153,3 +153,22 @@ def test_stream_reconcile_closed_dates(spark):
                                       .collect()})
     assert {r.ledger_txn_id for r in closed_led.collect()} <= covered
     assert len({i for _, i in got}) == len([i for _, i in got])
+
+
+def test_missed_heartbeats(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1, 12, 0, 0)
+    rows = [  # job 1 beats every 10 s then goes silent while RUNNING -> stalled, retried
+        (1, t0 + dt.timedelta(seconds=s), "RUNNING", 1, 3) for s in (0, 10, 20)] + [
+        # job 2 beats then completes -> no stall
+        (2, t0, "RUNNING", 0, 3), (2, t0 + dt.timedelta(seconds=10), "COMPLETED", 0, 3),
+        # job 3 stalls on its last attempt -> dead letter
+        (3, t0, "RUNNING", 3, 3),
+        # a late beat of another job pushes the watermark past every session
+        (9, t0 + dt.timedelta(minutes=10), "RUNNING", 0, 3)]
+    src = spark.createDataFrame(rows, "job_id long, ts timestamp, status string, attempts int, max_attempts int")
+    out = _drain(K.stream_missed_heartbeats(_as_stream(spark, src, "hb")), "k5hb")
+    got = {r.job_id: (r.disposition, r.stalled_at, r.next_run_at) for r in out.collect()}
+    assert got[1] == ("RETRYING", t0 + dt.timedelta(seconds=50), t0 + dt.timedelta(seconds=70))
+    assert got[3][0] == "DEAD_LETTER" and got[3][2] is None
+    assert 2 not in got
