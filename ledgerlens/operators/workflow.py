@@ -162,39 +162,57 @@ def _text(template: str) -> Column:
     return F.concat(*parts)
 
 
-def fan_out(accepted: DataFrame, exc_types: DataFrame, users: DataFrame,
-            max_approvers: int = 100_000) -> DataFrame:
-    """Accepted actions -> narrow notification facts
-    (notification_id, user_id, exception_id, seq, kind, exception_type, created_at).
+NOTIFY_KEY = ["exception_id", "seq", "kind"]
 
-    resolve -> every live ADMIN/APPROVER except the actor; approve/close ->
-    the exception's assignee; assign -> the new assignee.  ``accepted`` comes
-    from ``accepted_actions`` (it carries the assignee in force).  Title,
-    message and link are a function of (kind, exception_id, exception_type),
-    so they are not stored per row: ``render_notifications`` adds them where
-    rows are read (a page of an inbox).  The approver list is broadcast only
-    when it provably has at most ``max_approvers`` rows (else the join
-    shuffles); the fan-out itself is resolves x approvers by definition.
-    """
+
+def approvers(users: DataFrame) -> DataFrame:
+    """Live ADMIN/APPROVER user ids (the audience of resolve notifications)."""
+    return (users.filter(F.col("deleted_at").isNull() & F.col("role").isin(S.APPROVER_ROLES))
+            .select("user_id"))
+
+
+def notification_facts(accepted: DataFrame, exc_types: DataFrame) -> DataFrame:
+    """J6 as compact facts, one row per accepted action that notifies:
+    assign -> the new assignee, approve/close -> the assignee (user_id set);
+    resolve -> the approver role (audience 'APPROVERS', user_id NULL), i.e.
+    every live ADMIN/APPROVER except the actor.  Storing the role instead of
+    one row per approver keeps the table the size of the action log."""
     a = accepted.join(exc_types, "exception_id", "left")
-    approvers = (users.filter(F.col("deleted_at").isNull() & F.col("role").isin(S.APPROVER_ROLES))
-                 .select(F.lit(1).alias("k"), F.col("user_id").alias("notify_user")))
-
-    def rows(df: DataFrame, kind: str, user_col: Column) -> DataFrame:
-        return df.select(user_col.alias("user_id"), "exception_id", "seq", F.lit(kind).alias("kind"),
-                         "exception_type", F.col("acted_at").alias("created_at"))
-
-    assign = rows(a.filter(F.col("action") == "assign"), "assign", F.col("assign_to"))
-    res = a.filter(F.col("action") == "resolve")
-    resolve = rows(res.withColumn("k", F.lit(1)).join(bounded_broadcast(approvers, max_approvers), "k")
-                   .filter(F.col("notify_user") != F.col("actor")), "resolve", F.col("notify_user"))
-    ap = a.filter(F.col("action").isin("approve", "close") & F.col("assigned_to").isNotNull())
-    approve = rows(ap.filter(F.col("action") == "approve"), "approve", F.col("assigned_to"))
-    close = rows(ap.filter(F.col("action") == "close"), "close", F.col("assigned_to"))
-    out = assign.unionByName(resolve).unionByName(approve).unionByName(close)
+    act = F.col("action")
+    user = F.when(act == "assign", F.col("assign_to")).when(act.isin("approve", "close"), F.col("assigned_to"))
+    facts = a.filter(act.isin("assign", "resolve", "approve", "close")).select(
+        user.alias("user_id"), F.when(act == "resolve", F.lit("APPROVERS")).alias("audience"), "actor",
+        "exception_id", F.col("seq").cast("long").alias("seq"), act.alias("kind"), "exception_type",
+        F.col("acted_at").alias("created_at"))
+    return facts.filter(F.col("audience").isNotNull() | F.col("user_id").isNotNull())
+
+
+def expand_notifications(facts: DataFrame, users: DataFrame, max_approvers: int = 100_000) -> DataFrame:
+    """The per-recipient notification table of the reference: direct facts
+    plus every role fact x live approver except the actor.  The approver list
+    is broadcast only when it provably has at most ``max_approvers`` rows; the
+    output is resolves x approvers by definition -- use it only where that
+    table is wanted (``inbox`` and ``unread_counts`` work on the facts)."""
+    direct = facts.filter(F.col("audience").isNull())
+    role = facts.filter(F.col("audience") == "APPROVERS").withColumn("k", F.lit(1))
+    aud = approvers(users).select(F.lit(1).alias("k"), F.col("user_id").alias("notify_user"))
+    expanded = (role.join(bounded_broadcast(aud, max_approvers), "k")
+                .filter(F.col("notify_user") != F.col("actor"))
+                .withColumn("user_id", F.col("notify_user")))
+    cols = ["user_id", "exception_id", "seq", "kind", "exception_type", "created_at"]
+    out = direct.select(*cols).unionByName(expanded.select(*cols))
     return out.withColumn("notification_id", F.xxhash64("user_id", "exception_id", "seq", "kind"))
 
 
+def fan_out(accepted: DataFrame, exc_types: DataFrame, users: DataFrame,
+            max_approvers: int = 100_000) -> DataFrame:
+    """Accepted actions -> the per-recipient notification rows
+    (notification_id, user_id, exception_id, seq, kind, exception_type, created_at).
+    Title, message and link are templates of the kind, added by
+    ``render_notifications`` where rows are read."""
+    return expand_notifications(notification_facts(accepted, exc_types), users, max_approvers)
+
+
 def render_notifications(df: DataFrame) -> DataFrame:
     """Title, message and link of notification facts (the texts are fixed
     templates of the kind)."""
@@ -207,12 +225,21 @@ def render_notifications(df: DataFrame) -> DataFrame:
     return df.withColumn("title", title).withColumn("message", msg).withColumn("link", link)
 
 
-def inbox(notifications: DataFrame, reads: DataFrame, user_id: str, unread_only: bool = True,
+def inbox(facts: DataFrame, reads: DataFrame, users: DataFrame, user_id: str, unread_only: bool = True,
           page_no: int = 1, page_size: int = 20) -> DataFrame:
-    """A user's notifications (read flag from the read-event log), newest first, paged."""
-    n = notifications.filter(F.col("user_id") == user_id)
-    r = reads.select("notification_id", F.lit(True).alias("is_read"))
-    n = n.join(r, "notification_id", "left").withColumn("is_read", F.coalesce("is_read", F.lit(False)))
+    """One user's notifications from the compact facts (direct ones, plus
+    the role facts of others' resolves when the user is a live approver),
+    read flags from the read-event log (user_id, exception_id, seq, kind),
+    newest first, one page, texts rendered for the page only."""
+    is_approver = approvers(users).filter(F.col("user_id") == user_id).limit(1).count() > 0
+    mine = facts.filter(F.col("audience").isNull() & (F.col("user_id") == user_id))
+    if is_approver:
+        mine = mine.unionByName(facts.filter((F.col("audience") == "APPROVERS") & (F.col("actor") != user_id))
+                                .withColumn("user_id", F.lit(user_id)))
+    r = (reads.filter(F.col("user_id") == user_id).select(*NOTIFY_KEY).distinct()
+         .withColumn("is_read", F.lit(True)))
+    n = (mine.select("user_id", "exception_id", "seq", "kind", "exception_type", "created_at")
+         .join(r, NOTIFY_KEY, "left").withColumn("is_read", F.coalesce("is_read", F.lit(False))))
     if unread_only:
         n = n.filter(~F.col("is_read"))
     page = (n.orderBy(F.col("created_at").desc(), F.col("exception_id").desc(), F.col("seq").desc(), F.col("kind"))
@@ -220,6 +247,26 @@ def inbox(notifications: DataFrame, reads: DataFrame, user_id: str, unread_only:
     return render_notifications(page)
 
 
+def unread_counts(facts: DataFrame, reads: DataFrame, users: DataFrame) -> DataFrame:
+    """E15 on the compact facts, without expanding role facts:
+    direct unread = direct facts not in the read log, per user; for each live
+    approver u, role unread = all role facts - those u acted on - those u read
+    (reads of own resolves do not count).  -> (user_id, unread_count > 0)."""
+    direct = facts.filter(F.col("audience").isNull())
+    d_unread = (direct.join(reads.select("user_id", *NOTIFY_KEY).distinct(), ["user_id"] + NOTIFY_KEY, "left_anti")
+                .groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
+    role = facts.filter(F.col("audience") == "APPROVERS")
+    total = role.count()   # one scalar
+    own = role.groupBy(F.col("actor").alias("user_id")).agg(F.count(F.lit(1)).alias("own"))
+    read = (reads.select("user_id", *NOTIFY_KEY).distinct().join(role.select(*NOTIFY_KEY, "actor"), NOTIFY_KEY)
+            .filter(F.col("user_id") != F.col("actor")).groupBy("user_id").agg(F.count(F.lit(1)).alias("rd")))
+    r_unread = (approvers(users).join(own, "user_id", "left").join(read, "user_id", "left")
+                .select("user_id", (F.lit(total) - F.coalesce("own", F.lit(0)) - F.coalesce("rd", F.lit(0)))
+                        .alias("n")))
+    return (d_unread.unionByName(r_unread).groupBy("user_id").agg(F.sum("n").cast("long").alias("unread_count"))
+            .filter(F.col("unread_count") > 0))
+
+
 def with_read_flag(notifications: DataFrame, reads: DataFrame) -> DataFrame:
     r = reads.select("notification_id", F.lit(True).alias("is_read"))
     return notifications.join(r, "notification_id", "left").withColumn("is_read", F.coalesce("is_read", F.lit(False)))
