@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -9,12 +8,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
+    """Local test session.  The checkpoint folder comes from the session's
+    ``spark.checkpoint.dir`` when the environment sets one; otherwise the
+    library picks a private /tmp folder (local masters only)."""
     from ledgerlens.session import get_spark
-    extra = {}
-    # tests set their own checkpoint folder only where the environment has none
-    if not os.environ.get("SPARK_CHECKPOINT_DIR_SET"):
-        extra["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="ledgerlens-test-", dir="/tmp")
-    s = get_spark("local[4]", shuffle_partitions=4, extra=extra)
+    s = get_spark("local[4]", shuffle_partitions=4)
     yield s
 
 
