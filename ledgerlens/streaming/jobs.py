@@ -230,7 +230,7 @@ def reconcile_closed_dates(spark: SparkSession, staging: str, out_dir: str, acc:
     from ledgerlens.config import MatchConfig
     from ledgerlens.plans.reconcile import reconcile
 
-    staged = spark.read.parquet(staging)
+    staged = spark.read.option("basePath", staging).parquet(staging)
     led = staged.filter(F.col("side") == "L").select(
         F.col("id").alias("ledger_txn_id"), "account_id", "txn_ref", "txn_type", "amount", "currency", "value_date",
         "batch_id")
@@ -281,7 +281,9 @@ def stream_reconcile(spark: SparkSession, led: DataFrame, ext: DataFrame, acc: D
     u = _stage_ledger(led).unionByName(_stage_external(ext))
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(staging, f"epoch={epoch}"))
+        # partitioned by side and value date: a run date's ledger read prunes to one folder
+        batch.write.mode("overwrite").partitionBy("side", "value_date") \
+            .parquet(os.path.join(staging, f"epoch={epoch}"))
         reconcile_closed_dates(batch.sparkSession, staging, out_dir, acc, rules, lateness_days)
 
     return (u.writeStream.foreachBatch(handle)
