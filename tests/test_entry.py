@@ -20,7 +20,7 @@ def test_entry(spark):
 def test_every_query_has_oracle_or_is_a_fold():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) <= {"request_dedupe", "login_lockout", "batch_registration"}
+    assert set(q) - set(o) <= {"batch_registration"}
 
 
 @pytest.mark.parametrize("name", FAST)
