@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_bpe, decontaminate, host_rank, license_scan, quality_rules, secret_links, warc_index
+from ledgerlens.llm import byte_bpe, decontaminate, host_rank, jaccard_tree, license_scan, quality_rules, secret_links, warc_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,6 +70,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
 
 
+# --- 4: n-gram Jaccard join --------------------------------------------------
+
+_PLAIN = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_PLAIN}') AS a FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(a[i : i + 2], ' ') AS g FROM w, unnest(range(1, greatest(2, len(a) - 1))) AS r(i) WHERE len(a) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)),
+reach AS (SELECT doc_id, doc_id AS to_id FROM w UNION SELECT reach.doc_id, l.b FROM reach JOIN l ON l.a = reach.to_id)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
+@register("op4_jaccard_join", OP4)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tree.join(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 # --- 5: secret scans ---------------------------------------------------------
 
 def _sql_pieces(kind: str) -> str:
@@ -118,8 +140,6 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 6: licence scans --------------------------------------------------------
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
 
 def _op6_sql() -> str:
     places = " UNION ALL ".join(
