@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_bpe, decontaminate, host_rank, jaccard_tree, license_scan, quality_rules, secret_links, warc_index
+from ledgerlens.llm import byte_bpe, decontaminate, host_rank, jaccard_tree, license_scan, quality_rules, secret_links, substring_dedup, warc_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -200,6 +200,26 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+# --- 8: substring dedup ------------------------------------------------------
+
+OP8 = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_PLAIN}') AS a FROM documents),
+g AS (SELECT doc_id, i, array_to_string(a[i : i + 34], ' ') AS s FROM w, unnest(range(1, len(a) - 33)) AS r(i)),
+rep AS (SELECT s FROM g GROUP BY s HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM g JOIN rep USING (s), range(35) AS q(k)),
+n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id),
+e AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS x FROM w),
+k AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY e.i) AS t FROM e ANTI JOIN c USING (doc_id, i) GROUP BY e.doc_id)
+SELECT w.doc_id, len(a)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+@register("op8_substring_dedup", OP8)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 # --- 9: benchmark decontamination --------------------------------------------
 
 OP9 = rf"""
