@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_bpe, decontaminate, host_rank, jaccard_tree, license_scan, quality_rules, secret_links, substring_dedup, warc_index
+from ledgerlens.llm import byte_bpe, decontaminate, host_rank, importance, jaccard_tree, license_scan, quality_rules, secret_links, substring_dedup, warc_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,8 +27,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def long_or_null(c) -> F.Column:
-    return c.cast("long")
+# --- 1: quality classifier ---------------------------------------------------
+
+@register("op1_importance_sample")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.Sampler(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).selected()
 
 
 # --- 2: byte-level BPE -------------------------------------------------------
