@@ -34,18 +34,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return importance.Sampler(docs, labels).keep()
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and text are not among those of ``gone`` (doc_id, text_hash)."""
+    gone = gone.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("__hash")]
+    return docs.select(F.struct(*docs.columns).alias("__row"), *keys).join(gone, ["__id", "__hash"], "left_anti").select("__row.*")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts linked by word shingles, the document of the smallest id (all rows that repeat it)."""
     found = jaccard_tree.join(docs)
-    gone = found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a window of the benchmark."""
     benchmark = spark.read.parquet(os.path.join(sf_dir, "benchmark.parquet"))
-    found = decontaminate.hits(docs, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti").select(*docs.columns)
+    return _without(docs, decontaminate.hits(docs, benchmark).filter("n_hit > 0"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

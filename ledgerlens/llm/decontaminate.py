@@ -198,7 +198,7 @@ def _word_counts(read: DataFrame, id_col: str) -> DataFrame:
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id",
          item_text: str = "text", size: int = SIZE, shingle: int = SHINGLE, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """The id column, ``n_words``, ``n_hit``, ``n_items`` long and ``items`` array<string> (sorted) of each row."""
+    """The id column, ``text_hash`` (of id and text), ``n_words``, ``n_hit``, ``n_items`` long and ``items`` array<string> (sorted) of each row."""
     spark = docs.sparkSession
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     read = docs.select(docs[id_col], F.coalesce(docs[id_col].cast("long"), F.lit(0)).alias("__id"),
@@ -218,7 +218,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
         told = part if told is None else told.unionByName(part)
     counted = _word_counts(read, id_col)
     if told is None:
-        return counted.select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"),
+        return counted.select(F.col("id").alias(id_col), F.col("__hash").alias("text_hash"), "n_words", F.lit(0).cast("long").alias("n_hit"),
                               F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"))
     one = told.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
                                  F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -227,6 +227,6 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
                                               F.greatest(s["to"], x["b"]).alias("to")), lambda s: s["n"])
     one = one.select(*KEY, union.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
     return counted.join(one, KEY, "left").select(
-        F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.col("id").alias(id_col), F.col("__hash").alias("text_hash"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))

@@ -360,7 +360,7 @@ def _one_set(text: pa.Array, size: int) -> np.ndarray:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """The id column, ``n_shingles`` long and ``component_id`` of each row."""
+    """The id column, ``text_hash`` (of id and text), ``n_shingles`` long and ``component_id`` of each row."""
     spark = docs.sparkSession
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     read = docs.select(docs[id_col].alias("id"), F.coalesce(docs[id_col].cast("long"), F.lit(0)).alias("__id"),
@@ -393,5 +393,5 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     owned = materialize(owned, "owned")
     lowest = materialize(owned.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
     named = materialize(owned.join(lowest, "root").select(*same, "component_id"), "named")
-    return base.select("id", *same).join(named, same, "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return base.select("id", "__hash", *same).join(named, same, "left").select(
+        F.col("id").alias(id_col), F.col("__hash").alias("text_hash"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -92,7 +92,7 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(to_id) AS component_i
 
 @register("op4_jaccard_join", OP4)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_tree.join(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return jaccard_tree.join(table(spark, sf_dir, "documents"), size=3, percent=90).drop("text_hash")
 
 
 # --- 5: secret scans ---------------------------------------------------------
