@@ -124,8 +124,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mark: st
         *TEXT_KEY, F.coalesce(F.max("x.e").over(span), F.lit(0)).alias("a"), F.col("x.s").alias("b"), F.col("x.e").alias("e"))
     gaps = gap.groupBy(*TEXT_KEY).agg(F.max("e").alias("end"), F.sort_array(F.collect_list(
         F.when((F.col("b") > F.col("a")) | (F.col("b") == 0), F.struct("a", "b")))).alias("gaps"))
-    full = docs.select("*", *keys[:2]).join(gaps, TEXT_KEY, "left")
-    old = F.col(text)
+    full = docs.select(F.struct(*docs.columns).alias("__row"), *keys[:2]).join(gaps, TEXT_KEY, "left")
+    old = F.col("__row").getField(text)
     new = F.concat(F.array_join(F.concat(F.transform("gaps", lambda x: old.substr(x["a"] + 1, x["b"] - x["a"])), F.array(F.lit(""))), mark),
                    old.substr(F.col("end") + 1, F.length(old)))
-    return full.withColumn(text, F.when(F.col("gaps").isNotNull(), new).otherwise(old)).select(*docs.columns)
+    return full.select(*[F.when(F.col("gaps").isNotNull(), new).otherwise(old).alias(c) if c == text else F.col("__row").getField(c).alias(c)
+                         for c in docs.columns])

@@ -50,7 +50,7 @@ PAGES = [(1, "http://a.example.org/es/1", '<a href="http://spam.com/x">'), (2, "
          (6, None, None), (7, "http://", "x"), (8, "http://x.com", None), (9, "http://x.com?a=/fr/", None), (10, "http://x.com/fr/", None),
          (11, "http://example.org/en/12", None), (12, "http://notexample.org/en/12", None), (13, "http://orgs/", None), (14, "x://y://z/", None),
          (15, "http://m.x.com/en", None), (16, "http://x.com/de/", None), (17, "http://b.net/1\n2", '<a HREF = "ftp://m.x.com:80/">'), (17, "http://b.net/1\n2", None),
-         (None, "http://d.net/", '<a href="http://b.net">' * 50), (18, "http://ÉÀ.net/É", None)]
+         (None, "http://d.net/", '<a href="http://b.net">' * 50), (18, "http://ÉÀ.net/É", None), (19, "http://linker.net/1", '<a href="http://spam.com/">')]
 
 
 def test_equals_brute_force(spark):
