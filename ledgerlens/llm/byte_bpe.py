@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -230,12 +231,22 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = Vocabulary(path).token
+        size = np.zeros(max(token) + 1, np.int64)
+        size[list(token)] = [len(t) for t in token.values()]
+        begin = np.cumsum(size) - size
+        content = np.frombuffer(b"".join(token[i] for i in sorted(token)), np.uint8)
         for batch in batches:
             column = batch.column("__ids")
-            for lo in range(0, batch.num_rows, 256):
-                part = column.slice(lo, 256)
-                decoded = [b"".join(map(token.__getitem__, x)) if x else b"" for x in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, 256) for c in own]
+            for lo in range(0, batch.num_rows, 64):
+                part = column.slice(lo, 64)
+                flat = part.flatten().to_numpy()
+                n = size[flat]
+                place = np.repeat(begin[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                counts = pc.fill_null(pc.list_value_length(part), 0).to_numpy()
+                ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
+                raw = content[place].tobytes()
+                decoded = [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, 64) for c in own]
                                                  + [pa.array(decoded, pa.binary())], names=[*own, "decoded"])
 
     return source.mapInArrow(run, schema)

@@ -35,7 +35,7 @@ def test_random_texts_and_both_merge_paths():
     rng, v, enc = random.Random(5), B.Vocabulary(PATH), reference()
     letters = "ab c\n\t'st  éèßñ你好🎉\u0085 123#$%\x1c\x00"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(1500)]
-    texts += [" " * 4000, "a" * 3000, "".join(rng.choice("abcdefghij") for _ in range(6000)), "<|endoftext|>"]
+    texts += [" " * 4000, "a" * 3000, "".join(rng.choice("abcdefghij") for _ in range(6000)), "<|endoftext|>", "  a b  c ", " a", "a ", "a \nb c\n d", "a\x1c b \u0085c", "it's 's 'll  's x"]
     find = regex.compile(P.PATTERN).findall
     got = B.encode_texts(texts, v, find, {})
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [enc.encode_ordinary(t) for t in texts]
