@@ -11,13 +11,13 @@ Order of tests per leftover row:
                    smallest absolute difference;
   MISSING_*        otherwise.
 DUPLICATE and TIMING are semi joins on pre-aggregated keys; the nearest
-amount comes from windows over (account, currency, date) cells, with the
-date window exploded into probe dates as in the matching passes.
+amount comes from windows over amount buckets of (account, currency, date)
+cells, with the date window exploded into probe dates as in the matching passes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
@@ -25,21 +25,43 @@ from ledgerlens import schemas as S
 K = ["account_id", "currency"]
 
 
+#: Amounts within a factor of exp(1/16) of each other share a bucket.
+BUCKETS_PER_E = 16
+
+
 def _nearest(left: DataFrame, other: DataFrame, window_days: int) -> DataFrame:
     """left(id, account, currency, amount, value_date) -> (id, amount_diff):
     the smallest |amount difference| to an other-side row of the same account
-    and currency within the window.  Nearest amounts come from a window over
-    each (account, currency, date) cell sorted by amount (no pairs)."""
+    and currency within the window.
+
+    A cell is (account, currency, date).  Inside a logarithmic amount bucket
+    the nearest amounts come from a window over the bucket; beyond it only the
+    largest amount of the next lower bucket in use and the smallest of the
+    next higher one can be nearer, and these come from a window over the
+    cell's bucket sums (a few hundred rows at most).  So no task holds a whole
+    account-day."""
     from ledgerlens.operators.matching import _nearest as nearest_in_cells
+    amount = F.col("amt").cast("double")
+    bucket = F.when(amount > 0, F.floor(F.ln(amount) * BUCKETS_PER_E)).otherwise(F.lit(-(10 ** 6))).cast("long")
     probes = (left.withColumn("off", F.explode(F.sequence(F.lit(-window_days), F.lit(window_days))))
-              .withColumn("cdate", F.date_add("value_date", F.col("off")))
-              .withColumn("bkt", F.lit(0).cast("long")).withColumn("amt", F.col("amount")))
+              .withColumn("cdate", F.date_add("value_date", F.col("off"))).withColumn("amt", F.col("amount"))
+              .withColumn("bkt", bucket).select("id", "off", *K, "cdate", "bkt", "amt"))
     cells = (other.groupBy(*K, "value_date", "amount").agg(F.min("id").alias("oid"))
-             .select(*K, F.col("value_date").alias("cdate"), F.lit(0).cast("long").alias("bkt"),
-                     F.col("amount").alias("amt"), "oid"))
-    near = nearest_in_cells(probes, cells, "id", "oid")
-    return (near.groupBy("id").agg(F.min(F.abs(F.col("probe_amt") - F.col("cand_amt"))).cast(S.MONEY)
-                                   .alias("amount_diff")))
+             .select(*K, F.col("value_date").alias("cdate"), F.col("amount").alias("amt"), "oid").withColumn("bkt", bucket))
+    inside = nearest_in_cells(probes, cells, "id", "oid").select("id", F.abs(F.col("probe_amt") - F.col("cand_amt")).alias("d"))
+    sums = cells.groupBy(*K, "cdate", "bkt").agg(F.min("amt").alias("lo"), F.max("amt").alias("hi"))
+    asked = probes.select(*K, "cdate", "bkt").distinct()
+    both = sums.withColumn("asked", F.lit(0)).unionByName(
+        asked.withColumn("lo", F.lit(None).cast(S.MONEY)).withColumn("hi", F.lit(None).cast(S.MONEY)).withColumn("asked", F.lit(1)))
+    both = both.groupBy(*K, "cdate", "bkt").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("asked").alias("asked"))
+    up = Window.partitionBy(*K, "cdate").orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*K, "cdate").orderBy(F.desc("bkt")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = (both.withColumn("below", F.last("hi", ignorenulls=True).over(up))
+            .withColumn("above", F.last("lo", ignorenulls=True).over(down)).filter("asked = 1")
+            .select(*K, "cdate", "bkt", "below", "above").filter("below is not null or above is not null"))
+    beyond = probes.join(ends, K + ["cdate", "bkt"]).select(
+        "id", F.least(F.abs(F.col("amt") - F.col("below")), F.abs(F.col("amt") - F.col("above"))).alias("d"))
+    return inside.unionByName(beyond).groupBy("id").agg(F.min("d").cast(S.MONEY).alias("amount_diff"))
 
 
 def _classify(left: DataFrame, matched_same: DataFrame, other_left: DataFrame, missing: str,

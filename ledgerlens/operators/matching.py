@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
 from ledgerlens.functions.columns import tolerance_confidence
+from ledgerlens.session import materialize
 
 KEY = ["account_id", "currency"]
 
@@ -36,10 +37,23 @@ KEY = ["account_id", "currency"]
 # Inputs
 # ---------------------------------------------------------------------------
 
+#: Copies of the account table that a side's rows are spread over, so that the
+#: rows of one account go to as many tasks.
+SALTS = 16
+
+
+def _with_account(rows: DataFrame, acc: DataFrame, id_col: str, on: str, keep: list[str]) -> DataFrame:
+    """``rows`` whose account exists, with the columns ``keep`` of it; joined on
+    the key and a salt from the row's id."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
+    copies = acc.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies.select(on, "salt", *keep), [on, "salt"], "inner" if keep else "left_semi").drop("salt")
+
+
 def ledger_side(led: DataFrame, acc: DataFrame) -> DataFrame:
     """Ledger rows whose account exists, narrowed to the matching columns."""
-    return (led.select("ledger_txn_id", "account_id", "currency", "amount", "value_date")
-            .join(acc.select("account_id"), "account_id", "left_semi"))
+    rows = led.select("ledger_txn_id", "account_id", "currency", "amount", "value_date")
+    return _with_account(rows, acc.select("account_id"), "ledger_txn_id", "account_id", [])
 
 
 def external_side(ext: DataFrame, acc: DataFrame, flagged_only: bool = False) -> DataFrame:
@@ -48,8 +62,8 @@ def external_side(ext: DataFrame, acc: DataFrame, flagged_only: bool = False) ->
     if flagged_only:
         e = e.filter(F.col("is_batched_settlement"))
     a = acc.select(F.col("external_ref").alias("account_ref"), "account_id")
-    return (e.select("ext_line_id", "account_ref", "currency", "amount", "value_date", "is_batched_settlement")
-            .join(a, "account_ref").drop("account_ref"))
+    rows = e.select("ext_line_id", "account_ref", "currency", "amount", "value_date", "is_batched_settlement")
+    return _with_account(rows, a, "ext_line_id", "account_ref", ["account_id"]).drop("account_ref")
 
 
 def exclude_matched(df: DataFrame, bridge: DataFrame | None, key: str) -> DataFrame:
@@ -105,7 +119,7 @@ def exact_matches(led: DataFrame, ext: DataFrame, window_days: int = 2) -> DataF
              .withColumn("e_date", F.date_add("value_date", F.col("off"))))
     cand = (probe.join(ek, KEY + ["amount", "e_date"])
             .select("l_id", "e_id", F.abs("off").alias("day_diff")))
-    pairs = _mutual_best(cand, "day_diff")
+    pairs = _mutual_best(materialize(cand, "exact_candidates"), "day_diff")
     return pairs.select(F.col("l_id").alias("ledger_txn_id"), F.col("e_id").alias("ext_line_id"),
                         F.lit(0).cast(S.MONEY).alias("amount_diff"), F.col("day_diff").cast("int").alias("day_diff"))
 
@@ -147,10 +161,13 @@ def _nearest(probes: DataFrame, cells: DataFrame, probe_id: str, cell_id: str) -
          .unionByName(probes.select(*part, "amt", F.lit(None).cast("long").alias("cid"),
                                     F.col(probe_id).alias("pid"), F.col("off").cast("int"), F.lit(1).alias("kind"))))
     cell = F.when(F.col("kind") == 0, F.struct(F.col("amt").alias("a"), F.col("cid").alias("id")))
-    w = Window.partitionBy(*part).orderBy("amt", "kind")
-    below = F.last(cell, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    above = F.first(cell, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    near = (u.select("kind", "pid", "off", "amt", below.alias("b"), above.alias("c"))
+    # both are running frames (one pass): the last cell row before the probe by
+    # rising amount, and by falling amount (there, equal amounts come after it)
+    rising = Window.partitionBy(*part).orderBy("amt", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    falling = (Window.partitionBy(*part).orderBy(F.desc("amt"), F.desc("kind"))
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    near = (u.select("kind", "pid", "off", "amt", F.last(cell, ignorenulls=True).over(rising).alias("b"),
+                     F.last(cell, ignorenulls=True).over(falling).alias("c"))
             .filter(F.col("kind") == 1)
             .select(F.col("pid").alias(probe_id), "off", F.col("amt").alias("probe_amt"),
                     F.explode(F.array("b", "c")).alias("n"))
@@ -186,8 +203,9 @@ def tolerance_matches(led: DataFrame, ext: DataFrame, rule: DataFrame) -> DataFr
     # bucket width ln(1+t); a tolerance of 100 % or more has an unbounded band
     # above a statement amount, so one bucket per (account, currency, date) then
     h = math.log1p(t) if t < 1 else float("inf")
-    lk = _keys(led, "ledger_txn_id", "l_id").withColumnRenamed("amount", "l_amount")
-    ek = _keys(ext, "ext_line_id", "e_id").withColumnRenamed("amount", "e_amount")
+    # each side's keys are probes and cells: written once, read twice
+    lk = materialize(_keys(led, "ledger_txn_id", "l_id").withColumnRenamed("amount", "l_amount"), "ledger_keys")
+    ek = materialize(_keys(ext, "ext_line_id", "e_id").withColumnRenamed("amount", "e_amount"), "line_keys")
     offsets = F.explode(F.sequence(F.lit(-win), F.lit(win)))
 
     def bucket_of(c):
@@ -266,21 +284,24 @@ def batch_matches(led: DataFrame, ext: DataFrame, same_currency: bool = False) -
     in a run (amounts are positive, so a later line would need a used row).
     -> (ext_line_id, ledger_txn_id)
     """
-    lines = (ext.filter(F.col("is_batched_settlement"))
-             .select("ext_line_id", "account_id", F.col("amount").alias("total"),
-                     F.col("currency").alias("line_currency")))
-    cand_led = led.join(lines.select("account_id").distinct(), "account_id", "left_semi")
+    lines = materialize(ext.filter(F.col("is_batched_settlement"))
+                        .select("ext_line_id", "account_id", F.col("amount").alias("total"),
+                                F.col("currency").alias("line_currency")), "flagged_lines")
+    cand_led = _with_account(led, lines.select("account_id").distinct(), "ledger_txn_id", "account_id", [])
     if same_currency:
         cand_led = cand_led.join(lines.select("account_id", F.col("line_currency").alias("currency")).distinct(),
                                  ["account_id", "currency"], "left_semi")
-    rt = running_totals(cand_led)
+    # written before and after the windows, so that these deal the rows out by
+    # (account, date, chunk) and are computed once for the three reads below
+    rt = materialize(running_totals(materialize(cand_led, "batch_ledger")), "running_totals")
     hit_cond = [rt.account_id == lines.account_id, rt.running_total == lines.total]
     if same_currency:
         hit_cond.append(rt.currency == lines.line_currency)
     hits = (rt.join(lines, hit_cond).groupBy(rt.account_id)
             .agg(F.min("ext_line_id").alias("ext_line_id")))
-    winners = hits.join(lines.select("ext_line_id", "total"), "ext_line_id")
-    members = rt.join(winners, "account_id").filter(F.col("running_total") <= F.col("total"))
+    winners = materialize(hits.join(lines.select("ext_line_id", "total"), "ext_line_id"), "winners")
+    members = _with_account(rt, winners, "ledger_txn_id", "account_id", ["ext_line_id", "total"]) \
+        .filter(F.col("running_total") <= F.col("total"))
     if same_currency:
         members = members.join(lines.select("ext_line_id", "line_currency"), "ext_line_id") \
             .filter(F.col("currency") == F.col("line_currency"))

@@ -56,10 +56,10 @@ def reconcile(led: DataFrame, ext: DataFrame, acc: DataFrame, rules: DataFrame |
     run_dir = run_dir or new_run_dir(spark, f"recon-{cfg.run_id}")
     led_s, ext_s = scope_inputs(led, ext, cfg)
 
-    # prepared sides: column-pruned scans (id, account, currency, amount, date)
-    # joined to the account table; pass results below are the written tables
-    L0 = M.exclude_matched(M.ledger_side(led_s, acc), ledger_bridge, "ledger_txn_id")
-    E0 = M.exclude_matched(M.external_side(ext_s, acc), ext_bridge, "ext_line_id")
+    # prepared sides (id, account, currency, amount, date), written once: all
+    # passes read them, and none takes over the account join's distribution
+    L0 = materialize(M.exclude_matched(M.ledger_side(led_s, acc), ledger_bridge, "ledger_txn_id"), "ledger_side", run_dir)
+    E0 = materialize(M.exclude_matched(M.external_side(ext_s, acc), ext_bridge, "ext_line_id"), "external_side", run_dir)
 
     exact, L1, E1 = _rounds(lambda l, e: M.exact_matches(l, e, cfg.exact_window_days), L0, E0, cfg.rounds,
                             "pass1_exact", run_dir)
