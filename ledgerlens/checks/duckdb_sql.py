@@ -142,10 +142,11 @@ SELECT job_id, job_type, payload, priority, attempts, 'max attempts reached' AS
 FROM job_base WHERE dead""")
 
 _fx("requests", [], """
-SELECT event_id AS request_id, CAST(user_id AS VARCHAR) AS user_id, 'PATCH' AS method,
+SELECT event_id AS request_id, CASE WHEN event_id % 31 <> 0 THEN CAST(user_id % 20 AS VARCHAR) END AS user_id,
+       ['GET', 'PATCH', 'PATCH', 'POST', 'PATCH', 'PUT', 'PATCH', 'DELETE'][1 + event_id % 8] AS method,
        '/api/exceptions/' || event_type AS path,
-       CAST(user_id AS VARCHAR) || ':' || event_type || ':' || strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d')
-         AS idempotency_key,
+       CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 29 = 0 THEN ''
+            ELSE event_type || ':' || strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d') END AS idempotency_key,
        CAST(ts AS TIMESTAMP) AS ts, CAST(ts AS TIMESTAMP) AS started_at,
        CAST(ts AS TIMESTAMP) + to_seconds(event_id % 7) AS finished_at,
        CASE WHEN event_id % 13 = 0 THEN 500 ELSE 200 END AS status_code, event_type
@@ -284,25 +285,25 @@ WITH e AS (SELECT ev.event_id, CAST(ev.user_id AS VARCHAR) AS u, CAST(ev.ts AS T
            FROM events ev LEFT JOIN users us ON us.user_id = CAST(ev.user_id AS VARCHAR))
 SELECT event_id AS exception_id, CAST(seq AS BIGINT) AS seq, action, actor, actor_role,
        CAST(expected_version AS INTEGER) AS expected_version, assign_to, note, ts + to_hours(seq) AS acted_at FROM (
-  SELECT event_id, ts, 1 AS seq, 'assign' AS action, '1' AS actor, 'ADMIN' AS actor_role,
+  SELECT event_id, ts, 1 AS seq, 'assign' AS action, '1' AS actor, CASE WHEN event_id % 23 <> 0 THEN 'ADMIN' END AS actor_role,
          CAST(NULL AS INTEGER) AS expected_version, u AS assign_to, CAST(NULL AS VARCHAR) AS note FROM e
   UNION ALL SELECT event_id, ts, 2, 'start', u, u_role, NULL, NULL, NULL FROM e
-  UNION ALL SELECT event_id, ts, 3, 'resolve', u, u_role, 3, NULL,
+  UNION ALL SELECT event_id, ts, 3, 'resolve', u, u_role, CASE WHEN event_id % 19 <> 0 THEN 3 END, NULL,
                    CASE WHEN event_id % 7 = 0 THEN 'ok' ELSE 'matched to statement' END FROM e
   UNION ALL SELECT event_id, ts, 4, 'resolve', u, u_role, 3, NULL, 'late retry' FROM e WHERE event_id % 4 = 0
-  UNION ALL SELECT event_id, ts, 5, 'approve', '3', 'ANALYST', 4, NULL, NULL FROM e WHERE event_id % 5 = 0
-  UNION ALL SELECT event_id, ts, 6, 'approve', '1', 'ADMIN', 4, NULL, NULL FROM e
+  UNION ALL SELECT event_id, ts, 5, 'approve', '3', CASE WHEN event_id % 10 <> 0 THEN 'ANALYST' END, 4, NULL, NULL FROM e WHERE event_id % 5 = 0
+  UNION ALL SELECT event_id, ts, 6, 'approve', '1', 'ADMIN', CASE WHEN event_id % 17 <> 0 THEN 4 END, NULL, NULL FROM e
   UNION ALL SELECT event_id, ts, 7, 'close', '1', 'ADMIN', 5, NULL, NULL FROM e)""")
 
-_CODE = """CASE WHEN a.action = 'assign' THEN (CASE WHEN a.actor_role NOT IN ('ADMIN', 'APPROVER') THEN 'FORBIDDEN'
+_CODE = """CASE WHEN a.action = 'assign' THEN (CASE WHEN coalesce(a.actor_role, '') NOT IN ('ADMIN', 'APPROVER') THEN 'FORBIDDEN'
                  WHEN st.status IN ('RESOLVED', 'APPROVED', 'CLOSED') THEN 'INVALID_STATE' END)
-     WHEN a.action = 'start' THEN (CASE WHEN a.actor_role NOT IN ('ANALYST', 'APPROVER', 'ADMIN') THEN 'FORBIDDEN'
+     WHEN a.action = 'start' THEN (CASE WHEN coalesce(a.actor_role, '') NOT IN ('ANALYST', 'APPROVER', 'ADMIN') THEN 'FORBIDDEN'
                  WHEN coalesce(st.assigned_to <> a.actor, true) OR st.status <> 'ASSIGNED' THEN 'INVALID_STATE' END)
-     WHEN a.action = 'resolve' THEN (CASE WHEN a.actor_role NOT IN ('ANALYST', 'APPROVER', 'ADMIN') THEN 'FORBIDDEN'
+     WHEN a.action = 'resolve' THEN (CASE WHEN coalesce(a.actor_role, '') NOT IN ('ANALYST', 'APPROVER', 'ADMIN') THEN 'FORBIDDEN'
                  WHEN coalesce(length(trim(a.note)), 0) < 5 THEN 'VALIDATION'
-                 WHEN st.version <> a.expected_version THEN 'VERSION_CONFLICT' END)
-     WHEN a.action IN ('approve', 'close') THEN (CASE WHEN a.actor_role NOT IN ('ADMIN', 'APPROVER') THEN 'FORBIDDEN'
-                 WHEN st.version <> a.expected_version THEN 'VERSION_CONFLICT' END)
+                 WHEN st.version IS DISTINCT FROM a.expected_version THEN 'VERSION_CONFLICT' END)
+     WHEN a.action IN ('approve', 'close') THEN (CASE WHEN coalesce(a.actor_role, '') NOT IN ('ADMIN', 'APPROVER') THEN 'FORBIDDEN'
+                 WHEN st.version IS DISTINCT FROM a.expected_version THEN 'VERSION_CONFLICT' END)
      ELSE 'UNKNOWN_ACTION' END"""
 
 _fx("acts", ["actions"], "SELECT *, row_number() OVER (PARTITION BY exception_id ORDER BY seq) AS step FROM actions")
@@ -340,3 +341,16 @@ _fx("hot_batched", ["hot_ledger", "hot_external", "accounts", "hot_exact", "hot_
     FIXTURES["batched"][1].replace("FROM ledger lt", "FROM hot_ledger lt")
     .replace("FROM external ex", "FROM hot_external ex").replace("FROM exact m", "FROM hot_exact m")
     .replace("FROM tolerance m", "FROM hot_tolerance m"))
+
+
+def _imported(body: str) -> str:
+    for name in ("external ex", "exact m", "tolerance m"):
+        body = body.replace(f"FROM {name}", f"FROM imp_{name}").replace(f"JOIN {name}", f"JOIN imp_{name}")
+    return body
+
+
+_fx("imp_external", ["external"], """
+SELECT 1 * 2147483648 + row_number() OVER (ORDER BY external_ref) AS ext_line_id, * EXCLUDE (ext_line_id) FROM external""")
+_fx("imp_exact", ["ledger", "imp_external", "accounts"], _imported(FIXTURES["exact"][1]))
+_fx("imp_tolerance", ["ledger", "imp_external", "accounts", "imp_exact", "tol_rule"], _imported(FIXTURES["tolerance"][1]))
+_fx("imp_batched", ["ledger", "imp_external", "accounts", "imp_exact", "imp_tolerance"], _imported(FIXTURES["batched"][1]))

@@ -3,9 +3,10 @@
 The recursive CTE of the reference becomes an iterative frontier join:
 round ``d`` joins the nodes reached at depth ``d-1`` with the link table on
 ``parent = current``.  Each round is written to the shared checkpoint folder
-(lineage stays one join deep) and the loop stops early when a frontier is
-empty or at the depth guard.  Work is proportional to the number of
-(root, node) pairs actually reached -- no all-pairs step.
+(lineage stays one join deep) and the loop ends when a frontier is empty.
+A node that a root has reached before is not entered again, so cycles end.
+Work is proportional to the number of (root, node) pairs actually reached --
+no all-pairs step.
 """
 
 from __future__ import annotations
@@ -13,15 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens import schemas as S
 from ledgerlens.session import materialize, new_run_dir
 
 
-def reversal_chains(led: DataFrame, links: DataFrame, max_depth: int = S.CHAIN_MAX_DEPTH,
+def reversal_chains(led: DataFrame, links: DataFrame, max_depth: int | None = None,
                     run_dir: str | None = None) -> DataFrame:
-    """-> (root_txn_id, chain_length, chain): roots are ledger ids never a
-    child; chain lists the reached ids by (depth, id); only chains with a
-    depth above 0 are kept."""
+    """-> (root_txn_id, chain_length, chain, is_truncated): roots are ledger ids
+    never a child; chain lists the reached ids by (smallest depth, id); only
+    chains with a depth above 0 are kept.  With ``max_depth`` deeper nodes are
+    left out, and ``is_truncated`` tells the chains that have some."""
     run_dir = run_dir or new_run_dir(led.sparkSession, "chains")
     edges = links.select(F.col("parent_txn_id").alias("current_txn_id"), F.col("child_txn_id").alias("next_id"))
     roots = (led.select(F.col("ledger_txn_id").alias("root_txn_id"))
@@ -31,20 +32,24 @@ def reversal_chains(led: DataFrame, links: DataFrame, max_depth: int = S.CHAIN_M
                            "root_txn_id", "left_semi")
                 .select("root_txn_id", F.col("root_txn_id").alias("current_txn_id"), F.lit(0).alias("depth")))
     frontier = materialize(frontier, "depth_00", run_dir)
-    levels = [frontier]
-    for d in range(1, max_depth + 1):
-        nxt = (frontier.join(edges, "current_txn_id")
-               .select("root_txn_id", F.col("next_id").alias("current_txn_id"), F.lit(d).alias("depth")))
-        nxt = materialize(nxt, f"depth_{d:02d}", run_dir)
+    paths, cut, depth = frontier, None, 0
+    while True:
+        depth += 1
+        nxt = (frontier.join(edges, "current_txn_id").select("root_txn_id", F.col("next_id").alias("current_txn_id"))
+               .distinct().join(paths.select("root_txn_id", "current_txn_id"), ["root_txn_id", "current_txn_id"], "left_anti")
+               .withColumn("depth", F.lit(depth)))
+        nxt = materialize(nxt, f"depth_{depth:02d}", run_dir)
         if nxt.isEmpty():
             break
-        levels.append(nxt)
-        frontier = nxt
-    paths = levels[0]
-    for lv in levels[1:]:
-        paths = paths.unionByName(lv)
-    return (paths.groupBy("root_txn_id")
+        if depth - 1 == max_depth:
+            cut = nxt.select("root_txn_id", F.lit(True).alias("is_truncated")).distinct()
+            break
+        paths, frontier = paths.unionByName(nxt), nxt
+    chains = (paths.groupBy("root_txn_id")
             .agg(F.max("depth").cast("long").alias("chain_length"),
                  F.sort_array(F.collect_list(F.struct("depth", "current_txn_id"))).alias("c"))
             .filter(F.col("chain_length") > 0)
             .select("root_txn_id", "chain_length", F.transform("c", lambda x: x["current_txn_id"]).alias("chain")))
+    if cut is None:
+        return chains.withColumn("is_truncated", F.lit(False))
+    return chains.join(cut, "root_txn_id", "left").withColumn("is_truncated", F.coalesce("is_truncated", F.lit(False)))

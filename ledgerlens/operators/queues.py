@@ -106,16 +106,23 @@ def with_total(page_df: DataFrame, total: int, page_size: int) -> DataFrame:
 def list_exceptions(exc: DataFrame, led: DataFrame, ext: DataFrame, users: DataFrame, as_of,
                     status=None, assigned_to=None, exception_type=None, search=None,
                     page_no: int = 1, page_size: int = 25) -> DataFrame:
-    """C1 + D6 + C6/C7 + G1 + F5.  Page size is capped at 100 as the API does."""
-    page_size = max(1, min(100, page_size))
-    page_no = max(1, page_no)
+    """C1 + D6 + C6/C7 + G1 + F5.  A page or size below 1 is an error.
+
+    Only a search on references needs the context of every exception; without
+    one, the page is taken first and its rows alone are joined."""
+    if page_size < 1 or page_no < 1:
+        raise ValueError(f"page_no and page_size start at 1, got {page_no} and {page_size}")
     now = _asof(as_of)
-    df = with_context(exc, led, ext, users)
-    df = filter_exceptions(df, status, assigned_to, exception_type, search)
-    df = (df.withColumn("is_sla_breached", is_sla_breached("status", "sla_deadline", now))
-          .withColumn("time_remaining_seconds", time_remaining_seconds("sla_deadline", now)))
+    order = [F.col("created_at").desc(), F.col("exception_id").desc()]
+    df = filter_exceptions(exc, status, assigned_to, exception_type)
+    if search:
+        df = search_refs(with_context(df, led, ext, users), search)
     total = df.count()
-    p = page(df, [F.col("created_at").desc(), F.col("exception_id").desc()], page_no, page_size)
+    p = page(df, order, page_no, page_size)
+    if not search:
+        p = with_context(p, led, ext, users).orderBy(*order)
+    p = (p.withColumn("is_sla_breached", is_sla_breached("status", "sla_deadline", now))
+         .withColumn("time_remaining_seconds", time_remaining_seconds("sla_deadline", now)))
     return with_total(p, total, page_size)
 
 
@@ -158,6 +165,23 @@ def latest_batch(batches: DataFrame, sources: DataFrame, ext: DataFrame) -> Data
             .select("batch_id", "source_id", "file_name", "completed_at"))
 
 
+class NoSettlementBatch(ValueError):
+    """A run was asked for without a statement batch that it could use."""
+
+    code = "NO_EXTERNAL_SETTLEMENT_BATCH"
+
+
+def require_batch(batches: DataFrame, sources: DataFrame, ext: DataFrame, batch_id: int | None = None) -> int:
+    """The given batch if it is eligible, else without one the newest eligible; NoSettlementBatch if there is none."""
+    if batch_id is None:
+        found = latest_batch(batches, sources, ext).select("batch_id").first()
+    else:
+        found = eligible_batches(batches.filter(F.col("batch_id") == batch_id), sources, ext).select("batch_id").first()
+    if found is None:
+        raise NoSettlementBatch("no external settlement batch is available for reconciliation")
+    return found["batch_id"]
+
+
 def run_history(runs: DataFrame, users: DataFrame, page_no: int = 1, page_size: int = 20) -> DataFrame:
     """Runs with the trigger's name, newest first, paged."""
     u = users.select(F.col("user_id").alias("triggered_by"), F.col("full_name").alias("triggered_by_name"))

@@ -89,6 +89,8 @@ def validate_statement(raw: DataFrame, acc: DataFrame, existing: DataFrame,
                 | (F.col("settlement_date").isNotNull() & sd.isNull()))
     for c, w in S.STATEMENT_WIDTHS.items():
         cast_err = cast_err | F.coalesce(_too_long(c, w), F.lit(False))
+    if "is_malformed" in raw.columns:  # rows that don't fit their header
+        cast_err = cast_err | F.col("is_malformed")
     rows = _row_rules(raw, {
         "REQUIRED_FIELDS": F.greatest(*[F.col(c).isNull() for c in S.STATEMENT_REQUIRED]),
         "AMOUNT_NOT_POSITIVE": F.coalesce(amount <= 0, F.lit(False)),
@@ -115,6 +117,8 @@ def validate_ledger(raw: DataFrame, acc: DataFrame, existing: DataFrame,
     cast_err = ((F.col("amount").isNotNull() & amount.isNull()) | (F.col("value_date").isNotNull() & vd.isNull()))
     for c, w in S.LEDGER_WIDTHS.items():
         cast_err = cast_err | F.coalesce(_too_long(c, w), F.lit(False))
+    if "is_malformed" in raw.columns:
+        cast_err = cast_err | F.col("is_malformed")
     rows = _row_rules(raw, {
         "LEDGER_REQUIRED_FIELDS": F.greatest(*[F.col(c).isNull() for c in S.LEDGER_REQUIRED]),
         "TXN_TYPE": F.coalesce(~F.col("txn_type").isin(S.TXN_TYPES), F.lit(False)),

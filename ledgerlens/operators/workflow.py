@@ -10,7 +10,7 @@ actions, a login history is per user); the shuffle itself spreads keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
@@ -31,9 +31,10 @@ STRICT_FROM = {"resolve": ["ASSIGNED", "IN_PROGRESS"], "approve": ["RESOLVED"],
 def _reject_code(st: Column, a: Column, strict: bool = False) -> Column:
     """NULL when the action is accepted in state ``st``, else the reason."""
     act, role = a["action"], a["actor_role"]
-    approver = role.isin(S.APPROVER_ROLES)
-    worker = role.isin(S.WORKER_ROLES)
-    stale = st["version"] != a["expected_version"]
+    # a missing role may do nothing, a missing version is never the current one
+    approver = F.coalesce(role.isin(S.APPROVER_ROLES), F.lit(False))
+    worker = F.coalesce(role.isin(S.WORKER_ROLES), F.lit(False))
+    stale = ~st["version"].eqNullSafe(a["expected_version"])
     note_ok = F.coalesce(F.length(F.trim(a["note"])), F.lit(0)) >= S.RESOLUTION_NOTE_MIN
     code = (F.when(act == "assign", F.when(~approver, "FORBIDDEN")
                    .when(st["status"].isin(S.NO_REASSIGN_STATUSES), "INVALID_STATE"))
@@ -276,31 +277,68 @@ def with_read_flag(notifications: DataFrame, reads: DataFrame) -> DataFrame:
 # J11 idempotent request dedupe
 # ---------------------------------------------------------------------------
 
-def dedupe_requests(log: DataFrame) -> DataFrame:
-    """Key hash = sha256(user:method:path:key).  Per key in (ts, id)
-    order: a request while the owning request runs -> CONFLICT; after it
-    finished with a status below 500 -> REPLAYED (cached response); after a
-    5xx the key was cleared, so the request owns the key again -> FIRST."""
-    h = F.sha2(F.concat_ws(":", "user_id", "method", "path", "idempotency_key"), 256)
-    ev = log.select(h.alias("key_hash"), F.struct(
-        F.col("ts"), F.col("request_id").cast("long").alias("request_id"), F.col("finished_at"),
-        F.col("status_code").cast("int").alias("status_code")).alias("r"))
-    per = ev.groupBy("key_hash").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    s0 = F.struct(F.lit(None).cast("timestamp").alias("owner_done"), F.lit(None).cast("int").alias("owner_code"),
-                  F.array().cast("array<struct<request_id:bigint,outcome:string>>").alias("out"))
-
-    def step(st, r):
-        free = st["owner_done"].isNull() | ((st["owner_code"] >= 500) & (r["ts"] >= st["owner_done"]))
-        running = ~free & (r["ts"] < st["owner_done"])
-        outcome = F.when(free, "FIRST").when(running, "CONFLICT").otherwise("REPLAYED")
-        return F.struct(
-            F.when(free, r["finished_at"]).otherwise(st["owner_done"]).alias("owner_done"),
-            F.when(free, r["status_code"]).otherwise(st["owner_code"]).alias("owner_code"),
-            F.concat(st["out"], F.array(F.struct(r["request_id"].alias("request_id"),
-                                                 outcome.alias("outcome")))).alias("out"))
+GUARDED_METHODS = ["POST", "PATCH", "PUT"]
+
+
+def guarded(log: DataFrame) -> Column:
+    """Requests that the idempotency check applies to: they change something and bring a key."""
+    return F.coalesce(F.col("method").isin(GUARDED_METHODS) & (F.col("idempotency_key") != ""), F.lit(False))
+
+
+def request_key(log: DataFrame) -> Column:
+    """sha256(user:method:path:key), null for requests that aren't ``guarded``."""
+    text = F.concat(F.coalesce("user_id", F.lit("anonymous")), F.lit(":"), "method", F.lit(":"), F.coalesce("path", F.lit("")),
+                    F.lit(":"), "idempotency_key")
+    return F.when(guarded(log), F.sha2(text, 256))
 
-    res = per.select("key_hash", F.aggregate("rs", s0, step)["out"].alias("out"))
-    return res.select("key_hash", F.explode("out").alias("o")).select("key_hash", "o.request_id", "o.outcome")
+
+def dedupe_requests(log: DataFrame) -> DataFrame:
+    """Per key in (ts, id) order: a request while the owning request runs
+    (or if that never ended) -> CONFLICT; after it finished with a status below
+    500 -> REPLAYED (cached response); after a 5xx the key was cleared, so the
+    request owns the key again -> FIRST.  Requests without a key, or of other
+    methods, pass by -> BYPASS.
+
+    Nothing is folded row by row: a failed owner's successor is the first
+    request after it finished (a running frame over requests and finishes),
+    owners are what the first request of a key reaches through successors
+    (pointer doubling), and the owner in force at a request is the last one
+    before it (a running frame).  -> (key_hash, request_id, outcome)
+    """
+    from ledgerlens.session import materialize
+    ev = log.select(request_key(log).alias("key_hash"), F.col("request_id").cast("long").alias("request_id"), "ts",
+                    F.greatest("finished_at", "ts").alias("done"), F.col("finished_at").isNull().alias("open"),
+                    F.col("status_code").cast("int").alias("code"))
+    ev = materialize(ev, "requests")
+    keyed = ev.filter("key_hash is not null")
+    cleared = F.coalesce((F.col("code") >= 500) & ~F.col("open"), F.lit(False))
+    # requests, and for each cleared one its end; on equal times only later ids come after
+    marks = (keyed.select("key_hash", F.col("ts").alias("at"), F.col("request_id").alias("id"), F.lit(0).alias("kind"), "request_id")
+             .unionByName(keyed.filter(cleared).select(
+                 "key_hash", F.col("done").alias("at"),
+                 F.when(F.col("done") > F.col("ts"), F.lit(-2 ** 63)).otherwise(F.col("request_id")).alias("id"),
+                 F.lit(1).alias("kind"), "request_id")))
+    back = (Window.partitionBy("key_hash").orderBy(F.desc("at"), F.desc("id"), F.desc("kind"))
+            .rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last(F.when(F.col("kind") == 0, F.col("request_id")), ignorenulls=True).over(back)
+    jump = materialize(marks.withColumn("next", after).filter("kind = 1 and next is not null")
+                       .select(F.col("request_id").alias("owner"), "next"), "successors")
+    owners = materialize(keyed.groupBy("key_hash").agg(F.min(F.struct("ts", "request_id")).alias("m"))
+                         .select(F.col("m.request_id").alias("owner")), "owners")
+    while True:
+        found = owners.join(jump, "owner").select(F.col("next").alias("owner"))
+        if found.isEmpty():
+            break
+        owners = materialize(owners.unionByName(found).distinct(), "owners")
+        twice = jump.alias("a").join(jump.alias("b"), F.col("a.next") == F.col("b.owner"))
+        jump = materialize(twice.select(F.col("a.owner"), F.col("b.next")), "successors")
+    own = keyed.join(owners.select(F.col("owner").alias("request_id"), F.lit(True).alias("is_owner")), "request_id", "left")
+    upto = Window.partitionBy("key_hash").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    holder = F.last(F.when(F.col("is_owner"), F.struct("done", "open")), ignorenulls=True).over(upto)
+    told = own.withColumn("h", holder).select(
+        "key_hash", "request_id", F.when(F.col("is_owner"), "FIRST")
+        .when(F.col("h.open") | (F.col("ts") < F.col("h.done")), "CONFLICT").otherwise("REPLAYED").alias("outcome"))
+    return told.unionByName(ev.filter("key_hash is null").select("key_hash", "request_id", F.lit("BYPASS").alias("outcome")))
 
 
 # ---------------------------------------------------------------------------

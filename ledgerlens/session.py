@@ -79,6 +79,34 @@ def materialize(df: DataFrame, name: str = "part", run_dir: str | None = None) -
     return spark.read.parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def with_dense_ids(df: DataFrame, order: list[str], id_col: str, base: int = 0) -> DataFrame:
+    """Add ``id_col`` = base + 1, base + 2, ... in the order of ``order`` (nulls
+    first).  Rows are dealt out by range and numbered inside each range; the
+    ranges' sizes (one row a range) give each range's offset, so no task sees
+    more than one range.  Rows equal in all of ``order`` are numbered in any way."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    spark = df.sparkSession
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    ranged = materialize(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ranged")
+    counts = {r["__range"]: r["n"] for r in ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, total = [], base
+    for k in sorted(counts):
+        starts.append((k, total))
+        total += counts[k]
+    offsets = F.broadcast(spark.createDataFrame(starts or [(0, base)], "__range int, __start long"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*keys))
+    return (ranged.withColumn("__place", place).join(offsets, "__range")
+            .withColumn(id_col, F.col("__start") + F.col("__place")).drop("__range", "__place", "__start"))
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
 

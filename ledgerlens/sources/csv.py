@@ -8,10 +8,17 @@ reported by the CAST_ERROR rule instead of failing the job.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens import schemas as S
+from ledgerlens.session import with_dense_ids
+
+#: A batch's rows are numbered from batch_id * BATCH_ROWS on.
+BATCH_ROWS = 2 ** 31
 
 
 class CsvHeaderError(ValueError):
@@ -20,19 +27,40 @@ class CsvHeaderError(ValueError):
     code = "CSV_HEADER_ERROR"
 
 
-def _clean(raw: DataFrame) -> DataFrame:
-    cols = []
-    for c in raw.columns:
-        name = c.strip().lower()
-        cols.append(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(name))
-    return raw.select(*cols)
+#: Whether a row has more or fewer fields than its header, or a quote that never ends.
+MALFORMED = "is_malformed"
+
+
+def _layouts(spark: SparkSession, path: str) -> list[tuple[str, bool, list[str]]]:
+    """(header line, has quoted line breaks, files) of the uploads under a path.
+
+    One splittable scan of the lines: the first line of each file, and whether
+    any line has an odd number of quotes.  A header is one short row a file."""
+    lines = spark.read.text(path).select(
+        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value",
+        (F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).alias("odd"))
+    files = lines.filter(F.trim("value") != "").groupBy("file").agg(F.min_by("value", "at").alias("header"), F.max("odd").alias("odd"))
+    return [(r["header"], r["odd"], sorted(r["files"])) for r in
+            files.groupBy("header", "odd").agg(F.collect_list("file").alias("files")).collect()]
 
 
 def read_csv_strings(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Raw upload: header row, every column a string, blank lines skipped."""
-    return _clean(spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
-                  .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-                  .option("mode", "PERMISSIVE").csv(path))
+    """Raw upload: each file's own header row, every column a string, blank
+    lines skipped, doubled quotes and quoted line breaks as RFC 4180 has them.
+    Rows that don't fit their header are kept and marked (``MALFORMED``)."""
+    out = None
+    for header, broken, files in sorted(_layouts(spark, path)):
+        names = [c.strip().lower() for c in next(csv.reader([header.lstrip("\ufeff")], delimiter=sep))]
+        schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))]
+                              + [T.StructField("__raw", T.StringType())])
+        raw = (spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+               .option("multiLine", bool(broken)).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__raw")
+               .option("columnPruning", False).csv(files))  # with pruning, short and long rows pass unnoticed
+        one = raw.select(*[F.nullif(F.trim(F.col(f"c{k}")), F.lit("")).alias(n) for k, n in enumerate(names)],
+                         F.col("__raw").isNotNull().alias(MALFORMED))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out if out is not None else spark.createDataFrame([], f"{MALFORMED} boolean")
 
 
 def check_headers(columns: list[str], kind: str) -> None:
@@ -44,13 +72,12 @@ def check_headers(columns: list[str], kind: str) -> None:
         raise CsvHeaderError(f"CSV is missing required column(s): {', '.join(missing)}")
 
 
-def check_size(raw: DataFrame, max_rows: int | None = S.IMPORT_MAX_ROWS) -> str | None:
-    """A4: 'EMPTY_FILE' / 'ROW_LIMIT' / None.  Reads at most max_rows+1 rows."""
-    probe = raw if max_rows is None else raw.limit(max_rows + 1)
-    n = probe.count()
-    if n == 0:
+def check_size(raw: DataFrame, max_rows: int | None = None) -> str | None:
+    """A4: 'EMPTY_FILE' / 'ROW_LIMIT' / None; no limit unless one is given
+    (the upload path's is ``schemas.IMPORT_MAX_ROWS``)."""
+    if raw.isEmpty():
         return "EMPTY_FILE"
-    if max_rows is not None and n > max_rows:
+    if max_rows is not None and raw.limit(max_rows + 1).count() > max_rows:
         return "ROW_LIMIT"
     return None
 
@@ -70,8 +97,10 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def conform(raw: DataFrame, columns: list[str]) -> DataFrame:
-    """Keep the known columns in order; optional ones missing become NULL."""
-    return raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    """Keep the known columns in order; optional ones missing become NULL.  The
+    mark of malformed rows stays."""
+    return raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in columns],
+                      *[c for c in raw.columns if c == MALFORMED])
 
 
 def _date(c: str):
@@ -95,9 +124,12 @@ def type_ledger(raw: DataFrame) -> DataFrame:
 
 def publish_statement(typed: DataFrame, batch_id: int, source_id: int) -> DataFrame:
     """Staged -> main columns: upper-case currency, stamped batch/source.
-    ext_line_id is derived from (batch, external_ref), which is unique."""
-    return typed.select(
-        F.xxhash64(F.lit(batch_id), "external_ref").alias("ext_line_id"),
+    ``ext_line_id`` numbers the batch's rows from batch_id * BATCH_ROWS + 1 on,
+    by external_ref and then the other columns."""
+    numbered = with_dense_ids(typed.drop(MALFORMED), ["external_ref", *[c for c in typed.columns if c not in ("external_ref", MALFORMED)]],
+                              "ext_line_id", batch_id * BATCH_ROWS)
+    return numbered.select(
+        "ext_line_id",
         F.lit(batch_id).cast("long").alias("batch_id"), F.lit(source_id).cast("int").alias("source_id"),
         "external_ref", "account_ref", F.col("amount").cast(S.MONEY).alias("amount"),
         F.upper("currency").alias("currency"), "value_date", "settlement_date",
@@ -106,10 +138,13 @@ def publish_statement(typed: DataFrame, batch_id: int, source_id: int) -> DataFr
 
 def publish_ledger(typed: DataFrame, acc: DataFrame, batch_id: int) -> DataFrame:
     """Staged ledger joined to accounts on external_ref (rows without an
-    account drop out), upper-case currency, blank counterparty/narrative NULL."""
+    account drop out), upper-case currency, blank counterparty/narrative NULL.
+    ``ledger_txn_id`` numbers the rows as in ``publish_statement``, by txn_ref."""
     a = acc.select(F.col("external_ref").alias("account_ref"), "account_id")
-    return typed.join(a, "account_ref").select(
-        F.xxhash64(F.lit(batch_id), "txn_ref").alias("ledger_txn_id"), "account_id", "txn_ref", "txn_type",
+    known = typed.drop(MALFORMED).join(a, "account_ref")
+    order = ["txn_ref", "account_ref", "txn_type", "amount", "currency", "value_date", "counterparty", "narrative"]
+    return with_dense_ids(known, order, "ledger_txn_id", batch_id * BATCH_ROWS).select(
+        "ledger_txn_id", "account_id", "txn_ref", "txn_type",
         "amount", F.upper("currency").alias("currency"), "value_date",
         F.nullif("counterparty", F.lit("")).alias("counterparty"), F.nullif("narrative", F.lit("")).alias("narrative"),
         F.lit(batch_id).cast("long").alias("batch_id"))

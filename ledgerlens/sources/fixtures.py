@@ -227,11 +227,11 @@ class Fixtures:
         ts = T.as_timestamp("ts")
         return e.select(
             F.col("event_id").alias("request_id"),
-            F.col("user_id").cast("string").alias("user_id"),
-            F.lit("PATCH").alias("method"),
+            F.when(F.col("event_id") % 31 != 0, (F.col("user_id") % 20).cast("string")).alias("user_id"),
+            _pick(["GET", "PATCH", "PATCH", "POST", "PATCH", "PUT", "PATCH", "DELETE"], F.col("event_id") % 8).alias("method"),
             F.concat(F.lit("/api/exceptions/"), F.col("event_type")).alias("path"),
-            F.concat_ws(":", F.col("user_id").cast("string"), F.col("event_type"),
-                        F.date_format(ts, "yyyy-MM-dd")).alias("idempotency_key"),
+            F.when(F.col("event_id") % 11 == 0, F.lit(None).cast("string")).when(F.col("event_id") % 29 == 0, F.lit(""))
+            .otherwise(F.concat_ws(":", F.col("event_type"), F.date_format(ts, "yyyy-MM-dd"))).alias("idempotency_key"),
             ts.alias("ts"),
             add_hours(ts, F.lit(0)).alias("started_at"),
             F.timestamp_add("SECOND", (F.col("event_id") % 7).cast("int"), ts).alias("finished_at"),
@@ -324,13 +324,13 @@ class Fixtures:
 
         # one scan of the events: every action of an exception as an array element
         acts = F.array(
-            act(1, "assign", F.lit("1"), F.lit("ADMIN"), null_i, u, null_s),
+            act(1, "assign", F.lit("1"), F.when(eid % 23 == 0, null_s).otherwise(F.lit("ADMIN")), null_i, u, null_s),
             act(2, "start", u, ur, null_i, null_s, null_s),
-            act(3, "resolve", u, ur, F.lit(3), null_s,
+            act(3, "resolve", u, ur, F.when(eid % 19 == 0, null_i).otherwise(F.lit(3)), null_s,
                 F.when(eid % 7 == 0, F.lit("ok")).otherwise(F.lit("matched to statement"))),
             act(4, "resolve", u, ur, F.lit(3), null_s, F.lit("late retry"), eid % 4 == 0),
-            act(5, "approve", F.lit("3"), F.lit("ANALYST"), F.lit(4), null_s, null_s, eid % 5 == 0),
-            act(6, "approve", F.lit("1"), F.lit("ADMIN"), F.lit(4), null_s, null_s),
+            act(5, "approve", F.lit("3"), F.when(eid % 10 == 0, null_s).otherwise(F.lit("ANALYST")), F.lit(4), null_s, null_s, eid % 5 == 0),
+            act(6, "approve", F.lit("1"), F.lit("ADMIN"), F.when(eid % 17 == 0, null_i).otherwise(F.lit(4)), null_s, null_s),
             act(7, "close", F.lit("1"), F.lit("ADMIN"), F.lit(5), null_s, null_s),
         )
         out = (e.select(eid.alias("exception_id"), "ts", F.explode(acts).alias("a")).filter(F.col("a").isNotNull())

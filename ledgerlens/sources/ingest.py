@@ -8,29 +8,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
+from ledgerlens.session import materialize, with_dense_ids
+
+
+#: Larger files are hashed as a stream; a row can't hold their content.
+ROW_BYTES = 1 << 30
 
 
 def read_files(spark: SparkSession, path_glob: str) -> DataFrame:
-    """Uploaded files as (path, file_name, file_hash); the content is hashed
-    inside the task and never leaves it."""
-    return (spark.read.format("binaryFile").load(path_glob)
-            .select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"),
-                    F.sha2("content", 256).alias("file_hash")))
+    """Uploaded files as (path, file_name, file_hash): sha256 of the content,
+    taken inside the tasks.  Files of more than ``ROW_BYTES`` are read block by
+    block (the same hash, in constant memory)."""
+    files = spark.read.format("binaryFile").load(path_glob)
+    name = F.element_at(F.split("path", "/"), -1).alias("file_name")
+    whole = files.filter(F.col("length") <= ROW_BYTES).select("path", name, F.sha2("content", 256).alias("file_hash"))
+    large = files.filter(F.col("length") > ROW_BYTES).select("path", name)
+    return whole.unionByName(large.mapInPandas(_stream_hash, "path string, file_name string, file_hash string"))
+
+
+def _stream_hash(batches):
+    import hashlib
+
+    from pyarrow import fs
+    for pdf in batches:
+        hashes = []
+        for path in pdf["path"]:
+            store, inner = fs.FileSystem.from_uri(path)
+            h = hashlib.sha256()
+            with store.open_input_stream(inner, compression=None) as f:
+                while block := f.read(8 << 20):
+                    h.update(block)
+            hashes.append(h.hexdigest())
+        yield pdf.assign(file_hash=hashes)
 
 
 def register_batch(files: DataFrame, manifest: DataFrame, source_id: int) -> DataFrame:
     """A5: (source, hash) already COMPLETED or PROCESSING -> DUPLICATE_IMPORT;
-    FAILED -> RETRY (the failed batch id is reused and its lines replaced);
-    otherwise NEW with a batch id derived from (source, hash)."""
+    FAILED -> RETRY (the failed batch id is used again and its lines replaced);
+    otherwise NEW with the next batch ids, in order of hash.  Of files with
+    equal content in one call the one with the smallest path counts, the others
+    are DUPLICATE_IMPORT.  files: path, file_name, file_hash."""
     m = (manifest.filter(F.col("source_id") == source_id)
          .groupBy("file_hash").agg(F.max_by(F.struct("batch_id", "status"), "batch_id").alias("b")))
-    j = files.join(m, "file_hash", "left")
-    decision = (F.when(F.col("b").isNull(), "NEW")
+    hashes = files.groupBy("file_hash").agg(F.min("path").alias("first")).join(m, "file_hash", "left")
+    hashes = materialize(hashes, "hashes")
+    last = manifest.agg(F.max("batch_id")).first()[0] or 0
+    new = with_dense_ids(hashes.filter("b is null").select("file_hash"), ["file_hash"], "new_id", last)
+    j = files.join(hashes, "file_hash").join(new, "file_hash", "left")
+    decision = (F.when(F.col("path") != F.col("first"), "DUPLICATE_IMPORT").when(F.col("b").isNull(), "NEW")
                 .when(F.col("b.status").isin("COMPLETED", "PROCESSING"), "DUPLICATE_IMPORT")
                 .otherwise("RETRY"))
     return j.select("path", "file_name", "file_hash", decision.alias("decision"),
-                    F.when(F.col("b").isNull(), F.abs(F.xxhash64(F.lit(source_id), "file_hash")))
-                    .otherwise(F.col("b.batch_id")).alias("batch_id"))
+                    F.coalesce("new_id", "b.batch_id").cast("long").alias("batch_id"))
 
 
 def bank_date(c) -> F.Column:

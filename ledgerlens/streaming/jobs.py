@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerlens import schemas as S
 from ledgerlens.operators import validation as V
-from ledgerlens.session import new_run_dir
+from ledgerlens.session import new_run_dir, path_exists
 from ledgerlens.sources import csv as CSV
 
 STATEMENT_STRINGS = "external_ref string, account_ref string, amount string, currency string, " \
@@ -90,10 +90,13 @@ def stream_exact_candidates(led: DataFrame, ext: DataFrame, window_days: int = 2
 # ---------------------------------------------------------------------------
 
 def stream_dedupe(requests: DataFrame, watermark: str = "24 hours") -> DataFrame:
-    """First request per idempotency key hash within the watermark."""
-    h = F.sha2(F.concat_ws(":", "user_id", "method", "path", "idempotency_key"), 256)
-    return (requests.withColumn("key_hash", h).withWatermark("ts", watermark)
-            .dropDuplicatesWithinWatermark(["key_hash"]))
+    """First request per idempotency key hash within the watermark; requests
+    that the check doesn't apply to (no key, other methods) all pass, known by
+    their ``request_id``."""
+    from ledgerlens.operators.workflow import request_key
+    known = requests.withColumn("key_hash", request_key(requests)).withColumn(
+        "dedupe_by", F.coalesce("key_hash", F.concat(F.lit("request "), F.col("request_id").cast("string"))))
+    return known.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["dedupe_by"]).drop("dedupe_by")
 
 
 # ---------------------------------------------------------------------------
@@ -123,7 +126,7 @@ def stream_rate_limit(log: DataFrame, key_col: str, ts_col: str, minutes: int, m
 # K5 streaming workflow state with an SLA timer
 # ---------------------------------------------------------------------------
 
-WF_STATE = "status string, version int, assigned_to string, sla_deadline timestamp"
+WF_STATE = "status string, version int, assigned_to string, sla_deadline timestamp, breached boolean"
 WF_OUT = "exception_id long, seq long, action string, code string, status string, version int, event string"
 
 
@@ -137,8 +140,7 @@ def _code(st: dict, a) -> str | None:
         if role not in S.WORKER_ROLES:
             return "FORBIDDEN"
         return None if (st["assigned_to"] == a.actor and st["status"] == "ASSIGNED") else "INVALID_STATE"
-    stale = a.expected_version is not None and not pd.isna(a.expected_version) \
-        and int(a.expected_version) != st["version"]
+    stale = pd.isna(a.expected_version) or int(a.expected_version) != st["version"]
     if act == "resolve":
         if role not in S.WORKER_ROLES:
             return "FORBIDDEN"
@@ -156,37 +158,54 @@ _STATUS = {"assign": "ASSIGNED", "start": "IN_PROGRESS", "resolve": "RESOLVED",
            "close": "CLOSED"}
 
 
+_STATE_FIELDS = ["status", "version", "assigned_to", "sla_deadline", "breached"]
+#: How long a closed exception's state is kept after the watermark (late actions still find it closed).
+CLOSED_KEPT_MS = 24 * 3600 * 1000
+
+
+def _breach(exception_id, st: dict) -> pd.DataFrame:
+    st["breached"] = True
+    return pd.DataFrame([{"exception_id": exception_id, "seq": None, "action": None, "code": None,
+                          "status": st["status"], "version": st["version"], "event": "SLA_BREACHED"}])
+
+
 def _workflow_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The state outlives a breach, so later actions go on from it; a breach is
+    told once.  Only a closed exception's state is dropped, a day later."""
     (exception_id,) = key
-    if state.hasTimedOut:
-        st = dict(zip(["status", "version", "assigned_to", "sla_deadline"], state.get))
+    st = dict(zip(_STATE_FIELDS, state.get)) if state.exists else {
+        "status": "UNASSIGNED", "version": 1, "assigned_to": None, "sla_deadline": None, "breached": False}
+    if state.hasTimedOut and st["status"] == "CLOSED":
         state.remove()
-        if st["status"] not in S.DONE_STATUSES:
-            yield pd.DataFrame([{"exception_id": exception_id, "seq": None, "action": None, "code": None,
-                                 "status": st["status"], "version": st["version"], "event": "SLA_BREACHED"}])
         return
-    if state.exists:
-        st = dict(zip(["status", "version", "assigned_to", "sla_deadline"], state.get))
-    else:
-        st = {"status": "UNASSIGNED", "version": 1, "assigned_to": None, "sla_deadline": None}
     rows = []
-    for pdf in pdfs:
-        for a in pdf.sort_values("seq").itertuples(index=False):
-            if st["sla_deadline"] is None and getattr(a, "sla_deadline", None) is not None:
-                st["sla_deadline"] = a.sla_deadline
-            code = _code(st, a)
-            if code is None:
-                st["status"] = _STATUS[a.action]
-                st["version"] += 1
-                if a.action == "assign":
-                    st["assigned_to"] = a.assign_to
-            rows.append({"exception_id": exception_id, "seq": int(a.seq), "action": a.action, "code": code,
-                         "status": st["status"], "version": st["version"], "event": "ACTION"})
-    state.update((st["status"], st["version"], st["assigned_to"], st["sla_deadline"]))
-    if st["sla_deadline"] is not None and st["status"] not in S.DONE_STATUSES:
-        state.setTimeoutTimestamp(int(pd.Timestamp(st["sla_deadline"]).timestamp() * 1000))
+    if not state.hasTimedOut:
+        for pdf in pdfs:
+            for a in pdf.sort_values("seq").itertuples(index=False):
+                deadline = getattr(a, "sla_deadline", None)
+                if st["sla_deadline"] is None and deadline is not None and not pd.isna(deadline):
+                    st["sla_deadline"] = deadline
+                code = _code(st, a)
+                if code is None:
+                    st["status"] = _STATUS[a.action]
+                    st["version"] += 1
+                    if a.action == "assign":
+                        st["assigned_to"] = a.assign_to
+                rows.append({"exception_id": exception_id, "seq": int(a.seq), "action": a.action, "code": code,
+                             "status": st["status"], "version": st["version"], "event": "ACTION"})
     if rows:
         yield pd.DataFrame(rows)
+    timer = None
+    if st["status"] == "CLOSED":
+        timer = state.getCurrentWatermarkMs() + CLOSED_KEPT_MS
+    elif st["sla_deadline"] is not None and not st["breached"] and st["status"] not in S.DONE_STATUSES:
+        timer = int(pd.Timestamp(st["sla_deadline"]).timestamp() * 1000)
+        if timer <= state.getCurrentWatermarkMs():  # the deadline has passed: a timer can't be set for it
+            timer = None
+            yield _breach(exception_id, st)
+    state.update(tuple(st[f] for f in _STATE_FIELDS))
+    if timer is not None:
+        state.setTimeoutTimestamp(timer)
 
 
 def stream_workflow_state(actions: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -244,7 +263,7 @@ def reconcile_closed_dates(spark: SparkSession, staging: str, out_dir: str, acc:
     horizon = top - __import__("datetime").timedelta(days=lateness_days)
     done_path = os.path.join(out_dir, "closed_dates")
     done = set()
-    if os.path.isdir(done_path):
+    if path_exists(spark, done_path):
         done = {r[0] for r in spark.read.parquet(done_path).select("run_date").collect()}
     # one row per value date: bounded by the calendar, not by the data
     dates = sorted(r[0] for r in led.filter(F.col("value_date") <= F.lit(horizon))
@@ -253,7 +272,7 @@ def reconcile_closed_dates(spark: SparkSession, staging: str, out_dir: str, acc:
     for d in dates:
         def prior(part: str, col: str):
             p = os.path.join(out_dir, part)
-            return spark.read.parquet(p).select(col) if os.path.isdir(p) else None
+            return spark.read.parquet(p).select(col) if path_exists(spark, p) else None
         lb, eb = prior("ledger_lines", "ledger_txn_id"), prior("external_lines", "ext_line_id")
         px = prior("exceptions", "*")
         cfg = MatchConfig(run_id=int(d.strftime("%Y%m%d")), run_date=d)
