@@ -13,11 +13,13 @@ Two sets link if ``100 * intersection >= percent * union``.  The steps:
    children's bitmaps, their size range and largest surplus.  Two nodes can
    share at most the common bits plus the smaller surplus; a pair of nodes
    that can't reach the least overlap its sizes ask for is cut.
-4. First, each set searches the tree for one earlier partner; these pairs are
-   verified on the full texts, and links become components.  Then the tree is
-   traversed against itself for all pairs from different components, and
-   those are verified too.  So a group of many near copies needs about one
-   pair a text, and yet no link between components is missed.
+4. First, hubs take the sets that they may link to; these pairs are verified
+   on the full texts, and links become components.  Then trees over groups
+   with more than one component are traversed against themselves: for some
+   rounds, only each set's best partner of another component is verified, as
+   long as that finds links; at last all pairs of different components are.
+   So a group of many near copies needs a few pairs a text, and yet no link
+   between components is missed.
 
 A group of more than ``GROUP_ROWS`` sets is dealt out as pairs of blocks.
 
@@ -49,6 +51,8 @@ SKETCH_BITS = 18
 BITMAP_BITS = 2048
 #: Children of a tree node.
 FANOUT = 8
+#: Rounds of best partners before all pairs of different components are looked at; more rounds leave fewer of these.
+BEST_ROUNDS = 3
 #: Sets of a candidate group that one task handles; larger groups go as pairs of blocks.
 GROUP_ROWS = 4096
 
@@ -222,7 +226,7 @@ def _candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
 
 
 class Tree:
-    """Signature tree over sets in order of size: arrays of each level, leaves first."""
+    """Signature tree over sets in a given order: arrays of each level, leaves first."""
 
     def __init__(self, bits: np.ndarray, n: np.ndarray, label: np.ndarray):
         surplus = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
@@ -236,6 +240,13 @@ class Tree:
             label = np.where((one == np.maximum.reduceat(label, first)), one, -1)
             self.levels.append((bits, low, high, surplus, label))
 
+    def likeness(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Largest possible similarity of pairs of leaves."""
+        bits, n, _, surplus, _ = self.levels[0]
+        both = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(surplus[a], surplus[b])
+        both = np.minimum(both, np.minimum(n[a], n[b]))
+        return both / (n[a] + n[b] - both)
+
 
 def _possible(x: tuple, y: tuple, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Which node pairs (a of x, b of y) can hold a link, by sizes and the largest possible overlap."""
@@ -271,6 +282,20 @@ def search_first(tree: Tree, percent: int) -> list[tuple[int, int]]:
     return pairs
 
 
+def best_partners(tree: Tree, percent: int) -> list[tuple[int, int]]:
+    """For each leaf that can link to one with another label, the one that it is most alike."""
+    n = len(tree.levels[0][1])
+    score, partner = np.zeros(n), np.full(n, -1, np.int64)
+    for a, b in dual_traversal(tree, percent):
+        alike = tree.likeness(a, b)
+        for x, y in ((a, b), (b, a)):
+            order = np.lexsort((-y, alike, x))
+            last = order[np.append(x[order][1:] != x[order][:-1], True)]
+            better = last[alike[last] > score[x[last]]]
+            score[x[better]], partner[x[better]] = alike[better], y[better]
+    return [(x, int(partner[x])) for x in np.flatnonzero(partner >= 0).tolist()]
+
+
 def dual_traversal(tree: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of leaves with different labels that can link, some at a time."""
     stack = [(len(tree.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -294,8 +319,12 @@ def dual_traversal(tree: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.nd
             stack.append((depth - 1, x[keep], y[keep]))
 
 
-def _tree_pairs(grouped: DataFrame, percent: int, first_only: bool) -> DataFrame:
-    """Distinct (a, b), a < b, that the groups' trees let pass; grouped: gid, rid, n, bits, label."""
+def _tree_pairs(grouped: DataFrame, percent: int, wanted: str) -> DataFrame:
+    """Distinct (a, b), a < b, that the groups' trees let pass; grouped: gid, rid, n, bits, label.
+
+    wanted: ``hubs`` (``search_first``), ``best`` (``best_partners``) or ``all`` (``dual_traversal``).
+    """
+    search = {"hubs": search_first, "best": best_partners}.get(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: list[np.ndarray] = []
@@ -318,8 +347,8 @@ def _tree_pairs(grouped: DataFrame, percent: int, first_only: bool) -> DataFrame
             told.append(np.stack([rid[ok], rid[ok + 1]]))
             for f, s in zip(first[size > 2].tolist(), size[size > 2].tolist()):
                 tree = Tree(bits[f:f + s], n[f:f + s], label[f:f + s])
-                if first_only:
-                    found = search_first(tree, percent)
+                if search:
+                    found = search(tree, percent)
                     if found:
                         told.append(rid[f + np.array(found, np.int64).T])
                 else:
@@ -329,8 +358,9 @@ def _tree_pairs(grouped: DataFrame, percent: int, first_only: bool) -> DataFrame
                             yield from tell()
             yield from tell()
 
-    dealt = grouped.repartition("gid").sortWithinPartitions("gid", "n", "rid")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    # hubs are the smallest sets; else components lie together, so that nodes have one label
+    order = ["gid", "n", "rid"] if wanted == "hubs" else ["gid", "label", "n", "rid"]
+    return grouped.repartition("gid").sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -377,18 +407,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     keys = base.select("rid", "__id", "__hash").join(involved, "rid", "left_semi")
     texts = read.select("__id", "__hash", "__text").join(keys, ["__id", "__hash"]).select("rid", F.col("__text").alias("text"))
     texts = materialize(texts.dropDuplicates(["rid"]), "texts")
-    first = materialize(_tree_pairs(grouped.withColumn("label", F.col("rid")), percent, True), "first")
-    links = materialize(_verified(first, texts, size, percent), "links")
+    tried = materialize(_tree_pairs(grouped.withColumn("label", F.col("rid")), percent, "hubs"), "pairs")
+    links = materialize(_verified(tried, texts, size, percent), "links")
     roots = materialize(components(links), "roots")
-    labelled = grouped.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left") \
-        .select("gid", "rid", "n", "bits", F.coalesce("root", "rid").alias("label"))
-    mixed = labelled.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("gid")
-    rest = _tree_pairs(labelled.join(materialize(mixed, "mixed"), "gid", "left_semi"), percent, False)
-    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = materialize(_verified(rest, texts, size, percent), "links")
+    for wanted in ["best"] * BEST_ROUNDS + ["all"]:
+        labelled = grouped.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left") \
+            .select("gid", "rid", "n", "bits", F.coalesce("root", "rid").alias("label"))
+        mixed = labelled.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("gid")
+        found = _tree_pairs(labelled.join(materialize(mixed, "mixed"), "gid", "left_semi"), percent, wanted)
+        found = materialize(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(_verified(found, texts, size, percent), "links")
+        tried, links = tried.unionByName(found), links.unionByName(more)
         if not more.isEmpty():
-            roots = materialize(components(links.unionByName(more)), "roots")
+            roots = materialize(components(links), "roots")
     owned = classes.join(roots, F.col("rep") == F.col("node"), "left").select(*same, "low", F.coalesce("root", "rep").alias("root"))
     owned = materialize(owned, "owned")
     lowest = materialize(owned.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
