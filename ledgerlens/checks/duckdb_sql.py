@@ -1,11 +1,9 @@
 """DuckDB SQL of the fixtures and of every registered query (the oracle).
 
 The driver runs these next to the Spark queries on the same Parquet tables
-(pre-registered as views).  The oracle follows the reference's own SQL form
--- theta joins ranked with two ``row_number`` windows, recursive CTEs,
-LAG/SUM windows -- so it checks the Spark rewrites (bucketed equi joins,
-``min(struct)`` ranking, two-level running sums, iterative frontiers)
-against the direct formulation.
+(pre-registered as views).  Each is written from the operator's definition in
+a form of its own -- least pairs, sums over earlier rows, anti joins, stepwise
+recursion -- so that a wrong Spark form can't be wrong in the same way.
 """
 
 from __future__ import annotations
@@ -156,58 +154,57 @@ _fx("auth_events", [], """
 SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, CAST(ts AS TIMESTAMP) AS ts, event_type = 'signup' AS success
 FROM events WHERE event_type IN ('error', 'signup')""")
 
-# --- the global reconciliation run, in the reference's SQL form -------------
-_fx("exact", ["ledger", "external", "accounts"], """
-SELECT ledger_txn_id, ext_line_id, CAST(0 AS DECIMAL(18,2)) AS amount_diff, day_diff FROM (
-  SELECT *, row_number() OVER (PARTITION BY ledger_txn_id ORDER BY day_diff, ext_line_id) AS lr,
-            row_number() OVER (PARTITION BY ext_line_id ORDER BY day_diff, ledger_txn_id) AS er
-  FROM (SELECT lt.ledger_txn_id, ex.ext_line_id, abs(lt.value_date - ex.value_date) AS day_diff
-        FROM ledger lt JOIN accounts a ON a.account_id = lt.account_id
-        JOIN external ex ON ex.account_ref = a.external_ref AND ex.currency = lt.currency
-         AND ex.value_date BETWEEN lt.value_date - 2 AND lt.value_date + 2
-        WHERE lt.amount = ex.amount))
-WHERE lr = 1 AND er = 1""")
-
 _fx("tol_rule", ["rules"], """
-SELECT amount_tolerance, date_window_days FROM rules WHERE rule_type = 'TOLERANCE' AND is_active
-ORDER BY priority, rule_id LIMIT 1""")
-
-_fx("tolerance", ["ledger", "external", "accounts", "exact", "tol_rule"], """
-SELECT ledger_txn_id, ext_line_id, CAST(amount_diff AS DECIMAL(18,2)) AS amount_diff, day_diff,
-       CAST(100 - least(20, amount_diff * 100) AS DECIMAL(5,2)) AS confidence_score FROM (
-  SELECT *, row_number() OVER (PARTITION BY ledger_txn_id ORDER BY amount_diff, ext_line_id) AS lr,
-            row_number() OVER (PARTITION BY ext_line_id ORDER BY amount_diff, ledger_txn_id) AS er
-  FROM (SELECT lt.ledger_txn_id, ex.ext_line_id, abs(lt.amount - ex.amount) AS amount_diff,
-               abs(lt.value_date - ex.value_date) AS day_diff
-        FROM ledger lt JOIN accounts a ON a.account_id = lt.account_id
-        JOIN external ex ON ex.account_ref = a.external_ref AND ex.currency = lt.currency
-        CROSS JOIN tol_rule r
-        WHERE ex.value_date BETWEEN lt.value_date - r.date_window_days AND lt.value_date + r.date_window_days
-          AND abs(lt.amount - ex.amount) <= lt.amount * r.amount_tolerance
-          AND NOT EXISTS (SELECT 1 FROM exact m WHERE m.ledger_txn_id = lt.ledger_txn_id)
-          AND NOT EXISTS (SELECT 1 FROM exact m WHERE m.ext_line_id = ex.ext_line_id)))
-WHERE lr = 1 AND er = 1""")
-
-_fx("batched", ["ledger", "external", "accounts", "exact", "tolerance"], """
-WITH ul AS (
-  SELECT lt.ledger_txn_id, lt.account_id,
-         sum(lt.amount) OVER (PARTITION BY lt.account_id ORDER BY lt.value_date, lt.ledger_txn_id
-                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_total
-  FROM ledger lt JOIN accounts a ON a.account_id = lt.account_id
-  WHERE NOT EXISTS (SELECT 1 FROM exact m WHERE m.ledger_txn_id = lt.ledger_txn_id)
-    AND NOT EXISTS (SELECT 1 FROM tolerance m WHERE m.ledger_txn_id = lt.ledger_txn_id)),
-bc AS (
-  SELECT ex.ext_line_id, a.account_id, ex.amount AS total
-  FROM external ex JOIN accounts a ON a.external_ref = ex.account_ref
-  WHERE ex.is_batched_settlement
-    AND NOT EXISTS (SELECT 1 FROM exact m WHERE m.ext_line_id = ex.ext_line_id)
-    AND NOT EXISTS (SELECT 1 FROM tolerance m WHERE m.ext_line_id = ex.ext_line_id)),
-win AS (
-  SELECT bc.account_id, min(bc.ext_line_id) AS ext_line_id
-  FROM bc JOIN ul ON ul.account_id = bc.account_id AND ul.running_total = bc.total GROUP BY bc.account_id)
-SELECT win.ext_line_id, ul.ledger_txn_id
-FROM win JOIN bc ON bc.ext_line_id = win.ext_line_id
-JOIN ul ON ul.account_id = win.account_id AND ul.running_total <= bc.total""")
+SELECT amount_tolerance, date_window_days FROM rules r WHERE rule_type = 'TOLERANCE' AND is_active
+AND (priority, rule_id) = (SELECT min((priority, rule_id)) FROM rules WHERE rule_type = 'TOLERANCE' AND is_active)""")
+
+
+def _passes(p: str, ledger: str, external: str) -> None:
+    """The three passes over two tables as CTEs ``<p>exact``, ``<p>tolerance`` and ``<p>batched``.
+
+    Each side's choice is the least (distance, other id) of its candidates,
+    and a pair is a match if both choose each other.  Running totals are sums
+    over all earlier rows of the account.
+    """
+    _fx(f"{p}rows", [ledger, "accounts"], f"SELECT * FROM {ledger} SEMI JOIN accounts USING (account_id)")
+    _fx(f"{p}lines", [external, "accounts"], f"""
+SELECT s.*, a.account_id FROM {external} s, accounts a WHERE a.external_ref = s.account_ref""")
+
+    def mutual(cand: str, dist: str, carry: str) -> str:
+        return f"""cand AS ({cand}),
+mine AS (SELECT l, arg_min(c, ({dist}, e)) AS c FROM cand c GROUP BY l),
+theirs AS (SELECT e, arg_min(c, ({dist}, l)) AS c FROM cand c GROUP BY e)
+SELECT mine.l AS ledger_txn_id, theirs.e AS ext_line_id, {carry}
+FROM mine, theirs WHERE mine.c.e = theirs.e AND theirs.c.l = mine.l"""
+
+    _fx(f"{p}exact", [f"{p}rows", f"{p}lines"], f"""
+WITH {mutual(f"""SELECT ledger_txn_id AS l, ext_line_id AS e, abs(r.value_date - x.value_date) AS days
+  FROM {p}rows r JOIN {p}lines x USING (account_id, currency, amount) WHERE abs(r.value_date - x.value_date) <= 2""",
+             "c.days", "CAST(0 AS DECIMAL(18,2)) AS amount_diff, mine.c.days AS day_diff")}""")
+
+    _fx(f"{p}tolerance", [f"{p}rows", f"{p}lines", f"{p}exact", "tol_rule"], f"""
+WITH {mutual(f"""SELECT ledger_txn_id AS l, ext_line_id AS e, abs(r.amount - x.amount) AS gap, abs(r.value_date - x.value_date) AS days
+  FROM (SELECT * FROM {p}rows ANTI JOIN {p}exact USING (ledger_txn_id)) r
+  JOIN (SELECT * FROM {p}lines ANTI JOIN {p}exact USING (ext_line_id)) x USING (account_id, currency)
+  WHERE abs(r.value_date - x.value_date) <= (SELECT date_window_days FROM tol_rule)
+    AND abs(r.amount - x.amount) <= r.amount * (SELECT amount_tolerance FROM tol_rule)""",
+             "c.gap", "CAST(mine.c.gap AS DECIMAL(18,2)) AS amount_diff, mine.c.days AS day_diff, "
+                      "CAST(100 - least(20, mine.c.gap * 100) AS DECIMAL(5,2)) AS confidence_score")}""")
+
+    _fx(f"{p}batched", [f"{p}rows", f"{p}lines", f"{p}exact", f"{p}tolerance"], f"""
+WITH free AS (SELECT ledger_txn_id AS id, account_id, value_date, amount FROM {p}rows
+              WHERE ledger_txn_id NOT IN (SELECT ledger_txn_id FROM {p}exact UNION SELECT ledger_txn_id FROM {p}tolerance)),
+flagged AS (SELECT ext_line_id, account_id, amount FROM {p}lines WHERE is_batched_settlement
+            AND ext_line_id NOT IN (SELECT ext_line_id FROM {p}exact UNION SELECT ext_line_id FROM {p}tolerance)),
+asked AS (SELECT f.* FROM free f SEMI JOIN flagged USING (account_id)),
+upto AS (SELECT x.account_id, x.id, sum(y.amount) AS so_far FROM asked x JOIN asked y ON y.account_id = x.account_id
+         AND (y.value_date < x.value_date OR y.value_date = x.value_date AND y.id <= x.id) GROUP BY ALL),
+taken AS (SELECT account_id, arg_min(f, f.ext_line_id) AS f FROM flagged f JOIN upto USING (account_id)
+          WHERE so_far = amount GROUP BY account_id)
+SELECT taken.f.ext_line_id AS ext_line_id, upto.id AS ledger_txn_id FROM taken JOIN upto USING (account_id) WHERE so_far <= taken.f.amount""")
+
+
+_passes("", "ledger", "external")
 
 _fx("ledger_bridge", ["exact", "tolerance", "batched"], """
 SELECT ext_line_id AS match_id, ledger_txn_id FROM exact UNION ALL
@@ -332,25 +329,19 @@ def _hot(body: str) -> str:
 
 _fx("hot_ledger", [], _hot(FIXTURES["ledger"][1]))
 _fx("hot_external", ["hot_ledger"], FIXTURES["external"][1].replace("FROM ledger", "FROM hot_ledger"))
-_fx("hot_exact", ["hot_ledger", "hot_external", "accounts"],
-    FIXTURES["exact"][1].replace("FROM ledger lt", "FROM hot_ledger lt").replace("JOIN external ex", "JOIN hot_external ex"))
-_fx("hot_tolerance", ["hot_ledger", "hot_external", "accounts", "hot_exact", "tol_rule"],
-    FIXTURES["tolerance"][1].replace("FROM ledger lt", "FROM hot_ledger lt")
-    .replace("JOIN external ex", "JOIN hot_external ex").replace("FROM exact m", "FROM hot_exact m"))
-_fx("hot_batched", ["hot_ledger", "hot_external", "accounts", "hot_exact", "hot_tolerance"],
-    FIXTURES["batched"][1].replace("FROM ledger lt", "FROM hot_ledger lt")
-    .replace("FROM external ex", "FROM hot_external ex").replace("FROM exact m", "FROM hot_exact m")
-    .replace("FROM tolerance m", "FROM hot_tolerance m"))
-
-
-def _imported(body: str) -> str:
-    for name in ("external ex", "exact m", "tolerance m"):
-        body = body.replace(f"FROM {name}", f"FROM imp_{name}").replace(f"JOIN {name}", f"JOIN imp_{name}")
-    return body
-
+_passes("hot_", "hot_ledger", "hot_external")
 
+# the feed as the import publishes it, and a run's scope: one date, the newest batch that can be used
 _fx("imp_external", ["external"], """
 SELECT 1 * 2147483648 + row_number() OVER (ORDER BY external_ref) AS ext_line_id, * EXCLUDE (ext_line_id) FROM external""")
-_fx("imp_exact", ["ledger", "imp_external", "accounts"], _imported(FIXTURES["exact"][1]))
-_fx("imp_tolerance", ["ledger", "imp_external", "accounts", "imp_exact", "tol_rule"], _imported(FIXTURES["tolerance"][1]))
-_fx("imp_batched", ["ledger", "imp_external", "accounts", "imp_exact", "imp_tolerance"], _imported(FIXTURES["batched"][1]))
+_passes("imp_", "ledger", "imp_external")
+
+_fx("usable", ["batches", "sources", "external"], """
+SELECT b.* FROM batches b SEMI JOIN external USING (batch_id)
+WHERE status = 'COMPLETED' AND source_id NOT IN (SELECT source_id FROM sources WHERE file_format = 'DATABASE')""")
+_fx("newest", ["usable"], """
+SELECT * FROM usable a WHERE NOT EXISTS (SELECT 1 FROM usable b WHERE b.completed_at > a.completed_at
+  OR a.completed_at IS NULL AND b.completed_at IS NOT NULL OR b.completed_at IS NOT DISTINCT FROM a.completed_at AND b.batch_id > a.batch_id)""")
+_fx("sc_ledger", ["ledger"], "SELECT * FROM ledger WHERE value_date = DATE '1998-12-31'")
+_fx("sc_external", ["external", "newest"], "SELECT * FROM external SEMI JOIN newest USING (batch_id)")
+_passes("sc_", "sc_ledger", "sc_external")
