@@ -79,8 +79,13 @@ _fx("users", [], """
 SELECT CAST(c_custkey AS VARCHAR) AS user_id, c_name AS full_name, CAST(r AS INTEGER) AS role_id,
        CASE r WHEN 1 THEN 'ADMIN' WHEN 2 THEN 'APPROVER' WHEN 3 THEN 'ANALYST' ELSE 'AUDITOR' END AS role,
        CASE WHEN c_custkey % 50 = 7 THEN TIMESTAMP '2024-01-15 00:00:00' END AS deleted_at
-FROM (SELECT *, CASE WHEN c_custkey % 100 = 1 THEN 1 WHEN c_custkey % 100 = 2 THEN 2 WHEN c_custkey % 10 = 9 THEN 4
-                     ELSE 3 END AS r FROM customer)""")
+FROM (SELECT *, c_custkey % 4 + 1 AS r FROM customer)""")
+
+_fx("bursts", [], """
+SELECT 'burst-' || event_id AS user_id, CAST(ts AS TIMESTAMP) AS ts, event_type
+FROM events, unnest(range(CASE WHEN event_id % 2500 = 3 THEN 301 WHEN event_id % 250 = 7 THEN 11 ELSE 0 END)) AS k(i)""")
+
+_fx("schedules", [], "SELECT n_nationkey AS schedule_id, n_name AS name, n_nationkey % 3 <> 0 AS is_active FROM nation")
 
 _fx("exceptions", [], """
 SELECT event_id AS exception_id, CAST(1 AS BIGINT) AS run_id,

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
-from ledgerlens.session import bounded_broadcast
 
 # ---------------------------------------------------------------------------
 # J5 workflow replay
@@ -188,32 +187,6 @@ def notification_facts(accepted: DataFrame, exc_types: DataFrame) -> DataFrame:
     return facts.filter(F.col("audience").isNotNull() | F.col("user_id").isNotNull())
 
 
-def expand_notifications(facts: DataFrame, users: DataFrame, max_approvers: int = 100_000) -> DataFrame:
-    """The per-recipient notification table of the reference: direct facts
-    plus every role fact x live approver except the actor.  The approver list
-    is broadcast only when it provably has at most ``max_approvers`` rows; the
-    output is resolves x approvers by definition -- use it only where that
-    table is wanted (``inbox`` and ``unread_counts`` work on the facts)."""
-    direct = facts.filter(F.col("audience").isNull())
-    role = facts.filter(F.col("audience") == "APPROVERS").withColumn("k", F.lit(1))
-    aud = approvers(users).select(F.lit(1).alias("k"), F.col("user_id").alias("notify_user"))
-    expanded = (role.join(bounded_broadcast(aud, max_approvers), "k")
-                .filter(F.col("notify_user") != F.col("actor"))
-                .withColumn("user_id", F.col("notify_user")))
-    cols = ["user_id", "exception_id", "seq", "kind", "exception_type", "created_at"]
-    out = direct.select(*cols).unionByName(expanded.select(*cols))
-    return out.withColumn("notification_id", F.xxhash64("user_id", "exception_id", "seq", "kind"))
-
-
-def fan_out(accepted: DataFrame, exc_types: DataFrame, users: DataFrame,
-            max_approvers: int = 100_000) -> DataFrame:
-    """Accepted actions -> the per-recipient notification rows
-    (notification_id, user_id, exception_id, seq, kind, exception_type, created_at).
-    Title, message and link are templates of the kind, added by
-    ``render_notifications`` where rows are read."""
-    return expand_notifications(notification_facts(accepted, exc_types), users, max_approvers)
-
-
 def render_notifications(df: DataFrame) -> DataFrame:
     """Title, message and link of notification facts (the texts are fixed
     templates of the kind)."""
@@ -226,20 +199,25 @@ def render_notifications(df: DataFrame) -> DataFrame:
     return df.withColumn("title", title).withColumn("message", msg).withColumn("link", link)
 
 
+def own_notifications(facts: DataFrame, users: DataFrame, user_id: str) -> DataFrame:
+    """One user's notifications: the direct ones, and the role facts of others'
+    resolves if the user is a live approver."""
+    cols = ["user_id", "exception_id", "seq", "kind", "exception_type", "created_at"]
+    mine = facts.filter(F.col("audience").isNull() & (F.col("user_id") == user_id)).select(*cols)
+    if approvers(users).filter(F.col("user_id") == user_id).isEmpty():
+        return mine
+    role = facts.filter((F.col("audience") == "APPROVERS") & ~F.col("actor").eqNullSafe(F.lit(user_id)))
+    return mine.unionByName(role.withColumn("user_id", F.lit(user_id)).select(*cols))
+
+
 def inbox(facts: DataFrame, reads: DataFrame, users: DataFrame, user_id: str, unread_only: bool = True,
           page_no: int = 1, page_size: int = 20) -> DataFrame:
-    """One user's notifications from the compact facts (direct ones, plus
-    the role facts of others' resolves when the user is a live approver),
-    read flags from the read-event log (user_id, exception_id, seq, kind),
-    newest first, one page, texts rendered for the page only."""
-    is_approver = approvers(users).filter(F.col("user_id") == user_id).limit(1).count() > 0
-    mine = facts.filter(F.col("audience").isNull() & (F.col("user_id") == user_id))
-    if is_approver:
-        mine = mine.unionByName(facts.filter((F.col("audience") == "APPROVERS") & (F.col("actor") != user_id))
-                                .withColumn("user_id", F.lit(user_id)))
+    """One page of a user's notifications, newest first, with read flags
+    from the read-event log (user_id, exception_id, seq, kind); texts are
+    rendered for the page only."""
     r = (reads.filter(F.col("user_id") == user_id).select(*NOTIFY_KEY).distinct()
          .withColumn("is_read", F.lit(True)))
-    n = (mine.select("user_id", "exception_id", "seq", "kind", "exception_type", "created_at")
+    n = (own_notifications(facts, users, user_id)
          .join(r, NOTIFY_KEY, "left").withColumn("is_read", F.coalesce("is_read", F.lit(False))))
     if unread_only:
         n = n.filter(~F.col("is_read"))
@@ -248,6 +226,17 @@ def inbox(facts: DataFrame, reads: DataFrame, users: DataFrame, user_id: str, un
     return render_notifications(page)
 
 
+def mark_read(facts: DataFrame, reads: DataFrame, users: DataFrame, user_id: str, only: DataFrame | None = None) -> DataFrame:
+    """The read events (user_id, exception_id, seq, kind) that marking adds:
+    the user's unread notifications, all of them or those in ``only``
+    (exception_id, seq, kind).  What isn't the user's, or is read, adds nothing."""
+    key = ["user_id", *NOTIFY_KEY]
+    mine = own_notifications(facts, users, user_id).select(*key)
+    if only is not None:
+        mine = mine.join(only.select(*NOTIFY_KEY).distinct(), NOTIFY_KEY, "left_semi")
+    return mine.join(reads.select(*key).distinct(), key, "left_anti").select(*key)
+
+
 def unread_counts(facts: DataFrame, reads: DataFrame, users: DataFrame) -> DataFrame:
     """E15 on the compact facts, without expanding role facts:
     direct unread = direct facts not in the read log, per user; for each live
@@ -268,11 +257,6 @@ def unread_counts(facts: DataFrame, reads: DataFrame, users: DataFrame) -> DataF
             .filter(F.col("unread_count") > 0))
 
 
-def with_read_flag(notifications: DataFrame, reads: DataFrame) -> DataFrame:
-    r = reads.select("notification_id", F.lit(True).alias("is_read"))
-    return notifications.join(r, "notification_id", "left").withColumn("is_read", F.coalesce("is_read", F.lit(False)))
-
-
 # ---------------------------------------------------------------------------
 # J11 idempotent request dedupe
 # ---------------------------------------------------------------------------

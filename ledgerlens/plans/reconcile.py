@@ -9,6 +9,7 @@ a lost executor recomputes from those files, not from earlier passes.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -58,12 +59,13 @@ def reconcile(led: DataFrame, ext: DataFrame, acc: DataFrame, rules: DataFrame |
 
     # prepared sides (id, account, currency, amount, date), written once: all
     # passes read them, and none takes over the account join's distribution
+    rule = materialize(M.first_rule(rules if rules is not None else config_rules(spark, cfg), "TOLERANCE"), "rule", run_dir)
     L0 = materialize(M.exclude_matched(M.ledger_side(led_s, acc), ledger_bridge, "ledger_txn_id"), "ledger_side", run_dir)
-    E0 = materialize(M.exclude_matched(M.external_side(ext_s, acc), ext_bridge, "ext_line_id"), "external_side", run_dir)
+    E0 = materialize(M.exclude_matched(M.external_side(_reachable(ext_s, rule, cfg), acc), ext_bridge, "ext_line_id"),
+                     "external_side", run_dir)
 
     exact, L1, E1 = _rounds(lambda l, e: M.exact_matches(l, e, cfg.exact_window_days), L0, E0, cfg.rounds,
                             "pass1_exact", run_dir)
-    rule = M.first_rule(rules if rules is not None else config_rules(spark, cfg), "TOLERANCE")
     tol, L2, E2 = _rounds(lambda l, e: M.tolerance_matches(l, e, rule), L1, E1, cfg.rounds,
                           "pass2_tolerance", run_dir)
 
@@ -86,6 +88,17 @@ def reconcile(led: DataFrame, ext: DataFrame, acc: DataFrame, rules: DataFrame |
     return ReconResult(exact, tol, batched, groups, ledger_lines, external_lines, exceptions, run, run_dir)
 
 
+def _reachable(ext_s: DataFrame, rule: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """The lines that a run date's ledger rows can match: those inside the wider
+    of the two passes' windows, and flagged ones of any date."""
+    if cfg.run_date is None:
+        return ext_s
+    got = rule.select("date_window_days").first()
+    days = max(cfg.exact_window_days, int(got[0]) if got else 0)
+    low, high = cfg.run_date - dt.timedelta(days=days), cfg.run_date + dt.timedelta(days=days)
+    return ext_s.filter(F.col("value_date").between(F.lit(low), F.lit(high)) | F.col("is_batched_settlement"))
+
+
 def config_rules(spark, cfg: MatchConfig) -> DataFrame:
     """A rules table from the config when none is given: one TOLERANCE rule
     from ``cfg.tolerance`` / ``cfg.tolerance_window_days`` (none -> no

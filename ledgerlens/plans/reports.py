@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
 from ledgerlens.functions.columns import round1_ratio
+from ledgerlens.session import materialize
 
 
 def _asof(as_of) -> Column:
@@ -54,11 +55,13 @@ def exception_daily(exc: DataFrame, led: DataFrame) -> DataFrame:
             .groupBy("account_id", "exception_date").agg(F.count(F.lit(1)).alias("exception_count")))
 
 
-def daily_summary(led: DataFrame, ext: DataFrame, exc: DataFrame, acc: DataFrame) -> DataFrame:
-    """E4 (+ D7 full outer join, F4 rolling 7-row average)."""
+def daily_summary(led: DataFrame, ext: DataFrame, exc: DataFrame, acc: DataFrame,
+                  all_led: DataFrame | None = None) -> DataFrame:
+    """E4 (+ D7 full outer join, F4 rolling 7-row average).  ``all_led``: where
+    the exceptions' accounts are looked up, if ``led`` is a part of the ledger."""
     l = ledger_daily(led, acc)
     x = external_daily(ext, acc)
-    e = exception_daily(exc, led).filter(F.col("account_id").isNotNull())
+    e = exception_daily(exc, led if all_led is None else all_led).filter(F.col("account_id").isNotNull())
     j = l.join(x, ["account_id", "value_date"], "full").withColumnRenamed("value_date", "summary_date")
     j = j.join(e.withColumnRenamed("exception_date", "summary_date"), ["account_id", "summary_date"], "left")
     w = Window.partitionBy("account_id").orderBy("summary_date").rowsBetween(-6, 0)
@@ -75,17 +78,59 @@ def daily_summary(led: DataFrame, ext: DataFrame, exc: DataFrame, acc: DataFrame
 
 
 def refresh_summary(led: DataFrame, ext: DataFrame, exc: DataFrame, acc: DataFrame, path: str,
-                    touched_dates: DataFrame | None = None) -> DataFrame:
-    """Write the summary partitioned by date; with ``touched_dates`` only
-    the dates a run touched are rewritten (dynamic partition overwrite)."""
-    s = daily_summary(led, ext, exc, acc)
-    if touched_dates is not None:
-        s = s.join(touched_dates.select(F.col("value_date").alias("summary_date")).distinct(),
-                   "summary_date", "left_semi")
-    spark = s.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    s.write.mode("overwrite").partitionBy("summary_date").parquet(path)
-    return spark.read.parquet(path)
+                    touched_dates: DataFrame | None = None, monthly: bool = False) -> DataFrame:
+    """Write the summary partitioned by date (or by month); with
+    ``touched_dates`` (value_date) only what these dates change is rewritten.
+
+    Of the inputs, only the touched dates are summed again.  Their accounts'
+    other days come from the stored summary; the rolling averages of a touched
+    day and of the account's next six days are computed anew, and the
+    partitions of all these days are replaced with the other accounts' stored
+    rows in them."""
+    spark = led.sparkSession
+
+    def period(c: str) -> Column:
+        return (F.trunc(c, "MM") if monthly else F.col(c)).alias("period")
+
+    def write(df: DataFrame) -> DataFrame:
+        (df.withColumn("period", period("summary_date")).repartition("period").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path))
+        return spark.read.parquet(path).drop("period")
+
+    if touched_dates is None:
+        return write(daily_summary(led, ext, exc, acc))
+    days = materialize(touched_dates.select(F.col("value_date").alias("day")).distinct(), "touched")
+    on = lambda df, day: df.withColumn("day", day).join(F.broadcast(days), "day", "left_semi").drop("day")  # noqa: E731  dates of a calendar
+    stored = spark.read.parquet(path)
+    old = stored.drop("period")
+    new = daily_summary(on(led, F.col("value_date")), on(ext, F.col("value_date")), on(exc, F.to_date("created_at")), acc, led)
+    new = new.drop("rolling_7d_avg_exceptions").withColumn("is_new", F.lit(True))
+    gone = on(old, F.col("summary_date"))
+    accounts = new.select("account_id").unionByName(gone.select("account_id")).distinct()
+    kept = (old.join(accounts, "account_id", "left_semi").drop("rolling_7d_avg_exceptions")
+            .join(F.broadcast(days.withColumnRenamed("day", "summary_date")), "summary_date", "left_anti"))
+    # a vanished day leaves a mark, so that the days after it are known to change
+    marks = gone.select("account_id", "summary_date").join(new.select("account_id", "summary_date"), ["account_id", "summary_date"], "left_anti")
+    both = kept.withColumn("is_new", F.lit(False)).unionByName(new).unionByName(marks.withColumn("is_new", F.lit(True)), allowMissingColumns=True)
+    w = Window.partitionBy("account_id").orderBy("summary_date")
+    real = F.col("internal_txn_count").isNotNull()
+    place = F.sum(real.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last(F.when(F.col("is_new"), F.col("place")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("place", place).withColumn("since", F.col("place") - last).filter(real)
+    avg = F.round(F.avg("exception_count").over(w.rowsBetween(-6, 0)), 6).cast("decimal(18,6)")
+    again = placed.withColumn("rolling_7d_avg_exceptions", avg).filter("since <= 6").select(*[c for c in old.columns])
+    again = materialize(again, "changed")
+    key = ["account_id", "summary_date"]
+    periods = again.select(period("summary_date")).unionByName(days.select(period("day"))).distinct()
+    rest = stored.join(F.broadcast(periods), "period", "left_semi").drop("period").join(again.select(*key), key, "left_anti").join(
+        marks.select(*key), key, "left_anti")
+    result = materialize(again.unionByName(rest.select(*again.columns)), "partitions")
+    emptied = periods.join(result.select(period("summary_date")).distinct(), "period", "left_anti").collect()
+    write(result)
+    for r in emptied:  # periods without any row left: a partition to drop each
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/period={r['period']}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.read.parquet(path).drop("period")
 
 
 # ---------------------------------------------------------------------------
@@ -189,9 +234,3 @@ def job_health(jobs: DataFrame, dead: DataFrame, schedules: DataFrame | None, as
         out = out.unionByName(schedules.filter(F.col("is_active")).agg(F.count(F.lit(1)).alias("value"))
                               .select(F.lit("active_schedulers").alias("metric"), "value"))
     return out.select("metric", F.col("value").cast("long"))
-
-
-def unread_counts(notifications: DataFrame) -> DataFrame:
-    """Unread notifications per user."""
-    return (notifications.filter(~F.col("is_read")).groupBy("user_id")
-            .agg(F.count(F.lit(1)).alias("unread_count")))

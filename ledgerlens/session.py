@@ -107,19 +107,6 @@ def with_dense_ids(df: DataFrame, order: list[str], id_col: str, base: int = 0)
             .withColumn(id_col, F.col("__start") + F.col("__place")).drop("__range", "__place", "__start"))
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (the limit stops the scan
-    early).  Above the bound the frame is returned as is and the join
-    shuffles (AQE may still switch it at runtime from real sizes).
-    """
-    from pyspark.sql import functions as F
-
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def cluster_conf(input_bytes: int, total_cores: int, executor_memory_gb: int = 16,
                  target_partition_mb: int = 256) -> dict[str, str]:
     """Settings for a large cluster sized from the input volume.

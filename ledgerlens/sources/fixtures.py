@@ -126,8 +126,7 @@ class Fixtures:
     def users(self) -> DataFrame:
         c = self.raw("customer")
         k = F.col("c_custkey")
-        # few admins/approvers, many analysts, some auditors
-        role_id = (F.when(k % 100 == 1, 1).when(k % 100 == 2, 2).when(k % 10 == 9, 4).otherwise(3)).cast("int")
+        role_id = (k % 4 + 1).cast("int")
         return c.select(
             k.cast("string").alias("user_id"),
             F.col("c_name").alias("full_name"),
@@ -239,6 +238,20 @@ class Fixtures:
             F.col("event_type"),
         )
 
+    @cached_property
+    def bursts(self) -> DataFrame:
+        """Clients that go over the rate limits: some events stand for many requests of one moment."""
+        e, eid = self.raw("events"), F.col("event_id")
+        n = F.when(eid % 2500 == 3, 301).when(eid % 250 == 7, 11)
+        return e.filter(n.isNotNull()).select(
+            F.concat(F.lit("burst-"), eid.cast("string")).alias("user_id"), T.as_timestamp("ts").alias("ts"), "event_type",
+            F.explode(F.sequence(F.lit(1), n)).alias("k"))
+
+    @cached_property
+    def schedules(self) -> DataFrame:
+        n = F.col("n_nationkey")
+        return self.raw("nation").select(n.alias("schedule_id"), F.col("n_name").alias("name"), (n % 3 != 0).alias("is_active"))
+
     @cached_property
     def auth_events(self) -> DataFrame:
         e = self.raw("events").filter(F.col("event_type").isin("error", "signup"))

@@ -20,11 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ledgerlens import schemas as S
 from ledgerlens.operators import validation as V
 from ledgerlens.session import new_run_dir, path_exists
-from ledgerlens.sources import csv as CSV
-
-STATEMENT_STRINGS = "external_ref string, account_ref string, amount string, currency string, " \
-                    "value_date string, settlement_date string, is_batched_settlement string"
-
+from ledgerlens.sources.imports import ImportRefused, StatementStore
 
 def _ckpt(spark: SparkSession, name: str, location: str | None) -> str:
     return location or os.path.join(new_run_dir(spark, "stream"), name)
@@ -34,28 +30,29 @@ def _ckpt(spark: SparkSession, name: str, location: str | None) -> str:
 # K1 streaming statement ingest
 # ---------------------------------------------------------------------------
 
-def stream_ingest(spark: SparkSession, in_dir: str, out_dir: str, reject_dir: str, acc: DataFrame,
-                  existing: DataFrame, source_id: int = 4, checkpoint: str | None = None,
-                  max_files_per_trigger: int = 1) -> StreamingQuery:
-    """Each micro-batch (one arriving CSV file by default) is validated as a
-    whole; a clean batch is published under ``out_dir/batch_id=<epoch>``, a
-    failing one writes its rule rows to ``reject_dir``.  Re-running an epoch
-    overwrites the same folder, so a retried batch is idempotent."""
-    raw = (spark.readStream.option("header", True).option("maxFilesPerTrigger", max_files_per_trigger)
-           .schema(STATEMENT_STRINGS).csv(in_dir))
-    raw = raw.select(*[F.nullif(F.trim(F.col(c)), F.lit("")).alias(c) for c in raw.columns])
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def stream_ingest(spark: SparkSession, in_dir: str, store: StatementStore, acc: DataFrame, sources: DataFrame,
+                  source_id: int = 4, checkpoint: str | None = None,
+                  max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Each arriving CSV file goes through the import chain by itself: its own
+    header, content hash, validation against what is published by then, and
+    manifest rows.  A file that is refused leaves its FAILED row (or none, if
+    it was imported before) and the stream goes on; a micro-batch that is run
+    again finds its files imported.  Only paths are read from the stream."""
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.csv")
+    if max_files_per_trigger:
+        files = files.option("maxFilesPerTrigger", max_files_per_trigger)
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        errors = V.validate_statement(batch, acc, existing)
-        if errors.isEmpty():
-            typed = CSV.type_statement(batch)
-            CSV.publish_statement(typed, epoch + 1, source_id).write.mode("overwrite") \
-                .parquet(os.path.join(out_dir, f"batch_id={epoch + 1}"))
-        else:
-            errors.withColumn("epoch", F.lit(epoch)).write.mode("overwrite") \
-                .parquet(os.path.join(reject_dir, f"epoch={epoch}"))
-
-    return (raw.writeStream.foreachBatch(handle)
+        for r in batch.orderBy("modificationTime", "path").select("path").collect():  # one path a file
+            try:
+                store.import_statement(r["path"], source_id, acc, sources)
+            except ImportRefused:
+                pass  # told in the manifest
+
+    return (files.load(in_dir).select("path", "modificationTime").writeStream.foreachBatch(handle)
             .option("checkpointLocation", _ckpt(spark, "ingest", checkpoint)).start())
 
 

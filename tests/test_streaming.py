@@ -65,19 +65,31 @@ def test_stream_workflow_state(spark):
     assert stream == batch
 
 
-def test_stream_ingest(spark):
-    fx = Fixtures(spark, SF)
-    src = tempfile.mkdtemp(prefix="ingest-in-", dir="/tmp")
-    fx.statement_file.filter(F.col("external_ref").startswith("EXT-")).coalesce(1) \
-        .write.mode("overwrite").option("header", True).csv(os.path.join(src, "f1"))
-    out = tempfile.mkdtemp(prefix="ingest-out-", dir="/tmp")
-    rej = tempfile.mkdtemp(prefix="ingest-rej-", dir="/tmp")
-    q = K.stream_ingest(spark, os.path.join(src, "f1"), out, rej, fx.accounts,
-                        fx.external.filter(F.col("batch_id") == 3))
-    q.processAllAvailable()
-    q.stop()
-    rules = {r.rule for r in spark.read.parquet(rej).collect()}
-    assert "AMOUNT_NOT_POSITIVE" in rules and "ALREADY_COMMITTED" in rules
+def test_stream_ingest(spark, tmp_path):
+    """Files of one stream: shuffled header, a reference published before, a repeated file, a bad header."""
+    from ledgerlens.sources.imports import StatementStore
+    acc = spark.createDataFrame([("ACC-1",)], "external_ref string")
+    sources = spark.createDataFrame([(4, "CSV")], "source_id int, file_format string")
+    head = "external_ref,account_ref,amount,currency,value_date\n"
+    folder = tmp_path / "in"
+    folder.mkdir()
+    store = StatementStore(spark, str(tmp_path / "store"))
+
+    def arrive(name, text):
+        (folder / name).write_text(text)
+        q = K.stream_ingest(spark, str(folder), store, acc, sources, checkpoint=str(tmp_path / "ckpt"))
+        q.processAllAvailable()
+        q.stop()
+
+    arrive("a.csv", "account_ref,value_date,external_ref,currency,amount\nACC-1,2024-01-01,Z1,GBP,1.00\n")
+    arrive("b.csv", head + "Z1,ACC-1,2.00,GBP,2024-01-02\n")
+    arrive("c.csv", "account_ref,value_date,external_ref,currency,amount\nACC-1,2024-01-01,Z1,GBP,1.00\n")
+    arrive("d.csv", "external_ref,amount\nZ2,1\n")
+    arrive("e.csv", head + "Z3,ACC-1,3.00,GBP,2024-01-03\n")
+    assert [r.external_ref for r in store.lines().orderBy("external_ref").collect()] == ["Z1", "Z3"]
+    assert {r.file_name: (r.status, r.error) for r in store.batches().collect()} == {
+        "a.csv": ("COMPLETED", None), "b.csv": ("FAILED", "ALREADY_COMMITTED"), "d.csv": ("FAILED", "CSV_HEADER_ERROR"),
+        "e.csv": ("COMPLETED", None)}
 
 
 def test_workflow_sla_timer_fires(spark):
