@@ -410,16 +410,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     tried = materialize(_tree_pairs(grouped.withColumn("label", F.col("rid")), percent, "hubs"), "pairs")
     links = materialize(_verified(tried, texts, size, percent), "links")
     roots = materialize(components(links), "roots")
-    for wanted in ["best"] * BEST_ROUNDS + ["all"]:
+    rounds = ["best"] * BEST_ROUNDS + ["all"]
+    while rounds:
+        wanted = rounds.pop(0)
         labelled = grouped.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left") \
             .select("gid", "rid", "n", "bits", F.coalesce("root", "rid").alias("label"))
         mixed = labelled.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("gid")
         found = _tree_pairs(labelled.join(materialize(mixed, "mixed"), "gid", "left_semi"), percent, wanted)
         found = materialize(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         more = materialize(_verified(found, texts, size, percent), "links")
+        new, known = more.count(), links.count()
         tried, links = tried.unionByName(found), links.unionByName(more)
-        if not more.isEmpty():
+        if new:
             roots = materialize(components(links), "roots")
+        if new * 100 < known:  # best partners hardly find anything: to the last step
+            rounds = rounds[-1:]
     owned = classes.join(roots, F.col("rep") == F.col("node"), "left").select(*same, "low", F.coalesce("root", "rep").alias("root"))
     owned = materialize(owned, "owned")
     lowest = materialize(owned.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")

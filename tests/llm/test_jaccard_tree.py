@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 from tricky import documents
 
+from ledgerlens.llm import components as C
 from ledgerlens.llm import jaccard_tree as J
-from ledgerlens.llm.components import components
 
 
 def brute(texts, size, percent):
@@ -67,7 +67,9 @@ def test_tricky_rows(spark):
     assert J.join(docs.limit(0)).collect() == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [250_000, 15])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(C, "LOCAL_LINKS", local)  # the small one joins up partitions by stars
     rng = random.Random(4)
     links = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)] + [(100 + k, 101 + k) for k in range(40)] + [(500, k) for k in range(600, 650)]
     root = {}
@@ -80,6 +82,6 @@ def test_components(spark):
     for a, b in links:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in C.components(spark.createDataFrame(links, "a long, b long")).collect()}
     alone = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: find(x) for x in list(root) if x not in alone}
