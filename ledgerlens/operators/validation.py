@@ -141,44 +141,71 @@ def validate_ledger(raw: DataFrame, acc: DataFrame, existing: DataFrame,
 # B13 integrity audit, B14 double-match guard
 # ---------------------------------------------------------------------------
 
+def _rule_counts(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
+    a = df.agg(*[F.count_if(p).alias(n) for n, p in rules.items()])
+    return a.select(F.explode(F.array(*[F.struct(F.lit(table).alias("table_name"), F.lit(n).alias("rule"),
+                                                  F.col(n).cast("long").alias("n_rows")) for n in rules]))
+                    .alias("r")).select("r.*")
+
+
+
+def _orphans(child: DataFrame, ck: str, parent: DataFrame, pk: str, table: str, rule: str) -> DataFrame:
+    c = child.select(F.col(ck).alias("k")).filter(F.col("k").isNotNull())
+    return (c.join(parent.select(F.col(pk).alias("k")), "k", "left_anti").agg(F.count(F.lit(1)).alias("n_rows"))
+            .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), F.col("n_rows").cast("long")))
+
+
+
+def _repeated_keys(df: DataFrame, keys: list[str], table: str) -> DataFrame:
+    return (df.groupBy(*keys).count().filter(F.col("count") > 1).agg(F.count(F.lit(1)).alias("n_rows"))
+            .select(F.lit(table).alias("table_name"), F.lit("unique_" + "_".join(keys)).alias("rule"),
+                    F.col("n_rows").cast("long")))
+
+
 def integrity_audit(led: DataFrame, ext: DataFrame, acc: DataFrame, exc: DataFrame,
                     batches: DataFrame) -> DataFrame:
     """(table, rule, n_rows) for enum domains, positive amounts, the
     at-least-one-side rule, FK orphans and unique keys; zero counts kept."""
-    def one(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
-        a = df.agg(*[F.count_if(p).alias(n) for n, p in rules.items()])
-        return a.select(F.explode(F.array(*[F.struct(F.lit(table).alias("table_name"), F.lit(n).alias("rule"),
-                                                      F.col(n).cast("long").alias("n_rows")) for n in rules]))
-                        .alias("r")).select("r.*")
-
-    def orphan(child: DataFrame, ck: str, parent: DataFrame, pk: str, table: str, rule: str) -> DataFrame:
-        c = child.select(F.col(ck).alias("k")).filter(F.col("k").isNotNull())
-        return (c.join(parent.select(F.col(pk).alias("k")), "k", "left_anti").agg(F.count(F.lit(1)).alias("n_rows"))
-                .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), F.col("n_rows").cast("long")))
-
-    def dupkey(df: DataFrame, key: str, table: str) -> DataFrame:
-        return (df.groupBy(key).count().filter(F.col("count") > 1).agg(F.count(F.lit(1)).alias("n_rows"))
-                .select(F.lit(table).alias("table_name"), F.lit(f"unique_{key}").alias("rule"),
-                        F.col("n_rows").cast("long")))
-
     parts = [
-        one(led, "ledger_transactions", {
+        _rule_counts(led, "ledger_transactions", {
             "txn_type_domain": ~F.col("txn_type").isin(S.TXN_TYPES),
             "amount_positive": ~(F.col("amount") > 0)}),
-        one(ext, "external_statement_lines", {"amount_positive": ~(F.col("amount") > 0)}),
-        one(exc, "reconciliation_exceptions", {
+        _rule_counts(ext, "external_statement_lines", {"amount_positive": ~(F.col("amount") > 0)}),
+        _rule_counts(exc, "reconciliation_exceptions", {
             "exception_type_domain": ~F.col("exception_type").isin(S.EXCEPTION_TYPES),
             "status_domain": ~F.col("status").isin(S.EXCEPTION_STATUSES),
             "at_least_one_side": F.col("ledger_txn_id").isNull() & F.col("ext_line_id").isNull()}),
-        one(batches, "import_batches", {"status_domain": ~F.col("status").isin(S.BATCH_STATUSES)}),
-        orphan(led, "account_id", acc, "account_id", "ledger_transactions", "fk_account"),
-        orphan(ext, "account_ref", acc, "external_ref", "external_statement_lines", "fk_account_ref"),
-        orphan(ext, "batch_id", batches, "batch_id", "external_statement_lines", "fk_batch"),
-        orphan(exc, "ledger_txn_id", led, "ledger_txn_id", "reconciliation_exceptions", "fk_ledger"),
-        orphan(exc, "ext_line_id", ext, "ext_line_id", "reconciliation_exceptions", "fk_external"),
-        dupkey(led, "ledger_txn_id", "ledger_transactions"),
-        dupkey(ext, "ext_line_id", "external_statement_lines"),
-        dupkey(acc, "external_ref", "accounts"),
+        _rule_counts(batches, "import_batches", {"status_domain": ~F.col("status").isin(S.BATCH_STATUSES)}),
+        _orphans(led, "account_id", acc, "account_id", "ledger_transactions", "fk_account"),
+        _orphans(ext, "account_ref", acc, "external_ref", "external_statement_lines", "fk_account_ref"),
+        _orphans(ext, "batch_id", batches, "batch_id", "external_statement_lines", "fk_batch"),
+        _orphans(exc, "ledger_txn_id", led, "ledger_txn_id", "reconciliation_exceptions", "fk_ledger"),
+        _orphans(exc, "ext_line_id", ext, "ext_line_id", "reconciliation_exceptions", "fk_external"),
+        _repeated_keys(led, ["ledger_txn_id"], "ledger_transactions"),
+        _repeated_keys(ext, ["ext_line_id"], "external_statement_lines"),
+        _repeated_keys(acc, ["external_ref"], "accounts"),
+        _repeated_keys(batches, ["source_id", "file_hash"], "import_batches"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def match_audit(groups: DataFrame, ledger_lines: DataFrame, external_lines: DataFrame, led: DataFrame,
+                ext: DataFrame) -> DataFrame:
+    """B13 for the matches: domains of groups, keys and foreign keys of both
+    bridges; zero counts kept."""
+    parts = [
+        _rule_counts(groups, "match_groups", {"match_type_domain": ~F.col("match_type").isin(S.MATCH_TYPES),
+                                              "status_domain": ~F.col("status").isin(S.MATCH_STATUSES)}),
+        _orphans(ledger_lines, "match_id", groups, "match_id", "match_group_ledger_lines", "fk_match"),
+        _orphans(ledger_lines, "ledger_txn_id", led, "ledger_txn_id", "match_group_ledger_lines", "fk_ledger"),
+        _orphans(external_lines, "match_id", groups, "match_id", "match_group_external_lines", "fk_match"),
+        _orphans(external_lines, "ext_line_id", ext, "ext_line_id", "match_group_external_lines", "fk_external"),
+        _repeated_keys(groups, ["match_id"], "match_groups"),
+        _repeated_keys(ledger_lines, ["match_id", "ledger_txn_id"], "match_group_ledger_lines"),
+        _repeated_keys(external_lines, ["match_id", "ext_line_id"], "match_group_external_lines"),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -27,7 +27,7 @@ BATCH_STATUSES = ["PROCESSING", "COMPLETED", "FAILED"]
 JOB_STATUSES = ["PENDING", "RUNNING", "COMPLETED", "FAILED", "RETRYING", "CANCELLED"]
 RUN_STATUSES = ["RUNNING", "COMPLETED", "FAILED"]
 MATCH_TYPES = ["AUTO", "MANUAL"]
-MATCH_STATUSES = ["PROPOSED", "CONFIRMED", "REJECTED", "REVERSED"]
+MATCH_STATUSES = ["CONFIRMED", "REVERSED"]
 
 # SLA hours per exception type; anything else gets the default.
 SLA_HOURS = {
