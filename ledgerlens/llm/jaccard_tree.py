@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import words as W
 from ledgerlens.llm.components import components
+from ledgerlens.llm.scratch import release
 from ledgerlens.session import materialize
 
 #: Words of a shingle and the least similarity in percent, unless a caller says otherwise.
@@ -56,6 +57,9 @@ BEST_ROUNDS = 3
 #: Sets of a candidate group that one task handles; larger groups go as pairs of blocks.
 GROUP_ROWS = 4096
 
+#: Pairs (16 bytes each) that are sent to every task at most.
+BROADCAST_PAIRS = 100_000
+
 _WORDS64 = BITMAP_BITS // 64
 _SIDE = 512  # sketch cells of a row of counts on their way to the driver
 
@@ -320,7 +324,7 @@ def dual_traversal(tree: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def _tree_pairs(grouped: DataFrame, percent: int, wanted: str) -> DataFrame:
-    """Distinct (a, b), a < b, that the groups' trees let pass; grouped: gid, rid, n, bits, label.
+    """(gid, a, b), a < b, that the groups' trees let pass; grouped: gid, rid, n, bits, label.
 
     wanted: ``hubs`` (``search_first``), ``best`` (``best_partners``) or ``all`` (``dual_traversal``).
     """
@@ -331,9 +335,9 @@ def _tree_pairs(grouped: DataFrame, percent: int, wanted: str) -> DataFrame:
 
         def tell() -> Iterator[pa.RecordBatch]:
             if told:
-                both = np.concatenate(told, axis=1)
+                gid, x, y = np.concatenate(told, axis=1)
                 told.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=0)), pa.array(both.max(axis=0))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(gid), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["gid", "a", "b"])
 
         for table in _whole_runs(batches, "gid"):
             gid, rid, n, label = (table.column(c).to_numpy() for c in ("gid", "rid", "n", "label"))
@@ -344,23 +348,22 @@ def _tree_pairs(grouped: DataFrame, percent: int, wanted: str) -> DataFrame:
             two = first[size == 2]  # a tree of two leaves is one comparison
             level = (bits, n, n, n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), label)
             ok = two[(label[two] != label[two + 1]) & _possible(level, level, two, two + 1, percent)]
-            told.append(np.stack([rid[ok], rid[ok + 1]]))
+            told.append(np.stack([gid[ok], rid[ok], rid[ok + 1]]))
             for f, s in zip(first[size > 2].tolist(), size[size > 2].tolist()):
                 tree = Tree(bits[f:f + s], n[f:f + s], label[f:f + s])
                 if search:
-                    found = search(tree, percent)
-                    if found:
-                        told.append(rid[f + np.array(found, np.int64).T])
+                    found = [np.array(x, np.int64).T for x in [search(tree, percent)] if x]
                 else:
-                    for a, b in dual_traversal(tree, percent):
-                        told.append(np.stack([rid[f + a], rid[f + b]]))
-                        if sum(x.shape[1] for x in told) > 200_000:
-                            yield from tell()
+                    found = map(np.stack, dual_traversal(tree, percent))
+                for x in found:
+                    told.append(np.concatenate([np.full((1, x.shape[1]), gid[f]), rid[f + x]]))
+                    if sum(x.shape[1] for x in told) > 200_000:
+                        yield from tell()
             yield from tell()
 
     # hubs are the smallest sets; else components lie together, so that nodes have one label
     order = ["gid", "n", "rid"] if wanted == "hubs" else ["gid", "label", "n", "rid"]
-    return grouped.repartition("gid").sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+    return grouped.repartition("gid").sortWithinPartitions(*order).mapInArrow(run, "gid long, a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -379,9 +382,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 keep.append(100 * both >= percent * (len(own) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    full = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a") \
-        .join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
-    return full.mapInArrow(run, "a long, b long")
+    # few pairs go to the texts; else both are dealt out by the row
+    few = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
+    side = lambda x: few.join(texts.select(F.col("rid").alias(x), F.col("text").alias(f"text_{x}")), x)
+    return side("a").join(side("b"), ["a", "b"]).mapInArrow(run, "a long, b long")
 
 
 def _one_set(text: pa.Array, size: int) -> np.ndarray:
@@ -402,29 +406,38 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     classes = materialize(base.filter("n > 0").groupBy(*same).agg(F.min("rid").alias("rep"), F.min("id").alias("low")), "classes")
     reps = base.filter("length(prefix) > 0").select("rid", "n", "prefix").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
     members = materialize(_candidate_groups(reps, percent), "members")
+    info = base.select("rid", "n", "bits")
+    hubs = _tree_pairs(members.join(info, "rid").withColumn("label", F.col("rid")), percent, "hubs")
+    hubs = materialize(hubs, "hubs")
+    # groups without any pair that could link are done with
+    members = materialize(members.join(hubs.select("gid").distinct(), "gid", "left_semi"), "members")
     involved = materialize(members.select("rid").distinct(), "involved")
-    grouped = materialize(members.join(base.select("rid", "n", "bits").join(involved, "rid", "left_semi"), "rid"), "grouped")
+    info = materialize(info.join(involved, "rid", "left_semi"), "info")
     keys = base.select("rid", "__id", "__hash").join(involved, "rid", "left_semi")
     texts = read.select("__id", "__hash", "__text").join(keys, ["__id", "__hash"]).select("rid", F.col("__text").alias("text"))
     texts = materialize(texts.dropDuplicates(["rid"]), "texts")
-    tried = materialize(_tree_pairs(grouped.withColumn("label", F.col("rid")), percent, "hubs"), "pairs")
+    release(spark)
+    tried = materialize(hubs.select("a", "b").distinct(), "pairs")
     links = materialize(_verified(tried, texts, size, percent), "links")
     roots = materialize(components(links), "roots")
     rounds = ["best"] * BEST_ROUNDS + ["all"]
     while rounds:
         wanted = rounds.pop(0)
-        labelled = grouped.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left") \
-            .select("gid", "rid", "n", "bits", F.coalesce("root", "rid").alias("label"))
+        labelled = members.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left") \
+            .select("gid", "rid", F.coalesce("root", "rid").alias("label"))
+        labelled = materialize(labelled, "labelled")
         mixed = labelled.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("gid")
-        found = _tree_pairs(labelled.join(materialize(mixed, "mixed"), "gid", "left_semi"), percent, wanted)
+        open_ = materialize(labelled.join(materialize(mixed, "mixed"), "gid", "left_semi"), "open")
+        found = _tree_pairs(open_.join(info, "rid"), percent, wanted).select("a", "b").distinct()
         found = materialize(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         more = materialize(_verified(found, texts, size, percent), "links")
         new, known = more.count(), links.count()
         tried, links = tried.unionByName(found), links.unionByName(more)
         if new:
             roots = materialize(components(links), "roots")
-        if new * 100 < known:  # best partners hardly find anything: to the last step
+        if new * 20 < known:  # best partners hardly find anything: to the last step
             rounds = rounds[-1:]
+        release(spark, labelled, open_)
     owned = classes.join(roots, F.col("rep") == F.col("node"), "left").select(*same, "low", F.coalesce("root", "rep").alias("root"))
     owned = materialize(owned, "owned")
     lowest = materialize(owned.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
