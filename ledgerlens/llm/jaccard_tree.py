@@ -57,8 +57,8 @@ BEST_ROUNDS = 3
 #: Sets of a candidate group that one task handles; larger groups go as pairs of blocks.
 GROUP_ROWS = 4096
 
-#: Pairs (16 bytes each) that are sent to every task at most.
-BROADCAST_PAIRS = 100_000
+#: Pairs and keys (16 and 24 bytes each) that are sent to every task at most, about 5 MB; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 _WORDS64 = BITMAP_BITS // 64
 _SIDE = 512  # sketch cells of a row of counts on their way to the driver
@@ -382,12 +382,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 keep.append(100 * both >= percent * (len(own) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    # few pairs go to the texts; else both are dealt out by the row
-    few = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
+    # few pairs go to the texts; else both are dealt out by row id
+    few = _if_few(pairs)
     side = lambda x: few.join(texts.select(F.col("rid").alias(x), F.col("text").alias(f"text_{x}")), x)
     return side("a").join(side("b"), ["a", "b"]).mapInArrow(run, "a long, b long")
 
 
+def _if_few(rows: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has at most ``BROADCAST_ROWS``."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _one_set(text: pa.Array, size: int) -> np.ndarray:
     buf, bounds = W.text_bytes(text)
     return next(shingle_sets(W.Words(buf, bounds, W.PLAIN, True), size))
@@ -413,8 +418,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     members = materialize(members.join(hubs.select("gid").distinct(), "gid", "left_semi"), "members")
     involved = materialize(members.select("rid").distinct(), "involved")
     info = materialize(info.join(involved, "rid", "left_semi"), "info")
-    keys = base.select("rid", "__id", "__hash").join(involved, "rid", "left_semi")
-    texts = read.select("__id", "__hash", "__text").join(keys, ["__id", "__hash"]).select("rid", F.col("__text").alias("text"))
+    keys = materialize(base.select("rid", "__id", "__hash").join(involved, "rid", "left_semi"), "keys")
+    texts = read.select("__id", "__hash", "__text").join(_if_few(keys), ["__id", "__hash"]).select("rid", F.col("__text").alias("text"))
     texts = materialize(texts.dropDuplicates(["rid"]), "texts")
     release(spark)
     tried = materialize(hubs.select("a", "b").distinct(), "pairs")
