@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ledgerlens.llm import words as W
+from ledgerlens.llm.scratch import bound_batches
 
 #: Longest piece, in bytes, that is merged in a matrix.
 MATRIX_BYTES = 1024
@@ -199,6 +200,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
     worker; pattern: what splits a text into pieces.
     """
     own = _kept(docs, list(keep), ["n_tokens", "ids", "ids_sha256"])
+    bound_batches(docs.sparkSession)
     source = docs.select(*own, docs[text].cast("string").alias("__text"))
     schema = T.StructType([source.schema[c] for c in own] + [
         T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
@@ -226,6 +228,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
 def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and ``decoded`` binary: the bytes of each row's ids (null: empty)."""
     own = _kept(encoded, list(keep), ["decoded"])
+    bound_batches(encoded.sparkSession)
     source = encoded.select(*own, encoded[ids].alias("__ids"))
     schema = T.StructType([source.schema[c] for c in own] + [T.StructField("decoded", T.BinaryType())])
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import words as W
+from ledgerlens.llm.scratch import bound_batches
 from ledgerlens.session import materialize
 
 #: Words of a window.
@@ -200,6 +201,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
          item_text: str = "text", size: int = SIZE, shingle: int = SHINGLE, block: int = BLOCK_WINDOWS) -> DataFrame:
     """The id column, ``text_hash`` (of id and text), ``n_words``, ``n_hit``, ``n_items`` long and ``items`` array<string> (sorted) of each row."""
     spark = docs.sparkSession
+    bound_batches(spark)
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     read = docs.select(docs[id_col], F.coalesce(docs[id_col].cast("long"), F.lit(0)).alias("__id"),
                        F.xxhash64(docs[id_col], t).alias("__hash"), t.alias("__text"))

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import words as W
+from ledgerlens.llm.scratch import bound_batches
 from ledgerlens.session import materialize
 
 #: Labelled good documents that the target model is fitted and the cut is set on, at most.
@@ -181,6 +182,7 @@ class Sampler:
                  seed: int = 42, max_labelled: int = MAX_LABELLED, keep: float = KEEP):
         self.docs, self.id_col, self.text, self.seed = docs, id_col, text, seed
         spark = docs.sparkSession
+        bound_batches(spark)
         sample = materialize(_good(labels, id_col, max_labelled), "labelled")
         read = docs.select(docs[id_col].alias("id"), docs[text].cast("string").alias("__text"))
         known = read.join(F.broadcast(sample), F.col("id") == F.col("good"), "left").select("__text", F.coalesce("role", F.lit(0)).alias("role"))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import words as W
 from ledgerlens.llm.components import components
-from ledgerlens.llm.scratch import release
+from ledgerlens.llm.scratch import bound_batches, release
 from ledgerlens.session import materialize
 
 #: Words of a shingle and the least similarity in percent, unless a caller says otherwise.
@@ -401,6 +401,7 @@ def _one_set(text: pa.Array, size: int) -> np.ndarray:
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The id column, ``text_hash`` (of id and text), ``n_shingles`` long and ``component_id`` of each row."""
     spark = docs.sparkSession
+    bound_batches(spark)
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     read = docs.select(docs[id_col].alias("id"), F.coalesce(docs[id_col].cast("long"), F.lit(0)).alias("__id"),
                        F.xxhash64(docs[id_col], t).alias("__hash"), t.alias("__text"))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ledgerlens.llm import words as W
+from ledgerlens.llm.scratch import bound_batches
 
 #: The base phrases and their labels (fixed values).
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -176,6 +177,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     """The kept columns and those of ``FOUND``; permissive: whether every expression has a permissive choice, null without one."""
     names = [n for n, _ in FOUND]
     own = [c for c in dict.fromkeys(keep) if c not in names]
+    bound_batches(docs.sparkSession)
     source = docs.select(*own, docs[text].cast("string").alias("__text"))
     schema = T.StructType([source.schema[c] for c in own] + [T.StructField(n, k) for n, k in FOUND])
 

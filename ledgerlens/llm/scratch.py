@@ -1,12 +1,25 @@
-"""Giving disk back between the steps of a long job."""
+"""Bounds on memory and disk of long jobs."""
 
 from __future__ import annotations
 
 import gc
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch on its way between the JVM and Python; each task has a few of them at a time on either side.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch to ``BATCH_BYTES``, if it is higher."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)  # unknown before Spark 4.1
+    if now is not None and int(re.match(r"\d+", now)[0]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def release(spark: SparkSession, *done: DataFrame) -> None:
     """Delete the written tables ``done`` and let Spark drop the shuffle files of steps that nothing refers to.
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import words as W
-from ledgerlens.llm.scratch import release
+from ledgerlens.llm.scratch import bound_batches, release
 from ledgerlens.session import materialize
 
 #: Words of a window.
@@ -189,6 +189,7 @@ def _covered(work: DataFrame, words: int) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """The id column, ``n_words``, ``n_removed`` long and ``kept_sha256`` of each row."""
     spark = docs.sparkSession
+    bound_batches(spark)
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     read = docs.select(docs[id_col].alias("id"), F.coalesce(docs[id_col].cast("long"), F.lit(0)).alias("__id"),
                        F.xxhash64(docs[id_col], t).alias("__hash"), t.alias("__text"))

@@ -30,6 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.scratch import bound_batches
 from ledgerlens.session import materialize, new_run_dir
 
 #: Uncompressed bytes from which an archive is closed and a new one begun.
@@ -112,6 +113,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     attempt that succeeded are in the result.
     """
     folder = folder or new_run_dir(pages.sparkSession, "warc")
+    bound_batches(pages.sparkSession)
     read = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].cast("string").alias("url"),
                         F.encode(F.coalesce(pages[html].cast("string"), F.lit("")), "utf-8").alias("payload"))
     read = read.withColumn("digest", F.sha1("payload"))
