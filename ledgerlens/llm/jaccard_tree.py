@@ -164,7 +164,7 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tabl
         if held and (first := held[0].column(key)[0].as_py()) == k[0] == k[-1]:
             held.append(batch)
             continue
-        cut = int(np.searchsorted(k != k[-1], False)) if k[0] != k[-1] else 0
+        cut = int(np.argmax(k == k[-1]))  # where the last run begins
         if cut == 0 and held and first != k[0]:
             yield pa.Table.from_batches(held)
             held = [batch]

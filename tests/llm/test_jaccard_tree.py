@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tricky import documents
@@ -56,6 +57,29 @@ def test_components_equal_brute_force(spark, monkeypatch, size, percent, rows):
     assert got == brute(texts, size, percent)
 
 
+@pytest.mark.parametrize("rows", [1, 2, 5, 7, 100])
+def test_runs_stay_whole_over_batches(rows):
+    rng = random.Random(rows)
+    keys = sorted(rng.choice([rng.randint(-9, 40), 3, 4]) for _ in range(300))
+    table = pa.table({"k": pa.array(keys, pa.int64()), "at": pa.array(range(300), pa.int64())})
+    got = [t.column("k").to_pylist() for t in J._whole_runs(iter(table.to_batches(max_chunksize=rows)), "k")]
+    assert sum(got, []) == keys and all(a[-1] != b[0] for a, b in zip(got, got[1:]))
+    assert list(J._whole_runs(iter([]), "k")) == []
+
+
+def test_small_batches_equal_brute_force(spark):
+    texts = families(7)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(docs, size=3, percent=90).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == brute(texts, 3, 90)
+
+
 def test_tricky_rows(spark):
     docs, rows = documents(spark)
     got = J.join(docs, size=3, percent=90).collect()
