@@ -10,7 +10,8 @@ trust, else allowed.
 Hosts link by absolute ``href`` and ``src`` targets in their pages, and, with
 ``site_links``, a host and the host named by dropping its first label link
 each other, if both have pages.  Scores are whole numbers of ``UNIT`` parts,
-so the order of sums doesn't matter.
+so the order of sums doesn't matter, and decimals, as a host that many seeds
+link to has more than a long holds.
 
 Null urls, and those without ``://``, have an empty host and path, fit no
 rule and are allowed; a null html has no links.  Repeated rows are judged
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import materialize
 
+#: Of scores while they spread.
+WIDE = "decimal(38,0)"
 #: Parts of a seed's own score.
 UNIT = 10**12
 #: Share of a score that links pass on in a round, in hundredths.
@@ -93,15 +96,18 @@ def spread(seeds: DataFrame, links: DataFrame, rounds: int, damping: int) -> Dat
 
     Only distinct host pairs are joined, and what a host receives is summed
     before it is shuffled, so a host that everything links to is no hot key.
+    Scores are ``WIDE``; a quotient's remainder is taken off first, so that it
+    is whole and no division rounds.
     """
+    quotient = lambda a, b: F.expr(f"(({a}) - ({a}) % ({b})) / ({b})").cast(WIDE)
     degrees = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     links = materialize(links.join(degrees, "src"), "links")
-    score = seeds.select("host", (F.col("own") * UNIT).alias("score"))
+    score = seeds.select("host", (F.col("own").cast(WIDE) * UNIT).cast(WIDE).alias("score"))
     for k in range(rounds):
         sent = links.join(score.withColumnRenamed("host", "src"), "src") \
-            .select(F.col("dst").alias("host"), F.expr(f"score * {damping} div (100 * n)").alias("score")).filter("score > 0")
-        own = seeds.select("host", F.expr(f"own * {UNIT} * {100 - damping} div 100").alias("score"))
-        score = sent.unionByName(own).groupBy("host").agg(F.sum("score").alias("score"))
+            .select(F.col("dst").alias("host"), quotient(f"score * {damping}", "100 * n").alias("score")).filter("score > 0")
+        own = seeds.select("host", quotient(f"cast(own as {WIDE}) * {UNIT} * {100 - damping}", "100").alias("score"))
+        score = sent.unionByName(own).groupBy("host").agg(F.sum("score").cast(WIDE).alias("score"))
         if k % 4 == 3:
             score = materialize(score, f"score-{k}")
     return score
@@ -110,7 +116,7 @@ def spread(seeds: DataFrame, links: DataFrame, rounds: int, damping: int) -> Dat
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", html: str = "html",
           keep: tuple[str, ...] = ("page_id",), rounds: int = ROUNDS, damping: int = DAMPING,
           threshold: float = THRESHOLD, site_links: bool = True) -> DataFrame:
-    """The kept columns, ``host``, ``path``, ``rule``, ``verdict``, ``trust`` and ``distrust`` (long, of ``UNIT``) of each row."""
+    """The kept columns, ``host``, ``path``, ``rule``, ``verdict``, ``trust`` and ``distrust`` (``WIDE``, of ``UNIT``) of each row."""
     own = [c for c in dict.fromkeys(keep) if c not in ["host", "path", "rule", "verdict", "trust", "distrust"]]
     parts = lambda *more: pages.select(url_host(pages[url]).alias("host"), url_path(pages[url]).alias("path"), *more)
     found = matched_rule(F.col("host"), F.col("path"), rules)
@@ -123,10 +129,10 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", h
     trust = spread(seeds.filter("allow = 1").select("host", F.lit(1).alias("own")), links, rounds, damping)
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     distrust = spread(seeds.filter("block = 1").select("host", F.lit(1).alias("own")), back, rounds, damping)
-    both = trust.select("host", F.col("score").alias("trust"), F.lit(0).cast("long").alias("distrust")).unionByName(
-        distrust.select("host", F.lit(0).cast("long").alias("trust"), F.col("score").alias("distrust")))
-    scores = materialize(both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "host-scores")
+    both = trust.select("host", F.col("score").alias("trust"), F.lit(0).cast(WIDE).alias("distrust")).unionByName(
+        distrust.select("host", F.lit(0).cast(WIDE).alias("trust"), F.col("score").alias("distrust")))
+    scores = materialize(both.groupBy("host").agg(F.sum("trust").cast(WIDE).alias("trust"), F.sum("distrust").cast(WIDE).alias("distrust")), "host-scores")
     return judged.join(scores, "host", "left").select(
         *own, "host", "path", F.col("r.name").alias("rule"),
         F.coalesce(F.col("r.verdict"), F.when(F.col("distrust") > F.col("trust") * F.lit(threshold), "block").otherwise("allow")).alias("verdict"),
-        F.coalesce("trust", F.lit(0)).cast("long").alias("trust"), F.coalesce("distrust", F.lit(0)).cast("long").alias("distrust"))
+        F.coalesce("trust", F.lit(0)).cast(WIDE).alias("trust"), F.coalesce("distrust", F.lit(0)).cast(WIDE).alias("distrust"))

@@ -286,4 +286,6 @@ FROM j LEFT JOIN t{last} t ON t.host = j.host LEFT JOIN b{last} b ON b.host = j.
 
 @register("op10_host_rank", _op10_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rank.judge(table(spark, sf_dir, "pages"))
+    """The scores as the SQL's BIGINT, which hold the seeds of nine million hosts; verdicts are judged before the cast."""
+    judged = host_rank.judge(table(spark, sf_dir, "pages"))
+    return judged.withColumns({c: F.col(c).cast("long") for c in ("trust", "distrust")})

@@ -60,5 +60,20 @@ def test_equals_brute_force(spark):
     assert {"allow", "block"} == {r[4] for r in got if r[3] is None}
 
 
+def test_hot_host_does_not_overflow(spark, monkeypatch):
+    star = [(k, f"http://s{k}.hub.org/", None) for k in range(40)] + [(99, "http://hub.org/", None), (100, "http://x.net/", '<a href="http://y.net">')]
+    for unit in (10**16, 10**18):  # 40 seeds as 400,000 and 40 million
+        monkeypatch.setattr(H, "UNIT", unit)
+        want = sorted(brute(star), key=str)
+        pages = spark.createDataFrame(star, "page_id long, url string, html string")
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            try:
+                got = sorted((tuple(r[:5]) + (int(r.trust), int(r.distrust)) for r in H.judge(pages).collect()), key=str)
+            finally:
+                spark.conf.unset("spark.sql.ansi.enabled")
+            assert got == want and max(r[5] for r in got) * 85 > 2**63
+
+
 def test_empty_table(spark):
     assert H.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
