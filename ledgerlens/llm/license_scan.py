@@ -5,8 +5,10 @@ finds notice phrases at word bounds.  A second one runs over the text itself
 and finds identifier tags; the rest of a tag's line is read as a licence
 expression with and, or, with and parentheses, put into postfix order by a
 shunting-yard parser and evaluated to the licences that it names and whether
-a permissive choice satisfies it.  An expression that doesn't parse counts
-for nothing.
+a permissive choice satisfies it.  Of a line that goes on after its
+expression (a full stop, prose), the longest leading part that is one counts.
+Identifiers and exceptions outside the tables are labels too, and whether they
+are permissive is unknown; in a line that goes on, a plain word is prose.
 
 The score is the strongest evidence: 1 for an expression, the phrase's weight
 otherwise, 0 without any.  Null texts count as empty.  Rows are independent,
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -66,6 +69,9 @@ EXCEPTIONS = {"classpath-exception-2.0": True, "gcc-exception-3.1": True, "llvm-
 
 BINDING = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[a-z0-9.+-]+|[()]")
+#: What an expression consists of, up to a full stop.
+_LEADING = re.compile(r"(?:[a-z0-9+()\s-]|\.(?!\s|$))*")
+_NAME = re.compile(r"[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?\+?")
 _BREAK = bytes(b if W.ALNUM[b] else 0x20 for b in W.LOWER.tolist())
 
 
@@ -100,33 +106,81 @@ def postfix(tokens: list[str]) -> list[str] | None:
     return out + stack[::-1]
 
 
-def evaluate(expression: str) -> tuple[set[str], bool] | None:
-    """The licences that an expression names, and whether a permissive choice satisfies it; None if it is no expression."""
+def _all(a: bool | None, b: bool | None) -> bool | None:
+    """And, where None is unknown."""
+    return False if a is False or b is False else None if a is None or b is None else True
+
+
+def _any(a: bool | None, b: bool | None) -> bool | None:
+    return True if a or b else None if a is None or b is None else False
+
+
+def _base(t: str) -> str:
+    return re.sub(r"(-only|-or-later|\+)$", "", t)
+
+
+def evaluate(expression: str) -> tuple[set[str], bool | None] | None:
+    """The licences that an expression names, and whether a permissive choice satisfies it (None: unknown); None if it is no expression."""
     tokens = _TOKEN.findall(expression.lower())
     order = postfix(tokens)
     if not order:
         return None
-    stack: list[tuple[set[str], bool, str]] = []
+    stack: list[tuple[set[str], bool | None, str]] = []
     for t in order:
         if t in BINDING:
             (b, free_b, name_b), (a, free_a, _) = stack.pop(), stack.pop()
             if t == "with":
-                if name_b not in EXCEPTIONS:
+                if name_b not in EXCEPTIONS and (not name_b or _base(name_b) in IDENTIFIERS):
                     return None
-                stack.append((a, free_a or EXCEPTIONS[name_b], ""))
+                stack.append((a | b, _any(free_a, EXCEPTIONS.get(name_b)), ""))
             else:
                 if name_b in EXCEPTIONS:
                     return None
-                stack.append((a | b, free_a or free_b if t == "or" else free_a and free_b, ""))
+                stack.append((a | b, _any(free_a, free_b) if t == "or" else _all(free_a, free_b), ""))
+        elif t in EXCEPTIONS:
+            stack.append((set(), False, t))
+        elif not _NAME.fullmatch(t):
+            return None
         else:
-            known = re.sub(r"(-only|-or-later|\+)$", "", t)
-            if known not in IDENTIFIERS and t not in EXCEPTIONS:
-                return None
-            stack.append(({known} & IDENTIFIERS.keys(), IDENTIFIERS.get(known, False), t))
+            stack.append(({_base(t)}, IDENTIFIERS.get(_base(t)), t))
     names, free, name = stack.pop()
     return None if name in EXCEPTIONS else (names, free)
 
 
+def leading(line: str) -> str:
+    """The longest leading part of a lower-case line that is an expression."""
+    part = _LEADING.match(line)[0]
+    tokens = list(_TOKEN.finditer(part))
+    for prose in (False, True):
+        depth, operand, end, whole = 0, True, 0, False
+        for m in tokens:
+            t = m[0]
+            if t == "(":
+                if not operand:
+                    break
+                depth += 1
+            elif t == ")":
+                if operand or not depth:
+                    break
+                depth -= 1
+            elif t in BINDING:
+                if operand:
+                    break
+                operand = True
+            else:
+                plain = t.isalpha() and t not in IDENTIFIERS
+                if not operand or not _NAME.fullmatch(t) or prose and plain:
+                    break
+                operand = False
+            if not depth and not operand:
+                end = m.end()
+        else:
+            whole = not line[end:].strip(" \t\r.")
+        if whole:
+            break
+    return line[:end]
+
+
 def _automaton(keys: dict) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for k, v in keys.items():
@@ -145,7 +199,7 @@ class Scanner:
         """n_words, n_base, first_word, last_word, base labels, labels, permissive, score of a text's UTF-8 bytes."""
         words = raw.translate(_BREAK).split()
         joined = " " + b" ".join(words).decode() + " "
-        n_base, first, last, score, base, labels, free = 0, None, None, 0.0, set(), set(), None
+        n_base, first, last, score, base, labels, frees = 0, None, None, 0.0, set(), set(), []
         at, word = 0, 0
         starts = []
         for end, (phrase, label, weight, is_base) in self.phrases.iter(joined):
@@ -162,10 +216,16 @@ class Scanner:
         for end, _ in self.tags.iter(lower):
             stop = lower.find("\n", end)
             line = lower[end + 1:len(lower) if stop < 0 else stop]
-            if got := evaluate(re.split(r'"\s*[,}]|\*/|-->', line.strip().strip('"'))[0]):
+            line = re.split(r'"\s*[,}]|\*/|-->', line.strip().strip('"'))[0]
+            # a line whose names are all known may have other characters between them
+            got = evaluate(line)
+            if not got or not got[0] <= IDENTIFIERS.keys():
+                got = evaluate(leading(line))
+            if got:
                 labels |= got[0]
-                free = got[1] if free is None else free and got[1]
+                frees.append(got[1])
                 score = 1.0
+        free = reduce(_all, frees) if frees else None
         return (len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), free, score)
 
 
@@ -174,7 +234,7 @@ FOUND = [("n_words", T.LongType()), ("n_base", T.LongType()), ("first_word", T.L
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and those of ``FOUND``; permissive: whether every expression has a permissive choice, null without one."""
+    """The kept columns and those of ``FOUND``; permissive: whether every expression has a permissive choice, null without one or if it is unknown."""
     names = [n for n, _ in FOUND]
     own = [c for c in dict.fromkeys(keep) if c not in names]
     bound_batches(docs.sparkSession)

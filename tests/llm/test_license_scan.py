@@ -25,6 +25,22 @@ def test_many_alternatives_stay_linear():
     assert names == {"mit", "gpl-2.0"} and free
 
 
+@pytest.mark.parametrize("line,labels,free", [
+    ("BSL-1.0 OR MIT", "bsl-1.0,mit", True), ("GPL-2.0 WITH Linux-syscall-note", "gpl-2.0,linux-syscall-note", None),
+    ("BSL-1.0 AND GPL-3.0", "bsl-1.0,gpl-3.0", False), ("BSL-1.0 AND MIT", "bsl-1.0,mit", None), ("Beerware", "beerware", None),
+    ("MIT.", "mit", True), ("Apache-2.0. See LICENSE", "apache-2.0", True), ("(MIT OR GPL-2.0-only) and some prose", "gpl-2.0,mit", True),
+    ("GPL-2.0 with love from us", "gpl-2.0", False), ("MIT, as is", "mit", True), ("MIT (see LICENSE)", "mit", True),
+])
+def test_unknown_names_and_lines_that_go_on(line, labels, free):
+    got = L.Scanner().scan(f"// SPDX-License-Identifier: {line}\ncode".encode())
+    assert (got[5], got[6], got[7]) == (labels, free, 1.0)
+
+
+@pytest.mark.parametrize("line", ["nothing known", "%s", "<license-id>", "see the file", "", "...", "MIT WITH GPL-2.0"])
+def test_lines_without_an_expression(line):
+    assert L.Scanner().scan(f"// SPDX-License-Identifier: {line}\ncode".encode())[5:] == ("", None, 0.0)
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
