@@ -2,15 +2,15 @@
 
 ``write_archives`` writes one record per page into gzip-per-record archives in
 the shared folder.  ``capture_runs`` reads archives and gives, for each, its
-captures as a run sorted by URL key and time.  ``merge_runs`` deals the runs
+captures as a run sorted by URL key and page id.  ``merge_runs`` deals the runs
 by key range and merges the slices of a range with a loser tree, so the whole
 is in order and a URL's captures are neighbours, however many it has.
 
 Pages whose payload equals that of a page with a smaller id become revisit
 records of it, if the payload has at least ``revisit_from`` bytes.  Rows that
 repeat that smallest id are responses too.  A null html is an empty payload,
-a null url has an empty key, a null id stands last among equal payloads and
-has the time ``BASE_TIME``.  An empty table gives no captures.  Other columns
+a null url has an empty key, a null id stands last among equal payloads, has
+the time ``BASE_TIME`` and comes first in its URL's history.  An empty table gives no captures.  Other columns
 are not archived.
 """
 
@@ -37,9 +37,12 @@ from ledgerlens.session import materialize, new_run_dir
 ARCHIVE_BYTES = 256 << 20
 #: Pages carry no capture time; the page id gives the seconds after this one.
 BASE_TIME = "2024-01-01T00:00:00Z"
+#: Captures of a range, about; a task merges one range.
+RANGE_ROWS = 200_000
 RUN_SCHEMA = ("url_key string, capture_time string, page_id long, url string, payload_bytes long, payload_digest string, "
               "record_type string, refers_to long, archive string, offset long, length long")
-ORDER = ("url_key", "capture_time", "page_id", "offset")
+#: Times stand for ids only below 10**9 seconds, so the id itself gives the order.
+ORDER = ("url_key", "page_id", "offset")
 
 
 def url_key(url: str | None) -> str:
@@ -215,7 +218,7 @@ def merge_runs(runs: DataFrame, ranges: int | None = None) -> DataFrame:
     many; a task holds the slices of one range.
     """
     spark = runs.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(batches)) if (first := next(batches, None)) is None else pa.Table.from_batches([first, *batches])
@@ -224,7 +227,7 @@ def merge_runs(runs: DataFrame, ranges: int | None = None) -> DataFrame:
         archive = held.column("archive").to_pylist()
         cuts = [0, *(k for k in range(1, len(archive)) if archive[k] != archive[k - 1]), len(archive)]
         keys = [held.column(c).to_pylist() for c in ORDER]
-        item = lambda k: (keys[0][k], keys[1][k], keys[2][k] is not None, keys[2][k] or 0, keys[3][k], k)
+        item = lambda k: (keys[0][k], keys[1][k] is not None, keys[1][k] or 0, keys[2][k], k)
         tree = LoserTree([map(item, range(a, b)) for a, b in zip(cuts, cuts[1:])])
         merged = held.take(pa.array([x[-1] for x in tree], pa.int64()))
         yield from merged.append_column("place", pa.array(range(merged.num_rows), pa.int64())).to_batches(max_chunksize=10_000)

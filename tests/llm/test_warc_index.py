@@ -54,3 +54,12 @@ def test_loser_tree():
     for k in (0, 1, 2, 3, 7, 8, 13):
         runs = [sorted(rng.randint(0, 20) for _ in range(rng.randint(0, 9))) for _ in range(k)]
         assert list(I.LoserTree(list(map(iter, runs)))) == sorted(x for r in runs for x in r)
+
+
+def test_history_is_in_the_order_of_any_ids(spark, monkeypatch):
+    ids = [10**9 + 5, 3, -7, 2 * 10**9, 10**9, 2**63 - 1, -2**63, 0, None, 999_999_999]
+    pages = spark.createDataFrame([(i, "http://a.net/", f"x{i}") for i in ids], "page_id long, url string, html string")
+    monkeypatch.setattr(I, "RANGE_ROWS", 1)  # ranges follow from the rows, not only from the session
+    merged = I.merge_runs(I.capture_runs(I.write_archives(pages)))
+    got = [r.page_id for r in sorted(merged.collect(), key=lambda r: r.position)]
+    assert got == [None, *sorted(i for i in ids if i is not None)]
