@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_bpe, decontaminate, host_rank, importance, jaccard_tree, license_scan, quality_rules, secret_links, substring_dedup, warc_index
+from ledgerlens.llm import byte_bpe, decontaminate, host_rank, importance, jaccard_tree, license_scan, line_dedup, quality_rules, ranked_search, secret_links, substring_dedup, warc_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -289,3 +289,44 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores as the SQL's BIGINT, which hold the seeds of nine million hosts; verdicts are judged before the cast."""
     judged = host_rank.judge(table(spark, sf_dir, "pages"))
     return judged.withColumns({c: F.col(c).cast("long") for c in ("trust", "distrust")})
+
+
+# --- 11: ranked lexical search -----------------------------------------------
+
+OP11 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS a FROM documents),
+s AS (SELECT count(*) FILTER (len(a) > 0) AS n, sum(len(a))::BIGINT AS l FROM d),
+t AS (SELECT doc_id, x, count(*) AS tf FROM (SELECT doc_id, unnest(a) AS x FROM d) GROUP BY ALL),
+w AS (SELECT x, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY x, n),
+m AS (SELECT doc_id, 50 + (50 * len(a) * n) // l AS m FROM d, s WHERE len(a) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_ALNUM}')) AS x FROM benchmark),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM q JOIN t USING (x) JOIN w USING (x) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 50
+"""
+
+
+@register("op11_ranked_search", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# --- 12: line dedup ----------------------------------------------------------
+
+_UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP12 = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS x FROM d),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(x, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), '{_UPPER}', '{_SMALL}') AS key FROM l),
+r AS (SELECT key, key <> '' AND count(DISTINCT doc_id) >= 10 AS gone FROM k GROUP BY key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM k JOIN r USING (key) GROUP BY doc_id
+"""
+
+
+@register("op12_line_dedup", OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

@@ -101,6 +101,20 @@ class Words:
         return h
 
 
+def span_hashes(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, a sum over its pieces of eight bytes; a long span costs no more than many short ones."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[:len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    pieces = (b - a + 7) // 8
+    ends = np.cumsum(pieces)
+    j = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - pieces, pieces)
+    at = np.repeat(a, pieces) + 8 * j
+    x = eight[at] & _KEEP[np.minimum(np.repeat(b, pieces) - at, 8)]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x * _M3 + mix(j.astype(np.uint64) + np.uint64(1))), dtype=np.uint64)])
+    return mix(total[ends] - total[ends - pieces] + (b - a).astype(np.uint64) * _M1)
+
+
 def grams(h: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` words from each word on; the last ``size - 1`` positions are left out.
 
