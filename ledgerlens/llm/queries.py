@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_bpe, decontaminate, host_rank, importance, jaccard_tree, license_scan, line_dedup, quality_rules, ranked_search, secret_links, substring_dedup, warc_index
+from ledgerlens.llm import byte_bpe, collocations, decontaminate, host_rank, importance, jaccard_tree, license_scan, line_dedup, quality_rules, ranked_search, secret_links, substring_dedup, warc_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -330,3 +330,29 @@ FROM k JOIN r USING (key) GROUP BY doc_id
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+# --- 13: phrase collocation mining -------------------------------------------
+
+OP13 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS a FROM p),
+n AS (SELECT lang, sum(len(a))::BIGINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, array_to_string(a[i : i + k - 1], ' ') AS phrase, count(*) AS f
+      FROM w, (VALUES (1), (2), (3)) AS s(k), unnest(range(1, len(a) - k + 2)) AS r(i) GROUP BY ALL),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS x FROM f WHERE k > 1 AND f >= 10),
+held AS (SELECT lang, array_to_string(x[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(x[2:3], ' '), a FROM c WHERE k = 3),
+gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN held USING (lang, phrase) WHERE 100 * held.a >= 50 * c.a),
+cut AS (SELECT c.lang, c.phrase, c.a, j, array_to_string(x[1:j], ' ') AS fst, array_to_string(x[j + 1:], ' ') AS rst
+        FROM c ANTI JOIN gone USING (lang, phrase), unnest(range(1, k)) AS q(j)),
+scored AS (SELECT cut.lang, cut.phrase, cut.a, j, l.f AS l, r.f AS r, (1000000::HUGEINT * cut.a * cut.a // (l.f::HUGEINT * r.f))::BIGINT AS score
+           FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = fst JOIN f r ON r.lang = cut.lang AND r.phrase = rst),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@register("op13_collocations", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

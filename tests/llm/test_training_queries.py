@@ -14,9 +14,9 @@ def test_oracle(spark, name):
     assert res["columns_match"] and res["values_match"], res
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = E.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", ["op5_secret_links", "op7_quality_rules", "op10_host_rank"])
