@@ -120,9 +120,9 @@ def filters(rows: DataFrame, bits: int, hashes: Callable[[pa.RecordBatch], Itera
         yield from seen.segments()
 
     schema = "segment int, once binary, twice binary"
-    parts = max(1, min(1 << (bits - SEGMENT), 256))
+    parts = max(1, min(1 << (bits - SEGMENT), 64))
     merged = rows.mapInArrow(run, schema).repartition(parts, "segment").mapInArrow(_merge, schema)
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in merged.select("segment", column).filter(f"length({column}) > 0").toLocalIterator():
+    for r in merged.select("segment", column).filter(f"length({column}) > 0").collect():
         out[r[0] * SEGMENT_BYTES:(r[0] + 1) * SEGMENT_BYTES] = _unpacked(bytes(r[1]))
     return out
