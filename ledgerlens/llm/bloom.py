@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ledgerlens.llm.scratch import lean
+
 SEGMENT = 16
 SEGMENT_BYTES = 1 << (SEGMENT - 3)
 MOST_BITS = 29
@@ -121,7 +123,7 @@ def filters(rows: DataFrame, bits: int, hashes: Callable[[pa.RecordBatch], Itera
 
     schema = "segment int, once binary, twice binary"
     parts = max(1, min(1 << (bits - SEGMENT), 64))
-    merged = rows.mapInArrow(run, schema).repartition(parts, "segment").mapInArrow(_merge, schema)
+    merged = rows.mapInArrow(lean(run), schema).repartition(parts, "segment").mapInArrow(lean(_merge), schema)
     out = np.zeros(1 << (bits - 3), np.uint8)
     for r in merged.select("segment", column).filter(f"length({column}) > 0").collect():
         out[r[0] * SEGMENT_BYTES:(r[0] + 1) * SEGMENT_BYTES] = _unpacked(bytes(r[1]))
