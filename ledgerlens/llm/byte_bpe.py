@@ -31,14 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ledgerlens.llm import words as W
-from ledgerlens.llm.scratch import bound_batches
+from ledgerlens.llm.scratch import bound_batches, lean
 
 #: Longest piece, in bytes, that is merged in a matrix.
 MATRIX_BYTES = 1024
 #: Cells of one matrix; more rows go to the next one.
 MATRIX_CELLS = 1 << 20
-#: Encoded pieces that a task remembers; it starts anew beyond that.
-CACHE_PIECES = 400_000
+#: Bytes of pieces (as UTF-8, and 150 more each) that a task remembers; it starts anew beyond that.
+CACHE_BYTES = 32 << 20
+#: Bytes of text handled at once; a longer text is handled alone.
+SLICE_BYTES = 1 << 20
 
 NO_RANK = np.int32(2**31 - 1)
 
@@ -176,16 +178,24 @@ class Vocabulary:
         return out
 
 
-def encode_texts(texts: list[str], vocabulary: Vocabulary, find, cache: dict[str, bytes]) -> list[bytes]:
+class Cache(dict):
+    """Ids of pieces, and about how many bytes they take."""
+
+    bytes = 0
+
+
+def encode_texts(texts: list[str], vocabulary: Vocabulary, find, cache: Cache) -> list[bytes]:
     """Ids of each text, as bytes; ``cache`` maps pieces to ids and grows."""
     split = [find(t) for t in texts]
-    if len(cache) > CACHE_PIECES:
+    if cache.bytes > CACHE_BYTES:
         cache.clear()
+        cache.bytes = 0
     new = list({p for pieces in split for p in pieces if p not in cache})
     if new:
         raw = [p.encode() for p in new]
         ids = vocabulary.encode_pieces(raw)
         cache.update((p, ids[r]) for p, r in zip(new, raw))
+        cache.bytes += sum(map(len, raw)) + 150 * len(raw)
     return [b"".join(map(cache.__getitem__, pieces)) for pieces in split]
 
 
@@ -193,36 +203,71 @@ def _kept(df: DataFrame, keep: list[str], new: list[str]) -> list[str]:
     return [c for c in dict.fromkeys(keep) if c not in new and c in df.columns]
 
 
+class Decoder:
+    """Token bytes side by side, and where each begins."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        token = vocabulary.token
+        self.size = np.zeros(max(token) + 1, np.int32)
+        self.size[list(token)] = [len(t) for t in token.values()]
+        self.begin = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.content = np.frombuffer(b"".join(token[i] for i in sorted(token)), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        n = self.size[ids]
+        ends = np.cumsum(n, dtype=np.int64)
+        place = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64) - np.repeat(ends - n - self.begin[ids], n)
+        return self.content[place].tobytes()
+
+
+def _encoded(texts: pa.Array, vocabulary: Vocabulary, find, cache: Cache) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, end row, ids of each) of each slice."""
+    _, bounds = W.text_bytes(texts)
+    for lo, hi in W.slices(bounds, SLICE_BYTES):
+        yield lo, hi, encode_texts([t or "" for t in texts.slice(lo, hi - lo).to_pylist()], vocabulary, find, cache)
+
+
+def _id_columns(ids: list[bytes]) -> list[pa.Array]:
+    sizes = np.array([len(x) // 4 for x in ids], np.int64)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return [pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4"))),
+            pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())]
+
+
+_ID_FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_sha256", T.StringType())]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, ``n_tokens`` long, ``ids`` array<int> and ``ids_sha256`` of each row's text.
 
     path: a rank file (token in base64 and rank on each line), readable on every
     worker; pattern: what splits a text into pieces.
     """
-    own = _kept(docs, list(keep), ["n_tokens", "ids", "ids_sha256"])
+    return _rows(docs, path, pattern, text, keep, _ID_FIELDS)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """As ``encode``, and ``decoded_sha256`` of the bytes that the ids decode to: one pass, one vocabulary a worker."""
+    return _rows(docs, path, pattern, text, keep, [*_ID_FIELDS, T.StructField("decoded_sha256", T.StringType())])
+
+
+def _rows(docs: DataFrame, path: str, pattern: str, text: str, keep: tuple[str, ...], fields: list[T.StructField]) -> DataFrame:
+    new = [f.name for f in fields]
+    own = _kept(docs, list(keep), new)
     bound_batches(docs.sparkSession)
     source = docs.select(*own, docs[text].cast("string").alias("__text"))
-    schema = T.StructType([source.schema[c] for c in own] + [
-        T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
-        T.StructField("ids_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, find, cache = Vocabulary(path), regex.compile(pattern).findall, {}
+        vocabulary, find, cache = Vocabulary(path), regex.compile(pattern).findall, Cache()
+        decoder = Decoder(vocabulary) if "decoded_sha256" in new else None
         for batch in batches:
-            _, bounds = W.text_bytes(batch.column("__text"))
-            for lo, hi in W.slices(bounds):
-                texts = [t or "" for t in batch.column("__text").slice(lo, hi - lo).to_pylist()]
-                ids = encode_texts(texts, vocabulary, find, cache)
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                digests = [hashlib.sha256(x).hexdigest() for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(lo, hi - lo) for c in own]
-                    + [pa.array(sizes), pa.ListArray.from_arrays(offsets, flat), pa.array(digests, pa.string())],
-                    names=[*own, "n_tokens", "ids", "ids_sha256"])
-
-    return source.mapInArrow(run, schema)
+            for lo, hi, ids in _encoded(batch.column("__text"), vocabulary, find, cache):
+                told = _id_columns(ids)
+                if decoder:
+                    told.append(pa.array([hashlib.sha256(decoder.decode(np.frombuffer(x, "<i4"))).hexdigest() for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in own] + told, names=[*own, *new])
+
+    return source.mapInArrow(lean(run), T.StructType([source.schema[c] for c in own] + fields))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -233,23 +278,14 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...
     schema = T.StructType([source.schema[c] for c in own] + [T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = Vocabulary(path).token
-        size = np.zeros(max(token) + 1, np.int64)
-        size[list(token)] = [len(t) for t in token.values()]
-        begin = np.cumsum(size) - size
-        content = np.frombuffer(b"".join(token[i] for i in sorted(token)), np.uint8)
+        decoder = Decoder(Vocabulary(path))
         for batch in batches:
             column = batch.column("__ids")
-            for lo in range(0, batch.num_rows, 64):
-                part = column.slice(lo, 64)
-                flat = part.flatten().to_numpy()
-                n = size[flat]
-                place = np.repeat(begin[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                counts = pc.fill_null(pc.list_value_length(part), 0).to_numpy()
-                ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
-                raw = content[place].tobytes()
-                decoded = [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, 64) for c in own]
+            bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())])
+            flat = column.flatten().to_numpy()
+            for lo, hi in W.slices(bounds, SLICE_BYTES // 4):
+                decoded = [decoder.decode(flat[a:b]) for a, b in zip(bounds[lo:hi], bounds[lo + 1:hi + 1])]
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in own]
                                                  + [pa.array(decoded, pa.binary())], names=[*own, "decoded"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

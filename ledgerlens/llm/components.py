@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.scratch import lean
 from ledgerlens.session import materialize
 
 
@@ -52,7 +53,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     parts = -(-both.count() // LOCAL_LINKS)
     # a written table's partitions, or equal shares if these would be too large
     dealt = both.coalesce(1) if parts <= 1 else both.repartition(parts)
-    edges = materialize(dealt.mapInArrow(_local_roots, "u long, v long"), "edges")
+    edges = materialize(dealt.mapInArrow(lean(_local_roots), "u long, v long"), "edges")
     seen = None
     while parts > 1:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import words as W
-from ledgerlens.llm.scratch import bound_batches
+from ledgerlens.llm.scratch import bound_batches, lean
 from ledgerlens.session import materialize
 
 #: Words of a window.
@@ -58,7 +58,7 @@ def windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"item": pa.array([batch.column("item")[lo + r].as_py()] * len(found), pa.string()),
                                                       "words": pa.array(found, pa.binary())})
 
-    found = read.mapInArrow(run, "item string, words binary").distinct()
+    found = read.mapInArrow(lean(run), "item string, words binary").distinct()
     return found.groupBy("words").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
@@ -135,7 +135,7 @@ def _count(read: DataFrame, shared) -> dict[int, int]:
         some = totals > 0
         yield pa.RecordBatch.from_pydict({"token": tokens[some].view(np.int64), "n": totals[some]})
 
-    rows = read.select("__text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = read.select("__text").mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return {r["token"] % 2**64: r["n"] for r in rows}
 
 
@@ -182,7 +182,7 @@ def _hits(read: DataFrame, shared) -> DataFrame:
                                                   pa.array(out["spans"], spans_type), pa.array(out["items"], pa.list_(pa.string()))],
                                                  names=[*KEY, "spans", "items"])
 
-    return read.select(*KEY, "__text").mapInArrow(run, "__id long, __hash long, spans array<struct<a:int,b:int>>, items array<string>")
+    return read.select(*KEY, "__text").mapInArrow(lean(run), "__id long, __hash long, spans array<struct<a:int,b:int>>, items array<string>")
 
 
 def _word_counts(read: DataFrame, id_col: str) -> DataFrame:
@@ -194,7 +194,7 @@ def _word_counts(read: DataFrame, id_col: str) -> DataFrame:
                                              names=["id", *KEY, "n_words"])
 
     kind = read.schema[id_col].dataType.simpleString()
-    return read.select(F.col(id_col).alias("id"), *KEY, "__text").mapInArrow(run, f"id {kind}, __id long, __hash long, n_words long")
+    return read.select(F.col(id_col).alias("id"), *KEY, "__text").mapInArrow(lean(run), f"id {kind}, __id long, __hash long, n_words long")
 
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id",

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import words as W
-from ledgerlens.llm.scratch import bound_batches
+from ledgerlens.llm.scratch import bound_batches, lean
 from ledgerlens.session import materialize
 
 #: Labelled good documents that the target model is fitted and the cut is set on, at most.
@@ -106,8 +106,8 @@ def _models(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                                           names=["cell", "raw", "target"])
 
     # a task brings one row for each range of buckets at most
-    counted = read.mapInArrow(run, "cell long, raw array<int>, target array<int>")
-    summed = counted.repartition("cell").mapInArrow(add, "cell long, raw array<bigint>, target array<bigint>")
+    counted = read.mapInArrow(lean(run), "cell long, raw array<int>, target array<int>")
+    summed = counted.repartition("cell").mapInArrow(lean(add), "cell long, raw array<bigint>, target array<bigint>")
     raw, target = (np.zeros(1 << BUCKET_BITS) for _ in range(2))
     for r in summed.toLocalIterator():  # 2 ** BUCKET_BITS numbers of each model
         raw[r["cell"]:r["cell"] + _SIDE], target[r["cell"]:r["cell"] + _SIDE] = r["raw"], r["target"]
@@ -140,7 +140,7 @@ def _weights(read: DataFrame, ratios) -> DataFrame:
                     weight[some] = np.minimum(weight[some], np.minimum.reduceat(passage, a)) / 2**20
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in own] + [pa.array(weight)], names=[*own, "log_weight"])
 
-    return read.mapInArrow(run, f"{kinds}, log_weight double")
+    return read.mapInArrow(lean(run), f"{kinds}, log_weight double")
 
 
 def kth_largest(scored: DataFrame, k: int, column: str = "noisy", bins: int = 4096) -> float | None:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import words as W
 from ledgerlens.llm.components import components
-from ledgerlens.llm.scratch import bound_batches, release
+from ledgerlens.llm.scratch import bound_batches, lean, release
 from ledgerlens.session import materialize
 
 #: Words of a shingle and the least similarity in percent, unless a caller says otherwise.
@@ -59,6 +59,8 @@ GROUP_ROWS = 4096
 
 #: Pairs and keys (16 and 24 bytes each) that are sent to every task at most, about 5 MB; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Partners whose texts one task compares with a hub's, about.
+CHUNK_PARTNERS = 256
 
 _WORDS64 = BITMAP_BITS // 64
 _SIDE = 512  # sketch cells of a row of counts on their way to the driver
@@ -108,7 +110,7 @@ def _sketch(read: DataFrame, size: int) -> np.ndarray:
 
     schema = "cell long, n array<bigint>"
     # each task brings at most one row of counts for each cell range, and sums them one by one
-    summed = read.select("__text").mapInArrow(run, schema).repartition("cell").mapInArrow(add, schema)
+    summed = read.select("__text").mapInArrow(lean(run), schema).repartition("cell").mapInArrow(lean(add), schema)
     counts = np.zeros(cells, np.int64)
     for r in summed.collect():  # 2 ** SKETCH_BITS numbers in all
         counts[r["cell"]:r["cell"] + _SIDE] += r["n"]
@@ -151,7 +153,7 @@ def _facts(read: DataFrame, id_kind: str, size: int, percent: int, ranks) -> Dat
                     + [pa.array(n, pa.int64()), signed(h1), signed(h2), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())],
                     names=["id", "__id", "__hash", "n", "h1", "h2", "prefix", "bits"])
 
-    return read.mapInArrow(run, f"id {id_kind}, __id long, __hash long, n long, h1 long, h2 long, prefix binary, bits binary")
+    return read.mapInArrow(lean(run), f"id {id_kind}, __id long, __hash long, n long, h1 long, h2 long, prefix binary, bits binary")
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -225,8 +227,8 @@ def _candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
                 yield from pa.Table.from_arrays([pa.array(gid.view(np.int64)), pa.array(np.concatenate(out_rid))],
                                                 names=["gid", "rid"]).to_batches(max_chunksize=50_000)
 
-    rows = reps.mapInArrow(explode, "key long, rid long, n int, pos int")
-    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(group, "gid long, rid long").distinct()
+    rows = reps.mapInArrow(lean(explode), "key long, rid long, n int, pos int")
+    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(lean(group), "gid long, rid long").distinct()
 
 
 class Tree:
@@ -363,29 +365,44 @@ def _tree_pairs(grouped: DataFrame, percent: int, wanted: str) -> DataFrame:
 
     # hubs are the smallest sets; else components lie together, so that nodes have one label
     order = ["gid", "n", "rid"] if wanted == "hubs" else ["gid", "label", "n", "rid"]
-    return grouped.repartition("gid").sortWithinPartitions(*order).mapInArrow(run, "gid long, a long, b long")
+    return grouped.repartition("gid").sortWithinPartitions(*order).mapInArrow(lean(run), "gid long, a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose texts' shingle sets link; texts: rid, text."""
+    """The pairs whose texts' shingle sets link; texts: rid, text.
+
+    Of each pair the row in more pairs is the hub.  Its text goes once to each
+    chunk of at most about ``CHUNK_PARTNERS`` partners, whose texts go along.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = None, None
+        own = np.zeros(0, np.uint64)
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            hub, partner, text = batch.column("hub").to_pylist(), batch.column("partner").to_pylist(), batch.column("text")
             keep = []
-            for k in range(batch.num_rows):
-                if held != a[k]:
-                    held, own = a[k], _one_set(batch.column("text_a").slice(k, 1), size)
-                other = _one_set(batch.column("text_b").slice(k, 1), size)
+            for k, y in enumerate(partner):
+                other = _one_set(text.slice(k, 1), size)
+                if y is None:  # the hub comes first
+                    own = other
+                    continue
                 both = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(own) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
-
+                if 100 * both >= percent * (len(own) + len(other) - both):
+                    keep.append((min(hub[k], y), max(hub[k], y)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in keep], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    degree = materialize(pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("d")), "degree")
+    of = lambda c: degree.select(F.col("x").alias(c), F.col("d").alias(f"d_{c}"))
+    first = F.col("d_a") >= F.col("d_b")
+    dealt = pairs.join(of("a"), "a").join(of("b"), "b").select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("partner"),
+        F.pmod(F.xxhash64(F.when(first, F.col("b")).otherwise(F.col("a"))), F.ceil(F.greatest("d_a", "d_b") / CHUNK_PARTNERS)).alias("chunk"))
+    dealt = materialize(dealt, "dealt")
     # few pairs go to the texts; else both are dealt out by row id
-    few = _if_few(pairs)
-    side = lambda x: few.join(texts.select(F.col("rid").alias(x), F.col("text").alias(f"text_{x}")), x)
-    return side("a").join(side("b"), ["a", "b"]).mapInArrow(run, "a long, b long")
+    hubs = materialize(dealt.select("hub", "chunk").distinct(), "hubs")
+    one = _if_few(hubs).join(texts.withColumnRenamed("rid", "hub"), "hub").withColumn("partner", F.lit(None).cast("long"))
+    other = _if_few(dealt).join(texts.withColumnRenamed("rid", "partner"), "partner")
+    return one.unionByName(other).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.col("partner").asc_nulls_first()) \
+        .select("hub", "partner", "text").mapInArrow(lean(run), "a long, b long")
 
 
 def _if_few(rows: DataFrame) -> DataFrame:

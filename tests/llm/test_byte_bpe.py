@@ -23,6 +23,10 @@ def test_ids_equal_the_library_and_decode_back(spark):
     docs, rows = documents(spark)
     encoded = B.encode(docs, PATH, P.PATTERN, keep=("doc_id", "text", "ids"))
     decoded = B.decode(encoded, PATH, keep=("doc_id", "text", "n_tokens", "ids", "ids_sha256")).collect()
+    both = {(r.doc_id, tuple(r.ids)): r for r in B.round_trip(docs, PATH, P.PATTERN).collect()}
+    for r in decoded:
+        one = both[r.doc_id, tuple(r.ids)]
+        assert (one.n_tokens, one.ids_sha256, one.decoded_sha256) == (r.n_tokens, r.ids_sha256, hashlib.sha256(bytes(r.decoded)).hexdigest())
     enc, want = reference(), sorted((i or 0, t or "") for i, t in rows)
     assert sorted((r.doc_id or 0, r.text or "") for r in decoded) == want
     for r in decoded:
@@ -37,7 +41,7 @@ def test_random_texts_and_both_merge_paths():
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(1500)]
     texts += [" " * 4000, "a" * 3000, "".join(rng.choice("abcdefghij") for _ in range(6000)), "<|endoftext|>", "  a b  c ", " a", "a ", "a \nb c\n d", "a\x1c b \u0085c", "it's 's 'll  's x"]
     find = regex.compile(P.PATTERN).findall
-    got = B.encode_texts(texts, v, find, {})
+    got = B.encode_texts(texts, v, find, B.Cache())
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [enc.encode_ordinary(t) for t in texts]
     pieces = [p.encode() for p in {p for t in texts for p in find(t)} if 2 < len(p.encode()) <= 200]
     assert v.merge_rows(pieces) == [v.merge_long(p) for p in pieces]
