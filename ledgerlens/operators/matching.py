@@ -9,25 +9,23 @@ Design (all set-based, no pair explosion inside hot accounts):
   partner, because ranks break ties on the other side's id.
 * The date window becomes an equi key: the ledger keys are exploded over the
   window offsets (``2w+1`` rows each) and joined on the probe date.
-* The tolerance band is searched without pairs: keys sit in cells of
-  (account, currency, date, logarithmic amount bucket of width ``ln(1+tol)``);
-  a key probes the few cells its window and band reach, and a window over
-  each cell sorted by amount yields the nearest other-side amount below and
-  above -- the only possible best partners, since the band test is monotone
-  in the distance.
+* The tolerance band is searched without pairs: a key probes the dates of its
+  window, and running frames by amount over each (account, currency, date)
+  yield the nearest other-side amount below and above -- the only possible
+  best partners, since the band test is monotone in the distance.  A hot
+  account's frames are cut into ranges of amounts (``running.Pieces``).
 * Mutual best = ``min(struct(distance, other_id))`` per side over the
   candidate set, then an equi join of the two "best" lists on both ids.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
 from ledgerlens.functions.columns import tolerance_confidence
+from ledgerlens.operators.running import Pieces, salted_join
 from ledgerlens.session import materialize
 
 KEY = ["account_id", "currency"]
@@ -37,23 +35,10 @@ KEY = ["account_id", "currency"]
 # Inputs
 # ---------------------------------------------------------------------------
 
-#: Copies of the account table that a side's rows are spread over, so that the
-#: rows of one account go to as many tasks.
-SALTS = 16
-
-
-def _with_account(rows: DataFrame, acc: DataFrame, id_col: str, on: str, keep: list[str]) -> DataFrame:
-    """``rows`` whose account exists, with the columns ``keep`` of it; joined on
-    the key and a salt from the row's id."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
-    copies = acc.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(copies.select(on, "salt", *keep), [on, "salt"], "inner" if keep else "left_semi").drop("salt")
-
-
 def ledger_side(led: DataFrame, acc: DataFrame) -> DataFrame:
     """Ledger rows whose account exists, narrowed to the matching columns."""
     rows = led.select("ledger_txn_id", "account_id", "currency", "amount", "value_date")
-    return _with_account(rows, acc.select("account_id"), "ledger_txn_id", "account_id", [])
+    return salted_join(rows, acc, "account_id", "ledger_txn_id", [])
 
 
 def external_side(ext: DataFrame, acc: DataFrame, flagged_only: bool = False) -> DataFrame:
@@ -63,7 +48,7 @@ def external_side(ext: DataFrame, acc: DataFrame, flagged_only: bool = False) ->
         e = e.filter(F.col("is_batched_settlement"))
     a = acc.select(F.col("external_ref").alias("account_ref"), "account_id")
     rows = e.select("ext_line_id", "account_ref", "currency", "amount", "value_date", "is_batched_settlement")
-    return _with_account(rows, a, "ext_line_id", "account_ref", ["account_id"]).drop("account_ref")
+    return salted_join(rows, a, "account_ref", "ext_line_id", ["account_id"]).drop("account_ref")
 
 
 def exclude_matched(df: DataFrame, bridge: DataFrame | None, key: str) -> DataFrame:
@@ -128,52 +113,29 @@ def exact_matches(led: DataFrame, ext: DataFrame, window_days: int = 2) -> DataF
 # D2 tolerance
 # ---------------------------------------------------------------------------
 
-_EPS = 1e-9
-
-
-def _bucket(amount, h: float):
-    """Log bucket of a positive amount; exact cents when the tolerance is 0."""
-    if h > 0:
-        return F.floor(F.ln(amount.cast("double")) / h).cast("long")
-    return (amount * 100).cast("long")
-
-
-def _bucket_range(lo_amount, hi_amount, h: float, cents):
-    """Buckets covering [lo_amount, hi_amount] (doubles; fp margin on both ends)."""
-    if h > 0 and h != float("inf"):
-        lo = F.floor((F.ln(lo_amount) - _EPS) / h).cast("long")
-        hi = F.floor((F.ln(hi_amount) + _EPS) / h).cast("long")
-        return F.sequence(lo, hi)
-    if h == float("inf"):
-        return F.array(F.lit(0).cast("long"))
-    return F.array(cents)
+CELL = KEY + ["cdate"]
 
 
 def _nearest(probes: DataFrame, cells: DataFrame, probe_id: str, cell_id: str) -> DataFrame:
     """For every probe row, the cell rows nearest below-or-equal and above in
-    amount within the same (account, currency, date, bucket) cell:
-    probes(acct.., cdate, bkt, amt, probe_id, off, ...) x cells(acct.., cdate, bkt, amt, cell_id)
+    amount with the same (account, currency, date):
+    probes(acct.., cdate, amt, probe_id, off) x cells(acct.., cdate, amt, cell_id)
     -> (probe_id, off, probe_amt, cand_amt, cell_id); at most two per probe row.
-    A window over the union sorted by amount -- no pairs are formed."""
-    part = KEY + ["cdate", "bkt"]
-    u = (cells.select(*part, "amt", F.col(cell_id).alias("cid"), F.lit(None).cast("long").alias("pid"),
+    Running frames over the union by amount -- no pairs are formed, and a hot
+    (account, currency, date) is cut into ranges of amounts (``Pieces``)."""
+    u = (cells.select(*CELL, "amt", F.col(cell_id).alias("cid"), F.lit(None).cast("long").alias("pid"),
                       F.lit(None).cast("int").alias("off"), F.lit(0).alias("kind"))
-         .unionByName(probes.select(*part, "amt", F.lit(None).cast("long").alias("cid"),
+         .unionByName(probes.select(*CELL, "amt", F.lit(None).cast("long").alias("cid"),
                                     F.col(probe_id).alias("pid"), F.col("off").cast("int"), F.lit(1).alias("kind"))))
+    pieces = Pieces(u, CELL, "amt")
     cell = F.when(F.col("kind") == 0, F.struct(F.col("amt").alias("a"), F.col("cid").alias("id")))
-    # both are running frames (one pass): the last cell row before the probe by
-    # rising amount, and by falling amount (there, equal amounts come after it)
-    rising = Window.partitionBy(*part).orderBy("amt", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    falling = (Window.partitionBy(*part).orderBy(F.desc("amt"), F.desc("kind"))
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    near = (u.select("kind", "pid", "off", "amt", F.last(cell, ignorenulls=True).over(rising).alias("b"),
-                     F.last(cell, ignorenulls=True).over(falling).alias("c"))
-            .filter(F.col("kind") == 1)
-            .select(F.col("pid").alias(probe_id), "off", F.col("amt").alias("probe_amt"),
-                    F.explode(F.array("b", "c")).alias("n"))
+    # the last cell row before the probe by rising amount, and by falling
+    # amount (there, equal amounts come after it)
+    near = pieces.last(pieces.rows, cell, ["amt", "kind"], "b")
+    near = pieces.last(near, cell, ["amt", "kind"], "c", descending=True).filter(F.col("kind") == 1)
+    return (near.select(F.col("pid").alias(probe_id), "off", F.col("amt").alias("probe_amt"), F.explode(F.array("b", "c")).alias("n"))
             .filter(F.col("n").isNotNull())
             .select(probe_id, "off", "probe_amt", F.col("n.a").alias("cand_amt"), F.col("n.id").alias(cell_id)))
-    return near
 
 
 def tolerance_matches(led: DataFrame, ext: DataFrame, rule: DataFrame) -> DataFrame:
@@ -183,13 +145,11 @@ def tolerance_matches(led: DataFrame, ext: DataFrame, rule: DataFrame) -> DataFr
     |a_l - a_e| <= a_l * tolerance.  Rank by |a_l - a_e| (ties: the other
     side's id).  No rule -> no rows.
 
-    Each side's best partner is found without forming pairs: keys are put in
-    (account, currency, date, log-amount bucket) cells; a key probes every
-    cell its window and band can reach, and a window over each cell, sorted
-    by amount, gives the nearest other-side amount below-or-equal and above.
-    The band test is monotone in the distance, so if the nearest amount on a
-    side fails it, every farther one fails too: the best partner is always
-    one of those two per cell.
+    Each side's best partner is found without forming pairs: a key probes the
+    2w+1 dates of its window, and running frames by amount give the nearest
+    other-side amounts of each date, below-or-equal and above.  The band test is
+    monotone in the distance, so if the nearest amount on a side fails it,
+    every farther one fails too: the best partner is always one of those.
     -> (ledger_txn_id, ext_line_id, amount_diff, day_diff, confidence_score)
     """
     got = rule.select("amount_tolerance", "date_window_days").limit(1).collect()
@@ -198,41 +158,20 @@ def tolerance_matches(led: DataFrame, ext: DataFrame, rule: DataFrame) -> DataFr
             [], "ledger_txn_id long, ext_line_id long, amount_diff decimal(18,2), day_diff int, "
                 "confidence_score decimal(5,2)")
     tol_d, win = got[0]["amount_tolerance"], int(got[0]["date_window_days"])
-    t = float(tol_d)
     tol = F.lit(tol_d).cast(S.TOLERANCE)
-    # bucket width ln(1+t); a tolerance of 100 % or more has an unbounded band
-    # above a statement amount, so one bucket per (account, currency, date) then
-    h = math.log1p(t) if t < 1 else float("inf")
     # each side's keys are probes and cells: written once, read twice
     lk = materialize(_keys(led, "ledger_txn_id", "l_id").withColumnRenamed("amount", "l_amount"), "ledger_keys")
     ek = materialize(_keys(ext, "ext_line_id", "e_id").withColumnRenamed("amount", "e_amount"), "line_keys")
     offsets = F.explode(F.sequence(F.lit(-win), F.lit(win)))
 
-    def bucket_of(c):
-        return _bucket(c, h) if h != float("inf") else F.lit(0).cast("long")
-
-    # ledger side: probe statement cells of dates d_l + off, amounts in [a(1-t), a(1+t)]
-    la = F.col("l_amount").cast("double")
-    l_probes = (lk.withColumn("off", offsets).withColumn("cdate", F.date_add("value_date", F.col("off")))
-                .withColumn("bkt", F.explode(_bucket_range(F.greatest(la * (1.0 - t), F.lit(0.01)), la * (1.0 + t),
-                                                           h, (F.col("l_amount") * 100).cast("long"))))
-                .withColumn("amt", F.col("l_amount")))
-    e_cells = (ek.withColumn("cdate", F.col("value_date")).withColumn("bkt", bucket_of(F.col("e_amount")))
-               .withColumn("amt", F.col("e_amount")))
-    lnear = _nearest(l_probes, e_cells, "l_id", "e_id").withColumnRenamed("probe_amt", "l_amount") \
-        .withColumnRenamed("cand_amt", "e_amount")
-    # statement side: probe ledger cells of dates d_e + off, ledger amounts a with x in a's band,
-    # i.e. a in [x/(1+t), x/(1-t)]
-    xa = F.col("e_amount").cast("double")
-    upper = xa / (1.0 - t) if t < 1 else xa
-    e_probes = (ek.withColumn("off", offsets).withColumn("cdate", F.date_add("value_date", F.col("off")))
-                .withColumn("bkt", F.explode(_bucket_range(F.greatest(xa / (1.0 + t), F.lit(0.01)), upper, h,
-                                                           (F.col("e_amount") * 100).cast("long"))))
-                .withColumn("amt", F.col("e_amount")))
-    l_cells = (lk.withColumn("cdate", F.col("value_date")).withColumn("bkt", bucket_of(F.col("l_amount")))
-               .withColumn("amt", F.col("l_amount")))
-    enear = _nearest(e_probes, l_cells, "e_id", "l_id").withColumnRenamed("probe_amt", "e_amount") \
-        .withColumnRenamed("cand_amt", "l_amount")
+    def near(side: DataFrame, other: DataFrame, own: str, theirs: str) -> DataFrame:
+        probes = (side.withColumn("off", offsets).withColumn("cdate", F.date_add("value_date", F.col("off")))
+                  .withColumn("amt", F.col(f"{own}_amount")))
+        cells = other.withColumn("cdate", F.col("value_date")).withColumn("amt", F.col(f"{theirs}_amount"))
+        return (_nearest(probes, cells, f"{own}_id", f"{theirs}_id")
+                .withColumnsRenamed({"probe_amt": f"{own}_amount", "cand_amt": f"{theirs}_amount"}))
+
+    lnear, enear = near(lk, ek, "l", "e"), near(ek, lk, "e", "l")
 
     diff = F.abs(F.col("l_amount") - F.col("e_amount"))
     in_band = diff <= F.col("l_amount") * tol
@@ -287,7 +226,7 @@ def batch_matches(led: DataFrame, ext: DataFrame, same_currency: bool = False) -
     lines = materialize(ext.filter(F.col("is_batched_settlement"))
                         .select("ext_line_id", "account_id", F.col("amount").alias("total"),
                                 F.col("currency").alias("line_currency")), "flagged_lines")
-    cand_led = _with_account(led, lines.select("account_id").distinct(), "ledger_txn_id", "account_id", [])
+    cand_led = salted_join(led, lines.select("account_id").distinct(), "account_id", "ledger_txn_id", [])
     if same_currency:
         cand_led = cand_led.join(lines.select("account_id", F.col("line_currency").alias("currency")).distinct(),
                                  ["account_id", "currency"], "left_semi")
@@ -300,7 +239,7 @@ def batch_matches(led: DataFrame, ext: DataFrame, same_currency: bool = False) -
     hits = (rt.join(lines, hit_cond).groupBy(rt.account_id)
             .agg(F.min("ext_line_id").alias("ext_line_id")))
     winners = materialize(hits.join(lines.select("ext_line_id", "total"), "ext_line_id"), "winners")
-    members = _with_account(rt, winners, "ledger_txn_id", "account_id", ["ext_line_id", "total"]) \
+    members = salted_join(rt, winners, "account_id", "ledger_txn_id", ["ext_line_id", "total"]) \
         .filter(F.col("running_total") <= F.col("total"))
     if same_currency:
         members = members.join(lines.select("ext_line_id", "line_currency"), "ext_line_id") \

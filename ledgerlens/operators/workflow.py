@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
+from ledgerlens.operators.running import Pieces
 
 # ---------------------------------------------------------------------------
 # J5 workflow replay
@@ -302,11 +303,9 @@ def dedupe_requests(log: DataFrame) -> DataFrame:
                  "key_hash", F.col("done").alias("at"),
                  F.when(F.col("done") > F.col("ts"), F.lit(-2 ** 63)).otherwise(F.col("request_id")).alias("id"),
                  F.lit(1).alias("kind"), "request_id")))
-    back = (Window.partitionBy("key_hash").orderBy(F.desc("at"), F.desc("id"), F.desc("kind"))
-            .rowsBetween(Window.unboundedPreceding, -1))
-    after = F.last(F.when(F.col("kind") == 0, F.col("request_id")), ignorenulls=True).over(back)
-    jump = materialize(marks.withColumn("next", after).filter("kind = 1 and next is not null")
-                       .select(F.col("request_id").alias("owner"), "next"), "successors")
+    pieces = Pieces(marks, ["key_hash"], "at")
+    after = pieces.last(pieces.rows, F.when(F.col("kind") == 0, F.col("request_id")), ["at", "id", "kind"], "next", descending=True, strict=True)
+    jump = materialize(after.filter("kind = 1 and next is not null").select(F.col("request_id").alias("owner"), "next"), "successors")
     owners = materialize(keyed.groupBy("key_hash").agg(F.min(F.struct("ts", "request_id")).alias("m"))
                          .select(F.col("m.request_id").alias("owner")), "owners")
     while True:
@@ -317,9 +316,8 @@ def dedupe_requests(log: DataFrame) -> DataFrame:
         twice = jump.alias("a").join(jump.alias("b"), F.col("a.next") == F.col("b.owner"))
         jump = materialize(twice.select(F.col("a.owner"), F.col("b.next")), "successors")
     own = keyed.join(owners.select(F.col("owner").alias("request_id"), F.lit(True).alias("is_owner")), "request_id", "left")
-    upto = Window.partitionBy("key_hash").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    holder = F.last(F.when(F.col("is_owner"), F.struct("done", "open")), ignorenulls=True).over(upto)
-    told = own.withColumn("h", holder).select(
+    pieces = Pieces(own, ["key_hash"], "ts")
+    told = pieces.last(pieces.rows, F.when(F.col("is_owner"), F.struct("done", "open")), ["ts", "request_id"], "h").select(
         "key_hash", "request_id", F.when(F.col("is_owner"), "FIRST")
         .when(F.col("h.open") | (F.col("ts") < F.col("h.done")), "CONFLICT").otherwise("REPLAYED").alias("outcome"))
     return told.unionByName(ev.filter("key_hash is null").select("key_hash", "request_id", F.lit("BYPASS").alias("outcome")))

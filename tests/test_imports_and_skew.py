@@ -1,6 +1,8 @@
 """Hand-written uploads, the import chain, NULL-safe rules, late stream actions, skew and growth of the matching passes."""
+import contextlib
 import datetime as dt
 import os
+import random
 import time
 
 import pytest
@@ -11,6 +13,7 @@ from ledgerlens.operators import chains as CH
 from ledgerlens.operators import classify as CL
 from ledgerlens.operators import matching as M
 from ledgerlens.operators import queues as Q
+from ledgerlens.operators import running as R
 from ledgerlens.operators import validation as V
 from ledgerlens.operators import workflow as W
 from ledgerlens.session import with_dense_ids
@@ -159,7 +162,6 @@ def test_long_chains_and_cycles(spark):
 
 
 def test_break_amounts_equal_brute_force(spark):
-    import random
     rng = random.Random(3)
     side = lambda lo, n: [(lo + k, 1, "GBP", round(rng.choice([0.01, 5, 100, 9999]) * rng.random() + 0.01, 2),
                            dt.date(2024, 1, 1) + dt.timedelta(days=rng.randint(0, 6))) for k in range(n)]
@@ -173,9 +175,9 @@ def test_break_amounts_equal_brute_force(spark):
 
 
 def test_one_cell_grows_in_proportion(spark):
-    """All keys in one (account, currency, date, bucket) cell: double the rows, about double the time."""
+    """All keys on one (account, currency, date): four times the rows, about four times the time."""
     def took(n):
-        base = spark.range(n).select(F.col("id"), F.lit(1).alias("account_id"), F.lit("GBP").alias("currency"), F.lit(0).alias("bkt"),
+        base = spark.range(n).select(F.col("id"), F.lit(1).alias("account_id"), F.lit("GBP").alias("currency"),
                                      F.lit("2024-01-01").cast("date").alias("cdate"), F.lit(0).alias("off"), (F.col("id") * 2).alias("amt"))
         near = M._nearest(base.withColumnRenamed("id", "l_id"), base.withColumnRenamed("id", "e_id").withColumn("amt", F.col("amt") + 1), "l_id", "e_id")
         t = time.time()
@@ -186,6 +188,77 @@ def test_one_cell_grows_in_proportion(spark):
     assert took(80_000) < 4 * max(1.5, 2 * small)
 
 
+@contextlib.contextmanager
+def settings(spark, **conf):
+    conf = {f"spark.sql.{k.replace('__', '.')}": v for k, v in conf.items()}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_a_hot_account_fills_a_third_of_200_partitions(spark):
+    """Broadcasts and AQE off, a third of the rows on one account; other accounts aren't copied."""
+    with settings(spark, autoBroadcastJoinThreshold="-1", adaptive__enabled="false", shuffle__partitions="200"):
+        acc = spark.range(30_000).select(F.col("id").alias("account_id"))
+        led = spark.range(300_000).select(F.col("id").alias("ledger_txn_id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 30_000).alias("account_id"))
+        hot = R.hot_keys(led, ["account_id"])
+        assert [(r["account_id"], r["n"]) for r in hot] == [(7, 100_010)] and hot[0]["pieces"] >= 100
+        side = R.salted_join(led, acc, "account_id", "ledger_txn_id", [])
+        sizes = [r["count"] for r in side.filter("account_id = 7").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 100_010 and len(sizes) >= 67
+        assert side.count() == 300_000
+
+
+def test_frames_of_a_hot_key_are_cut_and_carried(spark):
+    """Running frames over pieces equal one frame over the key, and a hot key's rows lie in several tasks."""
+    rng = random.Random(7)
+    rows = [(rng.choice(["hot", "hot", f"k{k % 50}"]), rng.randrange(4000), k, k if rng.random() < .02 else None) for k in range(6000)]
+    df = spark.createDataFrame(rows, "key string, at int, id int, v int").repartition(4)
+    pieces = R.Pieces(df, ["key"], "at", least=200)
+    assert pieces.rows.filter("key = 'hot'").select("__piece").distinct().count() > 8
+    assert pieces.rows.filter("key <> 'hot'").select("__piece").distinct().count() == 1
+    for down in (False, True):
+        for strict in (False, True):
+            want = {}
+            for key in {r[0] for r in rows}:
+                last = None
+                for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]), reverse=down):
+                    if strict:
+                        want[r[2]] = last
+                    last = r[3] if r[3] is not None else last
+                    if not strict:
+                        want[r[2]] = last
+            got = pieces.last(pieces.rows, F.col("v"), ["at", "id"], "o", descending=down, strict=strict)
+            assert {r.id: r.o for r in got.collect()} == want
+
+
+def test_a_hot_request_key_equals_a_plain_fold(spark, monkeypatch):
+    monkeypatch.setattr(R, "LEAST_ROWS", 100)
+    monkeypatch.setattr(R.hot_keys, "__defaults__", (100,)), monkeypatch.setattr(R.Pieces.__init__, "__defaults__", (100,))
+    rng, t0 = random.Random(11), dt.datetime(2024, 1, 1)
+    rows = []
+    for k in range(1500):
+        ts = t0 + dt.timedelta(seconds=rng.randrange(20_000))
+        end = None if rng.random() < .002 else ts + dt.timedelta(seconds=rng.randrange(30))
+        rows.append((k, "u", "POST", "/a", rng.choice(["hot", "hot", f"k{k % 200}"]), ts, end, rng.choice([200, 500, 503]) if end else None))
+    log = spark.createDataFrame(rows, "request_id long, user_id string, method string, path string, idempotency_key string, ts timestamp, "
+                                      "finished_at timestamp, status_code int")
+    want = {}
+    for key in {r[4] for r in rows}:
+        owner = None
+        for r in sorted((r for r in rows if r[4] == key), key=lambda r: (r[5], r[0])):
+            if owner is None or (owner[6] is not None and owner[7] >= 500 and r[5] >= max(owner[6], owner[5])):
+                want[r[0]], owner = "FIRST", r
+            else:
+                want[r[0]] = "CONFLICT" if owner[6] is None or r[5] < max(owner[6], owner[5]) else "REPLAYED"
+    assert {r.request_id: r.outcome for r in W.dedupe_requests(log).collect()} == want
+
+
 def test_a_hot_account_is_spread(spark):
     """Broadcasts off, a third of all distinct keys on one account: no partition of a prepared side holds over twice the median."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
