@@ -14,6 +14,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_CKPT: dict[str, str] = {}
@@ -85,11 +86,42 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def with_dense_ids(df: DataFrame, order: list[str], id_col: str, base: int = 0) -> DataFrame:
+def create_file(spark: SparkSession, path: str, content: str) -> bool:
+    """Make the file with its whole content, unless one of that name is there: False then.
+
+    The content is written under a hidden name first, so a reader never sees a
+    part of it; the name is taken in one step that fails if it exists (a hard
+    link on a local disk, a rename without overwriting elsewhere)."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    conf, target = spark._jsc.hadoopConfiguration(), jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    target = fs.makeQualified(target)
+    hidden = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(hidden, False)
+    out.write(bytearray(content.encode()))
+    out.close()
+    try:
+        if target.toUri().getScheme() == "file":
+            to_local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(to_local(target), to_local(hidden))
+        else:
+            none = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(hidden, target, none)
+        return True
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        fs.delete(hidden, False)
+
+
+def with_dense_ids(df: DataFrame, order: list[str], id_col: str, base: int = 0, most: int | None = None) -> DataFrame:
     """Add ``id_col`` = base + 1, base + 2, ... in the order of ``order`` (nulls
     first).  Rows are dealt out by range and numbered inside each range; the
     ranges' sizes (one row a range) give each range's offset, so no task sees
-    more than one range.  Rows equal in all of ``order`` are numbered in any way."""
+    more than one range.  Rows equal in all of ``order`` are numbered in any way.
+    More than ``most`` rows raise OverflowError before any is numbered."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
@@ -101,6 +133,8 @@ def with_dense_ids(df: DataFrame, order: list[str], id_col: str, base: int = 0)
     for k in sorted(counts):
         starts.append((k, total))
         total += counts[k]
+    if most is not None and total - base > most:
+        raise OverflowError(f"{total - base} rows, but room for {most}")
     offsets = F.broadcast(spark.createDataFrame(starts or [(0, base)], "__range int, __start long"))
     place = F.row_number().over(Window.partitionBy("__range").orderBy(*keys))
     return (ranged.withColumn("__place", place).join(offsets, "__range")

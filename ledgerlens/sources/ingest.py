@@ -23,6 +23,8 @@ def read_files(spark: SparkSession, path_glob: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1).alias("file_name")
     whole = files.filter(F.col("length") <= ROW_BYTES).select("path", name, F.sha2("content", 256).alias("file_hash"))
     large = files.filter(F.col("length") > ROW_BYTES).select("path", name)
+    if large.isEmpty():  # the listing tells; no Python worker is needed then
+        return whole
     return whole.unionByName(large.mapInPandas(_stream_hash, "path string, file_name string, file_hash string"))
 
 

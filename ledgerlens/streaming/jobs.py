@@ -8,6 +8,7 @@ dropped once the watermark passes; checkpoints go to the shared folder
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Iterator
 
@@ -22,6 +23,9 @@ from ledgerlens.operators import validation as V
 from ledgerlens.session import new_run_dir, path_exists
 from ledgerlens.sources.imports import ImportRefused, StatementStore
 
+LOG = logging.getLogger(__name__)
+
+
 def _ckpt(spark: SparkSession, name: str, location: str | None) -> str:
     return location or os.path.join(new_run_dir(spark, "stream"), name)
 
@@ -35,22 +39,28 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 def stream_ingest(spark: SparkSession, in_dir: str, store: StatementStore, acc: DataFrame, sources: DataFrame,
                   source_id: int = 4, checkpoint: str | None = None,
-                  max_files_per_trigger: int | None = None) -> StreamingQuery:
+                  max_files_per_trigger: int | None = None, folders: bool = False) -> StreamingQuery:
     """Each arriving CSV file goes through the import chain by itself: its own
     header, content hash, validation against what is published by then, and
-    manifest rows.  A file that is refused leaves its FAILED row (or none, if
-    it was imported before) and the stream goes on; a micro-batch that is run
-    again finds its files imported.  Only paths are read from the stream."""
+    manifest rows.  With ``folders`` an upload is a folder of parts, which must
+    be complete when it appears (moved into place).  An upload that is refused
+    or fails for any reason leaves its FAILED row (or none, if it was imported
+    before) and the stream goes on; a micro-batch that is run again finds its
+    uploads imported.  Only paths are read from the stream."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.csv")
     if max_files_per_trigger:
         files = files.option("maxFilesPerTrigger", max_files_per_trigger)
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        for r in batch.orderBy("modificationTime", "path").select("path").collect():  # one path a file
+        upload = F.regexp_replace("path", "/[^/]*$", "") if folders else F.col("path")
+        came = batch.groupBy(upload.alias("upload")).agg(F.min("modificationTime").alias("at"))
+        for r in came.orderBy("at", "upload").collect():  # one row an upload
             try:
-                store.import_statement(r["path"], source_id, acc, sources)
+                store.import_statement(r["upload"], source_id, acc, sources)
             except ImportRefused:
                 pass  # told in the manifest
+            except Exception:  # told there as well; the next upload may be fine
+                LOG.exception("import of %s failed", r["upload"])
 
     return (files.load(in_dir).select("path", "modificationTime").writeStream.foreachBatch(handle)
             .option("checkpointLocation", _ckpt(spark, "ingest", checkpoint)).start())

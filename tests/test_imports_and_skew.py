@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import random
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ledgerlens.operators import queues as Q
 from ledgerlens.operators import running as R
 from ledgerlens.operators import validation as V
 from ledgerlens.operators import workflow as W
-from ledgerlens.session import with_dense_ids
+from ledgerlens.session import create_file, with_dense_ids
 from ledgerlens.sources import csv as CSV
 from ledgerlens.sources import ingest as ING
 from ledgerlens.sources.fixtures import Fixtures
@@ -91,6 +92,78 @@ def test_import_chain(spark, tmp_path):
     assert r.exceptions.select("exception_id").distinct().count() == 3
 
 
+def store_of(spark, tmp_path):
+    acc = spark.createDataFrame([(1, "ACC-1")], "account_id long, external_ref string")
+    sources = spark.createDataFrame([(4, "CSV")], "source_id int, file_format string")
+    return StatementStore(spark, str(tmp_path / "store")), acc, sources
+
+
+def test_any_error_fails_the_batch_and_a_retry_gets_its_id(spark, tmp_path, monkeypatch):
+    store, acc, sources = store_of(spark, tmp_path)
+    good = write(tmp_path, "good.csv", HEAD + "E1,ACC-1,1.00,GBP,2024-01-01,,\n")
+    with monkeypatch.context() as m:
+        m.setattr(CSV, "type_statement", lambda raw: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.import_statement(good, 4, acc, sources)
+    assert [(r.batch_id, r.status, r.error) for r in store.batches().collect()] == [(1, "FAILED", "division by zero")]
+    assert store.import_statement(good, 4, acc, sources) == 1 and store.lines().count() == 1
+    twice = write(tmp_path, "twice.csv", HEAD.strip() + ",Amount \nE2,ACC-1,1.00,GBP,2024-01-01,,,2\n")
+    with pytest.raises(ImportRefused) as e:
+        store.import_statement(twice, 4, acc, sources)
+    assert e.value.code == "CSV_HEADER_ERROR" and "amount" in str(e.value)
+    assert {r.batch_id: r.status for r in store.batches().collect()} == {1: "COMPLETED", 2: "FAILED"}
+
+
+def test_imports_at_the_same_time_get_different_ids(spark, tmp_path):
+    store, acc, sources = store_of(spark, tmp_path)
+    paths = [write(tmp_path, f"f{k}.csv", HEAD + f"E{k},ACC-1,1.00,GBP,2024-01-01,,\n") for k in range(4)]
+    other = StatementStore(spark, str(tmp_path / "store"))
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda x: x[0].import_statement(x[1], 4, acc, sources), zip([store, other] * 2, paths)))
+    assert sorted(ids) == [1, 2, 3, 4] and store.log().count() == 8
+    assert {r.external_ref for r in store.lines().collect()} == {f"E{k}" for k in range(4)}
+    assert create_file(spark, str(tmp_path / "one"), "a") and not create_file(spark, str(tmp_path / "one"), "b")
+    assert (tmp_path / "one").read_text() == "a"
+
+
+def test_every_file_of_an_upload_needs_its_columns(spark, tmp_path):
+    write(tmp_path, "a.csv", HEAD + "E1,ACC-1,1.00,GBP,2024-01-01,,\n")
+    write(tmp_path, "b.csv", "external_ref,account_ref,currency,value_date\nE2,ACC-1,GBP,2024-01-01\n")
+    with pytest.raises(CSV.CsvHeaderError):
+        CSV.read_statement(spark, str(tmp_path))
+
+
+def test_a_batch_beyond_its_ids_is_refused(spark, tmp_path, monkeypatch):
+    store, acc, sources = store_of(spark, tmp_path)
+    monkeypatch.setattr(CSV, "BATCH_ROWS", 4)
+    rows = lambda n, lo: HEAD + "".join(f"E{lo + k},ACC-1,1.00,GBP,2024-01-01,,\n" for k in range(n))
+    with pytest.raises(ImportRefused) as e:
+        store.import_statement(write(tmp_path, "six.csv", rows(6, 0)), 4, acc, sources)
+    assert e.value.code == "BATCH_TOO_LARGE"
+    assert store.import_statement(write(tmp_path, "three.csv", rows(3, 10)), 4, acc, sources) == 2
+    assert sorted(r.ext_line_id for r in store.lines().collect()) == [9, 10, 11]
+    with pytest.raises(CSV.BatchTooLarge):
+        CSV.publish_statement(CSV.type_statement(CSV.read_statement(spark, str(tmp_path / "three.csv"))), CSV.BATCH_IDS, 4)
+
+
+def test_quoted_line_breaks_are_read_in_splits(spark, tmp_path):
+    """As many tasks as splits, and the rows of an unsplit reading."""
+    rng = random.Random(2)
+    words = ["plain", 'say ""so""', "two\nlines", "a\n\n\nb", "x" * 90, "many" + "\n" * 40 + "lines", ", comma", ""]
+    rows = [(f"E{k}", rng.choice(words)) for k in range(400)]
+    text = HEAD + "".join(f'{r},"{w}",1.00,GBP,2024-01-01,,\n' + rng.choice(["", "", "\n"]) for r, w in rows)
+    path = write(tmp_path, "quoted.csv", text)
+    write(tmp_path, "other.csv", HEAD + 'Z1,"q\nr",2.00,GBP,2024-01-01,,\nZ2,"open')
+    with settings(spark, files__maxPartitionBytes="1000", files__openCostInBytes="1"):
+        assert spark.read.text(path).rdd.getNumPartitions() > 10
+        got = {r.external_ref: r.account_ref for r in CSV.read_statement(spark, path).collect()}
+        both = CSV.read_statement(spark, str(tmp_path)).collect()
+    import csv as plain
+    want = {r[0]: r[1].strip() or None for r in list(plain.reader(open(path, newline="")))[1:] if r}
+    assert got == want and len(got) == 400
+    assert len(both) == 402 and {r.external_ref: r.account_ref for r in both}["Z1"] == "q\nr"
+
+
 def test_equal_files_in_one_call(spark):
     files = spark.createDataFrame([("b", "b", "h1"), ("a", "a", "h1"), ("c", "c", "h2"), ("d", "d", "h3")], "path string, file_name string, file_hash string")
     manifest = spark.createDataFrame([(7, 4, "h3", "FAILED")], "batch_id long, source_id int, file_hash string, status string")
