@@ -141,76 +141,89 @@ def validate_ledger(raw: DataFrame, acc: DataFrame, existing: DataFrame,
 # B13 integrity audit, B14 double-match guard
 # ---------------------------------------------------------------------------
 
-def _rule_counts(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
-    a = df.agg(*[F.count_if(p).alias(n) for n, p in rules.items()])
-    return a.select(F.explode(F.array(*[F.struct(F.lit(table).alias("table_name"), F.lit(n).alias("rule"),
-                                                  F.col(n).cast("long").alias("n_rows")) for n in rules]))
-                    .alias("r")).select("r.*")
-
-
-
-def _orphans(child: DataFrame, ck: str, parent: DataFrame, pk: str, table: str, rule: str) -> DataFrame:
-    c = child.select(F.col(ck).alias("k")).filter(F.col("k").isNotNull())
-    return (c.join(parent.select(F.col(pk).alias("k")), "k", "left_anti").agg(F.count(F.lit(1)).alias("n_rows"))
-            .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), F.col("n_rows").cast("long")))
-
-
-
-def _repeated_keys(df: DataFrame, keys: list[str], table: str) -> DataFrame:
-    return (df.groupBy(*keys).count().filter(F.col("count") > 1).agg(F.count(F.lit(1)).alias("n_rows"))
-            .select(F.lit(table).alias("table_name"), F.lit("unique_" + "_".join(keys)).alias("rule"),
-                    F.col("n_rows").cast("long")))
+class _Table:
+    """A table of an audit: row rules, unique keys, and foreign keys into other tables of the audit."""
+
+    def __init__(self, name: str, rows: DataFrame, rules: dict[str, Column], unique: list[list[str]], foreign: list[tuple[str, str, str, str]]):
+        self.name, self.rows, self.rules, self.unique, self.foreign = name, rows, rules, unique, foreign
+
+
+def _audit(tables: list[_Table]) -> DataFrame:
+    """(table_name, rule, n_rows) of every rule, zero counts kept; each table is scanned once.
+
+    A row becomes one mark for the rules that it breaks, one for each unique key
+    and one for each foreign key or key that others refer to.  A mark carries
+    what it stands for, the key's columns and how often; equal marks are summed
+    before the one shuffle by key.  A key referred to is an orphan if no mark of
+    the owning column is there, a unique key is broken if it has two rows."""
+    owned = {(t, c) for table in tables for _, _, t, c in table.foreign}
+    marks, names = None, []
+    text = lambda c: F.col(c).cast("string")
+    for table in tables:
+        mark = lambda kind, what, key, n=F.lit(1): F.struct(F.lit(kind).alias("kind"), F.lit(what).alias("what"), key.alias("key"), n.cast("long").alias("n"))
+        own = []
+        for rule, broken in table.rules.items():
+            names.append((table.name, rule))
+            own.append(mark("rule", f"{table.name}.{rule}", F.array().cast("array<string>"), F.coalesce(broken, F.lit(False)).cast("long")))
+        for keys in table.unique:
+            names.append((table.name, "unique_" + "_".join(keys)))
+            own.append(mark("unique", f"{table.name}.unique_{'_'.join(keys)}", F.array(*[text(c) for c in keys])))
+        for rule, column, to, key in table.foreign:
+            names.append((table.name, rule))
+            own.append(F.when(F.col(column).isNotNull(), mark(f"{table.name}.{rule}", f"{to}.{key}", F.array(text(column)))))
+        own += [F.when(F.col(c).isNotNull(), mark("owner", f"{t}.{c}", F.array(text(c)))) for t, c in sorted(owned) if t == table.name]
+        got = table.rows.select(F.explode(F.array(*own)).alias("m")).filter("m IS NOT NULL").select("m.*")
+        marks = got if marks is None else marks.unionByName(got)
+    # "owner" and the foreign keys into it share ``what`` and key, so they meet in one group
+    group = marks.groupBy("what", "key").agg(
+        F.max(F.col("kind") == "owner").alias("owned"), F.sum(F.when(F.col("kind") == "rule", F.col("n"))).alias("broken"),
+        F.sum(F.when(F.col("kind") == "unique", F.col("n"))).alias("rows"),
+        *[F.sum(F.when(F.col("kind") == f"{t.name}.{rule}", F.col("n"))).alias(f"{t.name}.{rule}") for t in tables for rule, *_ in t.foreign])
+    refs = [f"{t.name}.{rule}" for t in tables for rule, *_ in t.foreign]
+    told = group.select(F.explode(F.array(
+        F.struct(F.when(F.col("broken").isNotNull() | F.col("rows").isNotNull(), F.col("what")).alias("what"),
+                 F.coalesce("broken", (F.col("rows") > 1).cast("long")).alias("n")),
+        *[F.struct(F.when(~F.col("owned"), F.lit(r)).alias("what"), F.col(f"`{r}`").alias("n")) for r in refs])).alias("x")) \
+        .select("x.*").filter("what IS NOT NULL").groupBy("what").agg(F.sum("n").alias("n"))
+    spark = marks.sparkSession
+    every = spark.createDataFrame([(t, r, f"{t}.{r}") for t, r in names], "table_name string, rule string, what string")
+    return every.join(F.broadcast(told), "what", "left").select("table_name", "rule", F.coalesce("n", F.lit(0)).cast("long").alias("n_rows"))
 
 
 def integrity_audit(led: DataFrame, ext: DataFrame, acc: DataFrame, exc: DataFrame,
                     batches: DataFrame) -> DataFrame:
     """(table, rule, n_rows) for enum domains, positive amounts, the
     at-least-one-side rule, FK orphans and unique keys; zero counts kept."""
-    parts = [
-        _rule_counts(led, "ledger_transactions", {
-            "txn_type_domain": ~F.col("txn_type").isin(S.TXN_TYPES),
-            "amount_positive": ~(F.col("amount") > 0)}),
-        _rule_counts(ext, "external_statement_lines", {"amount_positive": ~(F.col("amount") > 0)}),
-        _rule_counts(exc, "reconciliation_exceptions", {
-            "exception_type_domain": ~F.col("exception_type").isin(S.EXCEPTION_TYPES),
-            "status_domain": ~F.col("status").isin(S.EXCEPTION_STATUSES),
-            "at_least_one_side": F.col("ledger_txn_id").isNull() & F.col("ext_line_id").isNull()}),
-        _rule_counts(batches, "import_batches", {"status_domain": ~F.col("status").isin(S.BATCH_STATUSES)}),
-        _orphans(led, "account_id", acc, "account_id", "ledger_transactions", "fk_account"),
-        _orphans(ext, "account_ref", acc, "external_ref", "external_statement_lines", "fk_account_ref"),
-        _orphans(ext, "batch_id", batches, "batch_id", "external_statement_lines", "fk_batch"),
-        _orphans(exc, "ledger_txn_id", led, "ledger_txn_id", "reconciliation_exceptions", "fk_ledger"),
-        _orphans(exc, "ext_line_id", ext, "ext_line_id", "reconciliation_exceptions", "fk_external"),
-        _repeated_keys(led, ["ledger_txn_id"], "ledger_transactions"),
-        _repeated_keys(ext, ["ext_line_id"], "external_statement_lines"),
-        _repeated_keys(acc, ["external_ref"], "accounts"),
-        _repeated_keys(batches, ["source_id", "file_hash"], "import_batches"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    ledger, lines, excs, uploads, accounts = ("ledger_transactions", "external_statement_lines", "reconciliation_exceptions",
+                                              "import_batches", "accounts")
+    return _audit([
+        _Table(ledger, led, {"txn_type_domain": ~F.col("txn_type").isin(S.TXN_TYPES), "amount_positive": ~(F.col("amount") > 0)},
+               [["ledger_txn_id"]], [("fk_account", "account_id", accounts, "account_id")]),
+        _Table(lines, ext, {"amount_positive": ~(F.col("amount") > 0)}, [["ext_line_id"]],
+               [("fk_account_ref", "account_ref", accounts, "external_ref"), ("fk_batch", "batch_id", uploads, "batch_id")]),
+        _Table(excs, exc, {"exception_type_domain": ~F.col("exception_type").isin(S.EXCEPTION_TYPES),
+                           "status_domain": ~F.col("status").isin(S.EXCEPTION_STATUSES),
+                           "at_least_one_side": F.col("ledger_txn_id").isNull() & F.col("ext_line_id").isNull()}, [],
+               [("fk_ledger", "ledger_txn_id", ledger, "ledger_txn_id"), ("fk_external", "ext_line_id", lines, "ext_line_id")]),
+        _Table(uploads, batches, {"status_domain": ~F.col("status").isin(S.BATCH_STATUSES)}, [["source_id", "file_hash"]], []),
+        _Table(accounts, acc, {}, [["external_ref"]], []),
+    ])
 
 
 def match_audit(groups: DataFrame, ledger_lines: DataFrame, external_lines: DataFrame, led: DataFrame,
                 ext: DataFrame) -> DataFrame:
     """B13 for the matches: domains of groups, keys and foreign keys of both
     bridges; zero counts kept."""
-    parts = [
-        _rule_counts(groups, "match_groups", {"match_type_domain": ~F.col("match_type").isin(S.MATCH_TYPES),
-                                              "status_domain": ~F.col("status").isin(S.MATCH_STATUSES)}),
-        _orphans(ledger_lines, "match_id", groups, "match_id", "match_group_ledger_lines", "fk_match"),
-        _orphans(ledger_lines, "ledger_txn_id", led, "ledger_txn_id", "match_group_ledger_lines", "fk_ledger"),
-        _orphans(external_lines, "match_id", groups, "match_id", "match_group_external_lines", "fk_match"),
-        _orphans(external_lines, "ext_line_id", ext, "ext_line_id", "match_group_external_lines", "fk_external"),
-        _repeated_keys(groups, ["match_id"], "match_groups"),
-        _repeated_keys(ledger_lines, ["match_id", "ledger_txn_id"], "match_group_ledger_lines"),
-        _repeated_keys(external_lines, ["match_id", "ext_line_id"], "match_group_external_lines"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    matches, ledger, lines = "match_groups", "ledger_transactions", "external_statement_lines"
+    return _audit([
+        _Table(matches, groups, {"match_type_domain": ~F.col("match_type").isin(S.MATCH_TYPES),
+                                 "status_domain": ~F.col("status").isin(S.MATCH_STATUSES)}, [["match_id"]], []),
+        _Table("match_group_ledger_lines", ledger_lines, {}, [["match_id", "ledger_txn_id"]],
+               [("fk_match", "match_id", matches, "match_id"), ("fk_ledger", "ledger_txn_id", ledger, "ledger_txn_id")]),
+        _Table("match_group_external_lines", external_lines, {}, [["match_id", "ext_line_id"]],
+               [("fk_match", "match_id", matches, "match_id"), ("fk_external", "ext_line_id", lines, "ext_line_id")]),
+        _Table(ledger, led, {}, [], []), _Table(lines, ext, {}, [], []),
+    ])
 
 
 def double_matches(groups: DataFrame, ledger_lines: DataFrame) -> DataFrame:

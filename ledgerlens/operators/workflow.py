@@ -327,6 +327,9 @@ def dedupe_requests(log: DataFrame) -> DataFrame:
 # J12 login lockout
 # ---------------------------------------------------------------------------
 
+#: Attempts of a block.
+LOCKOUT_BLOCK = 4096
+
 _AUTH_OUT = "array<struct<event_id:bigint,ts:timestamp,outcome:string,locked_until:timestamp>>"
 
 
@@ -352,70 +355,73 @@ def _lockout_fold(es, fails0, lock0, failures: int, lock_minutes: int, with_outc
 
 
 def login_lockouts(auth: DataFrame, failures: int = S.LOCKOUT_FAILURES,
-                   lock_minutes: int = S.LOCKOUT_MINUTES, run_dir: str | None = None) -> DataFrame:
+                   lock_minutes: int = S.LOCKOUT_MINUTES, run_dir: str | None = None,
+                   block: int = LOCKOUT_BLOCK) -> DataFrame:
     """Per user in (ts, event_id) order: attempts while locked are
     REFUSED and not counted; a success resets the counter (OK); a failure
     adds one (FAILED) and the Nth consecutive one locks the account for M
     minutes and resets the counter (LOCKED).  -> every attempt's outcome.
 
     Distributed as a chunked fold, so no task holds a user's whole history:
-      1. attempts are grouped per (user, day) chunk and each chunk is folded
-         from all lock-free entry states (0..N-1 pending failures) in parallel;
-      2. per user, the chunk transitions are chained over *days* (one small
-         summary per active day) to find every chunk's true entry state;
-      3. a lock set shortly before midnight can reach into the next day:
-         such chunks are folded again from their locked entry and the chain
-         is re-run, until no chunk's locked entry lacks its own fold (exact,
-         no cap; each round only touches the chunks that changed);
-      4. every chunk is folded once more from its true entry, with outcomes.
+      1. attempts are numbered in order and cut into blocks of at most
+         ``block`` attempts of one user; each is folded from all lock-free
+         entry states (0..N-1 pending failures) in parallel;
+      2. per user, the blocks' transitions are chained (one small summary per
+         block) to find every block's true entry state;
+      3. a lock set at the end of a block can reach into the next one: such
+         blocks are folded again from their locked entry and the chain is
+         re-run, until no block's locked entry lacks its own fold (exact, no
+         cap; each round only touches the blocks that changed);
+      4. every block is folded once more from its true entry, with outcomes.
     """
-    from ledgerlens.session import materialize, new_run_dir
+    from ledgerlens.session import materialize, new_run_dir, with_dense_ids
     spark = auth.sparkSession
     run_dir = run_dir or new_run_dir(spark, "lockout")
+    numbered = with_dense_ids(auth.select("user_id", "ts", "event_id", "success"), ["user_id", "ts", "event_id"], "place")
     chunks = materialize(
-        auth.groupBy("user_id", F.to_date("ts").alias("day"))
+        numbered.groupBy("user_id", F.floor(F.col("place") / block).alias("block"))
         .agg(F.array_sort(F.collect_list(F.struct(F.col("ts"), F.col("event_id").cast("long").alias("event_id"),
                                                   F.col("success")))).alias("es"),
              F.min("ts").alias("first_ts")), "chunks", run_dir)
     # element f: exit state when the chunk is entered with f pending failures and no lock
     lockfree = F.array(*[_lockout_fold("es", F.lit(f), F.lit(None), failures, lock_minutes, False)
                          for f in range(failures)])
-    summ = materialize(chunks.select("user_id", "day", "first_ts", lockfree.alias("t")), "transitions", run_dir)
-    # corrections: (user, day, lock) -> exit state of a chunk entered while locked
-    fixes = spark.createDataFrame([], "user_id string, day date, lock timestamp, fails int, locked_until timestamp")
+    summ = materialize(chunks.select("user_id", "block", "first_ts", lockfree.alias("t")), "transitions", run_dir)
+    # corrections: (user, block, lock) -> exit state of a chunk entered while locked
+    fixes = spark.createDataFrame([], "user_id string, block long, lock timestamp, fails int, locked_until timestamp")
     rnd = 0
     while True:
         rnd += 1
         entries = _chain_entries(summ, fixes)
         need = (entries.filter(F.col("entry_lock").isNotNull())
-                .join(fixes.select("user_id", "day", F.col("lock").alias("entry_lock")),
-                      ["user_id", "day", "entry_lock"], "left_anti"))
+                .join(fixes.select("user_id", "block", F.col("lock").alias("entry_lock")),
+                      ["user_id", "block", "entry_lock"], "left_anti"))
         if need.isEmpty():
             break
-        new = (need.join(chunks, ["user_id", "day"])
-               .select("user_id", "day", F.col("entry_lock").alias("lock"),
+        new = (need.join(chunks, ["user_id", "block"])
+               .select("user_id", "block", F.col("entry_lock").alias("lock"),
                        _lockout_fold("es", F.col("entry_fails"), F.col("entry_lock"), failures, lock_minutes,
                                      False).alias("x"))
-               .select("user_id", "day", "lock", "x.fails", "x.locked_until"))
+               .select("user_id", "block", "lock", "x.fails", "x.locked_until"))
         fixes = materialize(fixes.unionByName(new), f"fixes_{rnd:03d}", run_dir)
     entries = materialize(entries, "entries", run_dir)
-    res = (chunks.join(entries, ["user_id", "day"])
+    res = (chunks.join(entries, ["user_id", "block"])
            .select("user_id", _lockout_fold("es", F.col("entry_fails"), F.col("entry_lock"), failures, lock_minutes,
                                             True)["out"].alias("out")))
     return res.select("user_id", F.explode("out").alias("o")).select("user_id", "o.*")
 
 
 def _chain_entries(summ: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Per user, chain the day transitions in day order -> each chunk's entry
+    """Per user, chain the blocks' transitions in order -> each chunk's entry
     state (entry_fails, entry_lock); a lock still running at the chunk's first
     attempt makes a locked entry (its exit comes from ``fixes`` when known)."""
-    f = fixes.select("user_id", "day", F.struct(F.col("lock"), F.col("fails"), F.col("locked_until")).alias("fx"))
-    f = f.groupBy("user_id", "day").agg(F.collect_list("fx").alias("fx"))
-    days = (summ.join(f, ["user_id", "day"], "left")
+    f = fixes.select("user_id", "block", F.struct(F.col("lock"), F.col("fails"), F.col("locked_until")).alias("fx"))
+    f = f.groupBy("user_id", "block").agg(F.collect_list("fx").alias("fx"))
+    blocks = (summ.join(f, ["user_id", "block"], "left")
             .groupBy("user_id")
-            .agg(F.array_sort(F.collect_list(F.struct("day", "first_ts", "t", "fx"))).alias("ds")))
+            .agg(F.array_sort(F.collect_list(F.struct("block", "first_ts", "t", "fx"))).alias("ds")))
     s0 = F.struct(F.lit(0).alias("fails"), F.lit(None).cast("timestamp").alias("locked_until"),
-                  F.array().cast("array<struct<day:date,entry_fails:int,entry_lock:timestamp>>").alias("out"))
+                  F.array().cast("array<struct<block:bigint,entry_fails:int,entry_lock:timestamp>>").alias("out"))
 
     def step(st, d):
         locked = F.coalesce(st["locked_until"] > d["first_ts"], F.lit(False))
@@ -425,12 +431,12 @@ def _chain_entries(summ: DataFrame, fixes: DataFrame) -> DataFrame:
         free = F.try_element_at(d["t"], st["fails"] + 1)
         nxt_f = F.when(locked, F.try_element_at(fix, F.lit(1))["fails"]).otherwise(free["fails"])
         nxt_l = F.when(locked, F.try_element_at(fix, F.lit(1))["locked_until"]).otherwise(free["locked_until"])
-        out = F.concat(st["out"], F.array(F.struct(d["day"].alias("day"),
+        out = F.concat(st["out"], F.array(F.struct(d["block"].alias("block"),
                                                    F.when(locked, F.lit(0)).otherwise(st["fails"]).alias("entry_fails"),
                                                    lock.alias("entry_lock"))))
         # an unknown locked fold leaves the rest of the chain unknown for this round
         return F.struct(F.coalesce(nxt_f, F.lit(0)).alias("fails"), nxt_l.alias("locked_until"), out.alias("out"))
 
-    chained = days.select("user_id", F.aggregate("ds", s0, step)["out"].alias("out"))
-    return chained.select("user_id", F.explode("out").alias("o")).select("user_id", "o.day", "o.entry_fails",
+    chained = blocks.select("user_id", F.aggregate("ds", s0, step)["out"].alias("out"))
+    return chained.select("user_id", F.explode("out").alias("o")).select("user_id", "o.block", "o.entry_fails",
                                                                          "o.entry_lock")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
+from ledgerlens import schemas as S
 from ledgerlens.operators import chains as CH
 from ledgerlens.operators import classify as CL
 from ledgerlens.operators import matching as M
@@ -17,7 +18,7 @@ from ledgerlens.operators import queues as Q
 from ledgerlens.operators import running as R
 from ledgerlens.operators import validation as V
 from ledgerlens.operators import workflow as W
-from ledgerlens.session import create_file, with_dense_ids
+from ledgerlens.session import create_file, materialize, with_dense_ids
 from ledgerlens.sources import csv as CSV
 from ledgerlens.sources import ingest as ING
 from ledgerlens.sources.fixtures import Fixtures
@@ -234,6 +235,71 @@ def test_long_chains_and_cycles(spark):
     assert [(r.root_txn_id, r.chain_length, r.is_truncated) for r in cut] == [(0, 20, True)]
 
 
+def test_ten_thousand_links_take_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(CH, "materialize", lambda df, name, *a: written.append(name) or materialize(df, name, *a))
+    links = spark.range(10_000).select((F.col("id") + 1).alias("child_txn_id"), F.col("id").alias("parent_txn_id"))
+    led = spark.range(10_001).select(F.col("id").alias("ledger_txn_id"))
+    deep = CH.chain_depths(led, links)
+    assert deep.filter("root_txn_id = 0 AND depth = txn_id").count() == deep.count() == 10_001
+    assert sum(n.startswith("jump_") for n in written) < 20
+
+
+def test_chains_equal_a_plain_search(spark):
+    rng = random.Random(4)
+    for several in (0, 25):
+        links = {(c, rng.randrange(300)) for c in rng.sample(range(300), 240)} | {(rng.randrange(300), rng.randrange(300)) for _ in range(several)}
+        below, children = {}, {c for c, _ in links}
+        for c, p in links:
+            below.setdefault(p, set()).add(c)
+        want = set()
+        for root in set(range(280)) & set(below) - children:
+            depth, seen, now = 0, set(), {root}
+            while now:
+                want |= {(root, depth, x) for x in now}
+                seen |= now
+                now, depth = {c for x in now for c in below.get(x, ())} - seen, depth + 1
+        got = CH.chain_depths(spark.range(280).withColumnRenamed("id", "ledger_txn_id"),
+                              spark.createDataFrame(sorted(links), "child_txn_id long, parent_txn_id long"))
+        assert {tuple(r) for r in got.select("root_txn_id", "depth", "txn_id").collect()} == want
+
+
+def test_a_hot_user_day_is_cut_into_blocks(spark):
+    """Blocks of 40 attempts of users with up to a thousand a day: the outcomes of a plain fold."""
+    rng, t0 = random.Random(9), dt.datetime(2024, 1, 1, 9)
+    rows, at = [], t0
+    for k in range(1500):
+        at += dt.timedelta(seconds=rng.choice([0, 5, 60, 400]))
+        rows.append((rng.choice(["hot", "hot", "u1", "u2"]), at, k, rng.random() < .2))
+    want, state = {}, {}
+    for user, ts, k, ok in rows:
+        fails, lock = state.get(user, (0, None))
+        if lock and ts < lock:
+            want[k] = "REFUSED"
+            continue
+        if ok:
+            want[k], state[user] = "OK", (0, None)
+        elif fails + 1 >= S.LOCKOUT_FAILURES:
+            want[k], state[user] = "LOCKED", (0, ts + dt.timedelta(minutes=S.LOCKOUT_MINUTES))
+        else:
+            want[k], state[user] = "FAILED", (fails + 1, None)
+    auth = spark.createDataFrame(rows, "user_id string, ts timestamp, event_id long, success boolean").repartition(4)
+    assert {r.event_id: r.outcome for r in W.login_lockouts(auth, block=40).collect()} == want
+
+
+def test_an_audit_scans_each_table_once(spark):
+    fx = Fixtures(spark, SF)
+    frames = [fx.ledger, fx.external, fx.accounts, fx.exceptions, fx.batches]
+    tables = [materialize(df.limit(50), f"audit-{k}") for k, df in enumerate(frames)]
+    plan = V.integrity_audit(*tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 5 and plan.count("Join") == 1
+    led = spark.createDataFrame([(1, 1, "CREDIT", 1.0), (1, 2, "ODD", -1.0), (None, None, None, None)], "ledger_txn_id long, account_id long, txn_type string, amount double")
+    told = {(r.table_name, r.rule): r.n_rows for r in V.integrity_audit(led, fx.external.limit(0), fx.accounts.limit(0), fx.exceptions.limit(0), fx.batches.limit(0)).collect()}
+    t = "ledger_transactions"
+    assert len(told) == 16 and {k[1]: n for k, n in told.items() if k[0] == t} == {
+        "txn_type_domain": 1, "amount_positive": 1, "unique_ledger_txn_id": 1, "fk_account": 2}
+
+
 def test_break_amounts_equal_brute_force(spark):
     rng = random.Random(3)
     side = lambda lo, n: [(lo + k, 1, "GBP", round(rng.choice([0.01, 5, 100, 9999]) * rng.random() + 0.01, 2),
