@@ -350,3 +350,9 @@ SELECT * FROM usable a WHERE NOT EXISTS (SELECT 1 FROM usable b WHERE b.complete
 _fx("sc_ledger", ["ledger"], "SELECT * FROM ledger WHERE value_date = DATE '1998-12-31'")
 _fx("sc_external", ["external", "newest"], "SELECT * FROM external SEMI JOIN newest USING (batch_id)")
 _passes("sc_", "sc_ledger", "sc_external")
+
+# a year's rows on its last day, all lines in one batch, and the run of the first such day
+_fx("ye_ledger", [], FIXTURES["ledger"][1].replace("CAST(o_orderdate AS DATE)", "make_date(year(CAST(o_orderdate AS DATE)), 12, 31)"))
+_fx("ye_external", ["ye_ledger"], FIXTURES["external"][1].replace("FROM ledger", "FROM ye_ledger").replace("1 + acct % 10", "1"))
+_fx("ye_day", ["ye_ledger"], "SELECT * FROM ye_ledger WHERE value_date = (SELECT min(value_date) FROM ye_ledger)")
+_passes("ye_", "ye_day", "ye_external")

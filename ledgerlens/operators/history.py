@@ -3,7 +3,7 @@ rate limits, reference-data upsert and the month-partitioned audit sink."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
@@ -36,11 +36,18 @@ def audit_diff(before: DataFrame, after: DataFrame, key: str, table_name: str) -
 
 def write_monthly(df: DataFrame, path: str, ts_col: str = "created_at") -> None:
     """Append audit rows partitioned by year and month of ``ts_col``
-    (partitions appear on write; readers prune on y/m)."""
-    (df.withColumn("y", F.date_format(ts_col, "yyyy")).withColumn("m", F.date_format(ts_col, "MM"))
+    (partitions appear on write; readers prune on y/m).  Rows are rebalanced by
+    month first: few files a month, and a large month is split over tasks."""
+    (df.withColumn("y", F.date_format(ts_col, "yyyy")).withColumn("m", F.date_format(ts_col, "MM")).hint("rebalance", "y", "m")
      .write.mode("append").partitionBy("y", "m").parquet(path))
 
 
+def read_month(spark: SparkSession, path: str, year: int, month: int) -> DataFrame:
+    """The rows of one month; only its partition is opened."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows.filter((F.col("y").cast("string") == f"{year:04d}") & (F.lpad(F.col("m").cast("string"), 2, "0") == f"{month:02d}")).drop("y", "m")
+
+
 def archive_split(df: DataFrame, archived: DataFrame | None, key: str, status: str, ts_col: str,
                   as_of, days: int = S.RETENTION_DAYS) -> tuple[DataFrame, DataFrame]:
     """Rows with ``status`` and ``ts_col`` older than ``days`` leave the

@@ -56,13 +56,16 @@ class Fixtures:
     """All derived tables of one scale-factor directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: dt.datetime = AS_OF,
-                 hot_account: int | None = None):
+                 hot_account: int | None = None, year_end: bool = False):
         """``hot_account``: move every ledger id with id % 3 = 0 to this
-        account, so one account holds a third of all rows (skew fixture)."""
+        account, so one account holds a third of all rows (skew fixture).
+        ``year_end``: all of a year's ledger rows have its last day as value
+        date and all lines are of batch 1 (run dates with many rows)."""
         self.spark = spark
         self.sf_dir = sf_dir
         self.as_of = as_of
         self.hot_account = hot_account
+        self.year_end = year_end
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def raw(self, name: str) -> DataFrame:
@@ -95,7 +98,7 @@ class Fixtures:
             ttype.alias("txn_type"),
             F.col("o_totalprice").cast(S.MONEY).alias("amount"),
             _pick(CURRENCIES, acct % 3).alias("currency"),
-            F.col("o_orderdate").cast("date").alias("value_date"),
+            (F.make_date(F.year("o_orderdate"), F.lit(12), F.lit(31)) if self.year_end else F.col("o_orderdate").cast("date")).alias("value_date"),
             F.lit(None).cast("long").alias("batch_id"),
         )
 
@@ -103,9 +106,9 @@ class Fixtures:
     def external(self) -> DataFrame:
         """The statement table: the feed written once per session and scale
         factor (as a real statement table would be stored)."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.hot_account)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.hot_account, self.year_end)
         if key not in _WRITTEN:
-            _WRITTEN[key] = materialize(discrepancy_feed(self.ledger), "external",
+            _WRITTEN[key] = materialize(discrepancy_feed(self.ledger, 1 if self.year_end else 10), "external",
                                         new_run_dir(self.spark, "statement"))
         return _WRITTEN[key]
 

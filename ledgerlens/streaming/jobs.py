@@ -237,8 +237,7 @@ RECON_STAGE = ("side string, id long, account_id long, txn_ref string, txn_type
 def _stage_ledger(led: DataFrame) -> DataFrame:
     return led.select(F.lit("L").alias("side"), F.col("ledger_txn_id").alias("id"), "account_id", "txn_ref",
                       "txn_type", F.lit(None).cast("string").alias("account_ref"), "amount", "currency",
-                      "value_date", F.col("batch_id").cast("long"), F.lit(None).cast("boolean")
-                      .alias("is_batched_settlement"))
+                      "value_date", F.col("batch_id").cast("long"), F.lit(False).alias("is_batched_settlement"))
 
 
 def _stage_external(ext: DataFrame) -> DataFrame:
@@ -307,8 +306,10 @@ def stream_reconcile(spark: SparkSession, led: DataFrame, ext: DataFrame, acc: D
     u = _stage_ledger(led).unionByName(_stage_external(ext))
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        # partitioned by side and value date: a run date's ledger read prunes to one folder
-        batch.write.mode("overwrite").partitionBy("side", "value_date") \
+        # partitioned so that a run date opens its own ledger folder, the lines
+        # of its window, and the flagged lines, which may be of any date
+        batch.withColumn("is_batched_settlement", F.coalesce("is_batched_settlement", F.lit(False))) \
+            .write.mode("overwrite").partitionBy("side", "is_batched_settlement", "value_date") \
             .parquet(os.path.join(staging, f"epoch={epoch}"))
         reconcile_closed_dates(batch.sparkSession, staging, out_dir, acc, rules, lateness_days)
 
@@ -327,13 +328,14 @@ def stream_missed_heartbeats(beats: DataFrame, timeout_seconds: int = S.HEARTBEA
     beat follows within ``timeout_seconds``; if the job was still RUNNING at
     its last beat it stalled at ``last_heartbeat + timeout`` and is either
     RETRYING (run_at = stalled_at + 2^attempts * 10 s) or DEAD_LETTER, as in J10.
+    Of beats at the same moment the one with the most attempts counts.
     Session windows are built in (no Python); state is dropped by the watermark."""
     from ledgerlens.functions.columns import retry_delay_seconds
     sess = F.session_window("ts", f"{timeout_seconds} seconds")
     closed = (beats.withWatermark("ts", watermark)
               .groupBy("job_id", sess.alias("s"))
               .agg(F.max("ts").alias("last_heartbeat"),
-                   F.max_by(F.struct("status", "attempts", "max_attempts"), "ts").alias("last")))
+                   F.max(F.struct("ts", "attempts", "max_attempts", "status")).alias("last")))
     stalled = closed.filter(F.col("last.status") == "RUNNING")
     retry = F.col("last.attempts") < F.col("last.max_attempts")
     at = F.col("s.end")
