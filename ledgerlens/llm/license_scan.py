@@ -67,11 +67,15 @@ IDENTIFIERS = {
 #: Exceptions that may follow `with`, and whether linking under them is permissive (fixed values).
 EXCEPTIONS = {"classpath-exception-2.0": True, "gcc-exception-3.1": True, "llvm-exception": True, "autoconf-exception-3.0": False}
 
+#: Operands that name no licence (fixed values).
+NO_LICENCE = {"none", "noassertion", "unknown"}
+
 BINDING = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[a-z0-9.+-]+|[()]")
 #: What an expression consists of, up to a full stop.
 _LEADING = re.compile(r"(?:[a-z0-9+()\s-]|\.(?!\s|$))*")
 _NAME = re.compile(r"[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?\+?")
+_SLASHES = re.compile(r"[a-z0-9][a-z0-9.+-]*(?:/[a-z0-9][a-z0-9.+-]*)+(?<![.])")
 _BREAK = bytes(b if W.ALNUM[b] else 0x20 for b in W.LOWER.tolist())
 
 
@@ -139,16 +143,19 @@ def evaluate(expression: str) -> tuple[set[str], bool | None] | None:
                 stack.append((a | b, _any(free_a, free_b) if t == "or" else _all(free_a, free_b), ""))
         elif t in EXCEPTIONS:
             stack.append((set(), False, t))
+        elif t in NO_LICENCE:
+            stack.append((set(), None, t))
         elif not _NAME.fullmatch(t):
             return None
         else:
             stack.append(({_base(t)}, IDENTIFIERS.get(_base(t)), t))
     names, free, name = stack.pop()
-    return None if name in EXCEPTIONS else (names, free)
+    return (names, free) if names and name not in EXCEPTIONS else None
 
 
 def leading(line: str) -> str:
-    """The longest leading part of a lower-case line that is an expression."""
+    """The longest leading part of a lower-case line that is an expression; a slash between known identifiers is an or."""
+    line = _SLASHES.sub(lambda m: " or ".join(m[0].split("/")) if all(_base(x) in IDENTIFIERS for x in m[0].split("/")) else m[0], line)
     part = _LEADING.match(line)[0]
     tokens = list(_TOKEN.finditer(part))
     for prose in (False, True):

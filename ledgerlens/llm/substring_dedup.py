@@ -37,6 +37,8 @@ from ledgerlens.session import materialize
 
 #: Words of a window.
 WORDS = 35
+#: Keys of texts with candidates (16 bytes each) that are sent to every task at most, about 5 MB; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Words of the shortest windows at least.
 FIRST = 8
 
@@ -205,8 +207,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: in
     places = _repeated(_unpacked(active), 0)
     release(spark, active)
     # the texts that have candidates; rows that repeat an id and a text count once
-    keys = facts.select("rid", "__id", "__hash").join(places, "rid")
-    one = read.select("__id", "__hash", F.col("__text").alias("text")).groupBy("__id", "__hash").agg(F.first("text").alias("text"))
+    keys = materialize(facts.select("rid", "__id", "__hash").join(places, "rid"), "keys")
+    wanted = materialize(keys.select("__id", "__hash").distinct(), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    # only texts with candidates are shuffled, once each
+    one = read.select("__id", "__hash", F.col("__text").alias("text")).join(wanted, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
     work = materialize(one.join(keys, ["__id", "__hash"]).select("rid", "text", "places"), "work")
     release(spark, places)
     for k in range(1, len(lengths)):

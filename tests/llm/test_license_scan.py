@@ -20,6 +20,28 @@ def test_expressions(text, want):
     assert L.evaluate(text) == want
 
 
+def test_expressions_equal_truth_tables():
+    """Random expressions of known identifiers: permissive if the expression holds with permissive names true, the others false."""
+    rng = random.Random(8)
+
+    def build(depth):
+        if not depth or rng.random() < .3:
+            name = rng.choice(sorted(L.IDENTIFIERS))
+            return name, f"({L.IDENTIFIERS[name]})", {name}
+        parts = [build(depth - 1) for _ in range(rng.randint(2, 3))]
+        op = rng.choice(["and", "or"])
+        names = set().union(*(p[2] for p in parts))
+        return "(" + f" {op.upper()} ".join(p[0] for p in parts) + ")", "(" + f" {op} ".join(p[1] for p in parts) + ")", names
+
+    for _ in range(400):
+        text, logic, names = build(rng.randint(1, 4))
+        assert L.evaluate(text) == (names, eval(logic)), text
+        flat = [build(0) for _ in range(4)]  # without brackets `and` binds closer
+        ops = [rng.choice(["and", "or"]) for _ in range(3)]
+        joined = lambda k: " ".join(x for a, b in zip(flat, ops + [""]) for x in (a[k], b))
+        assert L.evaluate(joined(0)) == (set().union(*(p[2] for p in flat)), eval(joined(1).strip()))
+
+
 def test_many_alternatives_stay_linear():
     names, free = L.evaluate(" AND ".join(["(MIT OR GPL-2.0)"] * 5000))
     assert names == {"mit", "gpl-2.0"} and free
@@ -30,13 +52,14 @@ def test_many_alternatives_stay_linear():
     ("BSL-1.0 AND GPL-3.0", "bsl-1.0,gpl-3.0", False), ("BSL-1.0 AND MIT", "bsl-1.0,mit", None), ("Beerware", "beerware", None),
     ("MIT.", "mit", True), ("Apache-2.0. See LICENSE", "apache-2.0", True), ("(MIT OR GPL-2.0-only) and some prose", "gpl-2.0,mit", True),
     ("GPL-2.0 with love from us", "gpl-2.0", False), ("MIT, as is", "mit", True), ("MIT (see LICENSE)", "mit", True),
+    ("MIT/Apache-2.0", "apache-2.0,mit", True), ("GPL-3.0/MPL-2.0.", "gpl-3.0,mpl-2.0", False), ("MIT AND NOASSERTION", "mit", None), ("NONE OR GPL-2.0", "gpl-2.0", None),
 ])
 def test_unknown_names_and_lines_that_go_on(line, labels, free):
     got = L.Scanner().scan(f"// SPDX-License-Identifier: {line}\ncode".encode())
     assert (got[5], got[6], got[7]) == (labels, free, 1.0)
 
 
-@pytest.mark.parametrize("line", ["nothing known", "%s", "<license-id>", "see the file", "", "...", "MIT WITH GPL-2.0"])
+@pytest.mark.parametrize("line", ["nothing known", "%s", "<license-id>", "see the file", "", "...", "MIT WITH GPL-2.0", "NONE", "NOASSERTION", "unknown", "NONE OR NOASSERTION"])
 def test_lines_without_an_expression(line):
     assert L.Scanner().scan(f"// SPDX-License-Identifier: {line}\ncode".encode())[5:] == ("", None, 0.0)
 
