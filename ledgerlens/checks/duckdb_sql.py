@@ -356,3 +356,14 @@ _fx("ye_ledger", [], FIXTURES["ledger"][1].replace("CAST(o_orderdate AS DATE)",
 _fx("ye_external", ["ye_ledger"], FIXTURES["external"][1].replace("FROM ledger", "FROM ye_ledger").replace("1 + acct % 10", "1"))
 _fx("ye_day", ["ye_ledger"], "SELECT * FROM ye_ledger WHERE value_date = (SELECT min(value_date) FROM ye_ledger)")
 _passes("ye_", "ye_day", "ye_external")
+
+# all year-end dates in sequence: no window reaches from one to the next, so the first two passes are those of the
+# whole tables; running totals are of one date, and a flagged line goes to the first date with its amount
+_passes("yr_", "ye_ledger", "ye_external")
+_fx("yr_free", ["yr_exact", "yr_tolerance"], """
+SELECT ledger_txn_id AS id, account_id, value_date, sum(amount) OVER (PARTITION BY account_id, value_date ORDER BY ledger_txn_id) AS so_far
+FROM yr_rows ANTI JOIN (SELECT ledger_txn_id FROM yr_exact UNION ALL SELECT ledger_txn_id FROM yr_tolerance) USING (ledger_txn_id)""")
+_fx("yr_hit", ["yr_free"], """
+SELECT ext_line_id, x.account_id, x.amount, min(f.value_date) AS value_date
+FROM yr_lines x JOIN yr_free f ON f.account_id = x.account_id AND f.so_far = x.amount
+WHERE is_batched_settlement AND ext_line_id NOT IN (SELECT ext_line_id FROM yr_exact UNION SELECT ext_line_id FROM yr_tolerance) GROUP BY ALL""")

@@ -262,7 +262,7 @@ def reconcile_closed_dates(spark: SparkSession, staging: str, out_dir: str, acc:
     ext = staged.filter(F.col("side") == "E").select(
         F.col("id").alias("ext_line_id"), "batch_id", F.lit(None).cast("int").alias("source_id"),
         F.lit(None).cast("string").alias("external_ref"), "account_ref", "amount", "currency", "value_date",
-        F.col("value_date").alias("settlement_date"), "is_batched_settlement")
+        F.col("value_date").alias("settlement_date"), F.col("is_batched_settlement").cast("boolean"))  # a folder's name is text
     top = staged.agg(F.max("value_date")).first()[0]
     if top is None:
         return []
