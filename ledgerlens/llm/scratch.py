@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,6 +39,42 @@ def release(spark: SparkSession, *done: DataFrame) -> None:
     jvm.System.gc()
 
 
+#: Seconds between two times that a task with changing needs gives memory back.
+OFTEN_S = 0.3
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean_often(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """As ``lean``, and while the task goes on: before a batch is read, ``OFTEN_S`` after the last time."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
+
+        def watched() -> Iterator[pa.RecordBatch]:
+            nonlocal last
+            for batch in batches:
+                if time.monotonic() - last > OFTEN_S:
+                    _give_back()
+                    last = time.monotonic()
+                yield batch
+
+        for out in run(watched()):
+            yield out
+            if time.monotonic() - last > OFTEN_S:
+                _give_back()
+                last = time.monotonic()
+        _give_back()
+
+    return held
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` in a worker that gives its memory back when the task ends.
 
@@ -48,10 +85,6 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "malloc_trim"):
-            libc.malloc_trim(0)
+        _give_back()
 
     return held
