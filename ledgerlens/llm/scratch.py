@@ -40,11 +40,10 @@ def release(spark: SparkSession, *done: DataFrame) -> None:
 
 
 #: Seconds between two times that a task with changing needs gives memory back.
-OFTEN_S = 0.3
+OFTEN_S = 1.0
 
 
 def _give_back() -> None:
-    gc.collect()
     pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):
@@ -70,6 +69,7 @@ def lean_often(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
             if time.monotonic() - last > OFTEN_S:
                 _give_back()
                 last = time.monotonic()
+        gc.collect()
         _give_back()
 
     return held
@@ -85,6 +85,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
+        gc.collect()
         _give_back()
 
     return held
