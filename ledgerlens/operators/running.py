@@ -95,3 +95,14 @@ class Pieces:
         before = Window.partitionBy(*self.keys).orderBy(F.desc("__piece") if descending else F.asc("__piece")).rowsBetween(Window.unboundedPreceding, -1)
         carry = every.withColumn("__carry", F.last("__end", ignorenulls=True).over(before)).select(*self.keys, "__piece", "__carry")
         return got.join(F.broadcast(carry), [*self.keys, "__piece"], "left").withColumn(out, F.coalesce(out, "__carry")).drop("__carry")
+
+    def total(self, df: DataFrame, value: F.Column, order: list[str], out: str) -> DataFrame:
+        """``df`` (rows with ``__piece``) with ``out``: the sum of the values before each row in the order of the key, 0 at first."""
+        frame = Window.partitionBy(*self.keys, "__piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        got = df.withColumn(out, F.coalesce(F.sum(value).over(frame), F.lit(0)))
+        if self.hot is None:
+            return got
+        sums = df.join(self.hot.select(*self.keys), self.keys).groupBy(*self.keys, "__piece").agg(F.sum(value).alias("__sum"))
+        before = Window.partitionBy(*self.keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+        carry = sums.withColumn("__carry", F.sum("__sum").over(before)).select(*self.keys, "__piece", "__carry")
+        return got.join(F.broadcast(carry), [*self.keys, "__piece"], "left").withColumn(out, F.col(out) + F.coalesce("__carry", F.lit(0))).drop("__carry")

@@ -3,9 +3,9 @@
 The reference applies these one request at a time under row locks.  Here a
 log of events is replayed per key: events are grouped by key, sorted by
 their sequence, and folded with the SQL ``aggregate`` higher-order
-function -- JVM-side, no Python.  One key's history is folded inside one
-task, so the per-key history must stay modest (a workflow has a handful of
-actions, a login history is per user); the shuffle itself spreads keys.
+function -- JVM-side, no Python.  What one task folds is bounded: a login
+history is cut into blocks, and a workflow history of more than
+``LONGEST_FOLD`` actions goes to ``long_replay``; the shuffle itself spreads keys.
 """
 
 from __future__ import annotations
@@ -15,36 +15,45 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
 from ledgerlens.operators.running import Pieces
+from ledgerlens.session import materialize, new_run_dir
 
 # ---------------------------------------------------------------------------
 # J5 workflow replay
 # ---------------------------------------------------------------------------
 
-_NEW_STATUS = {"assign": "ASSIGNED", "start": "IN_PROGRESS", "resolve": "RESOLVED",
-               "approve": "APPROVED", "close": "CLOSED"}
+NEW_STATUS = {"assign": "ASSIGNED", "start": "IN_PROGRESS", "resolve": "RESOLVED",
+              "approve": "APPROVED", "close": "CLOSED"}
+#: Actions that are checked against the version; the first accepted one ends the open phase.
+VERSIONED = ["resolve", "approve", "close"]
+#: A longer history is replayed by ``long_replay``, not folded in one task.
+LONGEST_FOLD = 4096
 
 
 # strict mode: the status an action requires (the reference checks only the version)
 STRICT_FROM = {"resolve": ["ASSIGNED", "IN_PROGRESS"], "approve": ["RESOLVED"], "close": ["APPROVED"]}
 
 
-def _reject_code(st: Column, a: Column, strict: bool = False) -> Column:
-    """NULL when the action is accepted in state ``st``, else the reason."""
+def own_code(a) -> Column:
+    """Why an action (columns by name) is rejected whatever the state is, else NULL."""
     act, role = a["action"], a["actor_role"]
-    # a missing role may do nothing, a missing version is never the current one
+    # a missing role may do nothing
     approver = F.coalesce(role.isin(S.APPROVER_ROLES), F.lit(False))
     worker = F.coalesce(role.isin(S.WORKER_ROLES), F.lit(False))
-    stale = ~st["version"].eqNullSafe(a["expected_version"])
     note_ok = F.coalesce(F.length(F.trim(a["note"])), F.lit(0)) >= S.RESOLUTION_NOTE_MIN
-    code = (F.when(act == "assign", F.when(~approver, "FORBIDDEN")
-                   .when(st["status"].isin(S.NO_REASSIGN_STATUSES), "INVALID_STATE"))
-            .when(act == "start", F.when(~worker, "FORBIDDEN")
-                  .when(F.coalesce(st["assigned_to"] != a["actor"], F.lit(True)) | (st["status"] != "ASSIGNED"),
-                        "INVALID_STATE"))
-            .when(act == "resolve", F.when(~worker, "FORBIDDEN").when(~note_ok, "VALIDATION")
-                  .when(stale, "VERSION_CONFLICT"))
-            .when(act.isin("approve", "close"), F.when(~approver, "FORBIDDEN").when(stale, "VERSION_CONFLICT"))
+    return (F.when(act.isin("assign", "approve", "close"), F.when(~approver, "FORBIDDEN"))
+            .when(act == "start", F.when(~worker, "FORBIDDEN"))
+            .when(act == "resolve", F.when(~worker, "FORBIDDEN").when(~note_ok, "VALIDATION"))
             .otherwise(F.lit("UNKNOWN_ACTION")))
+
+
+def state_code(st, a, strict: bool = False) -> Column:
+    """Why an action that is right by itself is rejected in state ``st``, else NULL."""
+    act = a["action"]
+    # a missing version is never the current one
+    stale = ~st["version"].eqNullSafe(a["expected_version"])
+    code = (F.when(act == "assign", F.when(st["status"].isin(S.NO_REASSIGN_STATUSES), "INVALID_STATE"))
+            .when(act == "start", F.when(F.coalesce(st["assigned_to"] != a["actor"], F.lit(True)) | (st["status"] != "ASSIGNED"), "INVALID_STATE"))
+            .when(act.isin(VERSIONED), F.when(stale, "VERSION_CONFLICT")))
     if not strict:
         return code
     wrong = F.lit(False)
@@ -53,16 +62,35 @@ def _reject_code(st: Column, a: Column, strict: bool = False) -> Column:
     return F.coalesce(code, F.when(wrong, F.lit("INVALID_STATE")))
 
 
-def _new_status(act: Column) -> Column:
+def reject_code(st, a, strict: bool = False) -> Column:
+    """NULL when the action is accepted in state ``st``, else the reason."""
+    return F.coalesce(own_code(a), state_code(st, a, strict))
+
+
+def new_status(act: Column) -> Column:
     e = F.lit(None).cast("string")
-    for k, v in _NEW_STATUS.items():
+    for k, v in NEW_STATUS.items():
         e = F.when(act == k, F.lit(v)).otherwise(e)
     return e
 
 
-def replay_workflow(exc: DataFrame, actions: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(final state, per-action outcomes); see ``fold_workflow``."""
-    return fold_views(fold_workflow(exc, actions, strict))
+def replay_workflow(exc: DataFrame, actions: DataFrame, strict: bool = False, longest: int = LONGEST_FOLD,
+                    run_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(final state, per-action outcomes); the rules are told at ``fold_workflow``.
+
+    A history of up to ``longest`` actions is folded, longer ones are replayed
+    by windows and pointer doubling (``long_replay``), so no list is longer."""
+    from ledgerlens.operators.long_replay import long_replay
+    run_dir = run_dir or new_run_dir(exc.sparkSession, "workflow")
+    actions = actions.filter(F.col("exception_id").isNotNull())
+    counts = actions.groupBy("exception_id").agg(F.count(F.lit(1)).alias("n"))
+    long = materialize(counts.filter(F.col("n") > longest).select("exception_id"), "long", run_dir)
+    if long.isEmpty():
+        return fold_views(materialize(fold_workflow(exc, actions, strict), "folded", run_dir))
+    short = fold_workflow(exc.join(long, "exception_id", "left_anti"), actions.join(long, "exception_id", "left_anti"), strict)
+    folded = fold_views(materialize(short, "folded", run_dir))
+    replayed = long_replay(exc.join(long, "exception_id", "left_semi"), actions.join(long, "exception_id", "left_semi"), strict, run_dir)
+    return folded[0].unionByName(replayed[0]), folded[1].unionByName(replayed[1])
 
 
 def fold_workflow(exc: DataFrame, actions: DataFrame, strict: bool = False) -> DataFrame:
@@ -90,11 +118,11 @@ def fold_workflow(exc: DataFrame, actions: DataFrame, strict: bool = False) -> D
         .alias("out")).alias("s0"))
 
     def step(st, a):
-        code = _reject_code(st, a, strict)
+        code = reject_code(st, a, strict)
         ok = code.isNull()
         assignee = F.when(ok & (a["action"] == "assign"), a["assign_to"]).otherwise(st["assigned_to"])
         return F.struct(
-            F.when(ok, _new_status(a["action"])).otherwise(st["status"]).alias("status"),
+            F.when(ok, new_status(a["action"])).otherwise(st["status"]).alias("status"),
             F.when(ok, st["version"] + 1).otherwise(st["version"]).alias("version"),
             assignee.alias("assigned_to"),
             F.when(ok, st["accepted"] + 1).otherwise(st["accepted"]).alias("accepted"),

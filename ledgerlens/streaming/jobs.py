@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerlens import schemas as S
 from ledgerlens.operators import validation as V
+from ledgerlens.operators import workflow as W
 from ledgerlens.session import new_run_dir, path_exists
 from ledgerlens.sources.imports import ImportRefused, StatementStore
 
@@ -138,31 +139,14 @@ WF_OUT = "exception_id long, seq long, action string, code string, status string
 
 
 def _code(st: dict, a) -> str | None:
-    role, act = a.actor_role, a.action
-    if act == "assign":
-        if role not in S.APPROVER_ROLES:
-            return "FORBIDDEN"
+    """What the state decides (``workflow.state_code``); what doesn't depend on it comes with the action."""
+    if not pd.isna(a.own_code):
+        return a.own_code
+    if a.action == "assign":
         return "INVALID_STATE" if st["status"] in S.NO_REASSIGN_STATUSES else None
-    if act == "start":
-        if role not in S.WORKER_ROLES:
-            return "FORBIDDEN"
+    if a.action == "start":
         return None if (st["assigned_to"] == a.actor and st["status"] == "ASSIGNED") else "INVALID_STATE"
-    stale = pd.isna(a.expected_version) or int(a.expected_version) != st["version"]
-    if act == "resolve":
-        if role not in S.WORKER_ROLES:
-            return "FORBIDDEN"
-        if len((a.note or "").strip()) < S.RESOLUTION_NOTE_MIN:
-            return "VALIDATION"
-        return "VERSION_CONFLICT" if stale else None
-    if act in ("approve", "close"):
-        if role not in S.APPROVER_ROLES:
-            return "FORBIDDEN"
-        return "VERSION_CONFLICT" if stale else None
-    return "UNKNOWN_ACTION"
-
-
-_STATUS = {"assign": "ASSIGNED", "start": "IN_PROGRESS", "resolve": "RESOLVED", "approve": "APPROVED",
-           "close": "CLOSED"}
+    return None if not pd.isna(a.expected_version) and int(a.expected_version) == st["version"] else "VERSION_CONFLICT"
 
 
 _STATE_FIELDS = ["status", "version", "assigned_to", "sla_deadline", "breached"]
@@ -194,7 +178,7 @@ def _workflow_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
                     st["sla_deadline"] = deadline
                 code = _code(st, a)
                 if code is None:
-                    st["status"] = _STATUS[a.action]
+                    st["status"] = W.NEW_STATUS[a.action]
                     st["version"] += 1
                     if a.action == "assign":
                         st["assigned_to"] = a.assign_to
@@ -221,7 +205,7 @@ def stream_workflow_state(actions: DataFrame, watermark: str = "1 hour") -> Data
     approved/closed when the watermark passes the deadline.
     ``actions``: the action log with ``acted_at`` and the exception's
     ``sla_deadline``."""
-    return (actions.withWatermark("acted_at", watermark).groupBy("exception_id")
+    return (actions.withColumn("own_code", W.own_code(actions)).withWatermark("acted_at", watermark).groupBy("exception_id")
             .applyInPandasWithState(_workflow_fn, WF_OUT, WF_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
