@@ -10,7 +10,10 @@ word.
 
 The windows are the smaller side: they are joined in blocks of at most
 ``BLOCK_WINDOWS``, one pass over the documents each, so what a task holds is
-bounded however large the benchmark is.
+bounded however large the benchmark is.  A block has the windows' words and
+numbers only; which items hold a window is told by a written table of (window,
+item) rows, joined in Spark after the distinct windows of each document are
+known, so a sentence that many items share is one window there.
 
 Null and empty texts have no words and no windows.  Rows of one document id
 and text are one document, and each gets the same result; rows that share
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import words as W
 from ledgerlens.llm.scratch import bound_batches, lean
-from ledgerlens.session import materialize
+from ledgerlens.session import materialize, with_dense_ids
 
 #: Words of a window.
 SIZE = 10
@@ -45,7 +48,7 @@ KEY = ["__id", "__hash"]
 
 
 def windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
-    """Distinct windows and the items that hold each: words (hashes, 8 bytes each), items array<string>."""
+    """Distinct (words, item) rows: the words of a window (hashes, 8 bytes each) and an item that holds it."""
     read = items.select(F.coalesce(items[item_id].cast("string"), F.lit("")).alias("item"), items[text].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,15 +61,14 @@ def windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"item": pa.array([batch.column("item")[lo + r].as_py()] * len(found), pa.string()),
                                                       "words": pa.array(found, pa.binary())})
 
-    found = read.mapInArrow(lean(run), "item string, words binary").distinct()
-    return found.groupBy("words").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return read.mapInArrow(lean(run), "item string, words binary").distinct()
 
 
 class Index:
     """One block of windows: padded word hashes, and by prefix token the windows with the token's offset."""
 
     def __init__(self, rows: list, size: int, shingle: int):
-        self.items = [r["items"] for r in rows]
+        self.number = np.array([r["window"] for r in rows], np.int64)
         self.lengths = np.array([len(r["words"]) // 8 for r in rows], np.int64)
         self.words = np.zeros((len(rows), size), np.uint64)
         for k, r in enumerate(rows):
@@ -82,9 +84,12 @@ class Index:
         self.token, self.window, self.offset, self.kind = (
             np.concatenate(x) if x else np.zeros(0, np.uint64 if x is token else np.int64) for x in (token, window, offset, kind))
 
-    def keep_rarest(self, counts: dict[int, int]) -> None:
-        """Of each window's shingles, only the one with the fewest occurrences stays (ties: the smallest hash)."""
-        seen = np.array([counts.get(int(t), 0) for t in self.token], np.int64)
+    def keep_rarest(self, tokens: np.ndarray, n: np.ndarray) -> None:
+        """Of each window's shingles, only the one with the fewest occurrences stays (ties: the smallest hash); ``tokens`` are in order."""
+        seen = np.zeros(len(self.token), np.int64)
+        if len(tokens):
+            at = np.minimum(np.searchsorted(tokens, self.token), len(tokens) - 1)
+            seen = np.where(tokens[at] == self.token, n[at], 0)
         order = np.lexsort((self.offset, self.token, seen, self.window))
         first = np.ones(len(order), bool)
         first[1:] = self.window[order][1:] != self.window[order][:-1]
@@ -116,8 +121,8 @@ def _row_grams(rows: np.ndarray) -> np.ndarray:
     return g
 
 
-def _count(read: DataFrame, shared) -> dict[int, int]:
-    """Occurrences in the documents of every shingle of a block."""
+def _count(read: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a block that the documents hold, in order, and their occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -135,12 +140,15 @@ def _count(read: DataFrame, shared) -> dict[int, int]:
         some = totals > 0
         yield pa.RecordBatch.from_pydict({"token": tokens[some].view(np.int64), "n": totals[some]})
 
-    rows = read.select("__text").mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
-    return {r["token"] % 2**64: r["n"] for r in rows}
+    # at most ``BLOCK_WINDOWS * SIZE`` rows of two numbers
+    found = read.select("__text").mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    tokens, n = (np.asarray(found.column(c).combine_chunks(), np.int64) for c in ("token", "n"))
+    order = np.argsort(tokens.view(np.uint64))
+    return tokens.view(np.uint64)[order], n[order]
 
 
 def _hits(read: DataFrame, shared) -> DataFrame:
-    """Of documents that hold windows: KEY, spans array<struct<a,b>> (words, merged, in order) and items array<string>."""
+    """Of documents that hold windows: KEY, spans array<struct<a,b>> (words, merged, in order) and windows array<long>, distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -165,7 +173,7 @@ def _hits(read: DataFrame, shared) -> DataFrame:
                 if not len(start):
                     continue
                 owner = row[start]
-                out = {"__id": [], "__hash": [], "spans": [], "items": []}
+                out = {"__id": [], "__hash": [], "spans": [], "windows": []}
                 order = np.lexsort((start, owner))
                 start, window, owner = start[order], window[order], owner[order]
                 for part in np.split(np.arange(len(start)), np.flatnonzero(np.diff(owner)) + 1):
@@ -177,12 +185,12 @@ def _hits(read: DataFrame, shared) -> DataFrame:
                     out["__id"].append(batch.column("__id")[lo + r].as_py())
                     out["__hash"].append(batch.column("__hash")[lo + r].as_py())
                     out["spans"].append([{"a": int(x), "b": int(y)} for x, y in zip(a[first], b[last])])
-                    out["items"].append(sorted({i for x in np.unique(window[part]) for i in index.items[x]}))
+                    out["windows"].append(index.number[np.unique(window[part])])
                 yield pa.RecordBatch.from_arrays([pa.array(out["__id"], pa.int64()), pa.array(out["__hash"], pa.int64()),
-                                                  pa.array(out["spans"], spans_type), pa.array(out["items"], pa.list_(pa.string()))],
-                                                 names=[*KEY, "spans", "items"])
+                                                  pa.array(out["spans"], spans_type), pa.array(out["windows"], pa.list_(pa.int64()))],
+                                                 names=[*KEY, "spans", "windows"])
 
-    return read.select(*KEY, "__text").mapInArrow(lean(run), "__id long, __hash long, spans array<struct<a:int,b:int>>, items array<string>")
+    return read.select(*KEY, "__text").mapInArrow(lean(run), "__id long, __hash long, spans array<struct<a:int,b:int>>, windows array<long>")
 
 
 def _word_counts(read: DataFrame, id_col: str) -> DataFrame:
@@ -205,16 +213,17 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     read = docs.select(docs[id_col], F.coalesce(docs[id_col].cast("long"), F.lit(0)).alias("__id"),
                        F.xxhash64(docs[id_col], t).alias("__hash"), t.alias("__text"))
-    found = materialize(windows(items, item_id, item_text, size), "windows")
+    held = materialize(windows(items, item_id, item_text, size), "held")
+    found = materialize(with_dense_ids(held.select("words").distinct(), ["words"], "window"), "windows")
     blocks = max(1, -(-found.count() // block))
     told = None
     for k in range(blocks):
-        rows = found.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).collect()  # about ``block`` rows
+        rows = found.filter(F.pmod("window", F.lit(blocks)) == k).collect()  # at most ``block`` rows of 90 bytes
         if not rows:
             continue
         index = Index(rows, size, shingle)
         index.ready()
-        index.keep_rarest(_count(read, spark.sparkContext.broadcast(index)))
+        index.keep_rarest(*_count(read, spark.sparkContext.broadcast(index)))
         index.ready()
         part = materialize(_hits(read, spark.sparkContext.broadcast(index)), f"hits-{k}")
         told = part if told is None else told.unionByName(part)
@@ -222,8 +231,12 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     if told is None:
         return counted.select(F.col("id").alias(id_col), F.col("__hash").alias("text_hash"), "n_words", F.lit(0).cast("long").alias("n_hit"),
                               F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"))
-    one = told.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-                                 F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # documents with the same windows, such as those that hold the same passage, have their items looked up once
+    spans, places = (F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("spans", "windows"))
+    one = materialize(told.groupBy(*KEY).agg(spans, places), "places")
+    holders = held.join(found, "words").select("window", "item")
+    named = one.select("windows").distinct().withColumn("window", F.explode("windows")).join(holders, "window").select("windows", "item").distinct()
+    one = one.join(named.groupBy("windows").agg(F.array_sort(F.collect_list("item")).alias("items")), "windows")
     union = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
                         lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["to"]))).alias("n"),
                                               F.greatest(s["to"], x["b"]).alias("to")), lambda s: s["n"])

@@ -48,6 +48,23 @@ def test_equals_brute_force(spark, alphabet, block):
     assert all(r.n_items == len(r["items"]) for r in D.hits(docs, bench, block=block).collect())
 
 
+def test_a_sentence_shared_by_many_items(spark):
+    """The windows that go to the tasks carry no items, however many share one."""
+    shared, fresh = " ".join(f"s{k}" for k in range(10)), lambda i: " ".join(f"w{i}x{k}" for k in range(10))
+    items = [(i, shared + " " + fresh(i) if i % 3 == 0 else fresh(i)) for i in range(1500)]
+    texts = [f"before {shared} after"] * 40 + [fresh(7), fresh(9), "nothing here", shared + " " + fresh(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    all_shared = sorted(str(i) for i in range(0, 1500, 3))
+    for block in (200_000, 500):
+        got = {r.doc_id: (r.n_hit, r["items"]) for r in D.hits(docs, bench, block=block).collect()}
+        assert all(got[k] == (10, all_shared) for k in range(40))
+        assert [got[40], got[41], got[42], got[43]] == [(10, ["7"]), (10, ["9"]), (0, []), (20, all_shared)]
+    rows = D.windows(bench, "item_id", "text", 10).select("words").distinct().selectExpr("words", "0L AS window").collect()
+    sizes = [len(x) for x in vars(D.Index(rows, 10, 3)).values() if isinstance(x, list)]
+    assert max(sizes) <= 3  # the shingle sizes are the one list left
+
+
 def test_tricky_rows(spark):
     docs, rows = documents(spark)
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "one"), (3, None)], "item_id long, text string")
