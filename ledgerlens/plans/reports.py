@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
 from ledgerlens.functions.columns import round1_ratio
-from ledgerlens.session import materialize
+from ledgerlens.session import materialize, path_exists
 
 
 def _asof(as_of) -> Column:
@@ -77,16 +77,68 @@ def daily_summary(led: DataFrame, ext: DataFrame, exc: DataFrame, acc: DataFrame
         F.round(F.avg(exc_n).over(w), 6).cast("decimal(18,6)").alias("rolling_7d_avg_exceptions"))
 
 
+#: Rows before and after an account's touched days that a refresh needs: those of the rolling average.
+ROLLING = 6
+
+
+def _periods(df: DataFrame, path: str) -> list[dt.date]:
+    """The stored partitions, in order: a listing of folders, no file is opened."""
+    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).listStatus(folder)]
+    return sorted(dt.date.fromisoformat(n[7:]) for n in names if n.startswith("period=") and n[7:8].isdigit())
+
+
+def _bounds(summary: DataFrame) -> DataFrame:
+    return summary.groupBy("account_id").agg(F.min("summary_date").alias("first_day"), F.max("summary_date").alias("last_day"))
+
+
+def _between(stored: DataFrame, periods: list[dt.date], lo: int, hi: int) -> DataFrame:
+    """The partitions from the lo-th to the hi-th; beyond either end of the list there is no bound."""
+    some = F.lit(True)
+    if lo > 0:
+        some = some & (F.col("period") >= F.lit(periods[lo]))
+    if hi < len(periods) - 1:
+        some = some & (F.col("period") <= F.lit(periods[hi]))
+    return stored.filter(some | F.col("period").isNull()) if lo > 0 or hi < len(periods) - 1 else stored
+
+
+def _neighbourhood(stored: DataFrame, bounds: DataFrame, accounts: DataFrame, periods: list[dt.date], days: list[dt.date],
+                   touched: list[dt.date]) -> DataFrame:
+    """The stored partitions that hold ``ROLLING`` rows of each account on either side of the touched days, if there are so many.
+
+    One partition more on either side, then two, four and so on, until no account
+    lacks rows.  ``bounds`` (account_id, first_day, last_day; never too narrow) tell
+    which accounts have no rows further out, so a new account opens nothing."""
+    lo = max(0, sum(p < min(touched) for p in periods) - 1)
+    hi = min(len(periods) - 1, sum(p <= max(touched) for p in periods))
+    known, step = bounds.join(accounts, "account_id", "left_semi"), 1
+    while True:
+        near = _between(stored, periods, lo, hi)
+        rows = near.groupBy("account_id").agg(F.count(F.when(F.col("summary_date") < F.lit(min(days)), 1)).alias("before"),
+                                              F.count(F.when(F.col("summary_date") > F.lit(max(days)), 1)).alias("after"))
+        few = known.join(rows, "account_id", "left").na.fill(0, ["before", "after"])
+        further = F.lit(periods[hi + 1]) if hi < len(periods) - 1 else F.lit(None).cast("date")
+        lacks = few.agg(F.max((F.col("before") < ROLLING) & (F.col("first_day") < F.lit(periods[lo]))),
+                        F.max((F.col("after") < ROLLING) & (F.col("last_day") >= further))).first()
+        back, on = bool(lacks[0]) and lo > 0, bool(lacks[1]) and hi < len(periods) - 1
+        if not back and not on:
+            return near
+        lo, hi = max(0, lo - step) if back else lo, min(len(periods) - 1, hi + step) if on else hi
+        step *= 2
+
+
 def refresh_summary(led: DataFrame, ext: DataFrame, exc: DataFrame, acc: DataFrame, path: str,
                     touched_dates: DataFrame | None = None, monthly: bool = False) -> DataFrame:
     """Write the summary partitioned by date (or by month); with
     ``touched_dates`` (value_date) only what these dates change is rewritten.
 
-    Of the inputs, only the touched dates are summed again.  Their accounts'
-    other days come from the stored summary; the rolling averages of a touched
-    day and of the account's next six days are computed anew, and the
+    Of the inputs, only the touched dates are summed again.  The accounts' rows
+    around them come from the stored summary, of which only the partitions near
+    the touched dates are opened (``_neighbourhood``); the rolling averages of a
+    touched day and of the account's next six days are computed anew, and the
     partitions of all these days are replaced with the other accounts' stored
-    rows in them."""
+    rows in them.  The first and last day of each account are kept beside the
+    partitions, widened before these change; without them all are opened."""
     spark = led.sparkSession
 
     def period(c: str) -> Column:
@@ -97,16 +149,29 @@ def refresh_summary(led: DataFrame, ext: DataFrame, exc: DataFrame, acc: DataFra
          .option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path))
         return spark.read.parquet(path).drop("period")
 
+    extent = f"{path}/_accounts"
     if touched_dates is None:
-        return write(daily_summary(led, ext, exc, acc))
-    days = materialize(touched_dates.select(F.col("value_date").alias("day")).distinct(), "touched")
+        full = write(daily_summary(led, ext, exc, acc))
+        _bounds(full).write.mode("overwrite").parquet(extent)
+        return full
+    days = materialize(touched_dates.select(F.col("value_date").alias("day")).dropna().distinct(), "touched")
+    calendar = [(r["day"], r["period"]) for r in days.withColumn("period", period("day")).collect()]  # dates of a calendar
+    if not calendar:
+        return spark.read.parquet(path).drop("period")
     on = lambda df, day: df.withColumn("day", day).join(F.broadcast(days), "day", "left_semi").drop("day")  # noqa: E731  dates of a calendar
     stored = spark.read.parquet(path)
-    old = stored.drop("period")
     new = daily_summary(on(led, F.col("value_date")), on(ext, F.col("value_date")), on(exc, F.to_date("created_at")), acc, led)
-    new = new.drop("rolling_7d_avg_exceptions").withColumn("is_new", F.lit(True))
-    gone = on(old, F.col("summary_date"))
-    accounts = new.select("account_id").unionByName(gone.select("account_id")).distinct()
+    new = materialize(new.drop("rolling_7d_avg_exceptions").withColumn("is_new", F.lit(True)), "new")
+    touched = sorted({p for _, p in calendar})
+    gone = on(stored.filter(F.col("period").isin(touched)).drop("period"), F.col("summary_date"))
+    accounts = materialize(new.select("account_id").unionByName(gone.select("account_id")).distinct(), "accounts")
+    near, folders = stored, _periods(led, path)
+    if folders and path_exists(spark, f"{extent}/_SUCCESS"):
+        bounds = spark.read.parquet(extent)
+        near = _neighbourhood(stored, bounds, accounts, folders, [d for d, _ in calendar], touched)
+        wider = bounds.unionByName(_bounds(new)).groupBy("account_id").agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
+        materialize(wider, "bounds").write.mode("overwrite").parquet(extent)
+    old = near.drop("period")
     kept = (old.join(accounts, "account_id", "left_semi").drop("rolling_7d_avg_exceptions")
             .join(F.broadcast(days.withColumnRenamed("day", "summary_date")), "summary_date", "left_anti"))
     # a vanished day leaves a mark, so that the days after it are known to change
@@ -122,7 +187,8 @@ def refresh_summary(led: DataFrame, ext: DataFrame, exc: DataFrame, acc: DataFra
     again = materialize(again, "changed")
     key = ["account_id", "summary_date"]
     periods = again.select(period("summary_date")).unionByName(days.select(period("day"))).distinct()
-    rest = stored.join(F.broadcast(periods), "period", "left_semi").drop("period").join(again.select(*key), key, "left_anti").join(
+    changed = [r["period"] for r in periods.collect()]  # of a calendar as well
+    rest = stored.filter(F.col("period").isin(changed)).drop("period").join(again.select(*key), key, "left_anti").join(
         marks.select(*key), key, "left_anti")
     result = materialize(again.unionByName(rest.select(*again.columns)), "partitions")
     emptied = periods.join(result.select(period("summary_date")).distinct(), "period", "left_anti").collect()

@@ -1,7 +1,10 @@
 """Upload checks, sinks and report refresh."""
 import datetime as dt
 import os
+import random
+import re
 import tempfile
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +64,40 @@ def test_refresh_summary_rewrites_touched_dates(spark):
     assert again.count() == n
 
 
+def _summary_inputs(spark, rows):
+    """Ledger, empty statement, exceptions of (account, date, exceptions) rows; accounts."""
+    acc = spark.createDataFrame([(a, f"R{a}") for a in range(1, 40)], "account_id long, external_ref string")
+    led = spark.createDataFrame([(i, a, d, "CREDIT", Decimal(5)) for i, (a, d, _) in enumerate(rows)],
+                                "ledger_txn_id long, account_id long, value_date date, txn_type string, amount decimal(18,2)")
+    ext = spark.createDataFrame([], "account_ref string, value_date date, amount decimal(18,2)")
+    exc = spark.createDataFrame([(i, dt.datetime.combine(d, dt.time(9))) for i, (_, d, n) in enumerate(rows) for _ in range(n)] or [],
+                                "ledger_txn_id long, created_at timestamp")
+    return led, ext, exc, acc
+
+
+@pytest.mark.parametrize("monthly", [False, True])
+def test_refresh_opens_only_partitions_near_the_touched_dates(spark, tmp_path, monthly):
+    rng, day0, span = random.Random(3), dt.date(2023, 1, 1), 240 if monthly else 60
+    rows = [(a, day0 + dt.timedelta(days=k), rng.randrange(3)) for a in range(1, 4) for k in range(0, span, a)]
+    rows += [(20, day0 + dt.timedelta(days=k), 2) for k in (0, 40, span - 10)]  # an account of few days
+    path = str(tmp_path / "s")
+    R.refresh_summary(*_summary_inputs(spark, rows), path, monthly=monthly)
+    for shift, touched in enumerate([[span // 2], [span], [3, 40]]):
+        days = [day0 + dt.timedelta(days=k) for k in touched]
+        rows = [(a, d, n + (d in days)) for a, d, n in rows if not (d in days and a == 1 and shift == 2)]
+        rows += [(30 + shift, d, 1) for d in days]  # new accounts
+        led, ext, exc, acc = _summary_inputs(spark, rows)
+        want = sorted(map(str, R.daily_summary(led, ext, exc, acc).collect()))
+        got = R.refresh_summary(led, ext, exc, acc, path, spark.createDataFrame([(d,) for d in days], "value_date date"), monthly=monthly)
+        assert sorted(map(str, got.select(*R.daily_summary(led, ext, exc, acc).columns).collect())) == want
+    stored, periods = spark.read.parquet(path), R._periods(led, path)
+    day = day0 + dt.timedelta(days=span // 2)
+    near = R._neighbourhood(stored, spark.read.parquet(path + "/_accounts"), spark.createDataFrame([(1,)], "account_id long"), periods, [day],
+                            [day.replace(day=1) if monthly else day])
+    assert len(near.select("period").distinct().collect()) < (4 if monthly else 20) < len(periods)
+    assert re.search(r"PartitionFilters: \[[^\]]", near._jdf.queryExecution().executedPlan().toString())
+
+
 def test_write_monthly(spark):
     df = spark.createDataFrame([(1, dt.datetime(2024, 1, 5)), (2, dt.datetime(2024, 2, 7))],
                                "id long, created_at timestamp")
