@@ -21,7 +21,11 @@ Two sets link if ``100 * intersection >= percent * union``.  The steps:
    So a group of many near copies needs a few pairs a text, and yet no link
    between components is missed.
 
-A group of more than ``GROUP_ROWS`` sets is dealt out as pairs of blocks.
+A group of more than ``GROUP_ROWS`` sets is cut into blocks of half as many, by
+size.  Neighbouring blocks are groups of their own, so hubs join up a large
+family along its chain of blocks.  Other pairs of blocks are written as two
+numbers each; only those that still hold more than one component are filled
+with their sets, by a Spark join, in the rounds of step 4.
 
 Null and empty texts, and those without words, have an empty set, are linked
 with nothing and are their own component.  Every row is a document; rows that
@@ -54,7 +58,7 @@ BITMAP_BITS = 2048
 FANOUT = 8
 #: Rounds of best partners before all pairs of different components are looked at; more rounds leave fewer of these.
 BEST_ROUNDS = 3
-#: Sets of a candidate group that one task handles; larger groups go as pairs of blocks.
+#: Sets of a candidate group that one task handles; larger groups are cut into blocks of half as many.
 GROUP_ROWS = 4096
 
 #: Pairs and keys (16 and 24 bytes each) that are sent to every task at most, about 5 MB; more are joined by a shuffle.
@@ -180,7 +184,11 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tabl
 
 
 def _candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
-    """(gid, rid) of sets that share a prefix shingle and can link by their sizes; reps: rid, n, prefix."""
+    """Sets that share a prefix shingle and can link by their sizes, as distinct (gid, rid, other); reps: rid, n, prefix.
+
+    A row is a group's set (other: null), a block's set (other: the block, as
+    gid), or a pair of blocks gid and other (rid: null) that are no neighbours.
+    """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,21 +222,64 @@ def _candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
             mixed = W.mix(rid.astype(np.uint64) + W._M3)
             total = np.add.reduceat(mixed, first)
             out_gid.append(np.repeat(W.mix(total), size)[rows]), out_rid.append(rid[rows])
-            for f, s in zip(first[keep & ~small].tolist(), size[keep & ~small].tolist()):
-                blocks = [(i, min(i + GROUP_ROWS // 2, f + s)) for i in range(f, f + s, GROUP_ROWS // 2)]
-                for x, (a, b) in enumerate(blocks):
-                    for c, d in blocks[x:]:
-                        if 100 * n[b - 1] >= percent * n[c]:
-                            own = rid[a:b] if a == c else np.concatenate([rid[a:b], rid[c:d]])
-                            gid = W.mix(W.mix(own.astype(np.uint64) + W._M3).sum(dtype=np.uint64, keepdims=True))
-                            out_gid.append(np.repeat(gid, len(own))), out_rid.append(own)
             gid = np.concatenate(out_gid)
             if len(gid):
-                yield from pa.Table.from_arrays([pa.array(gid.view(np.int64)), pa.array(np.concatenate(out_rid))],
-                                                names=["gid", "rid"]).to_batches(max_chunksize=50_000)
+                yield from _grouped(gid, np.concatenate(out_rid))
+            for f, s in zip(first[keep & ~small].tolist(), size[keep & ~small].tolist()):
+                yield from _blocks(rid[f:f + s], n[f:f + s], percent)
 
     rows = reps.mapInArrow(lean(explode), "key long, rid long, n int, pos int")
-    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(lean(group), "gid long, rid long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(lean(group), "gid long, rid long, other long").distinct()
+
+
+def _grouped(gid: np.ndarray, rid: np.ndarray | None, other: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (gid, rid, other) from hashes and ids; what isn't there is null."""
+    nulls = pa.nulls(len(gid), pa.int64())
+    columns = [pa.array(gid.view(np.int64)), nulls if rid is None else pa.array(rid), nulls if other is None else pa.array(other.view(np.int64))]
+    return iter(pa.Table.from_arrays(columns, names=["gid", "rid", "other"]).to_batches(max_chunksize=50_000))
+
+
+def _blocks(rid: np.ndarray, n: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """A large group, by rising size: its neighbouring blocks as groups, and the other pairs of blocks that can link by size.
+
+    About three rows a set, and a row for each pair of blocks.
+    """
+    half = GROUP_ROWS // 2
+    begin = np.arange(0, len(rid), half)
+    end = np.append(begin[1:], len(rid))
+    mixed = W.mix(rid.astype(np.uint64) + W._M3)
+    total = np.add.reduceat(mixed, begin)
+    for x in range(len(begin) - 1):
+        a, b = begin[x], end[x + 1]
+        yield from _grouped(np.repeat(W.mix(total[x:x + 2].sum(dtype=np.uint64, keepdims=True)), b - a), rid[a:b])
+    # a block's name isn't that of a group of the same sets
+    name = W.mix(total + W._M3)
+    last = np.searchsorted(percent * n[begin], 100 * n[end - 1], "right")  # blocks before this one can link by size
+    place = np.arange(len(begin))
+    used = last > place + 2
+    pairs = np.flatnonzero(used).tolist()
+    used[2:] |= last[:-2] > place[2:]  # the block two before reaches the farthest
+    for k in np.flatnonzero(used).tolist():
+        own = np.repeat(name[k], end[k] - begin[k])
+        yield from _grouped(own, rid[begin[k]:end[k]], own)
+    for k in pairs:
+        others = name[k + 2:last[k]]
+        yield from _grouped(np.repeat(name[k], len(others)), None, others)
+
+
+def _open_blocks(blocks: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(gid, rid, label) of the pairs of blocks with more than one component; blocks: gid, rid; pairs: gid, other."""
+    labelled = materialize(_labelled(blocks, roots), "labelled")
+    spans = materialize(labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")), "spans")
+    of = lambda c: spans.select(F.col("gid").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"))
+    mixed = pairs.join(of("gid"), "gid").join(of("other"), "other").filter(F.least("low_gid", "low_other") < F.greatest("high_gid", "high_other"))
+    sides = mixed.select(F.xxhash64("gid", "other").alias("pair"), F.explode(F.array("gid", "other")).alias("gid"))
+    return sides.join(labelled, "gid").select(F.col("pair").alias("gid"), "rid", "label")
+
+
+def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """gid, rid and label: the set's component."""
+    return members.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").select("gid", "rid", F.coalesce("root", "rid").alias("label"))
 
 
 class Tree:
@@ -428,13 +479,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     same = ["n", "h1", "h2"]
     classes = materialize(base.filter("n > 0").groupBy(*same).agg(F.min("rid").alias("rep"), F.min("id").alias("low")), "classes")
     reps = base.filter("length(prefix) > 0").select("rid", "n", "prefix").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    members = materialize(_candidate_groups(reps, percent), "members")
+    groups = materialize(_candidate_groups(reps, percent), "groups")
+    members = groups.filter("other is null").select("gid", "rid")
+    blocks, crossed = groups.filter("other = gid").select("gid", "rid"), groups.filter("rid is null").select("gid", "other")
+    many = not crossed.isEmpty()
     info = base.select("rid", "n", "bits")
     hubs = _tree_pairs(members.join(info, "rid").withColumn("label", F.col("rid")), percent, "hubs")
     hubs = materialize(hubs, "hubs")
     # groups without any pair that could link are done with
     members = materialize(members.join(hubs.select("gid").distinct(), "gid", "left_semi"), "members")
-    involved = materialize(members.select("rid").distinct(), "involved")
+    involved = members.select("rid").unionByName(blocks.select("rid")) if many else members.select("rid")
+    involved = materialize(involved.distinct(), "involved")
     info = materialize(info.join(involved, "rid", "left_semi"), "info")
     keys = materialize(base.select("rid", "__id", "__hash").join(involved, "rid", "left_semi"), "keys")
     texts = read.select("__id", "__hash", "__text").join(_if_few(keys), ["__id", "__hash"]).select("rid", F.col("__text").alias("text"))
@@ -446,11 +501,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     rounds = ["best"] * BEST_ROUNDS + ["all"]
     while rounds:
         wanted = rounds.pop(0)
-        labelled = members.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left") \
-            .select("gid", "rid", F.coalesce("root", "rid").alias("label"))
-        labelled = materialize(labelled, "labelled")
+        labelled = materialize(_labelled(members, roots), "labelled")
         mixed = labelled.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("gid")
-        open_ = materialize(labelled.join(materialize(mixed, "mixed"), "gid", "left_semi"), "open")
+        open_ = labelled.join(materialize(mixed, "mixed"), "gid", "left_semi")
+        open_ = materialize(open_.unionByName(_open_blocks(blocks, crossed, roots)) if many else open_, "open")
         found = _tree_pairs(open_.join(info, "rid"), percent, wanted).select("a", "b").distinct()
         found = materialize(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         more = materialize(_verified(found, texts, size, percent), "links")

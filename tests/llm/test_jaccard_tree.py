@@ -1,6 +1,8 @@
+import itertools
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -48,9 +50,9 @@ def families(seed):
     return texts
 
 
-@pytest.mark.parametrize("size,percent,rows", [(3, 90, 4096), (5, 80, 16)])
+@pytest.mark.parametrize("size,percent,rows", [(3, 90, 4096), (5, 80, 16), (3, 80, 4)])
 def test_components_equal_brute_force(spark, monkeypatch, size, percent, rows):
-    monkeypatch.setattr(J, "GROUP_ROWS", rows)  # the small one deals groups out as pairs of blocks
+    monkeypatch.setattr(J, "GROUP_ROWS", rows)  # the small ones cut groups into blocks
     texts = families(size)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("bits", F.lit("clash")).repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(docs, size=size, percent=percent).collect()}
@@ -67,6 +69,34 @@ def test_runs_stay_whole_over_batches(rows):
     assert list(J._whole_runs(iter([]), "k")) == []
 
 
+@pytest.mark.parametrize("count,half", [(5, 2), (17, 2), (100, 4), (1000, 50)])
+def test_blocks_cover_all_pairs_that_sizes_allow(monkeypatch, count, half):
+    monkeypatch.setattr(J, "GROUP_ROWS", 2 * half)
+    rng = np.random.default_rng(count)
+    n, rid = np.sort(rng.integers(50, 80, count)), rng.permutation(count).astype(np.int64) + 7
+    rows = [r for b in J._blocks(rid, n, 80) for r in zip(*(b.column(c).to_pylist() for c in ("gid", "rid", "other")))]
+    sets = {}
+    for g, r, o in rows:
+        if r is not None:
+            sets.setdefault((g, o is not None), set()).add(r)
+    assert sum(r is not None for _, r, _ in rows) <= 3 * count and all(len(x) <= 2 * half for x in sets.values())
+    together = {frozenset(p) for (_, block), x in sets.items() if not block for p in itertools.combinations(x, 2)}
+    together |= {frozenset((p, q)) for g, r, o in rows if r is None for p in sets[g, True] for q in sets[o, True]}
+    size = dict(zip(rid.tolist(), n.tolist()))
+    wanted = {frozenset(p) for p in itertools.combinations(size, 2) if 100 * min(size[x] for x in p) >= 80 * max(size[x] for x in p)}
+    assert wanted <= together and all(len(p) == 2 for p in together)
+
+
+def test_joined_up_blocks_are_not_filled(spark):
+    """Pairs of blocks that lie in one component give no rows; a third block in another one does."""
+    blocks = spark.createDataFrame([(g, 10 * g + k) for g in (1, 2, 3) for k in range(4)], "gid long, rid long")
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "gid long, other long")
+    roots = spark.createDataFrame([(10 * g + k, 10) for g in (1, 2) for k in range(4)], "node long, root long")
+    got = J._open_blocks(blocks, pairs, roots).collect()
+    assert sorted(r.rid for r in got) == [20, 21, 22, 23, 30, 31, 32, 33] and len({r.gid for r in got}) == 1
+    assert {r.rid: r.label for r in got} == {k: 10 if k < 30 else k for k in (20, 21, 22, 23, 30, 31, 32, 33)}
+
+
 def test_small_batches_equal_brute_force(spark):
     texts = families(7)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
