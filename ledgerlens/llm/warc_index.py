@@ -2,7 +2,7 @@
 
 ``write_archives`` writes one record per page into gzip-per-record archives in
 the shared folder.  ``capture_runs`` reads archives and gives, for each, its
-captures as a run sorted by URL key and page id.  ``merge_runs`` deals the runs
+captures as a run sorted by URL key and capture time.  ``merge_runs`` deals the runs
 by key range and merges the slices of a range with a loser tree, so the whole
 is in order and a URL's captures are neighbours, however many it has.
 
@@ -10,7 +10,7 @@ Pages whose payload equals that of a page with a smaller id become revisit
 records of it, if the payload has at least ``revisit_from`` bytes.  Rows that
 repeat that smallest id are responses too.  A null html is an empty payload,
 a null url has an empty key, a null id stands last among equal payloads, has
-the time ``BASE_TIME`` and comes first in its URL's history.  An empty table gives no captures.  Other columns
+the earliest time of all and comes first in its URL's history.  An empty table gives no captures.  Other columns
 are not archived.
 """
 
@@ -35,14 +35,16 @@ from ledgerlens.session import materialize, new_run_dir
 
 #: Uncompressed bytes from which an archive is closed and a new one begun.
 ARCHIVE_BYTES = 256 << 20
-#: Pages carry no capture time; the page id gives the seconds after this one.
+#: Pages carry no capture time; the page id gives the nanoseconds after this one, so times keep the order of any 64-bit ids.
 BASE_TIME = "2024-01-01T00:00:00Z"
 #: Captures of a range, about; a task merges one range.
 RANGE_ROWS = 200_000
 RUN_SCHEMA = ("url_key string, capture_time string, page_id long, url string, payload_bytes long, payload_digest string, "
               "record_type string, refers_to long, archive string, offset long, length long")
-#: Times stand for ids only below 10**9 seconds, so the id itself gives the order.
-ORDER = ("url_key", "page_id", "offset")
+#: Times have a fixed width, so their text is in their order; rows that repeat an id have one time.
+ORDER = ("url_key", "capture_time", "page_id", "offset")
+#: A digest of more than one in so many of the repeated payloads is hot: there are fewer such digests than this.
+HOT_DIGESTS = 1000
 
 
 def url_key(url: str | None) -> str:
@@ -55,11 +57,18 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(labels)) + ")" + (m[2] or "/").lower()
 
 
+def capture_time(page_id: int | None, base_time: str = BASE_TIME) -> str:
+    """The time that stands for a page id, to the nanosecond."""
+    seconds, rest = divmod(-2**63 if page_id is None else page_id, 10**9)
+    begin = datetime.strptime(base_time, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc)
+    return f"{(begin + timedelta(seconds=seconds)).strftime('%Y-%m-%dT%H:%M:%S')}.{rest:09d}Z"
+
+
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
-def _record(page: dict, times) -> bytes:
+def _record(page: dict, time: str) -> bytes:
     """One gzip member."""
     body, revisit = page["payload"] or b"", page["refers_to"] is not None
     digest = base64.b32encode(bytes.fromhex(page["digest"])).decode()
@@ -67,7 +76,7 @@ def _record(page: dict, times) -> bytes:
     block = http if revisit else http + body
     url = re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", page["url"] or "")
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page['page_id']}>",
-            f"WARC-Date: {times(page['page_id'])}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}"]
+            f"WARC-Date: {time}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}"]
     if revisit:
         head += [f"WARC-Refers-To: <urn:page:{page['refers_to']}>",
                  "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
@@ -108,6 +117,23 @@ def parse_record(raw: bytes) -> dict:
             "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": page("WARC-Refers-To")}
 
 
+def _with_first(read: DataFrame, twice: DataFrame, revisit_from: int) -> DataFrame:
+    """page_id, url, payload, digest and refers_to; twice: digest, first, n of the payloads that occur twice.
+
+    Hot digests are told by a broadcast of fewer than ``HOT_DIGESTS`` rows;
+    if the others are too many for one, their rows are joined by digest and
+    those of hot digests are dealt out by page.
+    """
+    rows = twice.agg(F.sum("n")).first()[0] or 0
+    hot = twice.filter(F.col("n") * HOT_DIGESTS > rows).select("digest", F.struct("first").alias("hot"))
+    rest = twice.filter(F.col("n") * HOT_DIGESTS <= rows).select(F.col("digest").alias("key"), F.struct("first").alias("cool"))
+    spread = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat_ws(":", "digest", F.col("page_id").cast("string")))
+    told = read.join(F.broadcast(hot), "digest", "left").withColumn("key", spread).join(rest, "key", "left")
+    first = F.coalesce("hot", "cool")["first"]
+    return told.select("page_id", "url", "payload", "digest", F.when(
+        first.isNotNull() & ~first.eqNullSafe(F.col("page_id")) & (F.length("payload") >= revisit_from), first).alias("refers_to"))
+
+
 def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None,
                    revisit_from: int = 0, archive_bytes: int = ARCHIVE_BYTES, base_time: str = BASE_TIME) -> DataFrame:
     """Write the pages as records; one row an archive: archive, records, bytes.
@@ -121,16 +147,13 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
                         F.encode(F.coalesce(pages[html].cast("string"), F.lit("")), "utf-8").alias("payload"))
     read = read.withColumn("digest", F.sha1("payload"))
     # only payloads that occur twice are joined back; their counts are summed before the shuffle
-    twice = read.filter(F.length("payload") >= revisit_from).groupBy("digest").agg(
-        F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    refers = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
-    told = read.join(materialize(twice, "twice"), "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    twice = materialize(read.filter(F.length("payload") >= revisit_from).groupBy("digest").agg(
+        F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
+    told = _with_first(read, twice, revisit_from)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
-        begin = datetime.strptime(base_time, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc)
-        times = lambda i: (begin + timedelta(seconds=(i or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
         out, path, records, size = None, "", 0, 0
         told = lambda: pa.RecordBatch.from_pylist([{"archive": path, "records": records, "bytes": size}])
         for batch in batches:
@@ -139,7 +162,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
                 if out is None:
                     path, records, size = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(path, compression=None)
-                out.write(_record(page, times))
+                out.write(_record(page, capture_time(page["page_id"], base_time)))
                 records, size = records + 1, size + len(page["payload"] or b"")
                 if size >= archive_bytes:
                     out.close()
@@ -226,8 +249,8 @@ def merge_runs(runs: DataFrame, ranges: int | None = None) -> DataFrame:
             return
         archive = held.column("archive").to_pylist()
         cuts = [0, *(k for k in range(1, len(archive)) if archive[k] != archive[k - 1]), len(archive)]
-        keys = [held.column(c).to_pylist() for c in ORDER]
-        item = lambda k: (keys[0][k], keys[1][k] is not None, keys[1][k] or 0, keys[2][k], k)
+        key, time, page, offset = (held.column(c).to_pylist() for c in ORDER)
+        item = lambda k: (key[k], time[k], page[k] is not None, page[k] or 0, offset[k], k)
         tree = LoserTree([map(item, range(a, b)) for a, b in zip(cuts, cuts[1:])])
         merged = held.take(pa.array([x[-1] for x in tree], pa.int64()))
         yield from merged.append_column("place", pa.array(range(merged.num_rows), pa.int64())).to_batches(max_chunksize=10_000)

@@ -63,3 +63,34 @@ def test_history_is_in_the_order_of_any_ids(spark, monkeypatch):
     merged = I.merge_runs(I.capture_runs(I.write_archives(pages)))
     got = [r.page_id for r in sorted(merged.collect(), key=lambda r: r.position)]
     assert got == [None, *sorted(i for i in ids if i is not None)]
+    assert [r.capture_time for r in sorted(merged.collect(), key=lambda r: r.position)] == [I.capture_time(i) for i in got]
+
+
+def test_capture_times_keep_the_order_of_ids():
+    ids = [None, -2**63 + 1, -10**9 - 1, -1, 0, 1, 999_999_999, 10**9, 10**18, 2**63 - 1]
+    times = [I.capture_time(i) for i in ids]
+    assert times == sorted(set(times)) and len({len(t) for t in times}) == 1
+    assert I.capture_time(10**9 + 5) == "2024-01-01T00:00:01.000000005Z"
+
+
+def test_hot_digest_is_dealt_out(spark):
+    """Without broadcasts by size, the rows of a hot digest lie in many partitions, and all get their first page."""
+    rows = [(k, "http://a.org/", "hot" if k % 3 else f"body {k // 6}") for k in range(3000)] + [(None, "http://a.org/", "hot")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    read = pages.select("page_id", "url", F.encode("html", "utf-8").alias("payload"))
+    read = read.withColumn("digest", F.sha1("payload"))
+    twice = read.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = I._with_first(read, twice, 0).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    smallest = {}
+    for i, _, b in rows[:-1]:
+        smallest[b] = min(i, smallest.get(b, i))
+    assert sorted((str(r.page_id), r.refers_to) for r in got) == sorted((str(i), None if smallest[b] == i else smallest[b]) for i, _, b in rows)
+    hot = [r.part for r in got if r.payload == b"hot"]
+    assert max(hot.count(p) for p in set(hot)) < len(hot) / 2
