@@ -134,7 +134,8 @@ def stream_rate_limit(log: DataFrame, key_col: str, ts_col: str, minutes: int, m
 # K5 streaming workflow state with an SLA timer
 # ---------------------------------------------------------------------------
 
-WF_STATE = "status string, version int, assigned_to string, sla_deadline timestamp, breached boolean"
+WF_STATE = ("held array<struct<exception_id:bigint,status:string,version:int,assigned_to:string,sla_deadline:bigint,"
+            "breached:boolean,kept_until:bigint>>")
 WF_OUT = "exception_id long, seq long, action string, code string, status string, version int, event string"
 
 
@@ -149,64 +150,76 @@ def _code(st: dict, a) -> str | None:
     return None if not pd.isna(a.expected_version) and int(a.expected_version) == st["version"] else "VERSION_CONFLICT"
 
 
-_STATE_FIELDS = ["status", "version", "assigned_to", "sla_deadline", "breached"]
+_STATE_FIELDS = ["status", "version", "assigned_to", "sla_deadline", "breached", "kept_until"]
 #: How long a closed exception's state is kept after the watermark (late actions still find it closed).
 CLOSED_KEPT_MS = 24 * 3600 * 1000
-
-
-def _breach(exception_id, st: dict) -> pd.DataFrame:
-    st["breached"] = True
-    return pd.DataFrame([{"exception_id": exception_id, "seq": None, "action": None, "code": None,
-                          "status": st["status"], "version": st["version"], "event": "SLA_BREACHED"}])
+#: A group of the stateful operator holds the exceptions of one hash bucket: calls into Python
+#: cost milliseconds each, so there is one a bucket and micro-batch, not one an exception.
+WF_BUCKETS = 4096
 
 
 def _workflow_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state outlives a breach, so later actions go on from it; a breach is
-    told once.  Only a closed exception's state is dropped, a day later."""
-    (exception_id,) = key
-    st = dict(zip(_STATE_FIELDS, state.get)) if state.exists else {
-        "status": "UNASSIGNED", "version": 1, "assigned_to": None, "sla_deadline": None, "breached": False}
-    if state.hasTimedOut and st["status"] == "CLOSED":
+    """The states of a bucket's exceptions.  A state outlives a breach, so later
+    actions go on from it; a breach is told once.  Only a closed exception's
+    state is dropped, a day later.  The bucket's timer is its earliest one."""
+    held = {h[0]: dict(zip(_STATE_FIELDS, h[1:])) for h in (state.get[0] if state.exists else [])}
+    now, acted, told = state.getCurrentWatermarkMs(), set(), []
+    if not state.hasTimedOut:
+        # all of the bucket's rows of this micro-batch: an exception's may come in several parts, in any order
+        for a in pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable").itertuples(index=False):
+            exception_id = None if pd.isna(a.exception_id) else a.exception_id
+            st = held.setdefault(exception_id, {"status": "UNASSIGNED", "version": 1, "assigned_to": None, "sla_deadline": None,
+                                                "breached": False, "kept_until": None})
+            acted.add(exception_id)
+            if st["sla_deadline"] is None and not pd.isna(a.sla_deadline):
+                st["sla_deadline"] = int(a.sla_deadline)
+            code = _code(st, a)
+            if code is None:
+                st["status"] = W.NEW_STATUS[a.action]
+                st["version"] += 1
+                if a.action == "assign":
+                    st["assigned_to"] = None if pd.isna(a.assign_to) else a.assign_to
+            told.append((exception_id, int(a.seq), a.action, code, st["status"], st["version"], "ACTION"))
+    timers, dropped = [], []
+    for exception_id, st in held.items():
+        if st["status"] == "CLOSED":
+            if exception_id in acted:
+                st["kept_until"] = now + CLOSED_KEPT_MS
+            if st["kept_until"] < now:
+                dropped.append(exception_id)
+            else:
+                timers.append(st["kept_until"])
+        elif st["sla_deadline"] is not None and not st["breached"] and st["status"] not in S.DONE_STATUSES:
+            if st["sla_deadline"] < now or (exception_id in acted and st["sla_deadline"] == now):
+                st["breached"] = True
+                told.append((exception_id, None, None, None, st["status"], st["version"], "SLA_BREACHED"))
+            else:
+                timers.append(st["sla_deadline"])
+    for exception_id in dropped:
+        del held[exception_id]
+    if told:
+        yield pd.DataFrame(told, columns=[c.split()[0] for c in WF_OUT.split(", ")], dtype=object)
+    if not held:
         state.remove()
         return
-    rows = []
-    if not state.hasTimedOut:
-        for pdf in pdfs:
-            for a in pdf.sort_values("seq").itertuples(index=False):
-                deadline = getattr(a, "sla_deadline", None)
-                if st["sla_deadline"] is None and deadline is not None and not pd.isna(deadline):
-                    st["sla_deadline"] = deadline
-                code = _code(st, a)
-                if code is None:
-                    st["status"] = W.NEW_STATUS[a.action]
-                    st["version"] += 1
-                    if a.action == "assign":
-                        st["assigned_to"] = a.assign_to
-                rows.append({"exception_id": exception_id, "seq": int(a.seq), "action": a.action, "code": code,
-                             "status": st["status"], "version": st["version"], "event": "ACTION"})
-    if rows:
-        yield pd.DataFrame(rows)
-    timer = None
-    if st["status"] == "CLOSED":
-        timer = state.getCurrentWatermarkMs() + CLOSED_KEPT_MS
-    elif st["sla_deadline"] is not None and not st["breached"] and st["status"] not in S.DONE_STATUSES:
-        timer = int(pd.Timestamp(st["sla_deadline"]).timestamp() * 1000)
-        if timer <= state.getCurrentWatermarkMs():  # the deadline has passed: a timer can't be set for it
-            timer = None
-            yield _breach(exception_id, st)
-    state.update(tuple(st[f] for f in _STATE_FIELDS))
-    if timer is not None:
-        state.setTimeoutTimestamp(timer)
-
-
-def stream_workflow_state(actions: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    state.update(([(i, *[st[f] for f in _STATE_FIELDS]) for i, st in held.items()],))
+    if timers:
+        state.setTimeoutTimestamp(max(min(timers), now + 1))  # a timer can't be set for the watermark itself
+
+
+def stream_workflow_state(actions: DataFrame, watermark: str = "1 hour", buckets: int = WF_BUCKETS) -> DataFrame:
     """Per-exception workflow state kept in streaming state; an event-time
     timer at the SLA deadline emits SLA_BREACHED for exceptions not yet
     approved/closed when the watermark passes the deadline.
     ``actions``: the action log with ``acted_at`` and the exception's
-    ``sla_deadline``."""
-    return (actions.withColumn("own_code", W.own_code(actions)).withWatermark("acted_at", watermark).groupBy("exception_id")
-            .applyInPandasWithState(_workflow_fn, WF_OUT, WF_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    ``sla_deadline``.  The exceptions are grouped by hash into ``buckets``
+    (fixed for the life of a checkpoint); rows without an id have their own."""
+    bucket = F.when(F.col("exception_id").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("exception_id"), F.lit(buckets)))
+    deadline = F.unix_millis(F.col("sla_deadline").cast("timestamp")) if "sla_deadline" in actions.columns else F.lit(None).cast("long")
+    rows = actions.withWatermark("acted_at", watermark).select(
+        bucket.alias("bucket"), F.col("exception_id").cast("long").alias("exception_id"), F.col("seq").cast("long").alias("seq"), "action", "actor",
+        "expected_version", "assign_to", W.own_code(actions).alias("own_code"), deadline.alias("sla_deadline"), "acted_at")
+    return rows.groupBy("bucket").applyInPandasWithState(_workflow_fn, WF_OUT, WF_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------------------

@@ -187,3 +187,36 @@ def test_missed_heartbeats(spark):
     assert got[1] == ("RETRYING", t0 + dt.timedelta(seconds=50), t0 + dt.timedelta(seconds=70))
     assert got[3][0] == "DEAD_LETTER" and got[3][2] is None
     assert 2 not in got
+
+
+def test_workflow_stream_calls_python_once_a_bucket(spark, tmp_path):
+    """Exceptions share few groups, and rows that come in several parts, latest first, are replayed in their order."""
+    import datetime as dt
+    from ledgerlens.operators import workflow as W
+    t = dt.datetime(2024, 1, 1)
+    steps = [("assign", "a", "ADMIN", None, "u"), ("start", "u", "ANALYST", None, None), ("resolve", "u", "ANALYST", 3, None),
+             ("approve", "a", "ADMIN", 4, None), ("close", "a", "ADMIN", 5, None)]
+    rows = [(i, seq + 1, act, actor, role, version, to, "long enough", t + dt.timedelta(minutes=seq), t + dt.timedelta(hours=1 if i % 7 else 9))
+            for seq, (act, actor, role, version, to) in reversed(list(enumerate(steps))) for i in range(200) if seq < i % 6]
+    rows.append((1000, 1, "assign", "a", "ADMIN", None, "u", None, t + dt.timedelta(hours=6), None))
+    schema = ("exception_id long, seq long, action string, actor string, actor_role string, expected_version int, assign_to string, note string, "
+              "acted_at timestamp, sla_deadline timestamp")
+    acts = spark.createDataFrame(rows, schema)
+    acts.coalesce(1).write.parquet(str(tmp_path / "in"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = K.stream_workflow_state(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), buckets=5)
+        q = (out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ckpt"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination(120)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert max(p.stateOperators[0].numRowsUpdated for p in q.recentProgress if p.stateOperators) <= 5
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    fresh = acts.select("exception_id", F.lit("UNASSIGNED").alias("status"), F.lit(1).alias("version"), F.lit(None).cast("string").alias("assigned_to")).distinct()
+    want = {(r.exception_id, r.seq): r.code for r in W.replay_workflow(fresh, acts)[1].collect()}
+    assert {(r.exception_id, r.seq): r.code for r in got if r.event == "ACTION"} == want and len(want) == len(rows)
+    told = [r.exception_id for r in got if r.event == "SLA_BREACHED"]
+    # a deadline at one hour, and fewer than four steps (not approved)
+    assert sorted(told) == [i for i in range(200) if 0 < i % 6 < 4 and i % 7]
