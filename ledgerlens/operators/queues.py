@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ledgerlens import schemas as S
 from ledgerlens.functions.columns import (add_hours, is_sla_breached, remaining_text,
                                           time_remaining_seconds)
+from ledgerlens.operators.running import left_join
 
 
 def _asof(as_of) -> Column:
@@ -56,7 +57,9 @@ def with_context(exc: DataFrame, led: DataFrame, ext: DataFrame, users: DataFram
     e = ext.select("ext_line_id", "external_ref", F.col("amount").alias("external_amount"),
                    F.col("value_date").alias("external_value_date"))
     u = users.select(F.col("user_id").alias("assigned_to"), F.col("full_name").alias("assigned_to_name"))
-    return exc.join(l, "ledger_txn_id", "left").join(e, "ext_line_id", "left").join(u, "assigned_to", "left")
+    for side, key in ((l, "ledger_txn_id"), (e, "ext_line_id"), (u, "assigned_to")):
+        exc = left_join(exc, side, key, "exception_id")
+    return exc
 
 
 def live_users(users: DataFrame) -> DataFrame:

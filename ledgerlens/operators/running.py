@@ -57,6 +57,17 @@ def salted_join(rows: DataFrame, side: DataFrame, on: str, spread: str, keep: li
     return salted.join(copies, [on, "__salt"], how).drop("__salt")
 
 
+def left_join(rows: DataFrame, side: DataFrame, on: str, spread: str) -> DataFrame:
+    """``rows`` with the columns of ``side`` of the same ``on``.
+
+    Rows without a key match nothing, but would all go to one task: they are dealt out by their column ``spread``."""
+    none = F.lit(0).cast("long")
+    dealt = rows.withColumn("__deal", F.when(F.col(on).isNull(), F.xxhash64(spread)).otherwise(none))
+    # always 0, but no constant to the optimizer, which would take it out of the join's keys
+    side = side.withColumn("__deal", F.pmod(F.xxhash64(on), F.lit(1).cast("long")))
+    return dealt.join(side, [on, "__deal"], "left").drop("__deal")
+
+
 class Pieces:
     """``rows`` with ``__piece``: 0, or for hot keys the range of ``order`` that a row lies in (equal values in one range)."""
 

@@ -438,3 +438,30 @@ def test_late_actions_and_missing_deadlines_in_the_stream(spark, tmp_path):
     told = {(r.exception_id, r.seq, r.event): (r.code, r.status, r.version) for r in events}
     assert told[1, 2, "ACTION"] == (None, "IN_PROGRESS", 3)
     assert sorted(k[0] for k in told if k[2] == "SLA_BREACHED") == [1, 4]
+
+
+def test_rows_without_a_key_are_spread_in_left_joins(spark):
+    """Exceptions without a ledger row, line or assignee, and those with one: all once, no task with most of them."""
+    from ledgerlens.operators import queues as Q
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    old = [spark.conf.get(k) for k in names]
+    try:
+        for k, v in zip(names, ("-1", "false", "8")):
+            spark.conf.set(k, v)
+        key = lambda k: F.when(F.col("id") % k == 0, F.col("id"))
+        exc = spark.range(8000).select(F.col("id").alias("exception_id"), key(5).alias("ledger_txn_id"), key(4).alias("ext_line_id"),
+                                       key(3).cast("string").alias("assigned_to"))
+        day, money = F.lit("2024-01-01").cast("date").alias("value_date"), F.lit(1).cast("decimal(18,2)").alias("amount")
+        led = spark.range(8000).select(F.col("id").alias("ledger_txn_id"), F.concat(F.lit("L"), "id").alias("txn_ref"), money, day)
+        ext = spark.range(8000).select(F.when(F.col("id") > 0, F.col("id")).alias("ext_line_id"), F.concat(F.lit("E"), "id").alias("external_ref"), money, day)
+        users = spark.range(8000).select(F.col("id").cast("string").alias("user_id"), F.concat(F.lit("U"), "id").alias("full_name"))
+        got = Q.with_context(exc, led, ext, users)
+        sizes = sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(sizes) == 8000 and len(sizes) == 8 and sizes[-1] <= 2 * sizes[0]
+        for r in got.collect():
+            k = r.exception_id
+            assert (r.ledger_ref, r.external_ref, r.assigned_to_name) == (
+                f"L{k}" if k % 5 == 0 else None, f"E{k}" if k % 4 == 0 and k else None, f"U{k}" if k % 3 == 0 else None)
+    finally:
+        for k, v in zip(names, old):
+            spark.conf.set(k, v)
