@@ -465,3 +465,28 @@ def test_rows_without_a_key_are_spread_in_left_joins(spark):
     finally:
         for k, v in zip(names, old):
             spark.conf.set(k, v)
+
+
+def test_upload_with_a_repeated_column_comes_in_parts(spark):
+    """The upload that repeats a column is written by as many tasks as the feed, each part with the header, and refused for it."""
+    import glob
+    import os
+    from ledgerlens import catalog
+    from ledgerlens.sources.fixtures import Fixtures
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small parts would be put together
+    kept = dict(catalog._IMPORTED)
+    catalog._IMPORTED.clear()
+    try:
+        fx = Fixtures(spark, "/root/testdata/sf0.001")
+        store, told = catalog.imported(fx)
+        assert told[-1] == "CSV_HEADER_ERROR"
+        folder = os.path.dirname(os.path.dirname(store.lines_dir))
+        parts = [open(f).read().splitlines() for f in glob.glob(os.path.join(folder, "twice", "part-*"))]
+        head = parts[0][0]
+        assert len(parts) == len(glob.glob(os.path.join(folder, "feed", "part-*"))) > 1
+        assert head.split(",").count("amount") == 2 and all(p[0] == head and head not in p[1:] for p in parts)
+        assert sum(len(p) - 1 for p in parts) == fx.external.count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+        catalog._IMPORTED.update(kept)
