@@ -232,3 +232,24 @@ def test_tolerance_dense_brute_force(spark):
             return d if d <= l[3] * tol else None
         want = _brute_mutual(led, ext, key)
         assert got == want, tol
+
+
+def test_exact_windows_across_blocks_of_days(spark):
+    """Repeated amounts on many days (before 1970 as well), equal keys and null dates: as comparing all pairs finds them."""
+    import datetime as dt
+    import random
+    from ledgerlens.operators import matching as M
+    rnd = random.Random(5)
+    schema = "{} long, account_id long, currency string, amount decimal(18,2), value_date date"
+    days = [dt.date(1969, 11, 1) + dt.timedelta(days=k) for k in range(130)] + [None]
+    side = lambda n: [(i, rnd.randrange(2), "GBP", rnd.choice([5, 6]), rnd.choice(days)) for i in range(n)]
+    led, ext = side(150), side(140)
+    from decimal import Decimal
+    frame = lambda rows, key: spark.createDataFrame([(i, a, c, Decimal(m), d) for i, a, c, m, d in rows], schema.format(key))
+    for window in (0, 2, 20):
+        near = [(abs((l[4] - e[4]).days), l[0], e[0]) for l in led for e in ext if l[4] and e[4] and l[1:4] == e[1:4] and abs((l[4] - e[4]).days) <= window]
+        best_l = {l: min((d, e) for d, k, e in near if k == l) for _, l, _ in near}
+        best_e = {e: min((d, l) for d, l, k in near if k == e) for _, _, e in near}
+        want = sorted((l, e, d) for l, (d, e) in best_l.items() if best_e[e] == (d, l))
+        got = M.exact_matches(frame(led, "ledger_txn_id"), frame(ext, "ext_line_id"), window)
+        assert sorted((r.ledger_txn_id, r.ext_line_id, r.day_diff) for r in got.collect()) == want
