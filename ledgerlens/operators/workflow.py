@@ -107,28 +107,38 @@ def fold_workflow(exc: DataFrame, actions: DataFrame, strict: bool = False) -> D
     approve from RESOLVED and close from APPROVED).  AUDITORs may do nothing.
     Every accepted action adds 1 to the version.
     """
-    acts = actions.select("exception_id", F.struct(
+    # what doesn't depend on the state is decided before the fold (last in the
+    # struct: it adds nothing to the order)
+    acts = actions.withColumn("own", own_code(actions)).select("exception_id", F.struct(
         F.col("seq").cast("long").alias("seq"), "action", "actor", "actor_role",
-        F.col("expected_version").cast("int").alias("expected_version"), "assign_to", "note").alias("a"))
-    per = acts.groupBy("exception_id").agg(F.array_sort(F.collect_list("a")).alias("acts"))
+        F.col("expected_version").cast("int").alias("expected_version"), "assign_to", "note", "own").alias("a"))
+    per = acts.groupBy("exception_id").agg(F.sort_array(F.collect_list("a")).alias("acts"))
     init = exc.select("exception_id", F.struct(
         F.col("status"), F.col("version").cast("int").alias("version"), F.col("assigned_to"),
         F.lit(0).alias("accepted"),
         F.array().cast("array<struct<seq:bigint,action:string,code:string,assigned_to:string>>")
         .alias("out")).alias("s0"))
 
+    def once(c, f):
+        """``f`` of the column: a lambda's argument is worked out once, a column wherever it stands."""
+        return F.transform(F.array(c), f)[0]
+
     def step(st, a):
-        code = reject_code(st, a, strict)
-        ok = code.isNull()
-        assignee = F.when(ok & (a["action"] == "assign"), a["assign_to"]).otherwise(st["assigned_to"])
-        return F.struct(
-            F.when(ok, new_status(a["action"])).otherwise(st["status"]).alias("status"),
-            F.when(ok, st["version"] + 1).otherwise(st["version"]).alias("version"),
-            assignee.alias("assigned_to"),
-            F.when(ok, st["accepted"] + 1).otherwise(st["accepted"]).alias("accepted"),
-            F.concat(st["out"], F.array(F.struct(a["seq"].alias("seq"), a["action"].alias("action"),
-                                                 code.alias("code"), assignee.alias("assigned_to"))))
-            .alias("out"))
+        def told(status, version, assignee, accepted, code):
+            out = F.struct(a["seq"].alias("seq"), a["action"].alias("action"), code.alias("code"), assignee.alias("assigned_to"))
+            return F.struct(status.alias("status"), version.alias("version"), assignee.alias("assigned_to"), accepted.alias("accepted"),
+                            F.concat(st["out"], F.array(out)).alias("out"))
+
+        def taken(assignee):
+            return told(new_status(a["action"]), st["version"] + 1, assignee, st["accepted"] + 1, F.lit(None).cast("string"))
+
+        def after(code):
+            assignee = F.when(a["action"] == "assign", a["assign_to"]).otherwise(st["assigned_to"])
+            return F.when(code.isNull(), once(assignee, taken)).otherwise(
+                told(st["status"], st["version"], st["assigned_to"], st["accepted"], code))
+
+        # a code of its own spares the look at the state
+        return once(F.coalesce(a["own"], state_code(st, a, strict)), after)
 
     folded = (init.join(per, "exception_id", "left")
               .select("exception_id",

@@ -177,3 +177,28 @@ def test_strict_mode_checks_status(spark):
     _, strict = W.replay_workflow(exc, acts, strict=True)
     # the rejected approve leaves version 1, so the close is stale first
     assert [r.code for r in strict.orderBy("seq").collect()] == ["INVALID_STATE", "VERSION_CONFLICT"]
+
+
+def test_rules_without_state_are_told_before_the_fold(spark):
+    """The fold's step holds what depends on the state only, each code once."""
+    exc = spark.createDataFrame([(1, "UNASSIGNED", 1, None)], "exception_id long, status string, version int, assigned_to string")
+    rows = [(1, 1, "assign", "a", "ADMIN", None, "u", None), (1, 2, "assign", "a", "AUDITOR", None, "v", None), (1, 2, "start", "u", None, None, None, None),
+            (1, 3, "start", "u", "ANALYST", None, None, None), (1, 4, "resolve", "u", "ANALYST", 3, None, "ok"), (1, 5, "resolve", "u", "ANALYST", 3, None, "long enough"),
+            (1, 6, "assign", "a", "ADMIN", None, "w", None), (1, 7, "approve", "a", "ADMIN", 3, None, None), (1, 8, None, "a", "ADMIN", 4, None, None),
+            (1, 9, "close", "a", "ADMIN", 4, None, None)]
+    acts = spark.createDataFrame(rows, "exception_id long, seq long, action string, actor string, actor_role string, expected_version int, assign_to string, note string")
+    folded = W.fold_workflow(exc, acts)
+    step = [x for x in folded._jdf.queryExecution().optimizedPlan().toString().splitlines() if "aggregate(" in x]
+    assert step and not any("FORBIDDEN" in x for x in step) and all(x.count("VERSION_CONFLICT") == 1 for x in step)
+    got = folded.first()
+    assert [(o.seq, o.code, o.assigned_to) for o in got.out] == [
+        (1, None, "u"), (2, "FORBIDDEN", "u"), (2, "FORBIDDEN", "u"), (3, None, "u"), (4, "VALIDATION", "u"), (5, None, "u"), (6, "INVALID_STATE", "u"),
+        (7, "VERSION_CONFLICT", "u"), (8, "UNKNOWN_ACTION", "u"), (9, None, "u")]
+    assert (got.status, got.version, got.assigned_to, got.accepted) == ("CLOSED", 5, "u", 4)
+
+
+def test_read_log_starts_from_the_written_actions(spark):
+    """Neither the action log nor the outcomes are unfolded again for it."""
+    from ledgerlens import catalog as C
+    plan = C.reads(C.Fixtures(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
