@@ -11,7 +11,7 @@ Design (all set-based, no pair explosion inside hot accounts):
   key goes to the one or two blocks that its window touches, so it is hardly
   ever copied, and meets at most a block's days of the same amount.
 * The tolerance band is searched without pairs: a key probes the dates of its
-  window, and running frames by amount over each (account, currency, date)
+  window that the other side has, and running frames by amount over each (account, currency, date)
   yield the nearest other-side amount below and above -- the only possible
   best partners, since the band test is monotone in the distance.  A hot
   account's frames are cut into ranges of amounts (``running.Pieces``).
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
 from ledgerlens.functions.columns import tolerance_confidence
-from ledgerlens.operators.running import Pieces, salted_join
+from ledgerlens.operators.running import LEAST_ROWS, Pieces, salted_join
 from ledgerlens.session import materialize
 
 KEY = ["account_id", "currency"]
@@ -126,18 +126,18 @@ def exact_matches(led: DataFrame, ext: DataFrame, window_days: int = 2) -> DataF
 CELL = KEY + ["cdate"]
 
 
-def _nearest(probes: DataFrame, cells: DataFrame, probe_id: str, cell_id: str) -> DataFrame:
+def _nearest(probes: DataFrame, cells: DataFrame, probe_id: str, cell_id: str, even: bool = False) -> DataFrame:
     """For every probe row, the cell rows nearest below-or-equal and above in
     amount with the same (account, currency, date):
     probes(acct.., cdate, amt, probe_id, off) x cells(acct.., cdate, amt, cell_id)
     -> (probe_id, off, probe_amt, cand_amt, cell_id); at most two per probe row.
     Running frames over the union by amount -- no pairs are formed, and a hot
-    (account, currency, date) is cut into ranges of amounts (``Pieces``)."""
+    (account, currency, date) is cut into ranges of amounts (``Pieces``, as is ``even``)."""
     u = (cells.select(*CELL, "amt", F.col(cell_id).alias("cid"), F.lit(None).cast("long").alias("pid"),
                       F.lit(None).cast("int").alias("off"), F.lit(0).alias("kind"))
          .unionByName(probes.select(*CELL, "amt", F.lit(None).cast("long").alias("cid"),
                                     F.col(probe_id).alias("pid"), F.col("off").cast("int"), F.lit(1).alias("kind"))))
-    pieces = Pieces(u, CELL, "amt")
+    pieces = Pieces(u, CELL, "amt", even=even)
     cell = F.when(F.col("kind") == 0, F.struct(F.col("amt").alias("a"), F.col("cid").alias("id")))
     # the last cell row before the probe by rising amount, and by falling
     # amount (there, equal amounts come after it)
@@ -173,12 +173,19 @@ def tolerance_matches(led: DataFrame, ext: DataFrame, rule: DataFrame) -> DataFr
     lk = materialize(_keys(led, "ledger_txn_id", "l_id").withColumnRenamed("amount", "l_amount"), "ledger_keys")
     ek = materialize(_keys(ext, "ext_line_id", "e_id").withColumnRenamed("amount", "e_amount"), "line_keys")
     offsets = F.explode(F.sequence(F.lit(-win), F.lit(win)))
+    # a date of an account and currency has at most one row of each of its keys
+    sizes = lk.select(*KEY).unionByName(ek.select(*KEY)).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    even = (sizes.agg(F.max("n")).first()[0] or 0) <= LEAST_ROWS
 
     def near(side: DataFrame, other: DataFrame, own: str, theirs: str) -> DataFrame:
+        # a date on which the other side has nothing isn't probed: a run date's ledger
+        # is of one date (the table of dates is bounded by the calendar)
+        there = F.broadcast(other.select(F.col("value_date").alias("there")).distinct())
         probes = (side.withColumn("off", offsets).withColumn("cdate", F.date_add("value_date", F.col("off")))
+                  .join(there, F.col("cdate").eqNullSafe(F.col("there")), "left_semi")
                   .withColumn("amt", F.col(f"{own}_amount")))
         cells = other.withColumn("cdate", F.col("value_date")).withColumn("amt", F.col(f"{theirs}_amount"))
-        return (_nearest(probes, cells, f"{own}_id", f"{theirs}_id")
+        return (_nearest(probes, cells, f"{own}_id", f"{theirs}_id", even)
                 .withColumnsRenamed({"probe_amt": f"{own}_amount", "cand_amt": f"{theirs}_amount"}))
 
     lnear, enear = near(lk, ek, "l", "e"), near(ek, lk, "e", "l")

@@ -8,6 +8,8 @@ dropped once the watermark passes; checkpoints go to the shared folder
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
 import logging
 import os
 from collections.abc import Iterator
@@ -19,9 +21,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerlens import schemas as S
+from ledgerlens.operators import matching as M
 from ledgerlens.operators import validation as V
 from ledgerlens.operators import workflow as W
-from ledgerlens.session import new_run_dir, path_exists
+from ledgerlens.session import materialize, new_run_dir, path_exists
 from ledgerlens.sources.imports import ImportRefused, StatementStore
 
 LOG = logging.getLogger(__name__)
@@ -244,6 +247,23 @@ def _stage_external(ext: DataFrame) -> DataFrame:
                       "value_date", "batch_id", "is_batched_settlement")
 
 
+def _ids_or_none(ids: DataFrame) -> DataFrame | None:
+    """The written ids (first column) that are marked in ``again``; None without any."""
+    marked = materialize(ids.filter("again").drop("again"), "again")
+    return None if marked.isEmpty() else marked
+
+
+def _prior_ids(col: str, again: DataFrame | None, rows: DataFrame | None, near: DataFrame | None = None) -> DataFrame | None:
+    """Of the ids in earlier runs' ``rows`` those that a run date can meet: all of
+    ``near``, and the ones in ``again``.  None if there are none by construction."""
+    if rows is None:
+        return None
+    parts = [near.select(col)] if near is not None else []
+    if again is not None:
+        parts.append(rows.select(col).join(again, col, "left_semi"))
+    return functools.reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def reconcile_closed_dates(spark: SparkSession, staging: str, out_dir: str, acc: DataFrame, rules: DataFrame,
                            lateness_days: int) -> list:
     """Run J1 for every value date that is closed (max staged date minus the
@@ -263,7 +283,7 @@ def reconcile_closed_dates(spark: SparkSession, staging: str, out_dir: str, acc:
     top = staged.agg(F.max("value_date")).first()[0]
     if top is None:
         return []
-    horizon = top - __import__("datetime").timedelta(days=lateness_days)
+    horizon = top - dt.timedelta(days=lateness_days)
     done_path = os.path.join(out_dir, "closed_dates")
     done = set()
     if path_exists(spark, done_path):
@@ -271,16 +291,34 @@ def reconcile_closed_dates(spark: SparkSession, staging: str, out_dir: str, acc:
     # one row per value date: bounded by the calendar, not by the data
     dates = sorted(r[0] for r in led.filter(F.col("value_date") <= F.lit(horizon))
                    .select("value_date").distinct().collect() if r[0] not in done)
+    if not dates:
+        return []
+    # read by every run date: written once
+    rules = materialize(rules, "rules")
+    rule = M.first_rule(rules, "TOLERANCE").first()
+    reach = max(MatchConfig().exact_window_days, int(rule["date_window_days"]) if rule else 0)
+    # ids that more than one run date can meet, wherever these lie: ledger ids on
+    # several rows; lines that are flagged or on several rows
+    twice = F.count(F.lit(1)) > 1
+    led_again = _ids_or_none(led.filter(F.col("value_date") <= F.lit(horizon)).groupBy("ledger_txn_id").agg(twice.alias("again")))
+    ext_again = _ids_or_none(ext.groupBy("ext_line_id").agg((twice | F.coalesce(F.max("is_batched_settlement"), F.lit(False))).alias("again")))
     closed = []
     for d in dates:
-        def prior(part: str, col: str):
+        def prior(part: str):
             p = os.path.join(out_dir, part)
-            return spark.read.parquet(p).select(col) if path_exists(spark, p) else None
-        lb, eb = prior("ledger_lines", "ledger_txn_id"), prior("external_lines", "ext_line_id")
-        px = prior("exceptions", "*")
+            return spark.read.parquet(p) if path_exists(spark, p) else None
+        lines = prior("external_lines")
+        # any other line is only met by run dates whose windows overlap
+        near = lines.filter(F.col("run_date") >= F.lit(d - dt.timedelta(days=2 * reach))) if lines is not None else None
+        lb, eb = _prior_ids("ledger_txn_id", led_again, prior("ledger_lines")), _prior_ids("ext_line_id", ext_again, lines, near)
+        px, told = prior("exceptions"), []
+        for col, again in (("ledger_txn_id", led_again), ("ext_line_id", ext_again)):
+            ids = _prior_ids(col, again, px)
+            if ids is not None:
+                told.append(ids.select(*[(F.col(c) if c == col else F.lit(None).cast("long")).alias(c) for c in ("ledger_txn_id", "ext_line_id")]))
         cfg = MatchConfig(run_id=int(d.strftime("%Y%m%d")), run_date=d)
         res = reconcile(led, ext, acc, rules, cfg, ledger_bridge=lb, ext_bridge=eb,
-                        prior_exceptions=px.select("ledger_txn_id", "ext_line_id") if px is not None else None)
+                        prior_exceptions=functools.reduce(DataFrame.unionByName, told) if told else None)
         tag = f"run_date={d.isoformat()}"
         res.ledger_lines.write.mode("overwrite").parquet(os.path.join(out_dir, "ledger_lines", tag))
         res.external_lines.write.mode("overwrite").parquet(os.path.join(out_dir, "external_lines", tag))

@@ -253,3 +253,30 @@ def test_exact_windows_across_blocks_of_days(spark):
         want = sorted((l, e, d) for l, (d, e) in best_l.items() if best_e[e] == (d, l))
         got = M.exact_matches(frame(led, "ledger_txn_id"), frame(ext, "ext_line_id"), window)
         assert sorted((r.ledger_txn_id, r.ext_line_id, r.day_diff) for r in got.collect()) == want
+
+
+def test_tolerance_probes_only_dates_of_the_other_side(spark, monkeypatch):
+    """A run date's ledger is of one date: lines probe that one, not all seven of their window."""
+    import datetime as dt
+    import decimal
+    from ledgerlens.operators import matching as M
+    d, money = dt.date(2024, 3, 10), lambda x: decimal.Decimal(x).scaleb(-2)
+    side = "{} long, account_id long, currency string, amount decimal(18,2), value_date date"
+    led = [(i, i % 3, "EUR", money(10000 + 7 * i), d) for i in range(20)]
+    ext = [(100 + i, i % 3, "EUR", money(10000 + 7 * i + 30), d + dt.timedelta(days=i % 5 - 2)) for i in range(20)]
+    probed, nearest = [], M._nearest
+
+    def counted(probes, *args):
+        probed.append(probes.count())
+        return nearest(probes, *args)
+
+    monkeypatch.setattr(M, "_nearest", counted)
+    rule = spark.createDataFrame([(2, decimal.Decimal("0.0100"), 3)], "rule_id int, amount_tolerance decimal(6,4), date_window_days int")
+    got = M.tolerance_matches(spark.createDataFrame(led, side.format("ledger_txn_id")), spark.createDataFrame(ext, side.format("ext_line_id")), rule).collect()
+    assert probed == [20 * 5, 20]  # five dates of lines, one of the ledger
+    cand = [(abs(a - b), i, e, abs((x - y).days)) for i, c, _, a, x in led for e, f, _, b, y in ext
+            if c == f and abs((x - y).days) <= 3 and abs(a - b) <= a * decimal.Decimal("0.01")]
+    best_l = {i: min((g, e) for g, k, e, _ in cand if k == i) for _, i, _, _ in cand}
+    best_e = {e: min((g, i) for g, i, k, _ in cand if k == e) for _, _, e, _ in cand}
+    want = {(i, e, g) for i, (g, e) in best_l.items() if best_e[e][1] == i}
+    assert {(r.ledger_txn_id, r.ext_line_id, r.amount_diff) for r in got} == want and want

@@ -220,3 +220,51 @@ def test_workflow_stream_calls_python_once_a_bucket(spark, tmp_path):
     told = [r.exception_id for r in got if r.event == "SLA_BREACHED"]
     # a deadline at one hour, and fewer than four steps (not approved)
     assert sorted(told) == [i for i in range(200) if 0 < i % 6 < 4 and i % 7]
+
+
+def test_run_dates_exclude_only_ids_they_can_meet(spark, monkeypatch, tmp_path):
+    """Dates far apart share flagged lines and repeated ids only: the results are those of whole bridges, and ids that no later date can meet aren't handed on."""
+    import datetime as dt
+    from ledgerlens.config import MatchConfig
+    from ledgerlens.plans import reconcile as P
+    from ledgerlens.sources import tables as T
+    days = [dt.date(2024, 3, 1), dt.date(2024, 3, 3), dt.date(2024, 4, 20)]
+    acc = spark.createDataFrame([(i, f"A{i}") for i in range(1, 4)], "account_id long, external_ref string")
+    led, ext = [], []
+    for k, d in enumerate(days):
+        for i in range(6):
+            led.append((100 * k + i, 1 + i % 3, "EUR", f"{50 + 10 * i}.00", d))
+            if i < 4:  # the next date's window reaches the first one's lines
+                ext.append((1000 + 100 * k + i, f"A{1 + i % 3}", "EUR", f"{50 + 10 * i}.00", d + dt.timedelta(days=i % 2), False))
+    led += [(1, 2, "EUR", "60.00", days[2]), (7777, 3, "EUR", "33.00", days[0]), (7777, 3, "EUR", "33.00", days[2])]  # ids that come twice
+    ext += [(1000, "A1", "EUR", "50.00", days[2], False), (5000, "A2", "EUR", "90.00", days[2], True), (5001, "A3", "EUR", "33.00", days[2], True)]
+    led = spark.createDataFrame(led, "ledger_txn_id long, account_id long, currency string, amount string, value_date date") \
+        .withColumn("amount", F.col("amount").cast("decimal(18,2)")).selectExpr("*", "'r' AS txn_ref", "'DEBIT' AS txn_type", "cast(null AS long) AS batch_id")
+    ext = spark.createDataFrame(ext, "ext_line_id long, account_ref string, currency string, amount string, value_date date, is_batched_settlement boolean") \
+        .withColumn("amount", F.col("amount").cast("decimal(18,2)")).selectExpr("*", "cast(null AS long) AS batch_id")
+    staging, out, rules = str(tmp_path / "staging"), str(tmp_path / "out"), T.match_rules(spark)
+    K._stage_ledger(led).unionByName(K._stage_external(ext)).write.partitionBy("side", "is_batched_settlement", "value_date").parquet(staging)
+    handed, run = [], P.reconcile
+
+    def watched(*args, **kw):
+        handed.append({k: sorted(r[0] for r in kw[k].collect()) if kw[k] is not None else [] for k in ("ledger_bridge", "ext_bridge")})
+        return run(*args, **kw)
+
+    monkeypatch.setattr(P, "reconcile", watched)
+    assert K.reconcile_closed_dates(spark, staging, out, acc, rules, 0) == days
+    got = {part: sorted(tuple(r) for r in spark.read.parquet(f"{out}/{part}").drop("run_date").collect()) for part in ("ledger_lines", "external_lines")}
+    exc = sorted(r.exception_id for r in spark.read.parquet(f"{out}/exceptions").collect())
+
+    lb, eb, px, want_exc = [], [], [], []
+    e = ext.selectExpr("*", "cast(null AS int) AS source_id", "cast(null AS string) AS external_ref", "value_date AS settlement_date")
+    for d in days:
+        frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+        r = run(led, e, acc, rules, MatchConfig(run_date=d), frame([(i,) for _, i in lb], "ledger_txn_id long"), frame([(i,) for _, i in eb], "ext_line_id long"),
+                frame(px, "ledger_txn_id long, ext_line_id long"))
+        lb, eb = lb + [tuple(x) for x in r.ledger_lines.collect()], eb + [tuple(x) for x in r.external_lines.collect()]
+        new = r.exceptions.collect()
+        px, want_exc = px + [(x.ledger_txn_id, x.ext_line_id) for x in new], want_exc + [x.exception_id for x in new]
+    assert got == {"ledger_lines": sorted(lb), "external_lines": sorted(eb)} and exc == sorted(want_exc)
+    assert {k for k, _ in lb} & {5000, 5001} and len(lb) > 8
+    # the last date: no ledger ids but repeated ones, no lines but flagged and repeated ones
+    assert set(handed[2]["ledger_bridge"]) <= {1, 7777} and set(handed[2]["ext_bridge"]) <= {1000, 5000, 5001}
