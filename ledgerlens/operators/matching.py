@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
 from ledgerlens.functions.columns import tolerance_confidence
-from ledgerlens.operators.running import LEAST_ROWS, Pieces, salted_join
+from ledgerlens.operators import running
+from ledgerlens.operators.running import Pieces, salted_join
 from ledgerlens.session import materialize
 
 KEY = ["account_id", "currency"]
@@ -175,7 +176,7 @@ def tolerance_matches(led: DataFrame, ext: DataFrame, rule: DataFrame) -> DataFr
     offsets = F.explode(F.sequence(F.lit(-win), F.lit(win)))
     # a date of an account and currency has at most one row of each of its keys
     sizes = lk.select(*KEY).unionByName(ek.select(*KEY)).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    even = (sizes.agg(F.max("n")).first()[0] or 0) <= LEAST_ROWS
+    even = (sizes.agg(F.max("n")).first()[0] or 0) <= running.LEAST_ROWS
 
     def near(side: DataFrame, other: DataFrame, own: str, theirs: str) -> DataFrame:
         # a date on which the other side has nothing isn't probed: a run date's ledger

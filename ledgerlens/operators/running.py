@@ -71,7 +71,7 @@ def left_join(rows: DataFrame, side: DataFrame, on: str, spread: str) -> DataFra
 class Pieces:
     """``rows`` with ``__piece``: 0, or for hot keys the range of ``order`` that a row lies in (equal values in one range)."""
 
-    def __init__(self, rows: DataFrame, keys: list[str], order: str, least: int = LEAST_ROWS, even: bool = False):
+    def __init__(self, rows: DataFrame, keys: list[str], order: str, least: int = LEAST_ROWS, *, even: bool = False):
         """``even``: the caller knows that no key has more than ``least`` rows."""
         self.keys, self.hot = keys, None
         hot = [] if even else hot_keys(rows, keys, least)
